@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, minhash, packing, quality, shards, topk, toxicity, urls
+from . import bpe, katz, lines, minhash, packing, quality, shards, topk, toxicity, urls
 from .common import fold, table
 from .oracles import ORACLES
 
@@ -61,6 +61,12 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = fold(F.col("doc_id"), 7) == 2
+    out = katz.katz_scores(table(spark, sf_dir, "documents"), ~held)
+    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -68,7 +74,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality, op2_bpe, op3_shards, op4_topk, op5_packing, op6_toxicity, op7_near_dedup, op8_urls, op9_lines, pipeline]
+    found = [op1_quality, op2_bpe, op3_shards, op4_topk, op5_packing, op6_toxicity, op7_near_dedup, op8_urls, op9_lines, op10_katz, pipeline]
     return {f.__name__: f for f in found}
 
 
