@@ -48,7 +48,11 @@ def path_of(url: Column) -> Column:
 
 def ngrams(host: Column, path: Column, sizes: tuple[int, ...] = (3, 4)) -> Column:
     """Character n-grams of `^host/` and of the path, told apart by a mark."""
-    grams = lambda mark, s: [F.transform(F.regexp_extract_all(s, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)), lambda g, m=mark: F.concat(F.lit(m), g)) for n in sizes]
+
+    def grams(mark: str, s: Column) -> list[Column]:
+        found = [F.regexp_extract_all(s, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes]
+        return [F.transform(f, lambda g: F.concat(F.lit(mark), g)) for f in found]
+
     return F.concat(*grams("h", F.concat(F.lit("^"), host, F.lit("$"))), *grams("p", F.concat(path, F.lit("$"))))
 
 
