@@ -47,3 +47,12 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Bytes up to which a table whose rows have been counted is broadcast.
+BROADCAST = 32_000_000
+
+
+def small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """df, marked for broadcast if it measures below BROADCAST; else as it is, and the join shuffles. Counting reads df, so give it a written table."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST else df

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import small, staged
 from .components import components
 
 BANDS, ROWS = 56, 6
@@ -98,7 +98,7 @@ def band_keys(sk: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarra
 
 
 def sketches(docs: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
-    """doc_id, n_shingles, set_a, set_b (128 bits of the set), keys (one for each band) and marks; these two are null for an empty set."""
+    """doc_id, n_shingles, set_a, set_b (128 bits of the set), keys (one for each band), marks and tags (parts of the sketch and of the keys); these are null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHash()
@@ -110,20 +110,26 @@ def sketches(docs: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
                 sk = sketch([sets[i] for i in full])
                 lists: list[np.ndarray | None] = [None] * len(sets)
                 marks: list[bytes | None] = [None] * len(sets)
-                for row, mark, i in zip(band_keys(sk).view(np.int64), mix(sk[:, :MARKS]).astype(np.uint8), full, strict=True):
-                    lists[i], marks[i] = row, mark.tobytes()
+                tags: list[bytes | None] = [None] * len(sets)
+                for row, mark, i in zip(band_keys(sk), mix(sk[:, :MARKS]).astype(np.uint8), full, strict=True):
+                    lists[i], marks[i], tags[i] = row.view(np.int64), mark.tobytes(), row.astype(np.uint16).tobytes()
                 ends = [np.array([f(s) for s in sets], dtype=U).view(np.int64) for f in (lambda s: mix(s + U(1)).sum(dtype=U), lambda s: mix(s + U(2)).sum(dtype=U))]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ends[0]), pa.array(ends[1]), pa.array(lists, pa.list_(pa.int64())), pa.array(marks, pa.binary())], names=["doc_id", "n_shingles", "set_a", "set_b", "keys", "marks"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ends[0]), pa.array(ends[1]), pa.array(lists, pa.list_(pa.int64())), pa.array(marks, pa.binary()), pa.array(tags, pa.binary())], names=["doc_id", "n_shingles", "set_a", "set_b", "keys", "marks", "tags"])
 
     some = docs.where(F.col(f"`{doc_id}`").isNotNull())
-    return some.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>, marks binary")
+    return some.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>, marks binary, tags binary")
+
+
+def texts_of(docs: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """id, text of the documents in ids (a written table of one column, id), each id once; other texts are not shuffled while ids are few."""
+    t = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    return t.join(small(ids, 16), "id", "left_semi").dropDuplicates(["id"])
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, doc_id: str, text: str) -> DataFrame:
     """a, b of the pairs whose whole shingle sets are similar enough. Only texts in a pair are shuffled, once for each side."""
-    t = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    t = t.join(needed, "id", "left_semi").dropDuplicates(["id"])
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    t = texts_of(docs, staged(ids, "tried-ids"), doc_id, text)
     met = pairs.join(t.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     met = met.join(t.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
 
@@ -143,15 +149,21 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, doc_i
 
 
 def _in_buckets(rows: DataFrame, carried: str, compare: Callable[..., pa.Table], out: str) -> DataFrame:
-    """compare(x, y) for each bucket, or for each block of a bucket of more than BLOCK members against all of them.
+    """compare(x, y) for each bucket with itself, or for each block of a bucket of more than BLOCK members with all of them.
 
-    rows: key, n (members), and the columns of `carried`; x's have the prefix x_.
+    rows: key, n (members), and the columns of `carried`; x's have the prefix x_. Only large buckets are sent twice.
     """
     names = [c.split()[0] for c in carried.split(", ")]
     blocks = (F.col("n") / BLOCK).cast("int") + 1
-    own = rows.select(F.col("key").alias("x_key"), F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("x_block"), *[F.col(c).alias(f"x_{c}") for c in names])
-    whole = rows.select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), *names)
-    return own.groupBy("x_key", "x_block").cogroup(whole.groupBy("key", "block")).applyInArrow(compare, out)
+
+    def alone(t: pa.Table) -> pa.Table:
+        return compare(t.rename_columns([f"x_{c}" for c in t.column_names]), t)
+
+    once = rows.where(F.col("n") < BLOCK).select("key", *names).groupBy("key").applyInArrow(alone, out)
+    large = rows.where(F.col("n") >= BLOCK)
+    own = large.select(F.col("key").alias("x_key"), F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("x_block"), *[F.col(c).alias(f"x_{c}") for c in names])
+    whole = large.select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), *names)
+    return once.unionByName(own.groupBy("x_key", "x_block").cogroup(whole.groupBy("key", "block")).applyInArrow(compare, out))
 
 
 def _columns(t: pa.Table, prefix: str) -> list[np.ndarray]:
@@ -159,32 +171,41 @@ def _columns(t: pa.Table, prefix: str) -> list[np.ndarray]:
 
 
 def suspects(held: DataFrame, firsts: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
-    """key, doc_id, n_shingles, component: members with a partner of another component in the bucket that is alike in size and in its sketch's marks."""
+    """key, doc_id, n_shingles, component: members with a partner of another component in the bucket that is alike in size and in its sketch's marks.
+
+    Partners that share several buckets count in the first two of them only. Which buckets they share is told by tags,
+    16 bits of each band's key: a partner would be missed if two tags before the first shared band agreed by chance,
+    which has a probability of 1e-8.
+    """
     at = held.join(comp.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mixed = at.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "n")
-    rows = staged(at.select("key", "doc_id", "n_shingles", "component").join(mixed, "key"), "mixed")
+    rows = staged(at.select("key", "band", "doc_id", "n_shingles", "component").join(mixed, "key"), "mixed")
     least = (percent / 100 - SLACK) * MARKS
 
     def compare(x: pa.Table, y: pa.Table) -> pa.Table:
         found: list[int] = []
         if x.num_rows and y.num_rows:
             marks = [np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint8).reshape(-1, MARKS) for t, c in ((x, "x_marks"), (y, "marks"))]
+            tags = [np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint16).reshape(-1, BANDS) for t, c in ((x, "x_tags"), (y, "tags"))]
+            band = x.column("x_band")[0].as_py()
             (ids, sizes, comps), (_, osize, ocomp) = _columns(x, "x_"), _columns(y, "")
             for i in range(len(ids)):
                 some = np.flatnonzero((ocomp != comps[i]) & (100 * np.minimum(osize, sizes[i]) >= percent * np.maximum(osize, sizes[i])))
-                if len(some) and ((marks[1][some] == marks[0][i]).sum(axis=1) >= least).any():
+                if not len(some):
+                    continue
+                some = some[(marks[1][some] == marks[0][i]).sum(axis=1) >= least]
+                if ((tags[1][some, :band] == tags[0][i, :band]).sum(axis=1) < 2).any():
                     found.append(i)
         at = pa.array(found, pa.int64())
         return pa.table({c: x.column(f"x_{c}").take(at) for c in ("key", "doc_id", "n_shingles", "component")})
 
-    return _in_buckets(rows.join(firsts.select("doc_id", "marks"), "doc_id"), "doc_id long, n_shingles long, component long, marks binary", compare, "key long, doc_id long, n_shingles long, component long")
+    return _in_buckets(rows.join(firsts.select("doc_id", "marks", "tags"), "doc_id"), "band int, doc_id long, n_shingles long, component long, marks binary, tags binary", compare, "key long, doc_id long, n_shingles long, component long")
 
 
 def bucket_links(rows: DataFrame, docs: DataFrame, width: int, percent: int, doc_id: str, text: str) -> DataFrame:
     """a, b: links between components in a bucket, found on whole shingle sets; of links that join the same parts, one."""
     n = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    ids = rows.select(F.col("doc_id").alias("id")).distinct()
-    t = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).join(ids, "id", "left_semi").dropDuplicates(["id"])
+    t = texts_of(docs, staged(rows.select(F.col("doc_id").alias("id")).distinct(), "suspect-ids"), doc_id, text)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHash()
@@ -227,12 +248,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     """doc_id, n_shingles, component_id (smallest linked doc_id), kept (doc_id = component_id)."""
     docs = docs.select(F.col(f"`{doc_id}`"), F.col(f"`{text}`"))
     rows = staged(sketches(docs, width, doc_id, text), "sketches")
-    classes = rows.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("first"))
-    firsts = rows.where("n_shingles > 0").join(classes.select(F.col("first").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    buckets = firsts.select("doc_id", "n_shingles", F.explode("keys").alias("key"))
-    shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("hub")).where("n > 1")
-    # rows of buckets with more than one member: (key, doc_id, n_shingles, hub)
-    held = staged(buckets.join(shared.select("key", "hub"), "key"), "buckets")
+    full = rows.where("n_shingles > 0")
+    classes = staged(full.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("first")), "classes")
+    firsts = full.join(small(classes.select(F.col("first").alias("doc_id")), 16), "doc_id", "left_semi")
+    buckets = firsts.select("doc_id", "n_shingles", F.posexplode("keys").alias("band", "key"))
+    shared = staged(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last").select("key", "hub"), "shared")
+    # rows of buckets with more than one member: (key, band, doc_id, n_shingles, hub); a repeated row of a first document once
+    held = staged(buckets.join(small(shared, 32), "key").distinct(), "buckets")
+    firsts = firsts.select("doc_id", "marks", "tags").dropDuplicates(["doc_id"])
 
     def fits(x: str, y: str) -> Column:
         return 100 * F.least(x, y) >= percent * F.greatest(x, y)
@@ -246,7 +269,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     links = links.unionByName(staged(bucket_links(left, docs, width, percent, doc_id, text), "more-links"))
     comp = components(links)
     of = classes.join(comp.select(F.col("id").alias("first"), "component"), "first", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "first").alias("component"))
-    out = rows.drop("keys", "marks").join(of, ["set_a", "set_b", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    out = rows.drop("keys", "marks", "tags").join(small(staged(of, "class-components"), 48), ["set_a", "set_b", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
