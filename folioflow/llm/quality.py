@@ -59,8 +59,7 @@ def features(docs: DataFrame, text: str = "text", keep: list[str] | None = None,
     df = df.select("*", F.sort_array(F.transform(n("c"), said)).alias("__e"))
     same = lambda x, i: (x["g"] == F.get(n("e"), i - 1)["g"]) | (x["g"] == F.get(n("e"), i + 1)["g"])
     covered = F.flatten(F.transform(F.filter(n("e"), same), lambda x: F.array(x["p"], x["p"] + 1, x["p"] + 2)))
-    return df.select(
-        "__row.*",
+    found = F.struct(
         n("n_words").alias(f"{prefix}n_words"),
         n("word_chars").alias(f"{prefix}word_chars"),
         n("n_symbols").alias(f"{prefix}n_symbols"),
@@ -68,6 +67,8 @@ def features(docs: DataFrame, text: str = "text", keep: list[str] | None = None,
         (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias(f"{prefix}n_dup_lines"),
         F.size(F.array_distinct(covered)).cast("long").alias(f"{prefix}n_repeat_words"),
     )
+    # a filter on a feature is not to be moved below and computed there for each word: nothing is pushed into a generator
+    return df.select("__row", F.inline(F.array(found))).select("__row.*", *[f"{prefix}{c}" for c in FEATURES])
 
 
 def base_failed(prefix: str = "") -> Column:
