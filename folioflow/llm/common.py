@@ -35,6 +35,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged_by(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """As staged, with rows in `buckets` buckets by key: grouping by the key needs no shuffle of this table."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    df.write.bucketBy(buckets, key).option("path", f"{shared_dir(spark)}/{table}").saveAsTable(table)
+    return spark.table(table)
+
+
 def words(text: Column) -> Column:
     """The words of a text in order, as array<string>."""
     return F.array_remove(F.split(text, SPACE + "+"), "")

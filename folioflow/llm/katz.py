@@ -12,7 +12,7 @@ the counts of all stretches up and answers each of them, in order. Buckets (`BUC
 partitioned tables; the answers are all that a stretch needs to score its documents, so the model is never collected
 or broadcast. The pairs of a history with more than 1 / min(buckets, `HOT`) of all tokens are dealt over several
 buckets by their second word; the sums of these histories, at most HOT of them, are added up and sent to all tasks.
-Words are told apart by 64-bit hashes, a history's followers by 56 bits and their counts. Arrays travel as zstd bytes.
+Words are told apart by 64-bit hashes, a history's followers by 48 bits and their counts. Arrays travel as zstd bytes.
 
 Defined cases: null and empty texts have the end token alone; rows whose `train` is null are not learnt from; without
 training rows every probability is that of one unknown type (score 0) and N is 0; repeated rows count and are scored
@@ -29,10 +29,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, staged_by
 from .minhash import U, WordHash, mix
 
-STRETCH = 4_000_000
+STRETCH = 1_500_000
 BUCKET = 1_500_000
 HOT = 65_536
 K = 5
@@ -163,9 +163,9 @@ def katz_scores(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: st
     """doc_id, n_tokens, n_known, train_tokens, base_score, score (log10) of every document."""
     spark = docs.sparkSession
     some = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), train.alias("train"), F.col(f"`{text}`").alias("text"))
-    laid = staged(some.mapInArrow(_stretches, "stretch long, tokens long, words binary, at binary, ids array<long>, train array<boolean>, lengths array<int>"), "lm-stretches")
-    tokens = laid.agg(F.sum("tokens")).first()[0] or 0
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    laid = staged_by(some.mapInArrow(_stretches, "stretch long, tokens long, words binary, at binary, ids array<long>, train array<boolean>, lengths array<int>"), "lm-stretches", "stretch", width)
+    tokens = laid.agg(F.sum("tokens")).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(tokens / BUCKET, min(width, 1 + tokens // 10_000), 1)))))
 
     def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +213,7 @@ def katz_scores(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: st
             out["h"].append(pack(hashes[h[cut][new]]))
             out["times"].append(pack(np.diff(new, append=cut.stop - cut.start).astype(np.int32)))
             out["hot"].append(pack(hot[h[cut][new]].astype(np.uint8)))
-            out["w"].append(pack(hashes[w[cut]] >> U(8)))
+            out["w"].append(pack(hashes[w[cut]] >> U(16)))
             out["cw"].append(pack(c[w[cut]]))
             out["n"].append(pack(n[cut]))
         kinds = {"bucket": pa.int32(), "stretch": pa.int64()}
