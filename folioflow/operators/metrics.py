@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 def line_errors(truth: Column, read: Column) -> dict[str, Column]:
     """distance, length (of the longer text) and ratio of a line; ratio is null where both are empty."""
-    d, n = F.levenshtein(truth, read), F.greatest(F.length(truth), F.length(read))
+    d = F.when(truth == read, F.lit(0)).otherwise(F.levenshtein(truth, read))  # most lines are right: they cost no table
+    n = F.greatest(F.length(truth), F.length(read))
     return {"distance": d, "length": n, "ratio": F.when(n > 0, d / n)}
 
 
@@ -25,7 +26,10 @@ def error_rates(lines: DataFrame, by: list[str]) -> DataFrame:
     """
     e = line_errors(F.col("truth"), F.col("read"))
     used = F.col("used") if "used" in lines.columns else F.lit(True)
-    df = lines.select(*by, *[F.when(used & (e["length"] > 0), v).alias(k) for k, v in e.items()])
+    scored = used & (e["length"] > 0)
+    # distance is used twice below, so Spark keeps it a column of its own and computes it once
+    df = lines.select(*by, F.when(scored, e["distance"]).alias("distance"), F.when(scored, e["length"]).alias("length"))
+    df = df.withColumn("ratio", F.col("distance") / F.col("length"))
     s = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_lines"), F.count("ratio").alias("n_scored"), F.sum("distance").alias("distance"), F.sum("length").alias("length"), F.sum("ratio").alias("rs"), F.median("ratio").alias("rm"), F.count_if(F.col("ratio") == 0).alias("n_correct"), F.count_if(F.col("ratio") > 0.1).alias("n_bad"), F.min("ratio").alias("least_ratio"), F.max("ratio").alias("most_ratio"))
     share = lambda c: F.try_divide(F.col(c), F.col("n_scored"))
     zero = lambda c: F.coalesce(c, F.lit(0.0))

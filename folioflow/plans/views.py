@@ -14,6 +14,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt over all cores if it comes in few partitions (a small file is one): for costly expressions on small inputs. Large inputs are not shuffled."""
+    cores = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 ORD = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity"]
 
 
@@ -69,7 +75,7 @@ CUSTOMS = """customs AS (SELECT page, ord, ['TextRegion', 'GraphicRegion', 'Sepa
 
 def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, line, g (a line's ASCII), o (what a recogniser might read). g is short by the view's definition: edit distance is quadratic."""
-    df = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    df = spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
     g = F.substring(F.regexp_replace("t", "[^ -~]", ""), 1, 200)
     df = df.select("doc_id", "line", g.alias("g"))
     n = F.length("g")
