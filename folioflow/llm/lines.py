@@ -3,8 +3,8 @@
 DataFrame expressions only. Each page sends a 96-bit fingerprint of each of its distinct lines, never the text; counts
 are added up before and after the shuffle, so a hot host or a line on every page costs one row for each task. A host's
 boilerplate lines number at most (lines of its pages) / (ratio * pages), so their list for a host is short whatever
-the host's size; the lists join the pages by host, and Spark broadcasts them only when they measure below its
-threshold (beyond it, the join is by host, and its adaptive skew join splits hot hosts).
+the host's size; the lists join the pages by host. They are counted first and broadcast only while they are small,
+so texts are not shuffled; beyond that the join is by host, and Spark's adaptive skew join splits hot hosts.
 
 Defined cases: a null text stays null and an empty one empty; lines without a word are kept and never counted; a null
 host is a host of its own; hosts with fewer than `min_pages` pages lose nothing; a line must be on `min_pages` pages;
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, small, staged
 
 
 def fingerprint(line: Column) -> Column:
@@ -36,7 +36,7 @@ def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio
 
 def line_dedup(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.08, min_pages: int = 5) -> DataFrame:
     """docs with its texts freed of boilerplate lines; columns and rows stay."""
-    drop = boilerplate(docs, host, text, ratio, min_pages)
+    drop = small(staged(boilerplate(docs, host, text, ratio, min_pages), "boilerplate"), 4096)
     met = docs.join(drop, F.col(f"`{host}`").eqNullSafe(F.col("__host")), "left")
     keep = F.filter(F.split(F.col(f"`{text}`"), "\n"), lambda x: ~F.coalesce(F.array_contains("__lines", fingerprint(x)), F.lit(False)))
     clean = F.when(F.col("__lines").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(keep, "\n"))
