@@ -124,7 +124,8 @@ def fit(rows: list[tuple[str, int]], rounds: int = 40, penalty: float = 0.05) ->
     y = np.array([label for _, label in rows], dtype=float)
     if not len(y) or y.min() == y.max():
         return Model(prior=float(y.mean()) if len(y) else 0.0)
-    tokens = [[form(t) for t in TOKEN.findall(text)] for text, _ in rows]
+    forms_of: dict[str, str] = {}  # equal tokens share one string: the sample has millions
+    tokens = [[forms_of.setdefault(t, form(t)) for t in TOKEN.findall(text)] for text, _ in rows]
     # near copies would make their own words look toxic: of texts that share their least hash of 5 words, one is learnt from
     least = [min(zlib.crc32(" ".join(ts[i : i + 5]).encode()) for i in range(max(1, len(ts) - 4))) for ts in tokens]
     once = list({(k, label): i for i, (k, label) in reversed(list(enumerate(zip(least, y, strict=True))))}.values())[::-1]
