@@ -33,27 +33,67 @@ def iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(A.pairs(*_sides(spark, sf_dir), ["page", "label"]))
 
 
-@query("layout_match")
+def _matched(by: list[str], threshold: float) -> str:
+    """Greedy matching as a walk over each key's ranked pairs: wk carries the places taken on both sides."""
+    keys = ", ".join(by)
+    of = lambda t: ", ".join(f"{t}.{k}" for k in by)
+    same = lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in by)
+    free = "list_contains(w.ps, r.p) OR list_contains(w.gs, r.g)"
+    return f"""WITH RECURSIVE {_BOTH}, pr AS (SELECT {keys}, p, g, it / (a1 + a2 - it) AS iou FROM (SELECT {of("p")}, p.ord AS p, g.ord AS g,
+ (least(p.maxx, g.maxx) - greatest(p.minx, g.minx))::DOUBLE * (least(p.maxy, g.maxy) - greatest(p.miny, g.miny)) AS it, (p.maxx - p.minx)::DOUBLE * (p.maxy - p.miny) AS a1, (g.maxx - g.minx)::DOUBLE * (g.maxy - g.miny) AS a2
+ FROM predicted p JOIN regions g ON {same("p", "g")} AND p.minx < g.maxx AND g.minx < p.maxx AND p.miny < g.maxy AND g.miny < p.maxy)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY iou DESC, p, g) AS k FROM pr WHERE iou >= {threshold}::DOUBLE),
+wk AS (SELECT {keys}, 0::BIGINT AS k, []::INT[] AS ps, []::INT[] AS gs FROM (SELECT DISTINCT {keys} FROM rk)
+ UNION ALL SELECT {of("w")}, r.k, CASE WHEN {free} THEN w.ps ELSE list_append(w.ps, r.p) END, CASE WHEN {free} THEN w.gs ELSE list_append(w.gs, r.g) END FROM wk w JOIN rk r ON {same("w", "r")} AND r.k = w.k + 1),
+hit AS (SELECT {keys}, arg_max(ps, k) AS ps, arg_max(gs, k) AS gs FROM wk GROUP BY {keys}),
+"""
+
+
+_RATE = """CASE WHEN tp + fp = 0 THEN 1 ELSE tp::DOUBLE / (tp + fp) END AS precision, CASE WHEN n_gt = 0 THEN 1 ELSE tp::DOUBLE / n_gt END AS recall"""
+_F1 = "CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END AS f1"
+
+
+def _counted(by: list[str], threshold: float) -> str:
+    keys = ", ".join(by)
+    return f"""{_matched(by, threshold)} sz AS (SELECT {keys}, sum(np)::BIGINT AS np, sum(ng)::BIGINT AS ng FROM (SELECT {keys}, 1 AS np, 0 AS ng FROM predicted UNION ALL SELECT {keys}, 0, 1 FROM regions) GROUP BY {keys}),
+ct AS (SELECT {keys}, coalesce(len(ps), 0)::BIGINT AS tp, np - coalesce(len(ps), 0)::BIGINT AS fp, ng - coalesce(len(ps), 0)::BIGINT AS fn, ng AS n_gt FROM sz LEFT JOIN hit USING ({keys})),
+rt AS (SELECT *, {_F1} FROM (SELECT *, {_RATE} FROM ct))"""
+
+
+def _sums(more: str) -> str:
+    return f"{more}sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, sum(n_gt)::BIGINT AS n_gt"
+
+
+_EVERY = f"al AS (SELECT page, NULL::INT AS label, {_sums('')} FROM ct GROUP BY page)"
+_MICRO = "SELECT * EXCLUDE (precision, recall), round(precision, 6) AS micro_precision, round(recall, 6) AS micro_recall, round(CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END, 6) AS micro_f1 FROM (SELECT *, " + _RATE + " FROM sm)"
+_RATES = ("precision", "recall", "f1")
+_LAYOUT = ", ".join(f"round(avg({m}), 6) AS {m}_mean, round(median({m}), 6) AS {m}_median, round(stddev_pop({m}), 6) AS {m}_std" for m in _RATES)
+_LINES = ", ".join(f"round(avg({m}), 6) AS {m}_mean, round(quantile_disc({m}, 0.5), 6) AS {m}_median, round(stddev_samp({m}), 6) AS {m}_std, round(min({m}), 6) AS {m}_min, round(max({m}), 6) AS {m}_max" for m in _RATES)
+
+
+@query("layout_match", f"{_counted(['page', 'label'], 0.5)}, {_EVERY} SELECT * FROM rt UNION ALL SELECT *, {_F1} FROM (SELECT *, {_RATE} FROM al)")
 def layout_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.compared(*_sides(spark, sf_dir), 0.5)
 
 
-@query("layout_summary")
+@query("layout_summary", f"{_counted(['page', 'label'], 0.5)}, sm AS (SELECT label, {_LAYOUT}, {_sums('')} FROM rt GROUP BY label) {_MICRO}")
 def layout_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(A.summary(A.compared(*_sides(spark, sf_dir), 0.5).where("label is not null"), ["label"]))
 
 
-@query("textline_match")
+@query("textline_match", f"{_counted(['page'], 0.7)} SELECT * FROM rt")
 def textline_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.counted(*_sides(spark, sf_dir), ["page"], 0.7)
 
 
-@query("textline_summary")
+@query("textline_summary", f"{_counted(['page'], 0.7)}, sm AS (SELECT {_LINES}, {_sums('')} FROM rt) {_MICRO}")
 def textline_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(A.line_summary(A.counted(*_sides(spark, sf_dir), ["page"], 0.7)))
 
 
-@query("textline_alignment")
+@query("textline_alignment", f"""{_matched(["page"], 0)} mt AS (SELECT page, unnest(ps) AS p, unnest(gs) AS g FROM hit)
+SELECT a.page, a.ord AS p, mt.g FROM predicted a LEFT JOIN mt ON a.page = mt.page AND a.ord = mt.p
+UNION ALL SELECT b.page, NULL, b.ord FROM regions b WHERE NOT EXISTS (SELECT 1 FROM mt WHERE mt.page = b.page AND mt.g = b.ord)""")
 def textline_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.aligned(*_sides(spark, sf_dir), ["page"])
 
