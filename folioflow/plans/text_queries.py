@@ -86,7 +86,7 @@ def text_export_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.line_rows(_talk(spark, sf_dir))
 
 
-@query("text_export_json")
+@query("text_export_json", W + _TALK + ", rg AS (SELECT page, region, class, list(text ORDER BY position, text) AS t FROM talk WHERE length(text) > 0 GROUP BY page, region, class) SELECT page, to_json(list({'class': class, 'text': t} ORDER BY region, class, t))::VARCHAR AS json FROM rg GROUP BY page")
 def text_export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.page_json(_talk(spark, sf_dir))
 
