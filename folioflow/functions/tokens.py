@@ -52,6 +52,11 @@ def detokenise(ids: Column, letters: list[str], specials: bool = False) -> Colum
     return F.array_join(F.transform(shown, lambda i: F.get(table, i)), "")
 
 
+def extended(known: Column, more: Column) -> Column:
+    """known and the letters of more that it lacks, each once, in the order in which they come."""
+    return F.array_distinct(F.concat(known, more))
+
+
 def replaced(text: Column, by: dict[str, str]) -> Column:
     """Substrings replaced one after the other, in the order given."""
     for old, new in by.items():

@@ -68,6 +68,15 @@ def aligned(pred: DataFrame, truth: DataFrame, by: list[str]) -> DataFrame:
     return a.select(*by, "p", "g").unionByName(b.select(*by, F.lit(None).cast("int").alias("p"), "g"))
 
 
+def matched_texts(pred: DataFrame, truth: DataFrame, by: list[str]) -> DataFrame:
+    """by, truth, read: the texts of aligned lines; a line without a partner meets the empty text. Both sides: by, ord, box, text."""
+    m = aligned(pred, truth, by)
+    read = pred.select(*by, F.col("ord").alias("p"), F.col("text").alias("read"))
+    said = truth.select(*by, F.col("ord").alias("g"), F.col("text").alias("truth"))
+    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return m.join(read, [*by, "p"], "left").join(said, [*by, "g"], "left").select(*by, text("truth"), text("read"))
+
+
 def summary(scores: DataFrame, by: list[str]) -> DataFrame:
     """Over pages: mean, middle (between the two middle ones) and population deviation of each rate, and the rates of the sums."""
     out = []

@@ -12,7 +12,7 @@ Rows = list[dict]
 
 def per_key(df: DataFrame, key: list[str], order: list, helper: Callable[[Rows], Rows], schema: str) -> DataFrame:
     """helper(rows of one key, in order) for every key. Rows of a key share a partition; keys are small by nature (a page's regions or lines)."""
-    cols, want = df.columns, [x.strip().split()[0] for x in schema.split(",")]
+    cols = df.columns
     at = [cols.index(k) for k in key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,5 +41,7 @@ def per_key(df: DataFrame, key: list[str], order: list, helper: Callable[[Rows],
 
     kind = _parse_datatype_string(schema)
     assert isinstance(kind, StructType)
-    arrow = to_arrow_schema(kind)
-    return df.repartition(*key).sortWithinPartitions(*key, *order).mapInArrow(run, schema)
+    arrow, want = to_arrow_schema(kind), kind.names
+    # a stated number of partitions: small rows with costly work are not gathered into one task
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *key).sortWithinPartitions(*key, *order).mapInArrow(run, schema)

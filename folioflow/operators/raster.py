@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..schema import PADDING_LABEL
 
 def padding(d: Column, size: int, factor: float = 1.0) -> Column:
     """Pixels to add to an axis of length d for tiles of `size` at steps of size // factor."""
@@ -64,17 +65,28 @@ def fill_polygon(raster: np.ndarray, points: np.ndarray, value: int) -> None:
             raster[y, max(0, int(np.ceil(a))) : max(0, min(w, int(np.floor(b)) + 1))] = value
 
 
-def drawn(pages: DataFrame) -> DataFrame:
-    """page, width, height, raster: a byte for each pixel. pages: page, width, height, shapes array<struct<label, points>> in drawing order."""
+def drawn(pages: DataFrame, border: bool = False) -> DataFrame:
+    """page, width, height, raster: a byte for each pixel. pages: page, width, height, shapes array<struct<label, points>> in drawing order.
+
+    With border, pixels outside the convex hull of all shapes, widened by 2 % of the page's shorter side, get the padding
+    label, and shapes of label 0 are drawn again over it.
+    """
+    from .shapes import beyond_hull, hull
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for w, h, shapes in zip(b.column("width").to_pylist(), b.column("height").to_pylist(), b.column("shapes").to_pylist(), strict=True):
                 img = np.zeros((h, w), np.uint8)
-                for s in shapes or []:
-                    if len(s["points"]) > 2:
-                        fill_polygon(img, np.array([[p["x"], p["y"]] for p in s["points"]]), s["label"])
+                some = [(s["label"], np.array([[p["x"], p["y"]] for p in s["points"]])) for s in shapes or [] if len(s["points"]) > 2]
+                for label, points in some:
+                    fill_polygon(img, points, label)
+                counted = [points for label, points in some if label]
+                if border and counted:
+                    img[beyond_hull(img.shape, hull(np.vstack(counted)), int(0.02 * min(w, h)))] = PADDING_LABEL
+                    for label, points in some:
+                        if not label:
+                            fill_polygon(img, points, 0)
                 out.append(img.tobytes())
             yield pa.RecordBatch.from_arrays([b.column("page"), b.column("width"), b.column("height"), pa.array(out, pa.binary())], names=["page", "width", "height", "raster"])
 

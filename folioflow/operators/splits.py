@@ -60,3 +60,9 @@ def write_splits(df: DataFrame, path: str) -> None:
 def log_work(results: DataFrame, path: str) -> None:
     """Appends (stage, page_id, status, error) rows to the work log."""
     results.select("stage", "page_id", "status", "error").write.mode("append").parquet(path)
+
+
+def mismatched(images: DataFrame, targets: DataFrame, key: str) -> DataFrame:
+    """key, width, height, target_width, target_height of the pairs whose sizes differ. Both sides: key, width, height."""
+    other = targets.select(key, F.col("width").alias("target_width"), F.col("height").alias("target_height"))
+    return images.select(key, "width", "height").join(other, key).where("width <> target_width or height <> target_height")

@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import evaluation_queries, geometry_queries, text_queries  # noqa: F401  they register themselves
+    from . import evaluation_queries, geometry_queries, shape_queries, text_queries  # noqa: F401  they register themselves
 
 
 def queries() -> dict[str, Query]:

@@ -84,6 +84,16 @@ def read_hlna(spark: SparkSession, path: str) -> DataFrame:
     return df.select("page_id", "width", "height", F.col("x.r._id").alias("region_id"), "ord", F.col("x.class").alias("class"), F.transform("x.r.Coords.Point", lambda p: F.struct(p["_x"].alias("x"), p["_y"].alias("y"))).alias("points"))
 
 
+def predicted_lines(lines: DataFrame) -> DataFrame:
+    """lines as page_xml takes them, with ids "<region>_tl_<i>" by position: they take the place of a region's own lines. lines: page_id, region_id, position, points, baseline."""
+    return lines.select("page_id", "region_id", F.format_string("%s_tl_%d", "region_id", "position").alias("line_id"), "position", "points", "baseline", F.lit(None).cast("string").alias("text"))
+
+
+def reordered(regions: DataFrame, order: DataFrame) -> DataFrame:
+    """regions with the position that order (page_id, region_id, position) gives them; regions outside the order are lost."""
+    return regions.drop("position").join(order.select("page_id", "region_id", "position"), ["page_id", "region_id"])
+
+
 def _escaped(s: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         s = F.replace(s, F.lit(a), F.lit(b))
