@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +21,19 @@ from .paged import Rows, per_key
 POINT = "struct<x:double,y:double>"
 
 
-def _array(points: list[dict]) -> np.ndarray:
-    return np.array([(p["x"], p["y"]) for p in points], dtype=float).reshape(-1, 2)
+def _arrays(column: pa.Array) -> list[np.ndarray]:
+    """Each row's points as (x, y) rows; none for null."""
+    x, y = column.flatten().flatten()
+    flat = np.stack([x.to_numpy(zero_copy_only=False), y.to_numpy(zero_copy_only=False)], axis=1).astype(float)
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return np.split(flat, np.cumsum(sizes)[:-1]) if len(sizes) else []
+
+
+def _column(rows: list[np.ndarray | None]) -> pa.Array:
+    flat = np.concatenate([np.zeros((0, 2)), *[r for r in rows if r is not None]])
+    ends = np.cumsum([0, *(0 if r is None else len(r) for r in rows)])
+    xy = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["x", "y"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), xy, mask=pa.array([r is None for r in rows], pa.bool_()))
 
 
 def _points(a: np.ndarray) -> list[dict]:
@@ -69,14 +81,15 @@ def areas(a: np.ndarray, b: np.ndarray) -> tuple[float, float, float]:
 
 def polygon_pairs(pred: DataFrame, truth: DataFrame, by: list[str]) -> DataFrame:
     """by, p (ord of pred), g (ord of truth), iou > 0 of the polygons in `points`. Pairs whose boxes do not overlap never become rows."""
-    side = lambda df, s: df.where(F.size("points") > 2).select(*by, F.col("ord").alias(s), F.col("points").alias(f"{s}_points"), *[v.alias(f"{s}_{k}") for k, v in bbox(F.col("points")).items()])
+    parts = int(pred.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the join's own shuffle, but never gathered into few tasks
+    side = lambda df, s: df.where(F.size("points") > 2).repartition(parts, *by).select(*by, F.col("ord").alias(s), F.col("points").alias(f"{s}_points"), *[v.alias(f"{s}_{k}") for k, v in bbox(F.col("points")).items()])
     near = (F.col("p_minx") < F.col("g_maxx")) & (F.col("g_minx") < F.col("p_maxx")) & (F.col("p_miny") < F.col("g_maxy")) & (F.col("g_miny") < F.col("p_maxy"))
     met = side(pred, "p").join(side(truth, "g"), by).where(near).drop(*[f"{s}_{c}" for s in "pg" for c in BOX])
     keys = [*by, "p", "g"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [areas(_array(x), _array(y)) for x, y in zip(b.column("p_points").to_pylist(), b.column("g_points").to_pylist(), strict=True)]
+            found = [areas(x, y) for x, y in zip(_arrays(b.column("p_points")), _arrays(b.column("g_points")), strict=True)]
             iou = [c / (x + y - c) if c > 0 else 0.0 for x, y, c in found]
             yield b.select(keys).append_column("iou", pa.array(iou, pa.float64()))
 
@@ -153,13 +166,10 @@ def split_lines(lines: DataFrame, keep: list[str]) -> DataFrame:
     kinds = dict(lines.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
         for b in batches:
-            out = []
-            for points, base in zip(b.column("points").to_pylist(), b.column("baseline").to_pylist(), strict=True):
-                parts = split_at(_array(points), _array(base)) if points and len(points) > 2 and base and len(base) > 1 else None
-                out.append([_points(x) for x in parts] if parts else [None, None])
-            yield b.select(keep).append_column("ascender", pa.array([x[0] for x in out], kind)).append_column("descender", pa.array([x[1] for x in out], kind))
+            met = zip(_arrays(b.column("points")), _arrays(b.column("baseline")), strict=True)
+            parts = [(split_at(p, l) if len(p) > 2 and len(l) > 1 else None) or (None, None) for p, l in met]
+            yield b.select(keep).append_column("ascender", _column([x[0] for x in parts])).append_column("descender", _column([x[1] for x in parts]))
 
     return lines.select(*keep, "points", "baseline").mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keep) + f", ascender array<{POINT}>, descender array<{POINT}>")
 
@@ -298,10 +308,7 @@ def _shapes(rasters: DataFrame, helper) -> DataFrame:
                 parts: dict[int, int] = {}
                 no = [parts.__setitem__(k, parts.get(k, -1) + 1) or parts[k] for k, _ in found]
                 ends = np.array([[*p.min(axis=0), *p.max(axis=0)] for _, p in found], dtype=float).reshape(-1, 4)
-                flat = np.concatenate([p for _, p in found]).astype(float) if found else np.zeros((0, 2))
-                xy = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["x", "y"])
-                points = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(p) for _, p in found)]), pa.int32()), xy)
-                cols = [pa.array([b.column("page")[i].as_py()] * len(found), b.schema.field("page").type), pa.array([k for k, _ in found], pa.int32()), pa.array(no, pa.int32()), points]
+                cols = [pa.array([b.column("page")[i].as_py()] * len(found), b.schema.field("page").type), pa.array([k for k, _ in found], pa.int32()), pa.array(no, pa.int32()), _column([p for _, p in found])]
                 yield pa.RecordBatch.from_arrays([*cols, *[pa.array(ends[:, c]) for c in range(4)]], names=names)
 
     return rasters.select("page", "width", "height", "raster").mapInArrow(run, schema)
