@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..schema import SPECIALS
 
 PAD, START, NAN, END = range(4)
+#: The reference's production vocabulary: code points below UNICODE, these custom characters beyond them, in its order, and the length its model takes.
+UNICODE, MAX_LENGTH = 128, 512
+CUSTOM = list("\xe4\xfc\xf6\u2014\u201e\u201d\xa3\xe8\u201c\xb4\xe9\xdf\xe0\u2019\xa7\u017f\ua75b\xb0\xbb\xab\xc9\x8d\xc4\xdc\xd6\u2020\xe1\x90\u204a\xeb\xf4\u201a\u201b\u0364\xe7\xe2\u2018\u03bf\u03b1\xfb\xea\u2606\u2670\xee\u0391\u03b9\u2039\u03c3\u03c4\xf3\u0395\u039c\xf1\u03c1\u039a\x8f\u201f\xe6")
 
 
 def alphabet(length: int, custom: list[str] | None = None) -> list[str]:

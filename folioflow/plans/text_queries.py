@@ -62,6 +62,26 @@ def detokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", "line", T.detokenise(ids, T.alphabet(100, ["q", "z"])).alias("text"))
 
 
+_EXTRA = ", ".join(f"chr({ord(c)})" for c in T.CUSTOM)
+_WHOLE_IDS = f"list_transform(string_split(g, ''), lambda c: CASE WHEN unicode(c) < {T.UNICODE} THEN unicode(c) + 4 ELSE coalesce(nullif(list_position([{_EXTRA}], c), 0) + {T.UNICODE + 3}, 2) END)"
+
+
+@query("tokenize_whole", W + V.WHOLE_LINES + f", i AS (SELECT doc_id, line, list_concat([1], CASE WHEN g = '' THEN [] ELSE {_WHOLE_IDS} END, [3]) AS ids FROM tl) SELECT doc_id, line, array_to_string(ids, ' ') AS ids, array_to_string(ids[1:{T.MAX_LENGTH}], ' ') AS model_ids FROM i")
+def tokenize_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every character of every line in the reference's vocabulary; model_ids are the ids that fit its model."""
+    df = V.whole_lines(spark, sf_dir).select("doc_id", "line", T.tokenise(F.col("g"), T.UNICODE, T.CUSTOM).cast("array<string>").alias("ids"))
+    return df.select("doc_id", "line", F.array_join("ids", " ").alias("ids"), F.array_join(F.slice("ids", 1, T.MAX_LENGTH), " ").alias("model_ids"))
+
+
+_OUTSIDE = rf"[^\x{{0}}-\x{{{T.UNICODE - 1:x}}}{''.join(rf'\x{{{ord(c):x}}}' for c in T.CUSTOM)}]"
+
+
+@query("detokenize_whole", W + V.WHOLE_LINES + f" SELECT doc_id, line, regexp_replace(g, '{_OUTSIDE}', '', 'g') AS text FROM tl")
+def detokenize_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = T.tokenise(F.col("g"), T.UNICODE, T.CUSTOM)
+    return V.whole_lines(spark, sf_dir).select("doc_id", "line", T.detokenise(ids, T.alphabet(T.UNICODE, T.CUSTOM)).alias("text"))
+
+
 def _talk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as regions, their turns as lines; the reading order runs backwards."""
     df = V.read(spark, sf_dir, "conversations")
