@@ -128,6 +128,47 @@ def replace_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.replace_text(tl.drop("o"), res).select("page", "line_id", "text")
 
 
+@query("vocabulary_whole", W + V.WHOLE_LINES + """, c AS (SELECT doc_id, line, i, g[i] AS char FROM (SELECT doc_id, line, g, unnest(range(1, length(g) + 1)) AS i FROM tl))
+SELECT char, n, (row_number() OVER (ORDER BY first))::INT AS rank FROM (SELECT char, count(*) AS n, min((doc_id, line, i)) AS first FROM c GROUP BY char)""")
+def vocabulary_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.vocabulary(V.whole_lines(spark, sf_dir), "g", ["doc_id", "line"])
+
+
+@query("attach_text_whole", W + V.WHOLE_LINES + ", " + _RES + " SELECT tl.doc_id AS page, tl.line AS line_id, trim(r.o) AS text FROM tl LEFT JOIN res r ON tl.doc_id = r.doc_id AND tl.line = r.line")
+def attach_text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tl = V.whole_lines(spark, sf_dir).select(F.col("doc_id").alias("page"), F.col("line").alias("line_id"), F.col("g").alias("text"), "o")
+    res = tl.where("line_id % 3 <> 0").select("page", "line_id", F.lit(0).alias("ord"), F.col("o").alias("text"))
+    return X.attach_by_id(tl.drop("o"), res).select("page", "line_id", "text")
+
+
+@query("replace_text_whole", W + V.WHOLE_LINES + ", " + _RES + " SELECT tl.doc_id AS page, tl.line AS line_id, CASE WHEN length(r.o) > 0 THEN r.o ELSE tl.g END AS text FROM tl LEFT JOIN res r ON tl.doc_id = r.doc_id AND tl.line = r.line")
+def replace_text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tl = V.whole_lines(spark, sf_dir).select(F.col("doc_id").alias("page"), F.col("line").alias("line_id"), F.col("g").alias("text"), "o")
+    res = tl.where("line_id % 3 <> 0").select("page", "line_id", F.col("o").alias("text"))
+    return X.replace_text(tl.drop("o"), res).select("page", "line_id", "text")
+
+
+def _read_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.whole_lines(spark, sf_dir).withColumnsRenamed({"g": "truth", "o": "read"})
+
+
+# no SQL: DuckDB's edit distance counts bytes
+@query("ocr_cer_corpus_whole")
+def ocr_cer_corpus_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(M.error_rates(_read_whole(spark, sf_dir), []))
+
+
+@query("ocr_page_quality_whole")
+def ocr_page_quality_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(M.error_rates(_read_whole(spark, sf_dir), ["doc_id"]))
+
+
+@query("ocr_conf_filtered_whole")
+def ocr_conf_filtered_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _read_whole(spark, sf_dir)
+    return _rounded(M.error_rates(df.withColumn("used", M.confident((F.col("line") % 10) / 10.0, 0.4)), []))
+
+
 @query("path_stem", "SELECT page_id, regexp_replace(string_split(string_split(url, '?')[1], '/')[-1], '(.*)....$', '\\1') AS stem, rtrim(url, '') AS url FROM pages WHERE length(string_split(string_split(url, '?')[1], '/')[-1]) >= 4")
 def path_stem(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.substring_index("url", "?", 1)

@@ -1,5 +1,7 @@
 """Queries over whole texts: nothing of a line is cut or left out."""
 
+from collections import Counter
+
 import pytest
 
 from folioflow.functions import tokens as T
@@ -26,3 +28,38 @@ def test_every_character_gets_its_id(spark, texts):
     assert [list(map(int, x.split())) for x in lines(spark, "tokenize_whole", texts, "model_ids")] == [x[:512] for x in want]
     assert len(want[0]) == 722 and 2 not in want[0]
     assert lines(spark, "detokenize_whole", texts, "text") == ["".join(c for c in x if c in at) for x in LINES]
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        last, row = row, [i + 1]
+        for j, y in enumerate(b):
+            row.append(min(last[j] + (x != y), last[j + 1] + 1, row[j] + 1))
+    return row[-1]
+
+
+def read(g):
+    return g.translate(str.maketrans("eis", "cl5")) if len(g) % 3 == 0 else g[:-1] if len(g) % 5 == 0 else g
+
+
+def test_every_character_is_counted(spark, texts):
+    got = {r.char: r.n for r in registry.queries()["vocabulary_whole"](spark, texts).collect()}
+    assert got == Counter("".join(LINES) + "é")
+
+
+def test_texts_keep_their_letters(spark, texts):
+    for name, want in {"attach_text_whole": lambda i, g: read(g).strip(" ") if i % 3 else None, "replace_text_whole": lambda i, g: i % 3 and read(g) or g}.items():
+        got = {r.line_id: r.text for r in registry.queries()[name](spark, texts).where("page = 1").collect()}
+        assert got == {i: want(i, g) for i, g in enumerate(LINES)}
+
+
+def test_error_rates_of_whole_lines(spark, texts):
+    """Distances and lengths are in characters, not bytes."""
+    every = [(1, i, g) for i, g in enumerate(LINES)] + [(2, 0, "é")]
+    sums = lambda ls: (sum(distance(g, read(g)) for _, _, g in ls), sum(max(len(g), len(read(g))) for _, _, g in ls))
+    run = lambda name: registry.queries()[name](spark, texts).collect()
+    assert [(r.distance, r.length) for r in run("ocr_cer_corpus_whole")] == [sums(every)]
+    pages = {r.doc_id: (r.distance, r.length) for r in run("ocr_page_quality_whole")}
+    assert all(pages[d] == sums([x for x in every if x[0] == d]) for d in (1, 2))
+    assert [(r.distance, r.length) for r in run("ocr_conf_filtered_whole")] == [sums([x for x in every if x[1] % 10 >= 4])]
