@@ -8,9 +8,10 @@ around the similarity as with independent hashes. Rounds run for all unfinished
 
 Documents with equal sets are merged first: one row of each class goes on, and no copies are paired. Bands of ROWS
 coordinates propose pairs; a pair of similarity 0.8 escapes all 56 bands with probability 4e-8. Linking in two steps:
-first every member is compared with the first member of a bucket, of the one that shares most buckets with it; then, in
-each bucket that still holds several components, every member with all members of other components that its sketch does
-not rule out. Pairs inside a component are not compared, they cannot change it, and the second step's pairs are never
+first every member is compared with the first member of a bucket, of the one that shares most buckets with it (again
+with the first of the members left over, while large buckets have many and this links them); then, in each bucket that
+still holds several components, every member outside the largest of them with all members of other components that its
+sketch does not rule out, in blocks of bounded members and bytes on both sides. Pairs inside a component are not compared, they cannot change it, and the second step's pairs are never
 made rows. Every comparison counts the common shingles of the two whole texts.
 
 Defined cases: null and wordless texts have empty sets, stand alone and are kept; fewer words than `width` make one
@@ -36,6 +37,8 @@ COORDS = BANDS * ROWS
 #: fall below the similarity: 5.5 standard deviations at 0.8, so a link escapes with a probability of 2e-8.
 MARKS, SLACK = COORDS, 0.12
 BLOCK = 1024
+#: Bytes of sets in a block.
+BLOCK_BYTES = 16_000_000
 U = np.uint64
 
 
@@ -148,42 +151,78 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, doc_i
     return met.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def _blocks(rows: DataFrame, size: Column) -> DataFrame:
+    """key, main, xs, ys for each bucket of several components: the component with most members, and in how many blocks of at most about BLOCK members and BLOCK_BYTES the members outside it and all members go.
+
+    rows: key, component and what `size` needs, the bytes that a comparison holds for a member.
+    """
+    parts = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("size"))
+    sums = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "size", "component")).alias("m")).where("parts > 1")
+
+    def number(n: Column, size: Column) -> Column:
+        return F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
+
+    return sums.select("key", F.col("m.component").alias("main"), number(F.col("n") - F.col("m.n"), F.col("size") - F.col("m.size")).alias("xs"), number(F.col("n"), F.col("size")).alias("ys"))
+
+
 def _in_buckets(rows: DataFrame, carried: str, compare: Callable[..., pa.Table], out: str) -> DataFrame:
-    """compare(x, y) for each bucket with itself, or for each block of a bucket of more than BLOCK members with all of them.
+    """compare(x, y) for each bucket with itself, or, in a bucket of several blocks, for each block of members outside its main component with each block of all members.
 
-    rows: key, n (members), and the columns of `carried`; x's have the prefix x_. Only large buckets are sent twice.
+    rows: key, main, xs, ys (see _blocks) and the columns of `carried`, component among them; x's have the prefix x_.
+    Members of the main component need no comparison with each other, so no pair of components is missed, and a task
+    holds two blocks whatever the size of the bucket.
     """
     names = [c.split()[0] for c in carried.split(", ")]
-    blocks = (F.col("n") / BLOCK).cast("int") + 1
 
     def alone(t: pa.Table) -> pa.Table:
         return compare(t.rename_columns([f"x_{c}" for c in t.column_names]), t)
 
-    once = rows.where(F.col("n") < BLOCK).select("key", *names).groupBy("key").applyInArrow(alone, out)
-    large = rows.where(F.col("n") >= BLOCK)
-    own = large.select(F.col("key").alias("x_key"), F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("x_block"), *[F.col(c).alias(f"x_{c}") for c in names])
-    whole = large.select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), *names)
-    return once.unionByName(own.groupBy("x_key", "x_block").cogroup(whole.groupBy("key", "block")).applyInArrow(compare, out))
+    once = rows.where("ys = 1").select("key", *names).groupBy("key").applyInArrow(alone, out)
+    large = rows.where("ys > 1")
+
+    def block(n: str) -> Column:
+        return F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+
+    def all_of(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    x = large.where("component <> main").select(F.col("key").alias("x_key"), block("xs").alias("x_block"), all_of("ys").alias("x_other"), *[F.col(c).alias(f"x_{c}") for c in names])
+    y = large.select("key", all_of("xs").alias("other"), block("ys").alias("block"), *names)
+    return once.unionByName(x.groupBy("x_key", "x_block", "x_other").cogroup(y.groupBy("key", "other", "block")).applyInArrow(compare, out))
 
 
 def _columns(t: pa.Table, prefix: str) -> list[np.ndarray]:
     return [t.column(prefix + c).to_numpy() for c in ("doc_id", "n_shingles", "component")]
 
 
-def suspects(held: DataFrame, firsts: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+def mixed(held: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of `held` in buckets of several components, with their component; and these buckets' blocks. Both are written."""
+    at = held.join(comp.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    some = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    rows = staged(at.select("key", "band", "doc_id", "n_shingles", "component").join(some, "key"), "mixed")
+    return rows, staged(_blocks(rows, F.lit(MARKS + 2 * BANDS)), "blocks")
+
+
+def further(rows: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
+    """a, b: the star step again, in buckets with more than a block of members outside the main component: these with the first of them, each member once."""
+    out = rows.join(blocks.where("xs > 1").select("key", "main"), "key").where("component <> main")
+    hubs = out.groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles", "component")).alias("h")).select("key", F.col("h.doc_id").alias("a"), F.col("h.n_shingles").alias("n_hub"), F.col("h.component").alias("c_hub"))
+    met = out.join(hubs, "key").where("component <> c_hub").where(100 * F.least("n_shingles", "n_hub") >= percent * F.greatest("n_shingles", "n_hub"))
+    best = met.groupBy("a", F.col("doc_id").alias("b")).agg(F.count(F.lit(1)).alias("n")).groupBy("b").agg(F.max(F.struct("n", F.negative("a").alias("a"))).alias("m"))
+    return best.select(F.negative("m.a").alias("a"), "b")
+
+
+def suspects(rows: DataFrame, blocks: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
     """key, doc_id, n_shingles, component: members with a partner of another component in the bucket that is alike in size and in its sketch's marks.
 
     Partners that share several buckets count in the first two of them only. Which buckets they share is told by tags,
     16 bits of each band's key: a partner would be missed if two tags before the first shared band agreed by chance,
     which has a probability of 1e-8.
     """
-    at = held.join(comp.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = at.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "n")
-    rows = staged(at.select("key", "band", "doc_id", "n_shingles", "component").join(mixed, "key"), "mixed")
     least = (percent / 100 - SLACK) * MARKS
 
     def compare(x: pa.Table, y: pa.Table) -> pa.Table:
-        found: list[int] = []
+        found, partners = [], np.zeros(y.num_rows, bool)
         if x.num_rows and y.num_rows:
             marks = [np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint8).reshape(-1, MARKS) for t, c in ((x, "x_marks"), (y, "marks"))]
             tags = [np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint16).reshape(-1, BANDS) for t, c in ((x, "x_tags"), (y, "tags"))]
@@ -194,17 +233,20 @@ def suspects(held: DataFrame, firsts: DataFrame, comp: DataFrame, percent: int)
                 if not len(some):
                     continue
                 some = some[(marks[1][some] == marks[0][i]).sum(axis=1) >= least]
-                if ((tags[1][some, :band] == tags[0][i, :band]).sum(axis=1) < 2).any():
+                some = some[(tags[1][some, :band] == tags[0][i, :band]).sum(axis=1) < 2]
+                if len(some):
                     found.append(i)
-        at = pa.array(found, pa.int64())
-        return pa.table({c: x.column(f"x_{c}").take(at) for c in ("key", "doc_id", "n_shingles", "component")})
+                    partners[some] = True
+        at, of = pa.array(found, pa.int64()), pa.array(np.flatnonzero(partners))
+        return pa.table({c: pa.chunked_array([*x.column(f"x_{c}").take(at).chunks, *y.column(c).take(of).chunks], pa.int64()) for c in ("key", "doc_id", "n_shingles", "component")})
 
-    return _in_buckets(rows.join(firsts.select("doc_id", "marks", "tags"), "doc_id"), "band int, doc_id long, n_shingles long, component long, marks binary, tags binary", compare, "key long, doc_id long, n_shingles long, component long")
+    met = rows.join(blocks, "key").join(firsts.select("doc_id", "marks", "tags"), "doc_id")
+    return _in_buckets(met, "band int, doc_id long, n_shingles long, component long, marks binary, tags binary", compare, "key long, doc_id long, n_shingles long, component long").distinct()
 
 
 def bucket_links(rows: DataFrame, docs: DataFrame, width: int, percent: int, doc_id: str, text: str) -> DataFrame:
     """a, b: links between components in a bucket, found on whole shingle sets; of links that join the same parts, one."""
-    n = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    blocks = _blocks(rows, 8 * F.col("n_shingles"))
     t = texts_of(docs, staged(rows.select(F.col("doc_id").alias("id")).distinct(), "suspect-ids"), doc_id, text)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +282,7 @@ def bucket_links(rows: DataFrame, docs: DataFrame, width: int, percent: int, doc
                         links.append((int(ids[i]), int(oid[j])))
         return pa.table({"a": pa.array([p[0] for p in links], pa.int64()), "b": pa.array([p[1] for p in links], pa.int64())})
 
-    met = rows.join(n, "key").join(t.mapInArrow(sets, "doc_id long, set binary"), "doc_id")
+    met = rows.join(blocks, "key").join(t.mapInArrow(sets, "doc_id long, set binary"), "doc_id")
     return _in_buckets(met, "doc_id long, n_shingles long, component long, set binary", compare, "a long, b long")
 
 
@@ -265,7 +307,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     best = star.groupBy("b").agg(F.max(F.struct("n", F.negative("a").alias("a"))).alias("m")).select(F.negative("m.a").alias("a"), "b")
     tried = staged(best, "tried")
     links = staged(confirmed(tried, docs, width, percent, doc_id, text), "links")
-    left = staged(suspects(held, firsts, components(links), percent), "suspects")
+    rows_of, blocks = mixed(held, components(links))
+    while tries := (pairs := staged(further(rows_of, blocks, percent), "tried-further")).count():
+        more = staged(confirmed(pairs, docs, width, percent, doc_id, text), "further-links")
+        links = staged(links.unionByName(more), "links")
+        done = 20 * more.count() < tries  # too few to be worth a round: what is left is compared in blocks
+        rows_of, blocks = mixed(rows_of.drop("component"), components(links))
+        if done:
+            break
+    left = staged(suspects(rows_of, blocks, firsts, percent), "suspects")
     links = links.unionByName(staged(bucket_links(left, docs, width, percent, doc_id, text), "more-links"))
     comp = components(links)
     of = classes.join(comp.select(F.col("id").alias("first"), "component"), "first", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "first").alias("component"))

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -346,6 +347,41 @@ def test_chains_and_blurs(spark):
     assert got[11][1] == 0
 
 
+def test_large_buckets_meet_in_blocks(spark, monkeypatch):
+    """Both sides of a comparison are bounded in members and bytes, and every two members of different components meet, except in the largest one."""
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 8000)
+    # key 1: 200 members, 150 of them of one component; key 2: few members with large sets
+    rows = [(1, i, 10, 0 if i < 150 else i) for i in range(200)] + [(2, 1000 + i, 500, 1000 + i % 5) for i in range(10)]
+    df = spark.createDataFrame(rows, "key long, doc_id long, n_shingles long, component long")
+
+    def compare(x, y):
+        pairs = [(a, b, x.num_rows, y.num_rows) for a in x.column("x_doc_id").to_pylist() for b in y.column("doc_id").to_pylist()]
+        return pa.table({k: pa.array([p[j] for p in pairs], pa.int64()) for j, k in enumerate("abxy")})
+
+    blocks = minhash._blocks(df, 8 * F.col("n_shingles"))
+    got = minhash._in_buckets(df.join(blocks, "key"), "doc_id long, n_shingles long, component long", compare, "a long, b long, x long, y long").collect()
+    met = {(min(r.a, r.b), max(r.a, r.b)) for r in got}
+    assert {(a, b) for k, a, _, c in rows for m, b, _, d in rows if k == m and a < b and c != d} <= met
+    assert not any(a < b < 150 for a, b in met)
+    assert max(r.x for r in got) <= 40 and max(r.y for r in got) <= 40
+    assert max(max(r.x, r.y) for r in got if r.a >= 1000) < 10
+
+
+def test_blurs_in_small_blocks(spark, monkeypatch):
+    """Many texts that share a long passage, some of them linked only through others, as by brute force."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    passage = [word() for _ in range(90)]
+    rows = [(i, " ".join(passage + [word() for _ in range(rng.choice([8, 12, 20]))])) for i in range(60)]
+    groups = [passage + [word() for _ in range(20)] for _ in range(3)]
+    rows += [(100 + i, " ".join([*groups[i % 3][:-1], word()])) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, 4).collect()}
+    assert got == brute_components(rows, 4)
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(5)
     a = np.unique(rng.integers(0, 2**63, 400).astype(np.uint64))
