@@ -79,3 +79,9 @@ def stem(path: Column, suffix: int = 4) -> Column:
     """File name without directories and its last characters."""
     name = F.substring_index(path, "/", -1)
     return F.substr(name, F.lit(1), F.length(name) - suffix)
+
+
+def short_stem(path: Column, suffix: int = 4) -> Column:
+    """As stem, and empty for names shorter than the suffix."""
+    name = F.substring_index(path, "/", -1)
+    return F.substr(name, F.lit(1), F.greatest(F.length(name) - suffix, F.lit(0)))

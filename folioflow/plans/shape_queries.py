@@ -144,3 +144,9 @@ def vocabulary_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = V.read(spark, sf_dir, "pages").where(F.col("url").rlike("^[ -~]+$"))
     known = F.array(*[F.lit(x) for x in "abc."])
     return df.select("page_id", F.array_join(T.extended(known, T.characters(F.col("url"))), "").alias("letters"))
+
+
+@query("vocabulary_extend_whole", "SELECT page_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '') AS letters FROM (SELECT page_id, list_concat(['a', 'b', 'c', '.'], string_split(url, '')) AS l FROM pages)")
+def vocabulary_extend_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = F.array(*[F.lit(x) for x in "abc."])
+    return V.read(spark, sf_dir, "pages").select("page_id", F.array_join(T.extended(known, T.characters(F.col("url"))), "").alias("letters"))

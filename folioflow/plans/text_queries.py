@@ -174,3 +174,9 @@ def path_stem(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.substring_index("url", "?", 1)
     df = V.read(spark, sf_dir, "pages").where(F.length(F.substring_index(path, "/", -1)) >= 4)
     return df.select("page_id", T.stem(path).alias("stem"), "url")
+
+
+@query("path_stem_whole", "SELECT page_id, n[1:greatest(length(n) - 4, 0)] AS stem, url FROM (SELECT page_id, url, string_split(string_split(url, '?')[1], '/')[-1] AS n FROM pages)")
+def path_stem_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page; names shorter than the suffix have an empty stem."""
+    return V.read(spark, sf_dir, "pages").select("page_id", T.short_stem(F.substring_index("url", "?", 1)).alias("stem"), "url")

@@ -63,3 +63,11 @@ def test_error_rates_of_whole_lines(spark, texts):
     pages = {r.doc_id: (r.distance, r.length) for r in run("ocr_page_quality_whole")}
     assert all(pages[d] == sums([x for x in every if x[0] == d]) for d in (1, 2))
     assert [(r.distance, r.length) for r in run("ocr_conf_filtered_whole")] == [sums([x for x in every if x[1] % 10 >= 4])]
+
+
+def test_every_page_comes_back(spark, tmp_path):
+    urls = ["http://a.org/x/page.htm?q=1", "http://a.org/x/", "http://a.org/7", "http://ä.org/straße.htm", "abc.", "http://a.org/.htm"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    run = lambda name: {r.page_id: r for r in registry.queries()[name](spark, str(tmp_path)).collect()}
+    assert {i: (r.stem, r.url) for i, r in run("path_stem_whole").items()} == {i: (u.split("?")[0].split("/")[-1][:-4], u) for i, u in enumerate(urls)}
+    assert {i: r.letters for i, r in run("vocabulary_extend_whole").items()} == {i: "".join(dict.fromkeys("abc." + u)) for i, u in enumerate(urls)}
