@@ -69,7 +69,7 @@ def best_fit_packing(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES,
     kind = docs.schema[doc_id].dataType.simpleString()
     size = F.size(words(F.coalesce(F.col(f"`{text}`"), F.lit("")))) + 1
     sized = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), size.alias("size"))
-    stretches = 1 + docs.count() // STRETCH
+    stretches = 1 + (sized.agg(F.sum(F.ceil(F.col("size") / top))).first()[0] or 0) // STRETCH
     pieces = sized.select("doc_id", "size", F.explode(F.sequence(F.lit(0), ((F.col("size") - 1) / top).cast("int"))).alias("piece"))
     pieces = pieces.select("doc_id", "piece", F.least(F.lit(top), F.col("size") - F.col("piece") * top).alias("n_tokens"), F.pmod(F.xxhash64("doc_id", "piece"), F.lit(stretches)).cast("int").alias("stretch"))
 

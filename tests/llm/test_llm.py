@@ -227,6 +227,13 @@ def test_packing(docs, none):
     assert packing.best_fit_packing(none, caps).count() == 0
 
 
+def test_long_texts_make_more_stretches(spark, monkeypatch):
+    monkeypatch.setattr(packing, "STRETCH", 50)
+    df = spark.createDataFrame([(i, "w " * 1000) for i in range(4)], "doc_id long, text string")
+    rows = packing.best_fit_packing(df, (5, 10)).collect()
+    assert len(rows) == 404 and max(Counter(r.stretch for r in rows).values()) <= 100
+
+
 def test_packing_picks_the_cheapest():
     cost, of, caps = packing.pack_stretch([60, 60, 60], (64, 128), 16)
     assert cost == min(3 * (64 + 16), 128 + 64 + 32) and sorted(caps) == sorted({224: [128, 64], 240: [64] * 3}[cost])
