@@ -136,5 +136,3 @@ def line_polygon(baseline: Column, up: Column, down: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct((F.get(baseline, i)["x"] + sign * F.cos(angle(i)) * height).alias("x"), (F.get(baseline, i)["y"] + sign * F.sin(angle(i)) * height).alias("y")))
 
     return F.when(n >= 2, F.concat(side(-1, up), F.reverse(side(1, down))))
-
-

@@ -50,6 +50,11 @@ def label_rank(label: Column) -> Column:
     return F.try_element_at(_map(LABEL_RANK), label)
 
 
+def draw_rank(label: Column) -> Column:
+    """In which order labels are drawn: as they first appear in the vocabulary; 0 for no label."""
+    return F.array_position(F.array(*[F.lit(v) for v in dict.fromkeys(LABELS.values()) if v]), label)
+
+
 def label_name(label: Column) -> Column:
     return F.when(label == 0, "UnknownRegion").otherwise(F.get(F.array(*[F.lit(x) for x in LABEL_NAMES]), label - 1))
 

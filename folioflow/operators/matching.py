@@ -7,7 +7,7 @@ sorted pairs inside the JVM.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import iou
@@ -77,19 +77,43 @@ def matched_texts(pred: DataFrame, truth: DataFrame, by: list[str]) -> DataFrame
     return m.join(read, [*by, "p"], "left").join(said, [*by, "g"], "left").select(*by, text("truth"), text("read"))
 
 
+def zipped(pred: DataFrame, truth: DataFrame, by: list[str]) -> DataFrame:
+    """by, place, p, g: the rows of both sides at equal places by ord; the longer side's rest has no partner and leaves."""
+    w = Window.partitionBy(*by).orderBy("ord")
+    side = lambda df, name: df.select(*by, (F.row_number().over(w) - 1).alias("place"), F.col("ord").alias(name))
+    return side(pred, "p").join(side(truth, "g"), [*by, "place"])
+
+
+def middle(df: DataFrame, by: list[str], values: list[str]) -> DataFrame:
+    """by, and <value>_lower and <value>_upper of each value: the two middle ones, equal for an odd number; nulls and NaN do not count.
+
+    Rows are counted by value first, so what is sorted for a key is its distinct values (fractions of a page's counts),
+    not its rows.
+    """
+    x = F.explode(F.array(*[F.struct(F.lit(c).alias("of"), F.col(c).cast("double").alias("v")) for c in values]))
+    n = df.select(*by, x.alias("x")).where(F.col("x.v").isNotNull() & ~F.isnan("x.v")).groupBy(*by, "x.of", "x.v").agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.partitionBy(*by, "of")
+    cum = n.withColumns({"__upto": F.sum("__n").over(w.orderBy("v")), "__every": F.sum("__n").over(w)})
+    lower, upper = 2 * F.col("__upto") >= F.col("__every"), 2 * F.col("__upto") > F.col("__every")
+    at = lambda c, far: F.min(F.when((F.col("of") == c) & far, F.col("v")))
+    return cum.groupBy(*by).agg(*[at(c, far).alias(f"{c}_{end}") for c in values for end, far in (("lower", lower), ("upper", upper))])
+
+
 def summary(scores: DataFrame, by: list[str]) -> DataFrame:
     """Over pages: mean, middle (between the two middle ones) and population deviation of each rate, and the rates of the sums."""
-    out = []
-    for m in ("precision", "recall", "f1"):
-        out += [F.avg(m).alias(f"{m}_mean"), F.median(m).alias(f"{m}_median"), F.stddev_pop(m).alias(f"{m}_std")]
+    names = ["precision", "recall", "f1"]
+    out = [f(m).alias(f"{m}_{end}") for m in names for end, f in (("mean", F.avg), ("std", F.stddev_pop))]
     sums = scores.groupBy(*by).agg(*out, *[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "n_gt")])
+    sums = sums.join(middle(scores, by, names), by, "left")
+    sums = sums.withColumns({f"{m}_median": (F.col(f"{m}_lower") + F.col(f"{m}_upper")) / 2 for m in names}).drop(*[f"{m}_{end}" for m in names for end in ("lower", "upper")])
     return sums.withColumns({f"micro_{k}": v for k, v in rates(F.col("tp"), F.col("tp") + F.col("fp"), F.col("n_gt")).items()})
 
 
 def line_summary(scores: DataFrame) -> DataFrame:
     """Over pages: mean, lower middle, sample deviation, least and most of each rate, and the rates of the sums."""
-    out = []
-    for m in ("precision", "recall", "f1"):
-        out += [F.avg(m).alias(f"{m}_mean"), F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {m})").alias(f"{m}_median"), F.stddev_samp(m).alias(f"{m}_std"), F.min(m).alias(f"{m}_min"), F.max(m).alias(f"{m}_max")]
-    sums = scores.agg(*out, *[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "n_gt")])
+    names = ["precision", "recall", "f1"]
+    out = [f(m).alias(f"{m}_{end}") for m in names for end, f in (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))]
+    sums = scores.agg(*out, *[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "n_gt")]).withColumn("every", F.lit(0))
+    lower = middle(scores.withColumn("every", F.lit(0)), ["every"], names)
+    sums = sums.join(lower.select("every", *[F.col(f"{m}_lower").alias(f"{m}_median") for m in names]), "every", "left").drop("every")
     return sums.withColumns({f"micro_{k}": v for k, v in rates(F.col("tp"), F.col("tp") + F.col("fp"), F.col("n_gt")).items()})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -27,10 +27,16 @@ def error_rates(lines: DataFrame, by: list[str]) -> DataFrame:
     e = line_errors(F.col("truth"), F.col("read"))
     used = F.col("used") if "used" in lines.columns else F.lit(True)
     scored = used & (e["length"] > 0)
-    # distance is used twice below, so Spark keeps it a column of its own and computes it once
     df = lines.select(*by, F.when(scored, e["distance"]).alias("distance"), F.when(scored, e["length"]).alias("length"))
-    df = df.withColumn("ratio", F.col("distance") / F.col("length"))
-    s = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_lines"), F.count("ratio").alias("n_scored"), F.sum("distance").alias("distance"), F.sum("length").alias("length"), F.sum("ratio").alias("rs"), F.median("ratio").alias("rm"), F.count_if(F.col("ratio") == 0).alias("n_correct"), F.count_if(F.col("ratio") > 0.1).alias("n_bad"), F.min("ratio").alias("least_ratio"), F.max("ratio").alias("most_ratio"))
+    # lines are counted by distance and length first: what is sorted for the middle is distinct pairs, not lines
+    n = df.groupBy(*by, "distance", "length").agg(F.count(F.lit(1)).alias("n")).withColumn("ratio", F.col("distance") / F.col("length"))
+    n = n.withColumn("n_scored", F.when(F.col("ratio").isNotNull(), F.col("n")).otherwise(0))
+    w = Window.partitionBy(*by)
+    n = n.withColumns({"upto": F.sum("n_scored").over(w.orderBy("ratio")), "every": F.sum("n_scored").over(w)})
+    middle = (F.min(F.when(2 * F.col("upto") >= F.col("every"), F.col("ratio"))) + F.min(F.when(2 * F.col("upto") > F.col("every"), F.col("ratio")))) / 2
+    total = lambda c: F.sum(F.col(c) * F.col("n"))
+    count = lambda c: F.coalesce(F.sum(F.when(c, F.col("n")).otherwise(0)), F.lit(0))
+    s = n.groupBy(*by).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_lines"), F.coalesce(F.sum("n_scored"), F.lit(0)).alias("n_scored"), total("distance").alias("distance"), total("length").alias("length"), total("ratio").alias("rs"), middle.alias("rm"), count(F.col("ratio") == 0).alias("n_correct"), count(F.col("ratio") > 0.1).alias("n_bad"), F.min("ratio").alias("least_ratio"), F.max("ratio").alias("most_ratio"))
     share = lambda c: F.try_divide(F.col(c), F.col("n_scored"))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return s.select(*by, "n_lines", "n_scored", F.coalesce("distance", F.lit(0)).alias("distance"), F.coalesce("length", F.lit(0)).alias("length"), F.when(F.col("n_lines") > 0, 1 - zero(F.col("rs")) / F.col("n_lines")).otherwise(F.lit(0.0)).alias("line_score"), (1 - F.col("rm")).alias("line_median"), zero(F.try_divide(F.col("distance"), F.col("length"))).alias("char_ratio"), share("n_correct").alias("correct"), share("n_bad").alias("bad"), "least_ratio", "most_ratio")
@@ -76,6 +82,4 @@ def vocabulary(lines: DataFrame, text: str, order: list[str]) -> DataFrame:
     """char, n and rank by first appearance. Counts are summed before the shuffle; only the characters are ranked."""
     c = lines.select(*order, F.posexplode(F.split(text, "")).alias("at", "char")).where("char <> ''")
     v = c.groupBy("char").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*order, "at")).alias("first"))
-    from pyspark.sql import Window
-
     return v.select("char", "n", F.row_number().over(Window.orderBy("first")).alias("rank"))

@@ -1,12 +1,12 @@
 """Reading order of a page's regions, and of a region's lines.
 
 Sections come from windows (see regions.py). What remains depends on the data at every step: splitting a section at
-its local dividers and walking its columns; that runs on a section's few rows inside the tasks.
+its local dividers and walking its columns; that runs on a section's few rows inside the tasks. Lines need no walk.
 """
 
 from __future__ import annotations
 
-from statistics import fmean, median
+from statistics import fmean
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,19 +53,21 @@ def by_columns(rows: Rows) -> Rows:
 def by_dividers(rows: Rows) -> Rows:
     """Splits at the topmost local divider until none is left. With regions beside the divider on both sides those not above it come first with them, else those above it."""
     out: Rows = []
-    while True:
-        dividers = [r for r in rows if r["is_local"]]
+    waiting = [rows]  # groups in falling order: the last is next
+    while waiting:
+        here = waiting.pop()
+        dividers = [r for r in here if r["is_local"]]
         if not dividers:
-            return out + by_columns(rows)
+            out += by_columns(here)
+            continue
         at = min(dividers, key=lambda r: (r["meany"], r["id"]))
-        rest = [r for r in rows if r["id"] != at["id"]]
+        rest = [r for r in here if r["id"] != at["id"]]
         left = {r["id"] for r in rest if r["meanx"] < at["minx"]}
         right = {r["id"] for r in rest if r["meanx"] > at["maxx"]}
         above = {r["id"] for r in rest if r["meany"] < at["meany"]}
         first = left | right | ({r["id"] for r in rest} - above if left and right else above)
-        out += by_dividers([r for r in rest if r["id"] in first])
-        out.append(at)
-        rows = [r for r in rest if r["id"] not in first]
+        waiting += [[r for r in rest if r["id"] not in first], [{**at, "is_local": False}], [r for r in rest if r["id"] in first]]
+    return out
 
 
 def _section(rows: Rows) -> Rows:
@@ -85,26 +87,25 @@ def reading_order(regions: DataFrame) -> DataFrame:
     return whole.select("page", "ord", "id", (F.row_number().over(w) - 1).alias("position"))
 
 
-def _lines(rows: Rows) -> Rows:
-    step = median(r["width"] for r in rows) or 1.0
-    border = min(r["minx"] for r in rows) + step
-    out: Rows = []
-    while rows:
-        here = [r for r in rows if r["minx"] < border - step / 2 or r["cx"] < border]
-        if not here:
-            need = min(min(r["minx"] + step / 2, r["cx"]) for r in rows)
-            border += step * max(1, int((need - border) // step))
-            continue
-        out += sorted(here, key=lambda r: (r["cy"], r["ord"]))
-        taken = {r["ord"] for r in here}
-        rows = [r for r in rows if r["ord"] not in taken]
-    return [{**r, "position": i} for i, r in enumerate(out)]
-
-
 def line_order(lines: DataFrame) -> DataFrame:
-    """page, region, ord, position. lines: page, region, ord, minx, width, cx, cy (centroid). A border moves on only when no line is left of it."""
-    kinds = dict(lines.dtypes)
-    return per_key(lines.select("page", "region", "ord", *[F.col(c).cast("double") for c in ("minx", "width", "cx", "cy")]), ["page", "region"], ["ord"], _lines, f"page {kinds['page']}, region {kinds['region']}, ord {kinds['ord']}, position int")
+    """page, region, ord, position. lines: page, region, ord, minx, width, cx, cy (centroid).
+
+    A border starts one middle width right of the leftmost line and moves on in such steps; a line belongs to the first
+    border that is right of its centre, or right of its left edge by more than half a step. Within a border lines go by
+    height. Which border takes a line is arithmetic, so all of it is windows.
+    """
+    w = Window.partitionBy("page", "region")
+    step = F.coalesce(F.nullif(F.median(F.col("width").cast("double")).over(w), F.lit(0.0)), F.lit(1.0))
+    df = lines.withColumns({"__step": step, "__from": F.min(F.col("minx").cast("double")).over(w) + step})
+    reach = F.least(F.col("minx") + F.col("__step") / 2, F.col("cx"))
+    column = F.greatest(F.floor((reach - F.col("__from")) / F.col("__step")) + 1, F.lit(0))
+    return df.select("page", "region", "ord", (F.row_number().over(w.orderBy(column, "cy", "ord")) - 1).alias("position"))
+
+
+def lines_by_first_point(lines: DataFrame) -> DataFrame:
+    """page, region, ord, position by the height of a line's first point. lines: page, region, ord, y."""
+    w = Window.partitionBy("page", "region").orderBy("y", "ord")
+    return lines.select("page", "region", "ord", (F.row_number().over(w) - 1).alias("position"))
 
 
 def lines_by_height(lines: DataFrame) -> DataFrame:

@@ -39,6 +39,21 @@ def sample(df: DataFrame, key: str, n: int) -> tuple[DataFrame, DataFrame]:
     return taken, df.join(taken.select(key), key, "left_anti")
 
 
+def draw(df: DataFrame, key: str, n: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """draw, key of n draws with replacement, each made by md5 of the seed and its number; and the rows that were never drawn."""
+    total = df.count()
+    h = F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("draw")).cast("binary")), 1, 12)
+    draws = df.sparkSession.range(n if total else 0).select(F.col("id").cast("int").alias("draw"))
+    draws = draws.withColumn("rank", F.conv(h, 16, 10).cast("long") % F.lit(max(total, 1)) + 1)
+    taken = draws.join(ranked(df.select(key), key), "rank").select("draw", key)
+    return taken, df.join(taken.select(key).distinct(), key, "left_anti")
+
+
+def fetch_commands(taken: DataFrame, key: str) -> DataFrame:
+    """draw, command: the line that fetches each drawn file."""
+    return taken.select("draw", F.concat(F.lit("get "), F.col(key).cast("string")).alias("command"))
+
+
 def todo(files: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Files without a finished output; only names are compared."""
     return files.join(done.select(key).distinct(), key, "left_anti")
@@ -57,9 +72,20 @@ def write_splits(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("split").parquet(path)
 
 
-def log_work(results: DataFrame, path: str) -> None:
+def log_rows(results: DataFrame, stage: str) -> DataFrame:
+    """stage, page_id, status, error of one run: a page with an error has failed. results: page_id, error."""
+    return results.select(F.lit(stage).alias("stage"), "page_id", F.when(F.col("error").isNull(), "done").otherwise("failed").alias("status"), "error")
+
+
+def log_work(rows: DataFrame, path: str) -> None:
     """Appends (stage, page_id, status, error) rows to the work log."""
-    results.select("stage", "page_id", "status", "error").write.mode("append").parquet(path)
+    rows.select("stage", "page_id", "status", "error").write.mode("append").parquet(path)
+
+
+def logged(log: DataFrame) -> DataFrame:
+    """stage, status, n of the log: a page that was done in any run is done."""
+    each = log.groupBy("stage", "page_id").agg(F.min("status").alias("status"))  # done comes before failed
+    return each.groupBy("stage", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
 def mismatched(images: DataFrame, targets: DataFrame, key: str) -> DataFrame:

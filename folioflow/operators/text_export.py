@@ -40,9 +40,28 @@ def page_json(lines: DataFrame, by_line: bool = False) -> DataFrame:
     return r.groupBy("page").agg(F.to_json(F.transform(items, lambda x: x["x"])).alias("json"))
 
 
+def csv_rows(rows: DataFrame) -> DataFrame:
+    """value: a line of CSV for each row. Semicolons; texts are quoted, with quotes doubled, and numbers are not; null is an empty text."""
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    one = [quoted(F.col(f"`{c}`")) if kind == "string" else F.coalesce(F.col(f"`{c}`").cast("string"), F.lit('""')) for c, kind in rows.dtypes]
+    return rows.select(F.concat_ws(";", *one).alias("value"))
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
-    """Semicolons, every value quoted, with a header."""
-    rows.write.mode("overwrite").csv(path, sep=";", quote='"', quoteAll=True, header=True, escape='"')
+    """csv_rows, after a header that is the first part file."""
+    head = ";".join(f'"{c}"' for c in rows.columns)
+    rows.sparkSession.createDataFrame([(head,)], "value string").coalesce(1).unionByName(csv_rows(rows)).write.mode("overwrite").text(path)
+
+
+def stacked(files: dict[str, DataFrame]) -> DataFrame:
+    """The rows of several exports under each other, by column name, with the name of the file that each is from."""
+    out: DataFrame | None = None
+    for name, rows in files.items():
+        own = rows.select(F.lit(name).alias("file"), "*")
+        out = own if out is None else out.unionByName(own)
+    if out is None:
+        raise ValueError("no files")
+    return out
 
 
 def attach_by_id(lines: DataFrame, results: DataFrame) -> DataFrame:

@@ -131,7 +131,29 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.sectioned(R.with_dividers(R.in_columns(R.properties(V.regions(spark, sf_dir))))).select("page", "ord", "section")
 
 
-@query("reading_order")
+_STATE = "'id': id, 'label': label, 'minx': minx, 'maxx': maxx, 'meanx': meanx, 'meany': meany, 'width': width, 'height': height, 'is_local': is_local"
+_AT = ", ".join(f"'{c}': top.{c}" for c in ("id", "label", "minx", "maxx", "meanx", "meany", "width", "height")) + ", 'is_local': false"
+#: Each section is a stack of groups: a group with a local divider is replaced by the groups before, of and after it; another one gives up its next column.
+_WALK = f"""sec AS (SELECT a.page, a.ord, a.id, a.label, a.minx::DOUBLE AS minx, a.maxx::DOUBLE AS maxx, a.meanx, a.meany, a.width, a.height, a.is_global, a.is_local, CASE WHEN a.x_median > 0 THEN a.x_median ELSE 1.0::DOUBLE END AS step, a.page_minx::DOUBLE AS page_minx,
+ (SELECT count(*) FROM divs b WHERE b.page = a.page AND b.is_global AND b.meany < a.meany)::INT AS section FROM divs a),
+walk AS (SELECT page, section, any_value(step) AS step, any_value(page_minx) AS page_minx, [list({{{_STATE}}} ORDER BY id)] AS stack, NULL::DOUBLE AS border, []::INT[] AS found FROM sec WHERE NOT is_global GROUP BY page, section
+ UNION ALL SELECT page, section, step, page_minx,
+  CASE WHEN len(g) = 0 THEN stack[2:] WHEN top IS NOT NULL THEN list_concat([list_filter(rest, lambda x: list_contains(ahead, x.id)), [{{{_AT}}}], list_filter(rest, lambda x: NOT list_contains(ahead, x.id))], stack[2:])
+   WHEN len(here) = 0 THEN stack ELSE list_concat([list_filter(g, lambda x: NOT list_contains(list_transform(here, lambda y: y.id), x.id))], stack[2:]) END,
+  CASE WHEN len(g) = 0 OR top IS NOT NULL THEN NULL WHEN len(here) = 0 THEN b + step * greatest(1, floor((list_min(list_transform(g, lambda x: least(x.minx + step / 2, x.meanx))) - b) / step)) ELSE coalesce(list_avg(edges), b) + step END,
+  CASE WHEN len(g) = 0 OR top IS NOT NULL OR len(here) = 0 THEN found ELSE list_concat(found, list_transform(list_sort(list_transform(here, lambda x: {{'part': CASE WHEN x.label = 6 AND x.width < x.height AND x.maxx < middle THEN 0 WHEN x.label = 6 AND x.width < x.height AND x.minx > middle THEN 2 ELSE 1 END,
+   'v': CASE WHEN x.label = 6 AND x.width < x.height AND (x.maxx < middle OR x.minx > middle) THEN x.meanx ELSE x.meany END, 'id': x.id}})), lambda x: x.id)) END
+ FROM (SELECT *, list_transform(list_filter(rest, lambda x: x.meanx < top.minx OR x.meanx > top.maxx OR (x.meany < top.meany) <> (len(list_filter(rest, lambda y: y.meanx < top.minx)) > 0 AND len(list_filter(rest, lambda y: y.meanx > top.maxx)) > 0)), lambda x: x.id) AS ahead,
+   list_transform(list_filter(here, lambda x: x.label IN (2, 3, 4, 5)), lambda x: x.maxx) AS edges,
+   coalesce(list_avg(list_transform(list_filter(here, lambda x: x.label <> 6), lambda x: x.meanx)), list_avg(list_transform(here, lambda x: x.meanx))) AS middle
+  FROM (SELECT *, list_filter(g, lambda x: x.id <> top.id) AS rest, list_filter(g, lambda x: x.minx < b - step / 2 OR x.meanx < b) AS here
+   FROM (SELECT *, list_sort(list_transform(list_filter(g, lambda x: x.is_local), lambda x: {{'m': x.meany, 'id': x.id, 'x': x}}))[1].x AS top
+    FROM (SELECT *, stack[1] AS g, coalesce(border, page_minx + step) AS b FROM walk WHERE len(stack) > 0)))))"""
+
+
+@query("reading_order", "WITH RECURSIVE " + ", ".join((V.REGIONS, _PROPS, _WALK)) + """, fin AS (SELECT page, section, unnest(found) AS id, generate_subscripts(found, 1) AS sub FROM walk WHERE len(stack) = 0),
+whole AS (SELECT sec.page, sec.ord, sec.id, sec.section, fin.sub FROM sec JOIN fin ON sec.page = fin.page AND sec.id = fin.id UNION ALL SELECT page, ord, id, section, 1073741824 FROM sec WHERE is_global)
+SELECT page, ord, id, (row_number() OVER (PARTITION BY page ORDER BY section, sub, id DESC) - 1)::INT AS position FROM whole""")
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.reading_order(V.regions(spark, sf_dir))
 
@@ -146,11 +168,19 @@ def line_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.lines_by_height(_lines(spark, sf_dir))
 
 
-@query("line_order_columns")
+@query("line_order_columns", with_(V.REGIONS) + """, l AS (SELECT page, (suppkey % 2)::INT AS region, ord, minx, (maxx - minx)::DOUBLE AS width, (minx + maxx) / 2.0::DOUBLE AS cx, (miny + maxy) / 2.0::DOUBLE AS cy FROM regions),
+s AS (SELECT page, region, CASE WHEN median(width) = 0 THEN 1 ELSE median(width) END AS step, min(minx)::DOUBLE AS least FROM l GROUP BY page, region),
+c AS (SELECT l.*, (SELECT min(k) FROM range(1, 60) t(k) WHERE minx < least + k * step - step / 2 OR cx < least + k * step) AS k FROM l JOIN s USING (page, region))
+SELECT page, region, ord, (row_number() OVER (PARTITION BY page, region ORDER BY k, cy, ord) - 1)::INT AS position FROM c""")
 def line_order_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.line_order(_lines(spark, sf_dir))
 
 
+@query("line_order_vertical", with_(V.REGIONS) + "SELECT page, (suppkey % 2)::INT AS region, ord, (row_number() OVER (PARTITION BY page, suppkey % 2 ORDER BY miny, ord) - 1)::INT AS position FROM regions")
+def line_order_vertical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order.lines_by_first_point(V.regions(spark, sf_dir).select("page", (F.col("suppkey") % 2).cast("int").alias("region"), "ord", F.col("miny").alias("y")))
+
+
 @query("slice_rank", with_(V.REGIONS) + "SELECT page, ord, (row_number() OVER (PARTITION BY page ORDER BY ord) - 1)::INT AS rank FROM regions WHERE (maxx - minx)::BIGINT * (maxy - miny) > 200000")
 def slice_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
@@ -163,6 +193,5 @@ def slice_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 def draw_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
-    drawn = F.array(*[F.lit(x) for x in dict.fromkeys(v for v in LABELS.values() if v)])
-    w = Window.partitionBy("page").orderBy(F.array_position(drawn, F.col("label")), "ord")
+    w = Window.partitionBy("page").orderBy(L.draw_rank(F.col("label")), "ord")
     return V.regions(spark, sf_dir).select("page", "ord", (F.row_number().over(w) - 1).alias("position"))

@@ -12,7 +12,10 @@ from . import views as V
 from .registry import query
 
 W = "WITH "
-_ERR = V.TEXT_LINES + """, e AS (SELECT doc_id, CASE WHEN greatest(length(g), length(o)) > 0 THEN levenshtein(g, o) END AS d, CASE WHEN greatest(length(g), length(o)) > 0 THEN greatest(length(g), length(o)) END AS n FROM tl)"""
+#: DuckDB's edit distance counts bytes. So the SQL writes each character of a line as one byte, the place of its character among those of all lines (at most 127), which changes no distance.
+_CODED = """, ab AS (SELECT list(DISTINCT c ORDER BY c) AS abc FROM (SELECT unnest(string_split(g || o, '')) AS c FROM tl)),
+cd AS (SELECT doc_id, line, g, o, coalesce(array_to_string(list_transform(string_split(g, ''), lambda c: chr(list_position(abc, c)::INT)), ''), '') AS gc, coalesce(array_to_string(list_transform(string_split(o, ''), lambda c: chr(list_position(abc, c)::INT)), ''), '') AS oc FROM tl, ab)"""
+_ERR = V.WHOLE_LINES + _CODED + """, e AS (SELECT doc_id, CASE WHEN greatest(length(g), length(o)) > 0 THEN levenshtein(gc, oc) END AS d, CASE WHEN greatest(length(g), length(o)) > 0 THEN greatest(length(g), length(o)) END AS n FROM cd)"""
 _RATES = "count(*) AS n_lines, count(d) AS n_scored, coalesce(sum(d), 0)::BIGINT AS distance, coalesce(sum(n), 0)::BIGINT AS length, round(1 - coalesce(sum(d / n), 0) / count(*), 6) AS line_score, round(1 - median(d / n), 6) AS line_median, round(coalesce(sum(d)::DOUBLE / nullif(sum(n), 0), 0), 6) AS char_ratio, round(count(*) FILTER (d = 0) / nullif(count(d), 0), 6) AS correct, round(count(*) FILTER (d / n > 0.1::DOUBLE) / nullif(count(d), 0), 6) AS bad, round(min(d / n), 6) AS least_ratio, round(max(d / n), 6) AS most_ratio FROM e"
 
 
@@ -21,53 +24,31 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 
 def _read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.text_lines(spark, sf_dir).withColumnsRenamed({"g": "truth", "o": "read"})
+    return V.whole_lines(spark, sf_dir).withColumnsRenamed({"g": "truth", "o": "read"})
 
 
-@query("ocr_cer_corpus", W + _ERR + " SELECT " + _RATES)
+@query(("ocr_cer_corpus", "ocr_cer_corpus_whole"), W + _ERR + " SELECT " + _RATES)
 def ocr_cer_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(M.error_rates(_read(spark, sf_dir), []))
 
 
-@query("ocr_page_quality", W + _ERR + " SELECT doc_id, " + _RATES + " GROUP BY doc_id")
+@query(("ocr_page_quality", "ocr_page_quality_whole"), W + _ERR + " SELECT doc_id, " + _RATES + " GROUP BY doc_id")
 def ocr_page_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(M.error_rates(_read(spark, sf_dir), ["doc_id"]))
 
 
-@query("ocr_conf_filtered", W + _ERR.replace("FROM tl)", "FROM (SELECT doc_id, g, CASE WHEN (line % 10) / 10.0::DOUBLE >= 0.4::DOUBLE THEN o END AS o FROM tl) WHERE true)").replace("CASE WHEN greatest(length(g), length(o)) > 0", "CASE WHEN o IS NOT NULL AND greatest(length(g), length(o)) > 0") + " SELECT " + _RATES)
+@query(("ocr_conf_filtered", "ocr_conf_filtered_whole"), W + _ERR.replace("CASE WHEN greatest(length(g), length(o)) > 0", "CASE WHEN (line % 10) / 10.0::DOUBLE >= 0.4::DOUBLE AND greatest(length(g), length(o)) > 0") + " SELECT " + _RATES)
 def ocr_conf_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _read(spark, sf_dir)
     return _rounded(M.error_rates(df.withColumn("used", M.confident((F.col("line") % 10) / 10.0, 0.4)), []))
 
 
-@query("vocabulary", W + V.TEXT_LINES + """, c AS (SELECT doc_id, line, i, g[i] AS char FROM (SELECT doc_id, line, g, unnest(range(1, length(g) + 1)) AS i FROM tl))
-SELECT char, n, (row_number() OVER (ORDER BY first))::INT AS rank FROM (SELECT char, count(*) AS n, min((doc_id, line, i)) AS first FROM c GROUP BY char)""")
-def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.vocabulary(V.text_lines(spark, sf_dir), "g", ["doc_id", "line"])
-
-
-_IDS = "list_transform(string_split(g, ''), lambda c: CASE WHEN unicode(c) < 100 THEN unicode(c) + 4 WHEN c = 'q' THEN 104 WHEN c = 'z' THEN 105 ELSE 2 END)"
-
-
-@query("tokenize", W + V.TEXT_LINES + f""" SELECT doc_id, line, array_to_string(list_concat([1], CASE WHEN g = '' THEN [] ELSE {_IDS} END, [3], list_resize([]::INT[], greatest(0, 60 - length(g) - 2), 0))[1:60], ' ') AS ids FROM tl""")
-def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = V.text_lines(spark, sf_dir)
-    return df.select("doc_id", "line", F.array_join(T.tokenise(F.col("g"), 100, ["q", "z"], 60, True).cast("array<string>"), " ").alias("ids"))
-
-
-@query("detokenize", W + V.TEXT_LINES + r""" SELECT doc_id, line, regexp_replace(g, '[^ -cqz]', '', 'g') AS text FROM tl""")
-def detokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = V.text_lines(spark, sf_dir)
-    ids = T.tokenise(F.col("g"), 100, ["q", "z"])
-    return df.select("doc_id", "line", T.detokenise(ids, T.alphabet(100, ["q", "z"])).alias("text"))
-
-
 _EXTRA = ", ".join(f"chr({ord(c)})" for c in T.CUSTOM)
 _WHOLE_IDS = f"list_transform(string_split(g, ''), lambda c: CASE WHEN unicode(c) < {T.UNICODE} THEN unicode(c) + 4 ELSE coalesce(nullif(list_position([{_EXTRA}], c), 0) + {T.UNICODE + 3}, 2) END)"
 
 
-@query("tokenize_whole", W + V.WHOLE_LINES + f", i AS (SELECT doc_id, line, list_concat([1], CASE WHEN g = '' THEN [] ELSE {_WHOLE_IDS} END, [3]) AS ids FROM tl) SELECT doc_id, line, array_to_string(ids, ' ') AS ids, array_to_string(ids[1:{T.MAX_LENGTH}], ' ') AS model_ids FROM i")
-def tokenize_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(("tokenize", "tokenize_whole"), W + V.WHOLE_LINES + f", i AS (SELECT doc_id, line, list_concat([1], CASE WHEN g = '' THEN [] ELSE {_WHOLE_IDS} END, [3]) AS ids FROM tl) SELECT doc_id, line, array_to_string(ids, ' ') AS ids, array_to_string(ids[1:{T.MAX_LENGTH}], ' ') AS model_ids FROM i")
+def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every character of every line in the reference's vocabulary; model_ids are the ids that fit its model."""
     df = V.whole_lines(spark, sf_dir).select("doc_id", "line", T.tokenise(F.col("g"), T.UNICODE, T.CUSTOM).cast("array<string>").alias("ids"))
     return df.select("doc_id", "line", F.array_join("ids", " ").alias("ids"), F.array_join(F.slice("ids", 1, T.MAX_LENGTH), " ").alias("model_ids"))
@@ -76,8 +57,8 @@ def tokenize_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OUTSIDE = rf"[^\x{{0}}-\x{{{T.UNICODE - 1:x}}}{''.join(rf'\x{{{ord(c):x}}}' for c in T.CUSTOM)}]"
 
 
-@query("detokenize_whole", W + V.WHOLE_LINES + f" SELECT doc_id, line, regexp_replace(g, '{_OUTSIDE}', '', 'g') AS text FROM tl")
-def detokenize_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(("detokenize", "detokenize_whole"), W + V.WHOLE_LINES + f" SELECT doc_id, line, regexp_replace(g, '{_OUTSIDE}', '', 'g') AS text FROM tl")
+def detokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = T.tokenise(F.col("g"), T.UNICODE, T.CUSTOM)
     return V.whole_lines(spark, sf_dir).select("doc_id", "line", T.detokenise(ids, T.alphabet(T.UNICODE, T.CUSTOM)).alias("text"))
 
@@ -114,69 +95,32 @@ def text_export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RES = "res AS (SELECT doc_id, line, o FROM tl WHERE line % 3 <> 0)"
 
 
-@query("attach_text", W + V.TEXT_LINES + ", " + _RES + " SELECT tl.doc_id AS page, tl.line AS line_id, trim(r.o) AS text FROM tl LEFT JOIN res r ON tl.doc_id = r.doc_id AND tl.line = r.line")
-def attach_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tl = V.text_lines(spark, sf_dir).select(F.col("doc_id").alias("page"), F.col("line").alias("line_id"), F.col("g").alias("text"), "o")
-    res = tl.where("line_id % 3 <> 0").select("page", "line_id", F.lit(0).alias("ord"), F.col("o").alias("text"))
-    return X.attach_by_id(tl.drop("o"), res).select("page", "line_id", "text")
-
-
-@query("replace_text", W + V.TEXT_LINES + ", " + _RES + " SELECT tl.doc_id AS page, tl.line AS line_id, CASE WHEN length(r.o) > 0 THEN r.o ELSE tl.g END AS text FROM tl LEFT JOIN res r ON tl.doc_id = r.doc_id AND tl.line = r.line")
-def replace_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tl = V.text_lines(spark, sf_dir).select(F.col("doc_id").alias("page"), F.col("line").alias("line_id"), F.col("g").alias("text"), "o")
-    res = tl.where("line_id % 3 <> 0").select("page", "line_id", F.col("o").alias("text"))
-    return X.replace_text(tl.drop("o"), res).select("page", "line_id", "text")
-
-
-@query("vocabulary_whole", W + V.WHOLE_LINES + """, c AS (SELECT doc_id, line, i, g[i] AS char FROM (SELECT doc_id, line, g, unnest(range(1, length(g) + 1)) AS i FROM tl))
+@query(("vocabulary", "vocabulary_whole"), W + V.WHOLE_LINES + """, c AS (SELECT doc_id, line, i, g[i] AS char FROM (SELECT doc_id, line, g, unnest(range(1, length(g) + 1)) AS i FROM tl))
 SELECT char, n, (row_number() OVER (ORDER BY first))::INT AS rank FROM (SELECT char, count(*) AS n, min((doc_id, line, i)) AS first FROM c GROUP BY char)""")
-def vocabulary_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.vocabulary(V.whole_lines(spark, sf_dir), "g", ["doc_id", "line"])
 
 
-@query("attach_text_whole", W + V.WHOLE_LINES + ", " + _RES + " SELECT tl.doc_id AS page, tl.line AS line_id, trim(r.o) AS text FROM tl LEFT JOIN res r ON tl.doc_id = r.doc_id AND tl.line = r.line")
-def attach_text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+# two results for every third of the lines that have one, of which the last counts
+_RES = "res AS (SELECT doc_id, line, o, 0 AS turn FROM tl WHERE line % 3 <> 0 UNION ALL SELECT doc_id, line, 'again ' || o, 1 FROM tl WHERE line % 9 = 1)"
+
+
+@query(("attach_text", "attach_text_whole"), W + V.WHOLE_LINES + ", " + _RES + ", last AS (SELECT doc_id, line, arg_max(o, turn) AS o FROM res GROUP BY doc_id, line) SELECT tl.doc_id AS page, tl.line AS line_id, trim(r.o) AS text FROM tl LEFT JOIN last r ON tl.doc_id = r.doc_id AND tl.line = r.line")
+def attach_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     tl = V.whole_lines(spark, sf_dir).select(F.col("doc_id").alias("page"), F.col("line").alias("line_id"), F.col("g").alias("text"), "o")
-    res = tl.where("line_id % 3 <> 0").select("page", "line_id", F.lit(0).alias("ord"), F.col("o").alias("text"))
-    return X.attach_by_id(tl.drop("o"), res).select("page", "line_id", "text")
+    first = tl.where("line_id % 3 <> 0").select("page", "line_id", F.lit(0).alias("ord"), F.col("o").alias("text"))
+    second = tl.where("line_id % 9 = 1").select("page", "line_id", F.lit(1).alias("ord"), F.concat(F.lit("again "), "o").alias("text"))
+    return X.attach_by_id(tl.drop("o"), first.unionByName(second)).select("page", "line_id", "text")
 
 
-@query("replace_text_whole", W + V.WHOLE_LINES + ", " + _RES + " SELECT tl.doc_id AS page, tl.line AS line_id, CASE WHEN length(r.o) > 0 THEN r.o ELSE tl.g END AS text FROM tl LEFT JOIN res r ON tl.doc_id = r.doc_id AND tl.line = r.line")
-def replace_text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(("replace_text", "replace_text_whole"), W + V.WHOLE_LINES + ", res AS (SELECT doc_id, line, o FROM tl WHERE line % 3 <> 0) SELECT tl.doc_id AS page, tl.line AS line_id, CASE WHEN length(r.o) > 0 THEN r.o ELSE tl.g END AS text FROM tl LEFT JOIN res r ON tl.doc_id = r.doc_id AND tl.line = r.line")
+def replace_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     tl = V.whole_lines(spark, sf_dir).select(F.col("doc_id").alias("page"), F.col("line").alias("line_id"), F.col("g").alias("text"), "o")
     res = tl.where("line_id % 3 <> 0").select("page", "line_id", F.col("o").alias("text"))
     return X.replace_text(tl.drop("o"), res).select("page", "line_id", "text")
 
 
-def _read_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.whole_lines(spark, sf_dir).withColumnsRenamed({"g": "truth", "o": "read"})
-
-
-# no SQL: DuckDB's edit distance counts bytes
-@query("ocr_cer_corpus_whole")
-def ocr_cer_corpus_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(M.error_rates(_read_whole(spark, sf_dir), []))
-
-
-@query("ocr_page_quality_whole")
-def ocr_page_quality_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(M.error_rates(_read_whole(spark, sf_dir), ["doc_id"]))
-
-
-@query("ocr_conf_filtered_whole")
-def ocr_conf_filtered_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _read_whole(spark, sf_dir)
-    return _rounded(M.error_rates(df.withColumn("used", M.confident((F.col("line") % 10) / 10.0, 0.4)), []))
-
-
-@query("path_stem", "SELECT page_id, regexp_replace(string_split(string_split(url, '?')[1], '/')[-1], '(.*)....$', '\\1') AS stem, rtrim(url, '') AS url FROM pages WHERE length(string_split(string_split(url, '?')[1], '/')[-1]) >= 4")
+@query(("path_stem", "path_stem_whole"), "SELECT page_id, n[1:greatest(length(n) - 4, 0)] AS stem, url FROM (SELECT page_id, url, string_split(string_split(url, '?')[1], '/')[-1] AS n FROM pages)")
 def path_stem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = F.substring_index("url", "?", 1)
-    df = V.read(spark, sf_dir, "pages").where(F.length(F.substring_index(path, "/", -1)) >= 4)
-    return df.select("page_id", T.stem(path).alias("stem"), "url")
-
-
-@query("path_stem_whole", "SELECT page_id, n[1:greatest(length(n) - 4, 0)] AS stem, url FROM (SELECT page_id, url, string_split(string_split(url, '?')[1], '/')[-1] AS n FROM pages)")
-def path_stem_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page; names shorter than the suffix have an empty stem."""
     return V.read(spark, sf_dir, "pages").select("page_id", T.short_stem(F.substring_index("url", "?", 1)).alias("stem"), "url")

@@ -73,21 +73,8 @@ CUSTOMS = """customs AS (SELECT page, ord, ['TextRegion', 'GraphicRegion', 'Sepa
  FROM (SELECT *, ['paragraph', 'heading', 'separator_vertical', 'article', 'unskd', 'caption', 'image'][1 + partkey % 7] AS c FROM regions))"""
 
 
-def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, line, g (a line's ASCII), o (what a recogniser might read), for whole texts. ASCII, because DuckDB's edit distance counts bytes."""
-    df = spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
-    df = df.select("doc_id", "line", F.regexp_replace("t", "[^ -~]", "").alias("g"))
-    n = F.length("g")
-    o = F.when(n % 3 == 0, F.translate("g", "eis", "cl5")).when((n % 5 == 0) & (n > 0), F.expr("substring(g, 1, length(g) - 1)")).otherwise(F.col("g"))
-    return df.withColumn("o", o)
-
-
-TEXT_LINES = r"""tl AS (SELECT doc_id, line, g, CASE WHEN length(g) % 3 = 0 THEN translate(g, 'eis', 'cl5') WHEN length(g) % 5 = 0 AND length(g) > 0 THEN g[1:length(g) - 1] ELSE g END AS o FROM (
- SELECT doc_id, (i - 1)::INT AS line, regexp_replace(t[i], '[^ -~]', '', 'g') AS g FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents))))"""
-
-
 def whole_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As text_lines, with every character of a line."""
+    """doc_id, line, g (a line), o (what a recogniser might read), for whole texts."""
     df = spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "g"))
     n = F.length("g")
     o = F.when(n % 3 == 0, F.translate("g", "eis", "cl5")).when((n % 5 == 0) & (n > 0), F.expr("substring(g, 1, length(g) - 1)")).otherwise(F.col("g"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.geometry import bbox, format_points, parse_points
+from ..functions.geometry import bbox, format_points, moved, parse_points
 from ..functions.layout import class_tag, order_index, region_class
 from ..schema import ELEMENTS, REGION_KINDS, TEXT_CLASSES
 
@@ -59,6 +59,29 @@ def line_table(regions: DataFrame) -> DataFrame:
     return df.select("page_id", "region_id", "class", "region_ord", F.col("l._id").alias("line_id"), "ord", order_index(F.col("l._custom")).alias("reading_order"), points("Coords").alias("points"), points("Baseline").alias("baseline"), F.nullif(F.col("l.TextEquiv.Unicode"), F.lit("")).alias("text"), F.col("l.TextEquiv._conf").cast("double").alias("conf"))
 
 
+def baseline_scan(regions: DataFrame) -> DataFrame:
+    """page_id, region_id, ord, is_mask, points, lines: what baseline detection learns from. Text regions with a box of some size and a line or more, and table regions as masks; points as (y, x)."""
+    b = bbox(F.col("points"))
+    sized = (F.size("points") > 0) & (b["minx"] < b["maxx"]) & (b["miny"] < b["maxy"])
+    table = F.col("kind") == "TableRegion"
+    df = regions.where(sized & (table | ((F.col("kind") == "TextRegion") & (F.size("lines") > 0))))
+    flipped = F.transform("points", lambda p: F.struct(p["y"].alias("y"), p["x"].alias("x")))
+    return df.select("page_id", "region_id", "ord", table.alias("is_mask"), flipped.alias("points"), F.when(~table, F.col("lines")).alias("lines"))
+
+
+def layout_masks(regions: DataFrame) -> DataFrame:
+    """page_id, masks, rois: a page's table polygons, which hide pixels, and its text polygons, which are looked at, each in order."""
+    item = F.struct("ord", "points")
+    of = lambda kind: F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == kind, item))), lambda x: x["points"])
+    return regions.where(F.size("points") > 0).groupBy("page_id").agg(of("TableRegion").alias("masks"), of("TextRegion").alias("rois"))
+
+
+def padded_baselines(lines: DataFrame, margin: int) -> DataFrame:
+    """lines without their texts, points and baselines moved by the margin that pads the page's image on each side."""
+    move = lambda c: moved(F.col(c), margin, margin).alias(c)
+    return lines.where(F.size("baseline") > 0).drop("text", "conf").select(*[move(c) if c in ("points", "baseline") else F.col(c) for c in lines.columns if c not in ("text", "conf")])
+
+
 def polygons(regions: DataFrame, classes: list[str] | None = None) -> DataFrame:
     """Regions with more than two points, of the classes given, with their boxes."""
     df = regions.where(F.size("points") > 2)
@@ -125,6 +148,7 @@ def page_xml(pages: DataFrame, regions: DataFrame, lines: DataFrame | None = Non
     return full.select("page_id", F.concat(head, order, F.lit("</Page></PcGts>")).alias("xml"))
 
 
-def write_pages(xml: DataFrame, path: str) -> None:
-    """One line of text for each page, in a folder for each page id, so that a page can be read alone."""
-    xml.select("page_id", F.col("xml").alias("value")).repartition("page_id").write.mode("overwrite").partitionBy("page_id").text(path)
+def write_pages(xml: DataFrame, path: str, folders: int = 256) -> None:
+    """page_id and xml as Parquet in a bounded number of folders by the id's hash, so that a page is found in one of them."""
+    folder = F.pmod(F.xxhash64("page_id"), F.lit(folders)).cast("int")
+    xml.select("page_id", "xml", folder.alias("folder")).repartition("folder").write.mode("overwrite").partitionBy("folder").parquet(path)
