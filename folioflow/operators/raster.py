@@ -45,10 +45,21 @@ def vertical_maxima(pixels: DataFrame, by: list[str], x: str = "x", y: str = "y"
     return pixels.withColumn(value, F.when(F.col(value) == F.max(value).over(w), F.col(value)).otherwise(F.lit(0).cast(dict(pixels.dtypes)[value])))
 
 
-def batches_by_width(crops: DataFrame, size: int, by: list[str]) -> DataFrame:
-    """crops with batch: runs of `size` crops of like width within each key."""
-    n = F.row_number().over(Window.partitionBy(*by).orderBy("width", "id"))
-    return crops.withColumn("batch", F.floor((n - 1) / size).cast("int"))
+def batches_by_width(crops: DataFrame, size: int, by: list[str], span: int = 100_000) -> DataFrame:
+    """crops with batch: runs of `size` crops of like width within each key, equal widths by their whole-number id.
+
+    Keys and widths are few, so no window spans a key: a crop's place is that of its width, of its stretch of `span` ids
+    among those of its width, and its own in the stretch.
+    """
+    df = crops.withColumn("__s", F.floor(F.col("id") / span))
+    n = df.groupBy(*by, "width", "__s").agg(F.count(F.lit(1)).alias("__n"))
+    upto = lambda c, w: F.sum(c).over(w) - F.col(c)
+    before = n.withColumn("__a", upto("__n", Window.partitionBy(*by, "width").orderBy("__s"))).drop("__n")
+    widths = n.groupBy(*by, "width").agg(F.sum("__n").alias("__n"))
+    widths = widths.withColumn("__b", upto("__n", Window.partitionBy(*by).orderBy("width"))).drop("__n")
+    own = F.row_number().over(Window.partitionBy(*by, "width", "__s").orderBy("id")) - 1
+    placed = df.withColumn("__c", own).join(before, [*by, "width", "__s"]).join(widths, [*by, "width"])
+    return placed.withColumn("batch", F.floor((F.col("__a") + F.col("__b") + F.col("__c")) / size).cast("int")).drop("__a", "__b", "__c", "__s")
 
 
 def fill_polygon(raster: np.ndarray, points: np.ndarray, value: int) -> None:

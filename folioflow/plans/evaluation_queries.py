@@ -239,10 +239,10 @@ def batch_by_width(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.read(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("run"), F.col("event_type").alias("tag"), F.col("event_id").alias("step"), "value", (F.col("event_id") / 20).cast("int").alias("epoch"))
+    return V.read(spark, sf_dir, "events").select(F.col("user_id").alias("run"), F.col("event_type").alias("tag"), F.col("event_id").alias("step"), "value", (F.col("event_id") / 20).cast("int").alias("epoch"))
 
 
-_SERIES = "s AS (SELECT user_id % 5 AS run, event_type AS tag, event_id AS step, value, trunc(event_id / 20)::INT AS epoch FROM events)"
+_SERIES = "s AS (SELECT user_id AS run, event_type AS tag, event_id AS step, value, trunc(event_id / 20)::INT AS epoch FROM events)"
 
 
 @query("series_final", W + f"{_SERIES} SELECT tag, count(*) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std FROM (SELECT run, tag, arg_max(value, step) AS v FROM s GROUP BY 1, 2) GROUP BY tag")

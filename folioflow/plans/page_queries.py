@@ -75,9 +75,12 @@ def page_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pagexml.reordered(regions, _order(regions)).select("page_id", "region_id", "class", "position")
 
 
+def _parsed(xml: DataFrame) -> DataFrame:
+    return pagexml.parse_pages(xml.select("page_id", pagexml.page_body(F.col("xml")).alias("xml")))
+
+
 def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = F.regexp_extract("xml", "(?s)(<Page[ >].*</Page>)", 1)
-    return pagexml.parse_pages(_xml(spark, sf_dir).select("page_id", body.alias("xml")))
+    return _parsed(_xml(spark, sf_dir))
 
 
 _RANK = "CASE kind " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(REGION_KINDS)) + " END"
@@ -129,9 +132,8 @@ def page_flow_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     regions = _classed(spark, sf_dir).withColumn("position", F.col("ord"))
     pages = regions.groupBy("page_id").agg(F.concat(F.col("page_id").cast("string"), F.lit(".jpg")).alias("image_filename"), F.lit(5119).alias("width"), F.lit(8191).alias("height"))
     # every region is written as one kind of element, so that a page's regions keep their order
-    nested = lambda xml: pagexml.parse_pages(xml.select("page_id", F.regexp_extract("xml", "(?s)(<Page[ >].*</Page>)", 1).alias("xml")))
-    once = nested(pagexml.page_xml(pages, regions.withColumn("kind", F.lit("TextRegion"))))
-    return pagexml.region_table(nested(page_flow.in_reading_order(once))).select("page_id", "region_id", "reading_order")
+    once = _parsed(pagexml.page_xml(pages, regions.withColumn("kind", F.lit("TextRegion"))))
+    return pagexml.region_table(_parsed(page_flow.in_reading_order(once))).select("page_id", "region_id", "reading_order")
 
 
 @query("row_stack", with_(V.REGIONS, V.PREDICTED) + "SELECT 'truth' AS file, page, ord, label, minx FROM regions UNION ALL SELECT 'read', page, ord, label, minx FROM predicted")
@@ -267,6 +269,5 @@ def annotation_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
     corners = F.array(at("x", "y"), at("x + w", "y"), at("x + w", "y + h"), at("x", "y + h"))
     regions = _slots(spark, sf_dir).select(F.col("page").alias("page_id"), F.format_string("r%d", "ord").alias("region_id"), F.col("ord").alias("position"), L.label_name(F.col("label")).alias("class"), corners.alias("points"), "ord")
     pages = regions.groupBy("page_id").agg(F.lit("x.jpg").alias("image_filename"), F.lit(40).alias("width"), (16 * F.max("ord") + 20).alias("height"))
-    xml = pagexml.page_xml(pages, regions.drop("ord"))
-    nested = pagexml.parse_pages(xml.select("page_id", F.regexp_extract("xml", "(?s)(<Page[ >].*</Page>)", 1).alias("xml")))
+    nested = _parsed(pagexml.page_xml(pages, regions.drop("ord")))
     return P.label_counts(page_flow.annotation_rasters(nested)).withColumnRenamed("page", "page_id")

@@ -69,12 +69,12 @@ def _talk(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
     df = df.withColumn("ord", n.cast("int"))
     custom = F.when(F.col("ord") % 7 == 0, "none").otherwise(F.format_string("readingOrder {index:%d;} structure {type:%s;}", F.lit(40) - F.col("ord"), "role"))
-    df = df.select((F.col("conv_id") % 50).alias("page"), F.col("conv_id").alias("region"), "ord", F.col("role").alias("class"), (F.col("ord") / 8).alias("conf"), "text", custom.alias("custom"))
+    df = df.select(F.expr("conv_id div 20").alias("page"), F.col("conv_id").alias("region"), "ord", F.col("role").alias("class"), (F.col("ord") / 8).alias("conf"), "text", custom.alias("custom"))
     return X.ordered(df, ["page", "region"])
 
 
 _TALK = """talk0 AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text))::INT AS ord FROM conversations),
-talk AS (SELECT conv_id % 50 AS page, conv_id AS region, ord, role AS class, ord / 8.0::DOUBLE AS conf, text, (row_number() OVER (PARTITION BY conv_id ORDER BY 40 - ord, ord) - 1)::INT AS position FROM talk0 WHERE ord % 7 <> 0)"""
+talk AS (SELECT conv_id // 20 AS page, conv_id AS region, ord, role AS class, ord / 8.0::DOUBLE AS conf, text, (row_number() OVER (PARTITION BY conv_id ORDER BY 40 - ord, ord) - 1)::INT AS position FROM talk0 WHERE ord % 7 <> 0)"""
 
 
 @query("text_export_region", W + _TALK + " SELECT page, region, class, round(avg(conf) FILTER (length(text) > 0), 6) AS confidence, coalesce(string_agg(text, chr(10) ORDER BY position) FILTER (length(text) > 0), '') AS text FROM talk GROUP BY page, region, class")

@@ -36,6 +36,16 @@ def parse_pages(pages: DataFrame, xml: str = "xml") -> DataFrame:
     return df.select("page_id", "x.*")
 
 
+def page_body(xml: Column) -> Column:
+    """The Page element of a document."""
+    return F.regexp_extract(xml, "(?s)(<Page[ >].*</Page>)", 1)
+
+
+def read_written(spark: SparkSession, path: str) -> DataFrame:
+    """The same of what write_pages wrote."""
+    return parse_pages(spark.read.parquet(path).select("page_id", page_body(F.col("xml")).alias("xml")))
+
+
 def page_table(nested: DataFrame) -> DataFrame:
     return nested.select("page_id", F.col("_imageFilename").alias("image_filename"), F.col("_imageWidth").alias("width"), F.col("_imageHeight").alias("height"))
 

@@ -10,14 +10,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.pagexml import page_table, parse_pages, region_table
+from ..sources.pagexml import page_body, page_table, parse_pages, region_table
 
 
 def new_pages(spark: SparkSession, path: str, files_per_batch: int = 10_000) -> DataFrame:
     """page_id, xml of page files as they come."""
     df = spark.readStream.format("text").schema("value string").option("wholetext", True).option("maxFilesPerTrigger", files_per_batch).load(path)
-    body = F.regexp_extract("value", "(?s)(<Page[ >].*</Page>)", 1)
-    return df.select(F.regexp_replace(F.col("_metadata.file_name"), "\\.xml$", "").alias("page_id"), body.alias("xml"))
+    return df.select(F.regexp_replace(F.col("_metadata.file_name"), "\\.xml$", "").alias("page_id"), page_body(F.col("value")).alias("xml"))
 
 
 def ingest(spark: SparkSession, path: str, out: str, checkpoint: str, each: Callable[[DataFrame], DataFrame] | None = None) -> None:

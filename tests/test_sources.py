@@ -40,7 +40,7 @@ def test_written_pages_read_back(spark, tmp_path):
     body = xml.first().xml
     assert body.index("ReadingOrder") < body.index("TextRegion") and "&amp;" in body
     pagexml.write_pages(xml, str(tmp_path / "out"))
-    again = pagexml.region_table(pagexml.read_pages(spark, str(tmp_path / "out" / "page_id=a")))
+    again = pagexml.region_table(pagexml.read_written(spark, str(tmp_path / "out")))
     assert {r.region_id: r.points for r in again.collect()} == {r.region_id: r.points for r in regions.collect()}
     assert {r.line_id: r.text for r in pagexml.line_table(again).collect()} == {r.line_id: r.text for r in lines.collect()}
 
