@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from typing import Protocol
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +16,42 @@ UNICODE, MAX_LENGTH = 128, 512
 CUSTOM = list("\xe4\xfc\xf6\u2014\u201e\u201d\xa3\xe8\u201c\xb4\xe9\xdf\xe0\u2019\xa7\u017f\ua75b\xb0\xbb\xab\xc9\x8d\xc4\xdc\xd6\u2020\xe1\x90\u204a\xeb\xf4\u201a\u201b\u0364\xe7\xe2\u2018\u03bf\u03b1\xfb\xea\u2606\u2670\xee\u0391\u03b9\u2039\u03c3\u03c4\xf3\u0395\u039c\xf1\u03c1\u039a\x8f\u201f\xe6")
 
 
+class Tokenizer(Protocol):
+    """What text models need of a tokenizer. The ids 0 to 3 are padding, start, unknown and end."""
+
+    def encode(self, text: Column) -> Column: ...
+
+    def decode(self, ids: Column) -> Column: ...
+
+    def __len__(self) -> int: ...
+
+
+@dataclass(frozen=True)
+class Characters:
+    """The tokenizer of single characters: code points below `unicode`, and custom ones."""
+
+    unicode: int = UNICODE
+    custom: tuple[str, ...] = tuple(CUSTOM)
+    max_length: int | None = None
+    pad: bool = False
+
+    @property
+    def letters(self) -> list[str]:
+        found = alphabet(self.unicode, list(self.custom))
+        if found[:4] != SPECIALS:
+            raise ValueError("the first four ids belong to the specials")
+        return found
+
+    def encode(self, text: Column) -> Column:
+        return tokenise(text, self.unicode, list(self.custom), self.max_length, self.pad)
+
+    def decode(self, ids: Column) -> Column:
+        return detokenise(ids, self.letters)
+
+    def __len__(self) -> int:
+        return len(self.letters)
+
+
 def alphabet(length: int, custom: list[str] | None = None) -> list[str]:
     """The four specials, the first `length` code points, and custom characters not among them."""
     return list(dict.fromkeys([*SPECIALS, *map(chr, range(length)), *(custom or [])]))

@@ -69,6 +69,21 @@ def line_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("page", "ord", g(0, "x").alias("x0"), g(0, "y").alias("y0"), g(2, "x").alias("x3"), g(2, "y").alias("y2"), F.size("p").alias("n"))
 
 
+_BENT = """bent AS (SELECT page, ord, [minx, minx + 300, maxx]::DOUBLE[] AS x, [miny, miny + suppkey % 90, maxy]::DOUBLE[] AS y FROM regions WHERE maxx > minx),
+pt AS (SELECT page, ord, unnest([1, 2, 3]) AS i, x, y FROM bent), an AS (SELECT *, atan2(y[least(i, 2) + 1] - y[least(i, 2)], x[least(i, 2) + 1] - x[least(i, 2)]) + pi() / 2 AS a FROM pt)"""
+
+
+@query("line_polygon_bent", with_(V.REGIONS, _BENT) + "SELECT page, ord, i - 1 AS i, round(x[i] - cos(a) * 20, 3) + 0.0::DOUBLE AS up_x, round(y[i] - sin(a) * 20, 3) + 0.0::DOUBLE AS up_y, round(x[i] + cos(a), 3) + 0.0::DOUBLE AS down_x, round(y[i] + sin(a), 3) + 0.0::DOUBLE AS down_y FROM an")
+def line_polygon_bent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Baselines that change direction; the height below is less than one pixel."""
+    df = V.regions(spark, sf_dir).where("maxx > minx").withColumns({"midx": F.col("minx") + 300, "midy": F.expr("int(miny + suppkey % 90)")})
+    base = F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in (("minx", "miny"), ("midx", "midy"), ("maxx", "maxy"))])
+    df = df.withColumn("base", base).select("page", "ord", G.line_polygon(F.col("base"), F.lit(20.0), F.lit(0.25)).alias("p")).withColumn("i", F.explode(F.array(*map(F.lit, range(3)))))
+    g = lambda j, c: F.round(F.get("p", j)[c], 3)
+    i = F.col("i")
+    return df.select("page", "ord", "i", g(i, "x").alias("up_x"), g(i, "y").alias("up_y"), g(5 - i, "x").alias("down_x"), g(5 - i, "y").alias("down_y"))
+
+
 @query("region_class", with_(V.REGIONS, V.CUSTOMS) + r"""SELECT page, ord, CASE WHEN regexp_extract(custom, 'readingOrder \{index:(.+?);\} structure \{type:(.+?);\}', 2) <> '' THEN regexp_extract(custom, 'readingOrder \{index:(.+?);\} structure \{type:(.+?);\}', 2)
  WHEN kind IN ('ImageRegion', 'GraphicRegion') THEN 'image' ELSE 'UnknownRegion' END AS class, nullif(regexp_extract(custom, 'structure \{type:(.+?);\}', 1), '') AS tag,
  CASE WHEN regexp_extract(custom, '\{type:(.*);\}', 1) IN ('article', 'article_') THEN 'paragraph' ELSE nullif(regexp_extract(custom, '\{type:(.*);\}', 1), '') END AS eval_tag,

@@ -271,3 +271,40 @@ def annotation_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = regions.groupBy("page_id").agg(F.lit("x.jpg").alias("image_filename"), F.lit(40).alias("width"), (16 * F.max("ord") + 20).alias("height"))
     nested = _parsed(pagexml.page_xml(pages, regions.drop("ord")))
     return P.label_counts(page_flow.annotation_rasters(nested)).withColumnRenamed("page", "page_id")
+
+
+@query("polygon_scan", with_(V.REGIONS, _PLACED, _SCAN) + "SELECT page AS page_id, 'r' || ord AS region_id, class, minx, miny, maxx, maxy FROM scan WHERE class IN ('paragraph', 'heading', 'table')")
+def polygon_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polygons of the classes that are evaluated, read from written pages."""
+    return pagexml.polygons(pagexml.region_table(_nested(spark, sf_dir)), ["paragraph", "heading", "table"]).drop("ord", "points")
+
+
+@query("predicted_lines", with_(V.REGIONS, _PLACED, _SCAN) + f"SELECT page AS page_id, 'r' || ord || '_tl_' || i AS line_id, i::INT AS position, minx AS x0 FROM ({_TEXT})")
+def predicted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines named by their region and place."""
+    df = _lines(_classed(spark, sf_dir).join(_order(_classed(spark, sf_dir)).select("page_id", "region_id"), ["page_id", "region_id"]))
+    return pagexml.predicted_lines(df).select("page_id", "line_id", "position", F.get("points", F.lit(0))["x"].alias("x0"))
+
+
+@query("hlna_scan", with_(V.REGIONS) + """SELECT page AS page_id, 'r' || ord AS region_id, (row_number() OVER (PARTITION BY page ORDER BY label IN (6, 7), ord) - 1)::INT AS ord,
+ CASE WHEN label IN (6, 7) THEN 'separator_vertical' WHEN label = 3 THEN 'article' WHEN label = 4 THEN 'heading' WHEN label = 5 THEN 'header' ELSE 'UnknownRegion' END AS class, minx AS x0, maxy AS y1 FROM regions""")
+def hlna_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of the second dialect: regions written with types and points, and read."""
+    df = V.regions(spark, sf_dir)
+    point = lambda x, y: F.format_string('<Point x="%d" y="%d"/>', x, y)
+    types = F.create_map(*[F.lit(x) for kv in {3: "paragraph", 4: "heading", 5: "header"}.items() for x in kv])
+    line = F.col("label").isin(6, 7)
+    kind = F.when(line, "SeparatorRegion").otherwise("TextRegion")
+    body = F.concat(F.lit("<"), kind, F.format_string(' id="r%d"', "ord"), F.when(line, "").otherwise(F.concat(F.lit(' type="'), F.coalesce(F.try_element_at(types, F.col("label")), F.lit("other")), F.lit('"'))), F.lit("><Coords>"), point("minx", "miny"), point("maxx", "maxy"), F.lit("</Coords></"), kind, F.lit(">"))
+    pages = df.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("ord", body.alias("b")))).alias("r"))
+    xml = F.concat(F.lit('<Page imageFilename="a.tif" imageWidth="10" imageHeight="20">'), F.array_join(F.transform("r", lambda r: r["b"]), ""), F.lit("</Page>"))
+    out = pagexml.parse_hlna(pages.select(F.col("page").alias("page_id"), xml.alias("xml")))
+    return out.select("page_id", "region_id", "ord", "class", F.get("points", F.lit(0))["x"].alias("x0"), F.get("points", F.lit(1))["y"].alias("y1"))
+
+
+@query("file_names", "SELECT doc_id, s AS source, doc_id || CASE s WHEN 'transkribus' THEN '.jpg' WHEN 'HLNA2013' THEN '.tif' ELSE '.png' END AS image, CASE s WHEN 'HLNA2013' THEN 'pc-' ELSE '' END || doc_id || '.npz' AS target FROM (SELECT doc_id, ['transkribus', 'HLNA2013', 'new'][1 + doc_id % 3] AS s FROM documents)")
+def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = F.get(F.array(*map(F.lit, ("transkribus", "HLNA2013", "new"))), (F.col("doc_id") % 3).cast("int"))
+    df = V.read(spark, sf_dir, "documents").select("doc_id", source.alias("source"))
+    names = files.file_names(F.col("source"), F.col("doc_id").cast("string"))
+    return df.select("doc_id", "source", *[v.alias(k) for k, v in names.items()])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.layout import alias_of
@@ -22,6 +22,14 @@ def suffixes(source: str) -> tuple[str, str]:
     return SUFFIXES.get(source, SUFFIXES["other"])
 
 
+def file_names(source: Column, page_id: Column) -> dict[str, Column]:
+    """image and target file names of a page by the source of its data; one source has a prefix before its targets."""
+    table = F.create_map(*[F.lit(x) for k, v in SUFFIXES.items() if k != "other" for x in (k, F.array(*map(F.lit, v)))])
+    own = F.coalesce(F.try_element_at(table, source), F.array(*map(F.lit, SUFFIXES["other"])))
+    prefix = F.when(source == "HLNA2013", "pc-").otherwise("")
+    return {"image": F.concat(page_id, own[0]), "target": F.concat(prefix, page_id, own[1])}
+
+
 def parse_split(df: DataFrame, value: str = "value") -> DataFrame:
     """split, page_id, and the other columns of df, of JSON objects {split: [stem, ...]}."""
     others = [c for c in df.columns if c != value]

@@ -105,9 +105,18 @@ def text_polygons(lines: DataFrame, with_text: bool = False) -> DataFrame:
     return df.where("text is not null") if with_text else df
 
 
+def parse_hlna(pages: DataFrame, xml: str = "xml") -> DataFrame:
+    """hlna_table of a string column, one Page element each."""
+    return hlna_table(pages.select("page_id", F.from_xml(F.col(xml), HLNA_SCHEMA).alias("x")).select("page_id", "x.*"))
+
+
 def read_hlna(spark: SparkSession, path: str) -> DataFrame:
+    """hlna_table of a folder of files."""
+    return hlna_table(spark.read.format("xml").option("rowTag", "Page").schema(HLNA_SCHEMA).load(path).select(_stem().alias("page_id"), "*"))
+
+
+def hlna_table(df: DataFrame) -> DataFrame:
     """page_id, width, height, region_id, ord, class, points of the second dialect. Every separator counts as vertical."""
-    df = spark.read.format("xml").option("rowTag", "Page").schema(HLNA_SCHEMA).load(path).select(_stem().alias("page_id"), "*")
     none = F.array().cast(f"array<{HLNA_SHAPE}>")
     # The dialect's types.
     known = F.create_map(F.lit("heading"), F.lit("heading"), F.lit("paragraph"), F.lit("article"), F.lit("header"), F.lit("header"))

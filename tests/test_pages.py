@@ -125,3 +125,35 @@ def test_middle_of_counted_values(spark):
     for k in {k for k, _ in rows}:
         v = sorted(x for i, x in rows if i == k and x is not None and x == x)
         assert got[k] == (v[(len(v) - 1) // 2], v[len(v) // 2])
+
+
+def test_samples_are_extracted_stored_and_split(spark, tmp_path):
+    import pyarrow as pa
+
+    from folioflow.sources import samples
+
+    class Lengths(samples.Samples):
+        schema = "page_id string, n int, target int"
+
+        def pages(self, spark):
+            return spark.createDataFrame([("a", "x y"), ("b", "z")], "page_id string, text string")
+
+        def extract(self, batch):
+            rows = [(p, i, len(w)) for p, t in zip(batch.column("page_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for i, w in enumerate(t.split())]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), *[pa.array([r[k] for r in rows], pa.int32()) for k in (1, 2)]], names=["page_id", "n", "target"])
+
+    Lengths().store(spark, str(tmp_path / "s"))
+    got = samples.stored(spark, str(tmp_path / "s"))
+    assert sorted(map(tuple, got.collect())) == [("a", 0, 1), ("a", 1, 1), ("b", 0, 1)]
+    splits_ = spark.createDataFrame([("Training", "a"), ("Test", "b")], "split string, page_id string")
+    assert {r.split: r.n for r in samples.split_sizes(got, splits_).collect()} == {"Training": 2, "Test": 1}
+    assert samples.joined_by_place(got, got.select("page_id", "n")).count() == 3
+
+
+def test_characters_go_there_and_back(spark):
+    from folioflow.functions import tokens as T
+
+    t: T.Tokenizer = T.Characters(max_length=512)
+    df = spark.createDataFrame([("d-p ſchön",), ("",)], "text string")
+    assert [r[0] for r in df.select(t.decode(t.encode(F.col("text")))).collect()] == ["d-p ſchön", ""]
+    assert len(t) == 4 + T.UNICODE + len(T.CUSTOM)
