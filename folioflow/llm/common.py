@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,16 +15,26 @@ WORD = "[^ \\t-\\r]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir. Only a session of one JVM may do without: it gets a folder of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="folioflow-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
+#: What each application has staged, in order: a path, and the name of its table in the catalog if it has one.
+_STAGED: dict[str, list[tuple[str, str | None]]] = {}
+
+
+def _noted(spark: SparkSession) -> list[tuple[str, str | None]]:
+    return _STAGED.setdefault(spark.sparkContext.applicationId, [])
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: lineage is cut, and a lost executor loses nothing.
 
@@ -31,6 +42,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _noted(spark).append((path, None))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -39,10 +51,29 @@ def staged_by(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     """As staged, with rows in `buckets` buckets by key: grouping by the key needs no shuffle of this table."""
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
-    df.write.bucketBy(buckets, key).option("path", f"{shared_dir(spark)}/{table}").saveAsTable(table)
+    path = f"{shared_dir(spark)}/{table}"
+    _noted(spark).append((path, table))
+    df.write.bucketBy(buckets, key).option("path", path).saveAsTable(table)
     return spark.table(table)
 
 
+def mark(spark: SparkSession) -> int:
+    """A point in the list of staged tables, for `clear`."""
+    return len(_noted(spark))
+
+
+def clear(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Removes what was staged after `since`, all but the last `keep` tables. Call it when the results that read these tables are written."""
+    noted = _noted(spark)
+    gone = noted[since : len(noted) - keep]
+    del noted[since : len(noted) - keep]
+    for path, name in gone:
+        if name:
+            spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def words(text: Column) -> Column:
     """The words of a text in order, as array<string>."""
     return F.array_remove(F.split(text, SPACE + "+"), "")
@@ -57,10 +88,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Bytes up to which a table whose rows have been counted is broadcast.
-BROADCAST = 32_000_000
+#: Bytes up to which a table that has been measured is broadcast.
+BROADCAST = 8_000_000
 
 
-def small(df: DataFrame, row_bytes: int) -> DataFrame:
-    """df, marked for broadcast if it measures below BROADCAST; else as it is, and the join shuffles. Counting reads df, so give it a written table."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST else df
+def small(df: DataFrame, row_bytes: int | Column) -> DataFrame:
+    """df, marked for broadcast if it measures below BROADCAST; else as it is, and the join shuffles.
+
+    row_bytes: the most that a row can take, or an expression for what each takes. Measuring reads df, so give it a
+    written table.
+    """
+    size = df.count() * row_bytes if isinstance(row_bytes, int) else df.agg(F.sum(row_bytes)).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST else df

@@ -9,13 +9,18 @@ around the similarity as with independent hashes. Rounds run for all unfinished
 Documents with equal sets are merged first: one row of each class goes on, and no copies are paired. Bands of ROWS
 coordinates propose pairs; a pair of similarity 0.8 escapes all 56 bands with probability 4e-8. Linking in two steps:
 first every member is compared with the first member of a bucket, of the one that shares most buckets with it (again
-with the first of the members left over, while large buckets have many and this links them); then, in each bucket that
-still holds several components, every member outside the largest of them with all members of other components that its
-sketch does not rule out, in blocks of bounded members and bytes on both sides. Pairs inside a component are not compared, they cannot change it, and the second step's pairs are never
-made rows. Every comparison counts the common shingles of the two whole texts.
+with the first of the members left over, while large buckets have many and this links them); these links are a forest,
+whose roots are the components so far. Then, in each bucket that still holds several components, every member outside
+the largest of them meets all members of other components that its sketch does not rule out, in blocks of bounded
+members and bytes on both sides. Pairs inside a component are not compared, they cannot change it, and the second
+step's pairs are never made rows. What it links are components, so only these, not documents, are connected again.
+Every comparison counts the common shingles of the two whole texts by their fingerprints: two different shingles share
+one with a probability of 2^-64, so a pair of texts of 100,000 words is misjudged with one below 1e-9.
 
 Defined cases: null and wordless texts have empty sets, stand alone and are kept; fewer words than `width` make one
-shingle; repeated rows are copies; ids must not be null (rows with a null id are left out); extra columns are ignored.
+shingle; repeated rows are copies; rows that share an id but not their text are linked with each other, and with
+whatever one of them is like; a row with a null id stands alone, is kept, and has a null component; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -29,14 +34,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small, staged
-from .components import components
+from .components import components, roots
 
 BANDS, ROWS = 56, 6
 COORDS = BANDS * ROWS
 #: Coordinates of which a byte is kept to compare members of a bucket, and by how much their share of equal ones may
 #: fall below the similarity: 5.5 standard deviations at 0.8, so a link escapes with a probability of 2e-8.
 MARKS, SLACK = COORDS, 0.12
-BLOCK = 1024
+BLOCK = 512
 #: Bytes of sets in a block.
 BLOCK_BYTES = 16_000_000
 U = np.uint64
@@ -119,20 +124,21 @@ def sketches(docs: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
                 ends = [np.array([f(s) for s in sets], dtype=U).view(np.int64) for f in (lambda s: mix(s + U(1)).sum(dtype=U), lambda s: mix(s + U(2)).sum(dtype=U))]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ends[0]), pa.array(ends[1]), pa.array(lists, pa.list_(pa.int64())), pa.array(marks, pa.binary()), pa.array(tags, pa.binary())], names=["doc_id", "n_shingles", "set_a", "set_b", "keys", "marks", "tags"])
 
-    some = docs.where(F.col(f"`{doc_id}`").isNotNull())
-    return some.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>, marks binary, tags binary")
+    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>, marks binary, tags binary")
 
 
-def texts_of(docs: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """id, text of the documents in ids (a written table of one column, id), each id once; other texts are not shuffled while ids are few."""
+def texts_of(docs: DataFrame, ids: DataFrame, doc_id: str, text: str, repeats: bool) -> DataFrame:
+    """id, text of the documents in ids (a written table of one column, id), each text of an id once; other texts are not shuffled while ids are few. repeats: whether an id may have several rows."""
     t = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    return t.join(small(ids, 16), "id", "left_semi").dropDuplicates(["id"])
+    t = t.join(small(ids, 16), "id", "left_semi")
+    return t.withColumn("__h", F.xxhash64("text")).dropDuplicates(["id", "__h"]).drop("__h") if repeats else t
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """a, b of the pairs whose whole shingle sets are similar enough. Only texts in a pair are shuffled, once for each side."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    t = texts_of(docs, staged(ids, "tried-ids"), doc_id, text)
+def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, doc_id: str, text: str, repeats: bool) -> DataFrame:
+    """The rows of pairs (a, b and more) whose whole shingle sets are similar enough. Only texts in a pair are shuffled, once for each side."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    t = texts_of(docs, staged(ids, "tried-ids"), doc_id, text, repeats)
+    names = pairs.columns
     met = pairs.join(t.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     met = met.join(t.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
 
@@ -140,15 +146,15 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, doc_i
         known, last, held = WordHash(), None, np.zeros(0, U)
         for x in batches:
             keep = []
-            for a, ta, tb in zip(x.column(0), x.column(2), x.column(3), strict=True):
-                if a.as_py() != last:
-                    last, held = a.as_py(), shingles(ta.as_py(), width, known)
+            for ta, tb in zip(x.column(0), x.column(1), strict=True):
+                if ta != last:
+                    last, held = ta, shingles(ta.as_py(), width, known)
                 other = shingles(tb.as_py(), width, known)
                 both = len(np.intersect1d(held, other, assume_unique=True))
                 keep.append(100 * both >= percent * (len(held) + len(other) - both))
-            yield x.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield x.select(names).filter(pa.array(keep, pa.bool_()))
 
-    return met.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return met.select("text_a", "text_b", *names).mapInArrow(run, pairs.schema).distinct()
 
 
 def _blocks(rows: DataFrame, size: Column) -> DataFrame:
@@ -195,21 +201,27 @@ def _columns(t: pa.Table, prefix: str) -> list[np.ndarray]:
     return [t.column(prefix + c).to_numpy() for c in ("doc_id", "n_shingles", "component")]
 
 
-def mixed(held: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows of `held` in buckets of several components, with their component; and these buckets' blocks. Both are written."""
-    at = held.join(comp.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+def relabelled(rows: DataFrame, label: str, comp: DataFrame) -> DataFrame:
+    """rows, with the component of what `label` names as their column component; an id that comp lacks is its own."""
+    now = comp.select(F.col("id").alias("__id"), F.col("component").alias("__to"))
+    out = rows.join(now, F.col(label) == F.col("__id"), "left").withColumn("__to", F.coalesce("__to", label))
+    return out.drop("__id", "component").withColumnRenamed("__to", "component")
+
+
+def mixed(at: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of `at` in buckets of several components; and these buckets' blocks. Both are written."""
     some = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     rows = staged(at.select("key", "band", "doc_id", "n_shingles", "component").join(some, "key"), "mixed")
     return rows, staged(_blocks(rows, F.lit(MARKS + 2 * BANDS)), "blocks")
 
 
 def further(rows: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
-    """a, b: the star step again, in buckets with more than a block of members outside the main component: these with the first of them, each member once."""
-    out = rows.join(blocks.where("xs > 1").select("key", "main"), "key").where("component <> main")
+    """a, b and their components: the star step again, in buckets with more than a block of members outside the main component: these with the first of them, each member once."""
+    out = rows.join(small(blocks.where("xs > 1").select("key", "main"), 16), "key").where("component <> main")
     hubs = out.groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles", "component")).alias("h")).select("key", F.col("h.doc_id").alias("a"), F.col("h.n_shingles").alias("n_hub"), F.col("h.component").alias("c_hub"))
     met = out.join(hubs, "key").where("component <> c_hub").where(100 * F.least("n_shingles", "n_hub") >= percent * F.greatest("n_shingles", "n_hub"))
-    best = met.groupBy("a", F.col("doc_id").alias("b")).agg(F.count(F.lit(1)).alias("n")).groupBy("b").agg(F.max(F.struct("n", F.negative("a").alias("a"))).alias("m"))
-    return best.select(F.negative("m.a").alias("a"), "b")
+    best = met.groupBy("a", F.col("doc_id").alias("b"), "c_hub", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("b").agg(F.max(F.struct("n", F.negative("a").alias("a"), "c_hub", "component")).alias("m"))
+    return best.select(F.negative("m.a").alias("a"), "b", F.col("m.c_hub").alias("of_a"), F.col("m.component").alias("of_b"))
 
 
 def suspects(rows: DataFrame, blocks: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
@@ -240,24 +252,25 @@ def suspects(rows: DataFrame, blocks: DataFrame, firsts: DataFrame, percent: int
         at, of = pa.array(found, pa.int64()), pa.array(np.flatnonzero(partners))
         return pa.table({c: pa.chunked_array([*x.column(f"x_{c}").take(at).chunks, *y.column(c).take(of).chunks], pa.int64()) for c in ("key", "doc_id", "n_shingles", "component")})
 
-    met = rows.join(blocks, "key").join(firsts.select("doc_id", "marks", "tags"), "doc_id")
+    met = rows.join(small(blocks, 32), "key").join(firsts.select("doc_id", "marks", "tags"), "doc_id")
     return _in_buckets(met, "band int, doc_id long, n_shingles long, component long, marks binary, tags binary", compare, "key long, doc_id long, n_shingles long, component long").distinct()
 
 
-def bucket_links(rows: DataFrame, docs: DataFrame, width: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """a, b: links between components in a bucket, found on whole shingle sets; of links that join the same parts, one."""
+def bucket_links(rows: DataFrame, docs: DataFrame, width: int, percent: int, doc_id: str, text: str, repeats: bool) -> DataFrame:
+    """a, b: components with a link in a bucket, found on whole shingle sets; of links that join the same parts, one."""
     blocks = _blocks(rows, 8 * F.col("n_shingles"))
-    t = texts_of(docs, staged(rows.select(F.col("doc_id").alias("id")).distinct(), "suspect-ids"), doc_id, text)
+    t = texts_of(docs, staged(rows.select(F.col("doc_id").alias("id")).distinct(), "suspect-ids"), doc_id, text, repeats)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHash()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(x.as_py(), width, known).tobytes() for x in b.column(1)], pa.binary())], names=["doc_id", "set"])
+            made = [shingles(x.as_py(), width, known) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in made], pa.int64()), pa.array([x.tobytes() for x in made], pa.binary())], names=["doc_id", "n_shingles", "set"])
 
     def compare(x: pa.Table, y: pa.Table) -> pa.Table:
         links: list[tuple[int, int]] = []
         if x.num_rows and y.num_rows:
-            (ids, sizes, comps), (oid, osize, ocomp) = _columns(x, "x_"), _columns(y, "")
+            (ids, sizes, comps), (_, osize, ocomp) = _columns(x, "x_"), _columns(y, "")
             own = [np.frombuffer(v, U) for v in x.column("x_set").to_pylist()]
             flat = np.frombuffer(b"".join(y.column("set").to_pylist()), U)
             words, code = np.unique(flat, return_inverse=True)
@@ -279,10 +292,10 @@ def bucket_links(rows: DataFrame, docs: DataFrame, width: int, percent: int, doc
                     a, b = top(int(comps[i])), top(int(ocomp[j]))
                     if a != b:
                         root[max(a, b)] = min(a, b)
-                        links.append((int(ids[i]), int(oid[j])))
+                        links.append((int(comps[i]), int(ocomp[j])))
         return pa.table({"a": pa.array([p[0] for p in links], pa.int64()), "b": pa.array([p[1] for p in links], pa.int64())})
 
-    met = rows.join(blocks, "key").join(t.mapInArrow(sets, "doc_id long, set binary"), "doc_id")
+    met = rows.join(blocks, "key").join(t.mapInArrow(sets, "doc_id long, n_shingles long, set binary"), ["doc_id", "n_shingles"])
     return _in_buckets(met, "doc_id long, n_shingles long, component long, set binary", compare, "a long, b long")
 
 
@@ -290,14 +303,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     """doc_id, n_shingles, component_id (smallest linked doc_id), kept (doc_id = component_id)."""
     docs = docs.select(F.col(f"`{doc_id}`"), F.col(f"`{text}`"))
     rows = staged(sketches(docs, width, doc_id, text), "sketches")
-    full = rows.where("n_shingles > 0")
-    classes = staged(full.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("first")), "classes")
-    firsts = full.join(small(classes.select(F.col("first").alias("doc_id")), 16), "doc_id", "left_semi")
+    full = rows.where("n_shingles > 0 and doc_id is not null")
+    the_set = ["set_a", "set_b", "n_shingles"]
+    classes = staged(full.groupBy(*the_set).agg(F.min("doc_id").alias("first")), "classes")
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("set_a", "set_b") for f in (F.min, F.max)]
+    again = staged(full.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), *ends).where("n > 1"), "repeated-ids")
+    repeats = not again.isEmpty()
+    firsts = full.join(small(classes.select(F.col("first").alias("doc_id"), "set_a", "set_b"), 24), ["doc_id", "set_a", "set_b"], "left_semi")
     buckets = firsts.select("doc_id", "n_shingles", F.posexplode("keys").alias("band", "key"))
     shared = staged(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last").select("key", "hub"), "shared")
     # rows of buckets with more than one member: (key, band, doc_id, n_shingles, hub); a repeated row of a first document once
-    held = staged(buckets.join(small(shared, 32), "key").distinct(), "buckets")
-    firsts = firsts.select("doc_id", "marks", "tags").dropDuplicates(["doc_id"])
+    held = buckets.join(small(shared, 32), "key")
+    held = staged(held.distinct() if repeats else held, "buckets")
+    firsts = firsts.select("doc_id", "marks", "tags")
+    firsts = firsts.distinct() if repeats else firsts
 
     def fits(x: str, y: str) -> Column:
         return 100 * F.least(x, y) >= percent * F.greatest(x, y)
@@ -305,25 +324,35 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     sizes = held.where("doc_id = hub").select("key", F.col("n_shingles").alias("n_hub"))
     star = held.where("doc_id <> hub").join(sizes, "key").where(fits("n_shingles", "n_hub")).groupBy(F.col("hub").alias("a"), F.col("doc_id").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     best = star.groupBy("b").agg(F.max(F.struct("n", F.negative("a").alias("a"))).alias("m")).select(F.negative("m.a").alias("a"), "b")
-    tried = staged(best, "tried")
-    links = staged(confirmed(tried, docs, width, percent, doc_id, text), "links")
-    rows_of, blocks = mixed(held, components(links))
+    comp = roots(confirmed(staged(best, "tried"), docs, width, percent, doc_id, text, repeats))
+    rows_of, blocks = mixed(relabelled(held.drop("hub"), "doc_id", comp))
+    links: list[DataFrame] = []  # between components
     while tries := (pairs := staged(further(rows_of, blocks, percent), "tried-further")).count():
-        more = staged(confirmed(pairs, docs, width, percent, doc_id, text), "further-links")
-        links = staged(links.unionByName(more), "links")
-        done = 20 * more.count() < tries  # too few to be worth a round: what is left is compared in blocks
-        rows_of, blocks = mixed(rows_of.drop("component"), components(links))
+        found = staged(confirmed(pairs, docs, width, percent, doc_id, text, repeats), "further-links")
+        now = components(found, "of_a", "of_b")
+        links.append(now.select("id", "component"))
+        done = 20 * found.count() < tries  # too few to be worth a round: what is left is compared in blocks
+        rows_of, blocks = mixed(relabelled(rows_of, "component", now))
         if done:
             break
     left = staged(suspects(rows_of, blocks, firsts, percent), "suspects")
-    links = links.unionByName(staged(bucket_links(left, docs, width, percent, doc_id, text), "more-links"))
-    comp = components(links)
-    of = classes.join(comp.select(F.col("id").alias("first"), "component"), "first", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "first").alias("component"))
-    out = rows.drop("keys", "marks", "tags").join(small(staged(of, "class-components"), 48), ["set_a", "set_b", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    links.append(staged(bucket_links(left, docs, width, percent, doc_id, text, repeats), "more-links"))
+    if repeats:  # the texts of one id
+        of = full.join(again.where("min_set_a <> max_set_a or min_set_b <> max_set_b"), "doc_id", "left_semi").join(classes, the_set).groupBy("doc_id").agg(F.collect_set("first").alias("f"))
+        ends = of.select(F.array_min("f").alias("x"), F.explode("f").alias("y")).where("x <> y")
+        ends = relabelled(relabelled(ends, "x", comp).drop("x").withColumnRenamed("component", "x"), "y", comp)
+        links.append(staged(ends.select("x", "component"), "links-of-ids"))
+    joined = links[0].toDF("a", "b")
+    for more in links[1:]:
+        joined = joined.unionByName(more.toDF("a", "b"))
+    again_of = components(joined)
+    of = relabelled(relabelled(classes, "first", comp), "component", again_of)
+    out = rows.drop("keys", "marks", "tags").join(small(staged(of.select(*the_set, "component"), "class-components"), 48), the_set, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the documents that near_duplicates does not keep; repeated rows of a kept id stay together, null ids stay."""
-    gone = near_duplicates(docs, width, percent, doc_id, text).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(f"`{doc_id}`") == F.col("__gone"), "left_anti")
+    gone = staged(near_duplicates(docs, width, percent, doc_id, text).where("not kept").select(F.col("doc_id").alias("id")).distinct(), "gone-ids")
+    where = docs.withColumn("__struct", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select("__struct", F.col(f"`{doc_id}`").cast("long").alias("id"))
+    return where.join(small(gone, 16), "id", "left_anti").select("__struct.*")
