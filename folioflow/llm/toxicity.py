@@ -1,10 +1,13 @@
 """Toxicity: a linear-chain conditional random field tags toxic spans; marginals give document scores and offsets.
 
-Learning takes a bounded sample of labelled documents (`MAX_TOXIC` and `MAX_CLEAN` rows of at most `MAX_CHARS`
-characters, chosen by a hash of their text). A token is labelled toxic when its document is and the token's form is
-found in toxic documents far more often than in clean ones; so document labels become token labels. The field has a
-weight for each form of a bounded list, one for all other forms, and four transition weights, fitted by gradient
-ascent of the penalised conditional likelihood; expectations come from forward and backward passes. A document's score
+Learning takes a bounded sample of labelled documents: at most `max_toxic` and `max_clean` rows of at most `max_chars`
+characters, the first by a hash of their ids among those that have a document, and of each class no more of them than
+fit in half of `max_tokens` tokens. One task fits the model, wherever Spark puts it, and only weights come back. A
+token is labelled toxic when its document is and the token's form is found in toxic documents far more often than in
+clean ones: log odds of at least `LEAST_ODDS`, and that at least `LEAST_Z` standard errors from none, so the rule
+scales with the sample; document labels become token labels. The field has a weight for each form of a bounded list,
+one for all other forms, and four transition weights, fitted by gradient ascent of the penalised conditional
+likelihood; expectations come from forward and backward passes over segments of `SEGMENT` tokens. A document's score
 is a logistic function, fitted on the same sample, of its expected number of toxic tokens and its highest marginal.
 
 Scoring maps over whole texts where they lie: the model is a few thousand weights, and nothing is shuffled. A form is
@@ -25,12 +28,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1500, 2500, 20_000
+from .common import staged
+
 FORMS = 4096
-MIN_RATIO, MIN_DOCS = 4.0, 5  # log of the odds that make a form toxic, documents it must be in
+LEAST_ODDS, LEAST_Z = 4.0, 2.75
+SEGMENT = 256
 BATCH_TOKENS = 2_000_000
 EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 TOKEN = re.compile(r"[^ \t-\r]+")
@@ -118,6 +123,17 @@ def features(probs: list[np.ndarray]) -> np.ndarray:
     return np.array([[1.0, np.log1p(p.sum()), p.max(initial=0.0)] for p in probs]).reshape(-1, 3)
 
 
+def toxic_forms(hit: Counter, miss: Counter, n_toxic: int, n_clean: int) -> dict[str, float]:
+    """form -> log odds of the forms that toxic documents have far more often; hit and miss: documents of each class that have a form."""
+    out = {}
+    for w, h in hit.items():
+        a, b, c, d = h + 0.5, n_toxic - h + 0.5, miss[w] + 0.5, n_clean - miss[w] + 0.5
+        odds = float(np.log(a * d / (b * c)))
+        if odds >= LEAST_ODDS and odds >= LEAST_Z * (1 / a + 1 / b + 1 / c + 1 / d) ** 0.5:
+            out[w] = odds
+    return out
+
+
 def fit(rows: list[tuple[str, int]], rounds: int = 40, penalty: float = 0.05) -> Model:
     """The field and the logistic function from (text, label) rows."""
     rows = sorted(set(rows))
@@ -133,27 +149,27 @@ def fit(rows: list[tuple[str, int]], rounds: int = 40, penalty: float = 0.05) ->
     hit, miss = Counter(), Counter()
     for ts, label in zip(tokens, y, strict=True):
         (hit if label else miss).update(set(ts) - {""})
-    odds = {w: np.log((hit[w] + 0.5) / (y.sum() + 1)) - np.log((miss[w] + 0.5) / (len(y) - y.sum() + 1)) for w in hit}
-    toxic = {w for w, o in odds.items() if o >= MIN_RATIO and hit[w] >= max(MIN_DOCS, 0.02 * y.sum())}
+    toxic = toxic_forms(hit, miss, int(y.sum()), int(len(y) - y.sum()))
     often = hit + miss
-    forms = sorted(toxic, key=lambda w: (-odds[w], w))[:FORMS]
+    forms = sorted(toxic, key=lambda w: (-toxic[w], w))[:FORMS]
     forms += [w for w in sorted(often, key=lambda w: (-often[w], w)) if w not in toxic][: FORMS - len(forms)]
     at = {w: i for i, w in enumerate(forms)}
     other = len(forms)
-    ids = [np.array([at.get(w, other) for w in ts], dtype=np.int64) for ts in tokens]
+    ids = [np.array([at.get(w, other) for w in ts], dtype=np.int32) for ts in tokens]
     tags = [np.array([label and w in toxic for w in ts], dtype=float) for ts, label in zip(tokens, y, strict=True)]
-    flat, flags = np.concatenate(ids), np.concatenate(tags)
+    del tokens
+    short = [x[i : i + SEGMENT] for x in ids for i in range(0, len(x), SEGMENT)]
+    flat, flags = np.concatenate([np.zeros(0, np.int32), *short]), np.concatenate([np.zeros(0), *tags])
     seen = np.bincount(flat, flags, other + 1)
     moves = np.zeros((2, 2))
-    for t in tags:
-        z = t.astype(int)
-        np.add.at(moves, (z[:-1], z[1:]), 1)
+    for t in (x[i : i + SEGMENT].astype(int) for x in tags for i in range(0, len(x), SEGMENT)):
+        np.add.at(moves, (t[:-1], t[1:]), 1)
     w, trans = np.zeros(other + 1), np.zeros((2, 2))
     w[:] = np.log((flags.sum() + 1) / (len(flags) - flags.sum() + 1))
     gw, gt = np.full(other + 1, 1e-3), np.full((2, 2), 1e-3)
     for _ in range(rounds):  # AdaGrad
-        probs, counts, _ = marginals([w[i] for i in ids], trans)
-        dw = seen - np.bincount(flat, np.concatenate(probs), other + 1) - penalty * w
+        probs, counts, _ = marginals([w[i] for i in short], trans)
+        dw = seen - np.bincount(flat, np.concatenate([np.zeros(0), *probs]), other + 1) - penalty * w
         dt = moves - counts - penalty * trans
         gw, gt = gw + dw * dw, gt + dt * dt
         w, trans = w + 1.0 * dw / np.sqrt(gw), trans + 0.5 * dt / np.sqrt(gt)
@@ -168,20 +184,38 @@ def fit(rows: list[tuple[str, int]], rounds: int = 40, penalty: float = 0.05) ->
     return model
 
 
-def sample(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str, text: str) -> list[Row]:
-    """At most MAX_TOXIC + MAX_CLEAN labelled texts, chosen by hash; `learn` speaks of the column doc_id."""
+def sample(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str, text: str, max_toxic: int, max_clean: int, max_chars: int, max_tokens: int) -> DataFrame:
+    """text, toxic of the labelled documents that are learnt from (see above); `learn` speaks of the column doc_id."""
     of = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(learn & F.col("toxic").isin(0, 1))
     of = of.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    t = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).where(F.char_length("text") <= max_chars)
+    found = of.join(t.select("doc_id"), "doc_id", "left_semi")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    # at most MAX_TOXIC + MAX_CLEAN ids
-    ids = of.where("toxic = 1").orderBy(*order).limit(MAX_TOXIC).unionByName(of.where("toxic = 0").orderBy(*order).limit(MAX_CLEAN))
-    t = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    met = t.where(F.char_length("text") <= MAX_CHARS).join(F.broadcast(ids), "doc_id")
-    return met.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic").limit(MAX_TOXIC + MAX_CLEAN).collect()
+    ids = found.where("toxic = 1").orderBy(*order).limit(max_toxic).unionByName(found.where("toxic = 0").orderBy(*order).limit(max_clean))
+    # at most max_toxic + max_clean ids
+    met = t.join(F.broadcast(staged(ids, "sample-ids")), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    tokens = F.sum(F.regexp_count("text", F.lit("[^ \\t-\\r]+"))).over(Window.partitionBy("toxic").orderBy(*order))
+    return met.withColumn("__n", tokens).where(F.col("__n") <= max_tokens // 2).select("text", "toxic")
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, doc_id: str = "doc_id", text: str = "text") -> Model:
-    return fit([(r.text, r.toxic) for r in sample(docs, labels, F.lit(True) if learn is None else learn, doc_id, text)])
+MODEL = "forms array<string>, weights array<double>, other double, trans array<double>, logistic array<double>, prior double"
+
+
+def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, doc_id: str = "doc_id", text: str = "text", max_toxic: int = 1500, max_clean: int = 2500, max_chars: int = 20_000, max_tokens: int = 3_000_000) -> Model:
+    """The model, fitted in one task on the bounded sample."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = fit([(t, y) for b in batches for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)])
+        row = {"forms": list(m.forms), "weights": list(m.forms.values()), "other": m.other, "trans": m.trans.reshape(-1).tolist(), "logistic": list(m.logistic), "prior": m.prior}
+        d = pa.float64()
+        kinds = {"forms": pa.list_(pa.string()), "weights": pa.list_(d), "other": d, "trans": pa.list_(d), "logistic": pa.list_(d), "prior": d}
+        yield pa.RecordBatch.from_arrays([pa.array([row[k]], v) for k, v in kinds.items()], names=list(kinds))
+
+    some = sample(docs, labels, F.lit(True) if learn is None else learn, doc_id, text, max_toxic, max_clean, max_chars, max_tokens)
+    r = staged(some.repartition(1).mapInArrow(run, MODEL), "toxicity-model").first()  # one row of at most FORMS weights
+    if r is None:  # Spark may find out beforehand that there is no row
+        return Model(prior=0.0)
+    return Model(dict(zip(r.forms, r.weights, strict=True)), r.other, np.array(r.trans).reshape(2, 2), tuple(r.logistic), r.prior)
 
 
 def spans(text: str, p: np.ndarray, least: float = 0.5) -> list[dict]:
