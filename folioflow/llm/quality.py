@@ -137,16 +137,18 @@ def judged(feats: DataFrame, fence: DataFrame, lang: str = "lang", source: str =
     return met.withColumns({f"{prefix}base_failed": base_failed(prefix), f"{prefix}kept": good}).drop("__key", "__fence")
 
 
-def quality_rules(docs: DataFrame, min_group: int = 50, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
+def quality_rules(docs: DataFrame, min_group: int = 50, lang: str = "lang", source: str = "source", text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, the base features, base_failed and kept of every document. Texts are read once and never shuffled."""
-    found = staged(features(docs, text, ["doc_id", lang, source]), "quality-features")
-    fence = staged(thresholds(sketches(found, lang, source), min_group), "quality-fences")
-    return judged(found, fence, lang, source).drop(lang, source)
+    own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("text"))
+    found = staged(features(own, "text", ["doc_id", "lang", "source"]), "quality-features")
+    fence = staged(thresholds(sketches(found), min_group), "quality-fences")
+    return judged(found, fence).drop("lang", "source")
 
 
 def quality_filter(docs: DataFrame, min_group: int = 50, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
-    """The documents that quality_rules keeps, with all their columns. Features are computed again rather than shuffling texts to join them."""
+    """The documents that quality_rules keeps, with all their columns. They are written once with their features beside them, which costs less than computing features twice or shuffling texts to join them."""
     p = "__f_"
-    fence = staged(thresholds(sketches(features(docs, text, [lang, source], p), lang, source, p), min_group), "quality-fences")
-    met = judged(features(docs, text, docs.columns, p), fence, lang, source, p)
+    found = staged(features(docs, text, docs.columns, p), "quality-features")
+    fence = staged(thresholds(sketches(found, lang, source, p), min_group), "quality-fences")
+    met = judged(found, fence, lang, source, p)
     return met.where(F.col(f"{p}kept")).select(*[f"`{c}`" for c in docs.columns])
