@@ -28,10 +28,12 @@ def matched(found: DataFrame, by: list[str], threshold: float = 0.0) -> DataFram
     """by, p, g, iou of the greedy one-to-one matching of pairs at or above the threshold: the best pair first, ties by place."""
     some = found.where((F.col("iou") >= threshold) & (F.col("iou") > 0))
     ranked = F.sort_array(F.collect_list(F.struct(F.negative("iou").alias("k"), "p", "g")))
-    free = lambda acc, x: ~F.exists(acc, lambda y: (y["p"] == x["p"]) | (y["g"] == x["g"]))
-    start = F.expr("array()").cast("array<struct<k:double,p:int,g:int>>")
-    taken = F.aggregate("ranked", start, lambda acc, x: F.when(free(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
-    best = some.groupBy(*by).agg(ranked.alias("ranked")).select(*by, F.explode(taken).alias("x"))
+    # taken places are searched as arrays of numbers, without a call for each of them
+    free = lambda acc, x: ~(F.array_contains(acc["p"], x["p"]) | F.array_contains(acc["g"], x["g"]))
+    start = F.expr("named_struct('k', array(), 'p', array(), 'g', array())").cast("struct<k:array<double>,p:array<int>,g:array<int>>")
+    more = lambda acc, x: F.struct(*[F.array_append(acc[c], x[c]).alias(c) for c in "kpg"])
+    taken = F.aggregate("ranked", start, lambda acc, x: F.when(free(acc, x), more(acc, x)).otherwise(acc))
+    best = some.groupBy(*by).agg(ranked.alias("ranked")).select(*by, taken.alias("t")).select(*by, F.explode(F.arrays_zip("t.k", "t.p", "t.g")).alias("x"))
     return best.select(*by, F.col("x.p").alias("p"), F.col("x.g").alias("g"), F.negative("x.k").alias("iou"))
 
 
