@@ -1,18 +1,22 @@
-"""Language-model scoring: a Katz backoff model of word pairs, counted over the whole training part and evaluated per token.
+"""Language-model scoring: a Katz backoff model of any order, counted over the whole training part and evaluated per token.
 
-P(w | h) = d(c) c(h w) / c(h) where the pair was seen in training, else a(h) P(w); P(w) = d(c) c(w) / N where the word
-was seen, else the mass that the words' discounts leave (one unknown type). d are Good-Turing discounts with Katz's
-correction for counts up to 5; a(h) = (1 - sum of h's discounted pairs) / (1 - sum of P(w) of h's followers), so every
-history's probabilities add up to one. Where no discount leaves mass, one count is added to the total and left over.
+P(w | h) = d(c) c(h w) / c(h) where the words h w were seen in training, else a(h) P(w | h'), where h' lacks h's first
+word; P(w) = d(c) c(w) / N where the word was seen, else the mass that the words' discounts leave (one unknown type).
+d are Good-Turing discounts with Katz's correction for counts up to 5, for each length of n-grams; a(h) = (1 - sum of
+h's discounted followers) / (1 - sum of their P(w | h')), so every history's probabilities add up to one. Where no
+discount leaves mass, one count is added to the total and left over. A document is preceded by start marks.
 
 How it runs: a first pass turns each stretch of documents (about `STRETCH` tokens, written to the shared folder) into a
-sorted list of word hashes and a stream of places in it. A stretch sends each of its distinct words, and then each of
-its distinct pairs, once, with its training count, to the bucket of the word or of the pair's history; the bucket adds
-the counts of all stretches up and answers each of them, in order. Buckets (`BUCKET` tokens each) are the model's
-partitioned tables; the answers are all that a stretch needs to score its documents, so the model is never collected
-or broadcast. The pairs of a history with more than 1 / min(buckets, `HOT`) of all tokens are dealt over several
-buckets by their second word; the sums of these histories, at most HOT of them, are added up and sent to all tasks.
-Words are told apart by 64-bit hashes, a history's followers by 48 bits and their counts. Arrays travel as zstd bytes.
+sorted list of word hashes and a stream of places in it. A stretch sends each of its distinct words, and then, length
+by length, each of its distinct n-grams, once, with its training count, to the bucket of the word or of the n-gram's
+history; the bucket adds the counts of all stretches up and answers each of them, in order. Buckets (`BUCKET` tokens
+each) are the model's partitioned tables; the answers are all that a stretch needs to score its documents, so the model
+is never collected or broadcast. Answers about a history are whole numbers: how many followers were seen 1 to 5 times,
+how many of them have 1 to 5 counts without the history's first word, and the sum of the larger such counts; sums of
+discounted probabilities follow from these. The n-grams of a history with more than 1 / min(buckets, `HOT`) of all
+tokens are dealt over several buckets by their last word; the numbers of these histories, at most HOT of them, are
+added up and sent to all tasks. Words are told apart by 64-bit hashes; each then has a number of its own (bucket and
+place in it), and n-grams are told apart by these numbers. Arrays travel as zstd bytes.
 
 Defined cases: null and empty texts have the end token alone; rows whose `train` is null are not learnt from; without
 training rows every probability is that of one unknown type (score 0) and N is 0; repeated rows count and are scored
@@ -36,7 +40,9 @@ STRETCH = 1_500_000
 BUCKET = 1_500_000
 HOT = 65_536
 K = 5
-END, BEGIN = U(0xEF46DB3751D8E999), U(0x0123456789ABCDEF)
+END = U(0xEF46DB3751D8E999)
+#: The number of the start mark, above those of all words.
+BEGIN = np.int64(1 << 62)
 
 
 def pack(a: np.ndarray, ordered: bool = False) -> bytes:
@@ -113,8 +119,22 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+class Grams:
+    """The distinct n-grams of one length in a stretch, sorted: places of their histories (n-grams one shorter; the last place is that of start marks alone), of their last words and of what they are without their first word; training counts; each token's n-gram."""
+
+    def __init__(self, shorter: np.ndarray, n_shorter: int, s: Stretch) -> None:
+        before = np.empty_like(shorter)
+        before[1:] = shorter[:-1]
+        before[s.starts] = n_shorter
+        code, self.which = np.unique(before * len(s.words) + s.at, return_inverse=True)
+        self.history, self.word = code // len(s.words), code % len(s.words)
+        self.tail = np.empty(len(code), np.int64)
+        self.tail[self.which] = shorter
+        self.n = np.bincount(self.which[s.learn], minlength=len(code)).astype(np.int32)
+
+
 class Stretch:
-    """One stretch's tokens: `at` are places in `words`; place len(words) is the start of a document."""
+    """One stretch's tokens and what is known of its n-grams: `at` are places in `words`."""
 
     def __init__(self, row: dict) -> None:
         self.row = row
@@ -127,24 +147,52 @@ class Stretch:
     def word_counts(self) -> np.ndarray:
         return np.bincount(self.at[self.learn], minlength=len(self.words)).astype(np.int32)
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Places of histories and of words of the distinct pairs, sorted; their training counts; each token's pair."""
-        before = np.empty_like(self.at)
-        before[1:] = self.at[:-1]
-        before[self.starts] = len(self.words)
-        code, which = np.unique(before * len(self.words) + self.at, return_inverse=True)
-        n = np.bincount(which[self.learn], minlength=len(code)).astype(np.int32)
-        return code // len(self.words), code % len(self.words), n, which
-
-    def dealt(self, h: np.ndarray, w: np.ndarray, count: np.ndarray, total: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Order that sorts pairs by bucket (then as they were), the buckets in that order, and which histories are hot."""
-        hashes = np.append(self.words, BEGIN)
-        spread = np.maximum(1, -(-count * min(1 << bits, HOT) // max(total, 1)))
-        base = mix(hashes) >> U(64 - bits) if bits else np.zeros(len(hashes), U)
-        bucket = (base[h] + mix(hashes[w]) % spread[h].astype(U)) % U(1 << bits)
+    def open(self, replies: pa.Table, starts: int, total: int, bits: int) -> None:
+        """Takes the words' answers. keys: the numbers of the longest n-grams so far, start marks last; counts: theirs."""
+        self.deal, self.starts_seen = (total, bits), starts
+        rows = sorted((r for r in replies.to_pylist() if r["level"] == 1), key=lambda r: r["bucket"])
+        self.ids = np.concatenate([(r["bucket"] << 32) + unpack(r["ids"], np.int64, True) for r in rows])
+        self.counts = np.append(np.concatenate([unpack(r["counts"], np.int64) for r in rows]), starts)
+        self.keys = [np.append(self.ids, BEGIN)]
+        self.grams: list[Grams] = []
+
+    def deepen(self) -> Grams:
+        """The next longer n-grams; `dealt` speaks of them until `take` has their counts."""
+        g = Grams(self.grams[-1].which, len(self.grams[-1].history), self) if self.grams else Grams(self.at, len(self.words), self)
+        self.grams.append(g)
+        return g
+
+    def dealt(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Order that sorts the longest n-grams by bucket (then as they were), the buckets in that order, and which histories are hot."""
+        g, (total, bits) = self.grams[-1], self.deal
+        h = np.zeros(len(self.counts), U)
+        for k in self.keys:
+            h = mix(h + k.view(U))
+        spread = np.maximum(1, -(-self.counts * min(1 << bits, HOT) // max(total, 1)))
+        base = h >> U(64 - bits) if bits else np.zeros(len(h), U)
+        bucket = (base[g.history] + mix(self.ids.view(U))[g.word] % spread[g.history].astype(U)) % U(1 << bits)
         order = np.argsort(bucket, kind="stable")
         return order, bucket[order], spread > 1
 
+    def take(self, counts: np.ndarray) -> None:
+        """The training counts of the longest n-grams."""
+        g = self.grams[-1]
+        self.keys = [np.append(k[g.history], BEGIN) for k in self.keys] + [np.append(self.ids[g.word], BEGIN)]
+        self.counts = np.append(counts, self.starts_seen)
+
+    def answers(self, replies: pa.Table, level: int) -> Iterator[tuple[np.ndarray, dict]]:
+        """The places of the longest n-grams that each bucket has answered, and its answer."""
+        order, buckets, _ = self.dealt()
+        found = {r["bucket"]: r for r in replies.to_pylist() if r["level"] == level}
+        for k, cut in _cut(buckets):
+            yield order[cut], found[k]
+
+    def counted(self, replies: pa.Table, level: int) -> np.ndarray:
+        out = np.empty(len(self.grams[-1].history), np.int64)
+        for mine, r in self.answers(replies, level):
+            out[mine] = unpack(r["counts"], np.int64)
+        return out
+
 
 def _cut(buckets: np.ndarray) -> list[tuple[int, slice]]:
     ends = np.flatnonzero(np.append(np.diff(buckets) != 0, True)) + 1 if len(buckets) else []
@@ -159,8 +207,23 @@ def _rows(table: pa.Table, key: str) -> list[dict]:
     return sorted(table.to_pylist(), key=lambda r: r[key])
 
 
-def katz_scores(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score (log10) of every document."""
+def _table(columns: dict[str, list], **kinds: pa.DataType) -> pa.Table:
+    return pa.table({k: pa.array(v, kinds.get(k, pa.binary())) for k, v in columns.items()})
+
+
+def _times(c: np.ndarray) -> list[int]:
+    """How many have a count of 1 to K + 1."""
+    return np.bincount(np.minimum(c, K + 2), minlength=K + 3)[1 : K + 2].tolist()
+
+
+REPLY = "of long, level int, bucket int, counts binary, ids binary, few binary, low binary, rest binary"
+I32, I64 = pa.int32(), pa.int64()
+
+
+def katz_scores(docs: DataFrame, train: Column, order: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score (log10) of every document, under a model of n-grams of up to `order` words."""
+    if order < 1:
+        raise ValueError("the order is at least 1")
     spark = docs.sparkSession
     some = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), train.alias("train"), F.col(f"`{text}`").alias("text"))
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -174,131 +237,158 @@ def katz_scores(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: st
                 s = Stretch(r)
                 n = s.word_counts()
                 cuts = _cut(s.words >> U(64 - bits) if bits else np.zeros(len(s.words), U))
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([k for k, _ in cuts], pa.int32()), "stretch": pa.array([r["stretch"]] * len(cuts), pa.int64()), "words": pa.array([pack(s.words[c], True) for _, c in cuts], pa.binary()), "n": pa.array([pack(n[c]) for _, c in cuts], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array([k for k, _ in cuts], I32), "stretch": pa.array([r["stretch"]] * len(cuts), I64), "words": pa.array([pack(s.words[c], True) for _, c in cuts], pa.binary()), "n": pa.array([pack(n[c]) for _, c in cuts], pa.binary())})
 
     def count_words(t: pa.Table) -> pa.Table:
         rows = _rows(t, "stretch")
         parts = [unpack(r["words"], U, True) for r in rows]
         words, at = np.unique(np.concatenate(parts), return_inverse=True)
         c = np.bincount(at, np.concatenate([unpack(r["n"], np.int32) for r in rows]), len(words)).astype(np.int64)
-        stats = [int(c.sum()), int((c > 0).sum()), *np.bincount(np.minimum(c, K + 2), minlength=K + 3)[1 : K + 2].tolist()]
-        ends = np.cumsum([len(p) for p in parts])
-        out = [pack(x) for x in np.split(c[at], ends[:-1])]
-        bucket = rows[0]["bucket"]
-        return pa.table({"stretch": pa.array([*(r["stretch"] for r in rows), None], pa.int64()), "bucket": pa.array([bucket] * (len(rows) + 1), pa.int32()), "counts": pa.array([*out, None], pa.binary()), "stats": pa.array([*([None] * len(rows)), stats], pa.list_(pa.int64()))})
+        cuts = np.cumsum([len(p) for p in parts])[:-1]
+        stats = [int(c.sum()), int((c > 0).sum()), *_times(c)]
+        out = {"stretch": [*(r["stretch"] for r in rows), None], "bucket": [rows[0]["bucket"]] * (len(rows) + 1), "counts": [*(pack(x) for x in np.split(c[at], cuts)), None], "ids": [*(pack(x.astype(np.int64), True) for x in np.split(at, cuts)), None], "stats": [*([None] * len(rows)), stats]}
+        return _table(out, stretch=I64, bucket=I32, stats=pa.list_(I64))
 
     asked = laid.mapInArrow(ask_words, "bucket int, stretch long, words binary, n binary")
-    words = staged(asked.groupBy("bucket").applyInArrow(count_words, "stretch long, bucket int, counts binary, stats array<long>"), "lm-words")
+    words = staged(asked.groupBy("bucket").applyInArrow(count_words, "stretch long, bucket int, counts binary, ids binary, stats array<long>"), "lm-words")
     sums = words.where("stats is not null").agg(*[F.sum(F.col("stats")[i]) for i in range(K + 3)]).first()  # one row
     total, types, *n1 = [int(x or 0) for x in sums]
     uni = Unigrams(total, types, [0, *n1])
     starts = int(laid.select(F.sum(F.expr("size(filter(train, x -> x))"))).first()[0] or 0)
-
-    def with_counts(laid_row: pa.Table, replies: pa.Table) -> tuple[Stretch, np.ndarray]:
-        """The stretch and the training count of each of its places, the start of documents included."""
-        s = Stretch(laid_row.to_pylist()[0])
-        c = np.concatenate([unpack(r["counts"], np.int64) for r in _rows(replies, "bucket")])
-        return s, np.append(c, starts)
-
-    def ask_pairs(laid_row: pa.Table, replies: pa.Table) -> pa.Table:
-        s, c = with_counts(laid_row, replies)
-        h, w, n, _ = s.pairs()
-        order, buckets, hot = s.dealt(h, w, c, total, bits)
-        hashes, h, w, n = np.append(s.words, BEGIN), h[order], w[order], n[order]
-        out: dict[str, list] = {k: [] for k in ("bucket", "stretch", "h", "times", "hot", "w", "cw", "n")}
-        for k, cut in _cut(buckets):
-            new = np.flatnonzero(np.diff(h[cut], prepend=-1))
-            out["bucket"].append(k)
-            out["stretch"].append(s.row["stretch"])
-            out["h"].append(pack(hashes[h[cut][new]]))
-            out["times"].append(pack(np.diff(new, append=cut.stop - cut.start).astype(np.int32)))
-            out["hot"].append(pack(hot[h[cut][new]].astype(np.uint8)))
-            out["w"].append(pack(hashes[w[cut]] >> U(16)))
-            out["cw"].append(pack(c[w[cut]]))
-            out["n"].append(pack(n[cut]))
-        kinds = {"bucket": pa.int32(), "stretch": pa.int64()}
-        return pa.table({k: pa.array(v, kinds.get(k, pa.binary())) for k, v in out.items()})
-
-    def count_pairs(t: pa.Table) -> pa.Table:
+    none = F.lit(None).cast("binary")
+    replies = words.where("counts is not null").select(F.col("stretch").alias("of"), F.lit(1).alias("level"), "bucket", "counts", "ids", none.alias("few"), none.alias("low"), none.alias("rest"))
+    by = laid.groupBy("stretch")
+    discount = [uni.d]
+    hot_of = []
+
+    def opened(row: pa.Table, replies: pa.Table, level: int) -> Stretch:
+        """The stretch with its n-grams shorter than `level` counted and those of that length found."""
+        s = Stretch(row.to_pylist()[0])
+        s.open(replies, starts, total, bits)
+        for k in range(2, level):
+            s.deepen()
+            s.take(s.counted(replies, k))
+        s.deepen()
+        return s
+
+    def ask(level: int):  # noqa: ANN202
+        def run(row: pa.Table, replies: pa.Table) -> pa.Table:
+            s = opened(row, replies, level)
+            g, low = s.grams[-1], s.counts
+            order, buckets, hot = s.dealt()
+            h, w, n, low = g.history[order], s.ids[g.word[order]], g.n[order], low[g.tail[order]]
+            out: dict[str, list] = {k: [] for k in ("bucket", "stretch", "h", "times", "hot", "w", "low", "n")}
+            for k, cut in _cut(buckets):
+                new = np.flatnonzero(np.diff(h[cut], prepend=-1))
+                names = h[cut][new]
+                out["bucket"].append(k)
+                out["stretch"].append(s.row["stretch"])
+                out["h"].append([pack(x[names], not i) for i, x in enumerate(s.keys)])
+                out["times"].append(pack(np.diff(new, append=cut.stop - cut.start).astype(np.int32)))
+                out["hot"].append(pack(hot[names].astype(np.uint8)))
+                out["w"].append(pack(w[cut]))
+                out["low"].append(pack(low[cut]))
+                out["n"].append(pack(n[cut]))
+            return _table(out, bucket=I32, stretch=I64, h=pa.list_(pa.binary()))
+
+        return run
+
+    def count(t: pa.Table) -> pa.Table:
         rows = _rows(t, "stretch")
-        hs = [unpack(r["h"], U) for r in rows]
         times = [unpack(r["times"], np.int32) for r in rows]
-        h = np.concatenate([np.repeat(a, b) for a, b in zip(hs, times, strict=True)])
-        w, cw, n = (np.concatenate([unpack(r[k], kind) for r in rows]) for k, kind in (("w", U), ("cw", np.int64), ("n", np.int32)))
-        order = np.lexsort((cw, w, h))
-        ho, wo, co = h[order], w[order], cw[order]
-        first = np.flatnonzero(np.r_[True, (ho[1:] != ho[:-1]) | (wo[1:] != wo[:-1]) | (co[1:] != co[:-1])])
+        each_h = [np.concatenate([np.repeat(unpack(r["h"][i], np.int64, not i), x) for r, x in zip(rows, times, strict=True)]) for i in range(len(rows[0]["h"]))]
+        w, low, n = (np.concatenate([unpack(r[k], kind) for r in rows]) for k, kind in (("w", np.int64), ("low", np.int64), ("n", np.int32)))
+        order = np.lexsort((w, *reversed(each_h)))
+        new_h = np.zeros(len(w), bool)
+        new_h[0] = True
+        for x in each_h:
+            new_h[1:] |= np.diff(x[order]) != 0
+        first = np.flatnonzero(new_h | np.r_[True, np.diff(w[order]) != 0])
         c = np.add.reduceat(n[order].astype(np.int64), first)
-        each = np.empty(len(h), np.int64)
-        each[order] = np.repeat(c, np.diff(first, append=len(h)))
-        of = np.flatnonzero(np.r_[True, np.diff(ho[first]) != 0])  # histories among the distinct pairs
-        names = ho[first][of]
-        few = np.stack([np.add.reduceat((c == r).astype(np.int32), of) for r in range(1, K + 1)], axis=1).astype(np.int32)
-        seen = np.add.reduceat(np.where(c > 0, uni.p(co[first]), 0.0), of)
-        hot_names = np.unique(np.concatenate([a[unpack(r["hot"], np.uint8) > 0] for a, r in zip(hs, rows, strict=True)]))
-        hot = [{"h": int(x.view(np.int64)), "few": few[i].tolist(), "seen": float(seen[i])} for x, i in zip(hot_names, np.searchsorted(names, hot_names), strict=True)]
-        out: dict[str, list] = {k: [] for k in ("stretch", "bucket", "counts", "few", "seen")}
-        ends = np.cumsum([int(x.sum()) for x in times])
-        for r, a, x in zip(rows, hs, np.split(each, ends[:-1]), strict=True):
-            at = np.searchsorted(names, a)
+        each = np.empty(len(w), np.int64)
+        each[order] = np.repeat(c, np.diff(first, append=len(w)))
+        place = np.empty(len(w), np.int64)  # each n-gram's history among the bucket's
+        place[order] = np.cumsum(new_h) - 1
+        of = np.flatnonzero(new_h[first])  # histories among the distinct n-grams
+        lower = np.where(c > 0, low[order][first], 0)
+        sums = lambda x: np.add.reduceat(x, of)
+        few, less = (np.stack([sums((x == r).astype(np.int32)) for r in range(1, K + 1)], axis=1).astype(np.int32) for x in (c, lower))
+        rest = sums(np.where(lower > K, lower, 0))
+        out: dict[str, list] = {k: [] for k in ("stretch", "bucket", "counts", "few", "low", "rest")}
+        begin, hot_at = 0, [np.zeros(0, np.int64)]
+        for r, x in zip(rows, times, strict=True):
+            end = begin + int(x.sum())
+            at = place[begin + np.cumsum(x) - x]
+            cold = unpack(r["hot"], np.uint8) == 0
+            hot_at.append(at[~cold])
             out["stretch"].append(r["stretch"])
             out["bucket"].append(r["bucket"])
-            out["counts"].append(pack(x))
-            out["few"].append(pack(few[at].reshape(-1)))
-            out["seen"].append(pack(seen[at]))
-        for k in ("stretch", "counts", "few", "seen"):
+            out["counts"].append(pack(each[begin:end]))
+            for k, v in (("few", few), ("low", less), ("rest", rest)):
+                out[k].append(pack(v[at].reshape(-1)))
+            begin = end
+        of_h = order[first][of]
+        hot = [{"h": [int(x[of_h[i]]) for x in each_h], "few": few[i].tolist(), "low": less[i].tolist(), "rest": int(rest[i])} for i in np.unique(np.concatenate(hot_at))]
+        for k in ("stretch", "counts", "few", "low", "rest"):
             out[k].append(None)
         out["bucket"].append(rows[0]["bucket"])
-        kinds = {"bucket": pa.int32(), "stretch": pa.int64()}
-        put = {k: pa.array(v, kinds.get(k, pa.binary())) for k, v in out.items()}
-        put["stats"] = pa.array([*([None] * len(rows)), np.bincount(np.minimum(c, K + 2), minlength=K + 3)[1 : K + 2].tolist()], pa.list_(pa.int64()))
-        put["hot"] = pa.array([*([None] * len(rows)), hot], pa.list_(pa.struct([("h", pa.int64()), ("few", pa.list_(pa.int64())), ("seen", pa.float64())])))
-        return pa.table(put)
-
-    found = words.where("counts is not null").select(F.col("stretch").alias("of"), F.col("bucket").alias("bucket"), "counts")
-    by = laid.groupBy("stretch")
-    asked = by.cogroup(found.groupBy("of")).applyInArrow(ask_pairs, "bucket int, stretch long, h binary, times binary, hot binary, w binary, cw binary, n binary")
-    pairs = staged(asked.groupBy("bucket").applyInArrow(count_pairs, "stretch long, bucket int, counts binary, few binary, seen binary, stats array<long>, hot array<struct<h:long,few:array<long>,seen:double>>"), "lm-pairs")
-    sums = pairs.where("stats is not null").agg(*[F.sum(F.col("stats")[i]) for i in range(K + 1)]).first()  # one row
-    d2 = discounts([0, *[int(x or 0) for x in sums]])
-    x = pairs.where("hot is not null").select(F.explode("hot").alias("x"))
-    hot_rows = x.groupBy("x.h").agg(*[F.sum(F.col("x.few")[i]).alias(f"few{i}") for i in range(K)], F.sum("x.seen").alias("seen")).collect()  # at most HOT histories
-    hot_of = spark.sparkContext.broadcast({r[0]: (list(r[1 : K + 1]), r[K + 1]) for r in hot_rows})
-
-    def score(laid_row: pa.Table, replies: pa.Table) -> pa.Table:
-        word_replies = replies.filter(pa.array([v is None for v in replies.column("few").to_pylist()], pa.bool_()))
-        s, c = with_counts(laid_row, word_replies)
-        h, w, _, which = s.pairs()
-        order, buckets, hot = s.dealt(h, w, c, total, bits)
-        cp = np.empty(len(h), np.int64)
-        few, seen = np.zeros((len(s.words) + 1, K)), np.zeros(len(s.words) + 1)
-        answers = {r["bucket"]: r for r in replies.to_pylist() if r["few"] is not None}
-        for k, cut in _cut(buckets):
-            r, mine = answers[k], order[cut]
-            cp[mine] = unpack(r["counts"], np.int64)
-            names = h[mine][np.flatnonzero(np.diff(h[mine], prepend=-1))]
-            few[names], seen[names] = unpack(r["few"], np.int32).reshape(-1, K), unpack(r["seen"], np.float64)
-        hashes = np.append(s.words, BEGIN).view(np.int64)
-        for i in np.flatnonzero(hot):
-            few[i], seen[i] = hot_of.value.get(int(hashes[i]), ([0] * K, 0.0))
-        # backoff weights: what the discounts leave, over what the followers leave of the words' distribution
-        left = (few * (1 - d2[1 : K + 1]) * np.arange(1, K + 1)).sum(axis=1)
-        scale = np.where(left > 1e-9, np.maximum(c, 1), c + 1.0)
-        left = np.where(left > 1e-9, left, 1.0) / scale
-        log_a = np.where(c > 0, np.log10(left / (1 - seen)), 0.0)
-        p1 = uni.p(c[:-1]) if total else np.ones(len(c) - 1)
-        lp = np.where(cp > 0, np.log10(np.maximum(d2[np.minimum(cp, K + 1)] * cp, 1e-300) / scale[h]), log_a[h] + np.log10(p1)[w])
-        base = np.log10((c[:-1] + 1) / (total + types + 1))
+        put = {**out, "stats": [*([None] * len(rows)), _times(c)], "hot": [*([None] * len(rows)), hot]}
+        longs = pa.list_(I64)
+        return _table(put, stretch=I64, bucket=I32, stats=longs, hot=pa.list_(pa.struct([("h", longs), ("few", longs), ("low", longs), ("rest", I64)])))
+
+    for level in range(2, order + 1):
+        short = replies.select("of", "level", "bucket", "counts", "ids", *[none.alias(c) for c in ("few", "low", "rest")])
+        asked = by.cogroup(short.groupBy("of")).applyInArrow(ask(level), "bucket int, stretch long, h array<binary>, times binary, hot binary, w binary, low binary, n binary")
+        longs = "array<long>"
+        grams = staged(asked.groupBy("bucket").applyInArrow(count, f"stretch long, bucket int, counts binary, few binary, low binary, rest binary, stats {longs}, hot array<struct<h:{longs},few:{longs},low:{longs},rest:long>>"), f"lm-grams-{level}")
+        sums = grams.where("stats is not null").agg(*[F.sum(F.col("stats")[i]) for i in range(K + 1)]).first()  # one row
+        discount.append(discounts([0, *[int(x or 0) for x in sums]]))
+        x = grams.where("hot is not null").select(F.explode("hot").alias("x"))
+        each = [F.sum(F.col(f"x.{c}")[i]).alias(f"{c}{i}") for c in ("few", "low") for i in range(K)]
+        hot_rows = x.groupBy("x.h").agg(*each, F.sum("x.rest").alias("rest")).collect()  # at most HOT histories
+        hot_of.append(spark.sparkContext.broadcast({tuple(r[0]): r[1:] for r in hot_rows}))
+        replies = replies.unionByName(grams.where("counts is not null").select(F.col("stretch").alias("of"), F.lit(level).alias("level"), "bucket", "counts", none.alias("ids"), "few", "low", "rest"))
+
+    def score(row: pa.Table, replies: pa.Table) -> pa.Table:
+        s = Stretch(row.to_pylist()[0])
+        s.open(replies, starts, total, bits)
+        c1 = s.counts[:-1]
+        lp = np.log10(uni.p(c1)) if total else np.zeros(len(c1))
+        scale: np.ndarray = np.array([uni.scale])  # of a word's probability; below, of each history's followers
+        tail = np.zeros(len(c1) + 1, np.int64)  # each history without its first word
+        which = s.at
+        for level in range(2, order + 1):
+            d, below = discount[level - 1], discount[level - 2]
+            g = s.deepen()
+            _, _, hot = s.dealt()
+            few, low, rest, c = np.zeros((len(s.counts), K)), np.zeros((len(s.counts), K)), np.zeros(len(s.counts)), np.empty(len(g.history), np.int64)
+            for mine, r in s.answers(replies, level):
+                c[mine] = unpack(r["counts"], np.int64)
+                names = g.history[mine][np.flatnonzero(np.diff(g.history[mine], prepend=-1))]
+                few[names], low[names] = (unpack(r[k], np.int32).reshape(-1, K) for k in ("few", "low"))
+                rest[names] = unpack(r["rest"], np.int64)
+            for i in np.flatnonzero(hot):
+                x = hot_of[level - 2].value.get(tuple(int(k[i]) for k in s.keys), (0,) * (2 * K + 1))
+                few[i], low[i], rest[i] = x[:K], x[K : 2 * K], x[2 * K]
+            # backoff weights: what the discounts leave, over what the followers leave of the shorter history's distribution
+            r = np.arange(1, K + 1)
+            left = (few * (1 - d[1 : K + 1]) * r).sum(axis=1)
+            own = np.where(left > 1e-9, np.maximum(s.counts, 1), s.counts + 1.0)
+            left = np.where(left > 1e-9, left, 1.0) / own
+            seen = ((low * below[1 : K + 1] * r).sum(axis=1) + rest) / scale[tail]
+            log_a = np.where(s.counts > 0, np.log10(left / (1 - seen)), 0.0)
+            lp = np.where(c > 0, np.log10(np.maximum(d[np.minimum(c, K + 1)] * c, 1e-300) / own[g.history]), log_a[g.history] + lp[g.tail])
+            scale, tail, which = own, np.append(g.tail, len(s.counts) - 1), g.which
+            s.take(c)
+        base = np.log10((c1 + 1) / (total + types + 1))
         add = lambda v: np.add.reduceat(v, s.starts)
         return pa.table({
             "doc_id": pa.array(s.row["ids"], pa.int64()),
             "n_tokens": pa.array(s.lengths, pa.int64()),
-            "n_known": pa.array(add((c[:-1] > 0).astype(np.int64)[s.at]), pa.int64()),
+            "n_known": pa.array(add((c1 > 0).astype(np.int64)[s.at]), pa.int64()),
             "train_tokens": pa.array(np.full(len(s.lengths), total), pa.int64()),
             "base_score": pa.array(add(base[s.at])),
             "score": pa.array(add(lp[which])),
         })
 
-    empty = F.lit(None).cast("binary")
-    replies = found.select("of", "bucket", "counts", empty.alias("few"), empty.alias("seen")).unionByName(pairs.where("counts is not null").select(F.col("stretch").alias("of"), "bucket", "counts", "few", "seen"))
     return by.cogroup(replies.groupBy("of")).applyInArrow(score, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
