@@ -1,8 +1,9 @@
 """URL filters: rules for hosts and paths, and for the rest logistic regression on hashed character n-grams.
 
 DataFrame functions only, the ML library's among them; a URL's n-grams come from regular expressions in time linear in
-its length. Training takes the small labelled table given (`SEED` by default, at most `MAX_ROWS` rows), in one
-partition, so weights do not depend on how rows lie. Scoring maps over urls where they lie, with `2 ** bits` weights.
+its length. Training takes the small labelled table given (by default data/url_seed.csv, 192 urls written by hand; at
+most `max_rows` rows, the first by hash), in one partition, so weights do not depend on how rows lie. Scoring maps over
+urls where they lie, with `2 ** bits` weights.
 
 Defined cases: a null url or one without `://` has an empty host and path, no rule, and the model's verdict on empty
 strings; repeated and equal urls are judged alike; where the labelled table lacks a class its only class is the verdict
@@ -11,6 +12,8 @@ strings; repeated and equal urls are judged alike; where the labelled table lack
 
 from __future__ import annotations
 
+from importlib import resources
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
@@ -18,21 +21,16 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_ROWS = 2000
 BITS = 14
 #: The model blocks from this probability on: n-grams that it has not met leave a url near one half, which is no evidence.
 LEAST = 0.8
-TOPICS = {1: "casino poker slots jackpot bets betting viagra pills pharmacy porn adult sex xxx spam ads adserver track tracker clicks loans payday lottery win-prize free-bets cheap-pills seo-farm link-farm crypto-win replica-watch hot-deals".split(), 0: "news science history library recipes garden weather museum school forum music travel health sport books code docs wiki city art photo market games film radio paper river house blog-post study".split()}
 
 
 def seed(spark: SparkSession) -> DataFrame:
-    """url, label: a small labelled table made from topic words; 1 is to block. The shape of the url is the same in both classes."""
-    rows = []
-    for label, topics in TOPICS.items():
-        for i, t in enumerate(topics):
-            other = topics[(i + 7) % len(topics)]
-            rows += [(f"https://{t}.site{i}.test/page/{i}", label), (f"http://www.{t}-{other}.test/en/{i * 31}.html", label), (f"https://m.my{t}.test/{t}/", label), (f"http://blog.site{i}.test/{t}?id={i}", label)]
-    return spark.createDataFrame(rows, "url string, label int")
+    """url, label of the labelled table that comes with the package; 1 is to block."""
+    lines = resources.files(__package__).joinpath("data/url_seed.csv").read_text(encoding="utf-8").splitlines()[1:]
+    rows = [line.rsplit(",", 1) for line in lines]
+    return spark.createDataFrame([(u, int(y)) for u, y in rows], "url string, label int")
 
 
 def host_of(url: Column) -> Column:
@@ -65,11 +63,11 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> t
     return rule, verdict
 
 
-def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]], labelled: DataFrame | None = None, url: str = "url", bits: int = BITS, least: float = LEAST) -> DataFrame:
+def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]], labelled: DataFrame | None = None, url: str = "url", bits: int = BITS, least: float = LEAST, max_rows: int = 2000) -> DataFrame:
     """pages without other columns of these names, and host, path, rule, verdict, block_score (null where a rule decides)."""
     spark = pages.sparkSession
     labelled = seed(spark) if labelled is None else labelled.select("url", "label")
-    labelled = labelled.where("label in (0, 1)").orderBy(F.xxhash64("url"), "url").limit(MAX_ROWS)
+    labelled = labelled.where("label in (0, 1)").orderBy(F.xxhash64("url"), "url").limit(max_rows)
     grams = lambda df, u: df.withColumn("__grams", ngrams(host_of(u), path_of(u)))
     learn = grams(labelled, F.col("url")).select("__grams", F.col("label").cast("double").alias("__label")).coalesce(1)
     classes = [r[0] for r in learn.groupBy("__label").count().orderBy("__label").collect()]  # at most two rows
