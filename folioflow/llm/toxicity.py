@@ -15,7 +15,8 @@ a lower-cased token without the non-letters at its ends.
 
 Defined cases: null and empty texts get the score of a text without toxic tokens; null ids are never learnt from;
 repeated rows count once in the sample and are each scored; where the sample lacks a class the score is the share of
-toxic rows in it (0 without rows); extra columns are ignored or, in the filter, kept.
+toxic rows in it (0 without rows), and where no form is toxic, nothing speaks against a document and the score is 0;
+extra columns are ignored or, in the filter, kept.
 """
 
 from __future__ import annotations
@@ -150,6 +151,8 @@ def fit(rows: list[tuple[str, int]], rounds: int = 40, penalty: float = 0.05) ->
     for ts, label in zip(tokens, y, strict=True):
         (hit if label else miss).update(set(ts) - {""})
     toxic = toxic_forms(hit, miss, int(y.sum()), int(len(y) - y.sum()))
+    if not toxic:
+        return Model(prior=0.0)
     often = hit + miss
     forms = sorted(toxic, key=lambda w: (-toxic[w], w))[:FORMS]
     forms += [w for w in sorted(often, key=lambda w: (-often[w], w)) if w not in toxic][: FORMS - len(forms)]
