@@ -3,7 +3,8 @@
 The heap sees a bounded number of parcels, whatever the number of groups. A group above `1 / (shards * HEAVY)` of all
 bytes is a parcel of its own, so there are at most shards * HEAVY of them; the other groups are gathered by hash into
 at most `BUNDLES` parcels. Only parcels and their sizes reach the driver. Texts are never shuffled, only their hashes.
-Slots count on within chunks of about `CHUNK` rows, so no shard is ever numbered in one task.
+Slots count on within chunks of about `CHUNK` rows, so no shard is ever numbered in one task; rows that are equal in
+all that shows are counted first and dealt over chunks copy by copy.
 
 Defined cases: a null text is an empty one (16 bytes, crc32 0) and stays with empty texts; a group larger than a
 shard's even share stays whole, and the other shards share the rest; repeated rows count each time and get slots of
@@ -54,11 +55,12 @@ def assign_shards(docs: DataFrame, shards: int = 40, text: str = "text", doc_id:
     sizes = [(r.parcel, r.bytes) for r in parcel.groupBy("parcel").agg(F.sum("size").alias("bytes")).collect()]  # at most BUNDLES + shards * HEAVY
     plan = spark.createDataFrame(sorted(lpt(sizes, shards).items()), "parcel string, shard int")
     chunks = 1 + n // (shards * CHUNK)
-    put = parcel.join(F.broadcast(plan), "parcel").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)))
-    put = staged(put.drop("parcel"), "shard-rows")
+    put = parcel.join(F.broadcast(plan), "parcel").groupBy("doc_id", "size", "text_crc32", "shard").agg(F.count(F.lit(1)).alias("copies"))
+    put = put.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies")
+    put = staged(put.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "copy"), F.lit(chunks))), "shard-rows")
     before = put.groupBy("shard", "chunk").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("shard").orderBy("chunk")
     before = before.select("shard", "chunk", (F.sum("n").over(w) - F.col("n")).alias("base"))
-    inside = put.withColumn("at", F.row_number().over(Window.partitionBy("shard", "chunk").orderBy("doc_id", "text_crc32", "size")))
+    inside = put.withColumn("at", F.row_number().over(Window.partitionBy("shard", "chunk").orderBy("doc_id", "text_crc32", "size", "copy")))
     out = inside.join(before, ["shard", "chunk"])
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("at") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
