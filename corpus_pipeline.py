@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from folioflow.llm import lines, minhash, packing, quality, toxicity
-from folioflow.llm.common import staged, table
+from folioflow.llm.common import clear, mark, staged, table
+from folioflow.llm.queries import tokenizer_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +35,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document goes in the training sequences."""
-    return packing.best_fit_packing(docs)
+    return packing.best_fit_packing(docs, tokenizer=tokenizer_path())
 
 
 STAGES = [("quality_rules", quality_rules), ("toxicity", toxicity_filter), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("best_fit_packing", best_fit_packing)]
@@ -45,6 +46,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    at = mark(spark)
+    for name, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
-    return staged(STAGES[-1][1](spark, docs, sf_dir), f"stage-{STAGES[-1][0]}")
+        clear(spark, at, keep=1)  # what the stage staged, and the stage before
+    return docs
