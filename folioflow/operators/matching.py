@@ -86,14 +86,15 @@ def zipped(pred: DataFrame, truth: DataFrame, by: list[str]) -> DataFrame:
     return side(pred, "p").join(side(truth, "g"), [*by, "place"])
 
 
-def middle(df: DataFrame, by: list[str], values: list[str]) -> DataFrame:
-    """by, and <value>_lower and <value>_upper of each value: the two middle ones, equal for an odd number; nulls and NaN do not count.
+def middle(df: DataFrame, by: list[str], values: list[str], times: str | None = None) -> DataFrame:
+    """by, and <value>_lower and <value>_upper of each value: the two middle ones, equal for an odd number; nulls and NaN do not count, and a row counts as often as `times` says.
 
     Rows are counted by value first, so what is sorted for a key is its distinct values (fractions of a page's counts),
     not its rows.
     """
     x = F.explode(F.array(*[F.struct(F.lit(c).alias("of"), F.col(c).cast("double").alias("v")) for c in values]))
-    n = df.select(*by, x.alias("x")).where(F.col("x.v").isNotNull() & ~F.isnan("x.v")).groupBy(*by, "x.of", "x.v").agg(F.count(F.lit(1)).alias("__n"))
+    df = df.select(*by, F.col(times).alias("__t") if times else F.lit(1).alias("__t"), x.alias("x"))
+    n = df.where(F.col("x.v").isNotNull() & ~F.isnan("x.v")).groupBy(*by, "x.of", "x.v").agg(F.sum("__t").alias("__n"))
     w = Window.partitionBy(*by, "of")
     cum = n.withColumns({"__upto": F.sum("__n").over(w.orderBy("v")), "__every": F.sum("__n").over(w)})
     lower, upper = 2 * F.col("__upto") >= F.col("__every"), 2 * F.col("__upto") > F.col("__every")
@@ -101,21 +102,38 @@ def middle(df: DataFrame, by: list[str], values: list[str]) -> DataFrame:
     return cum.groupBy(*by).agg(*[at(c, far).alias(f"{c}_{end}") for c in values for end, far in (("lower", lower), ("upper", upper))])
 
 
+RATES, COUNTS = ["precision", "recall", "f1"], ["tp", "fp", "fn", "n_gt"]
+
+
+def _counted_pages(scores: DataFrame, by: list[str]) -> DataFrame:
+    """Pages that are equal in all that is summed up, counted as n: the matching below is computed once for all statistics."""
+    return scores.groupBy(*by, *RATES, *COUNTS).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _statistics(pages: DataFrame, by: list[str], sample: bool) -> DataFrame:
+    """by, mean, deviation (of a sample or of all), least and most of each rate, and the sums of counts with their rates."""
+    n = F.sum("n")
+    out = []
+    for m in RATES:
+        mean = F.sum(F.col(m) * F.col("n")) / n
+        square = F.greatest(F.sum(F.col(m) * F.col(m) * F.col("n")) / n - mean * mean, F.lit(0.0))
+        std = F.when(n > 1, F.sqrt(square * n / (n - 1))) if sample else F.sqrt(square)
+        out += [mean.alias(f"{m}_mean"), std.alias(f"{m}_std"), F.min(m).alias(f"{m}_min"), F.max(m).alias(f"{m}_max")]
+    sums = pages.groupBy(*by).agg(*out, *[F.sum(F.col(c) * F.col("n")).alias(c) for c in COUNTS])
+    return sums.withColumns({f"micro_{k}": v for k, v in rates(F.col("tp"), F.col("tp") + F.col("fp"), F.col("n_gt")).items()})
+
+
 def summary(scores: DataFrame, by: list[str]) -> DataFrame:
     """Over pages: mean, middle (between the two middle ones) and population deviation of each rate, and the rates of the sums."""
-    names = ["precision", "recall", "f1"]
-    out = [f(m).alias(f"{m}_{end}") for m in names for end, f in (("mean", F.avg), ("std", F.stddev_pop))]
-    sums = scores.groupBy(*by).agg(*out, *[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "n_gt")])
-    sums = sums.join(middle(scores, by, names), by, "left")
-    sums = sums.withColumns({f"{m}_median": (F.col(f"{m}_lower") + F.col(f"{m}_upper")) / 2 for m in names}).drop(*[f"{m}_{end}" for m in names for end in ("lower", "upper")])
-    return sums.withColumns({f"micro_{k}": v for k, v in rates(F.col("tp"), F.col("tp") + F.col("fp"), F.col("n_gt")).items()})
+    pages = _counted_pages(scores, by)
+    ends = middle(pages, by, RATES, "n")
+    ends = ends.select(*by, *[((F.col(f"{m}_lower") + F.col(f"{m}_upper")) / 2).alias(f"{m}_median") for m in RATES])
+    return _statistics(pages, by, False).drop(*[f"{m}_{end}" for m in RATES for end in ("min", "max")]).join(ends, by, "left")
 
 
 def line_summary(scores: DataFrame) -> DataFrame:
     """Over pages: mean, lower middle, sample deviation, least and most of each rate, and the rates of the sums."""
-    names = ["precision", "recall", "f1"]
-    out = [f(m).alias(f"{m}_{end}") for m in names for end, f in (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))]
-    sums = scores.agg(*out, *[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "n_gt")]).withColumn("every", F.lit(0))
-    lower = middle(scores.withColumn("every", F.lit(0)), ["every"], names)
-    sums = sums.join(lower.select("every", *[F.col(f"{m}_lower").alias(f"{m}_median") for m in names]), "every", "left").drop("every")
-    return sums.withColumns({f"micro_{k}": v for k, v in rates(F.col("tp"), F.col("tp") + F.col("fp"), F.col("n_gt")).items()})
+    pages = _counted_pages(scores, [])
+    every = F.lit(0).alias("__all")
+    ends = middle(pages.select("*", every), ["__all"], RATES, "n").select("__all", *[F.col(f"{m}_lower").alias(f"{m}_median") for m in RATES])
+    return _statistics(pages, [], True).select("*", every).join(ends, "__all", "left").drop("__all")
