@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, katz, lines, merkle, minhash, packing, quality, shards, simhash, topk, toxicity, urls
+from . import bpe, katz, lines, merkle, minhash, packing, phrases, quality, shards, simhash, topk, toxicity, urls
 from .common import fold, table
 from .oracles import ORACLES
 
@@ -67,6 +67,10 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(rest == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_fingerprints(table(spark, sf_dir, "documents"), width=4, distance=4)
 
@@ -83,7 +87,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality, op2_bpe, op3_shards, op4_topk, op5_packing, op6_toxicity, op7_near_dedup, op8_urls, op9_lines, op10_katz, op12_simhash, op13_manifest, pipeline]
+    found = [op1_quality, op2_bpe, op3_shards, op4_topk, op5_packing, op6_toxicity, op7_near_dedup, op8_urls, op9_lines, op10_katz, op11_phrases, op12_simhash, op13_manifest, pipeline]
     return {f.__name__: f for f in found}
 
 
