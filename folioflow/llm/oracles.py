@@ -45,9 +45,10 @@ SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ba
 
 def _phrases() -> str:
     cuts = " UNION ALL ".join(f"SELECT c.lang, c.g, {k} AS k, c.a, l.a AS l, r.a AS r, (1000000 * c.a::HUGEINT * c.a // (l.a::HUGEINT * r.a))::BIGINT AS s FROM c JOIN f l ON l.lang = c.lang AND l.g = c.g[1:{k}] JOIN f r ON r.lang = c.lang AND r.g = c.g[{k + 1}:] WHERE len(c.g) > {k}" for k in (1, 2))
-    grams = " UNION ALL ".join(f"SELECT lang, unnest(list_transform(range(1, len(w) - {m - 2}), lambda i: w[i : i + {m - 1}])) AS g FROM p" for m in (1, 2, 3))
+    grams = " UNION ALL ".join(f"SELECT lang, [{', '.join(f'w{i}' for i in range(m))}] AS g, count(*) AS a FROM y" + f" WHERE w{m - 1} IS NOT NULL GROUP BY ALL" for m in (1, 2, 3))
     return rf"""WITH p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
-f AS (SELECT lang, g, count(*) AS a FROM ({grams}) GROUP BY lang, g),
+y AS (SELECT lang, w AS w0, lead(w, 1) OVER o AS w1, lead(w, 2) OVER o AS w2 FROM (SELECT lang, id, unnest(w) AS w, unnest(range(len(w))) AS i FROM (SELECT *, row_number() OVER () AS id FROM p)) WINDOW o AS (PARTITION BY id ORDER BY i)),
+f AS ({grams}),
 t AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE len(g) = 1 GROUP BY lang),
 c AS (SELECT * FROM f WHERE len(g) > 1 AND a >= 10),
 x AS (SELECT lang, g, max(a) AS most FROM (SELECT lang, unnest([g[1:2], g[2:3]]) AS g, a FROM c WHERE len(g) = 3) GROUP BY lang, g),
