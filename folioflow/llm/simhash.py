@@ -7,13 +7,15 @@ segments from i on differ in at most floor(l * distance / segments) bits, for ev
 second differs in at most one bit, the first three in at most two, and so on.
 
 How it runs: equal fingerprints are merged first, whatever the number of copies. Each distinct fingerprint goes to one
-bucket for each segment, named by the segment's place and bits. A bucket with more than `CROWD` members is cut along
-its chain: its next segment may differ in at most l - 1 bits, so of l parts of it one is equal, and members go to l
-smaller buckets named by the part and its bits as well; this is repeated along the ring, and loses no pair at any step.
-What is still crowded at the chain's end is compared block by block. In a bucket, a pair's differences are added up
-segment by segment along the chain and the pair is dropped as soon as they pass their share; the others are compared
-whole. A bucket returns links that join different parts only (a forest), never all pairs of a group of near copies.
-Depth follows from the rows alone, so every pair is found at every size.
+bucket for each segment, named by the segment's place and bits. Buckets with more than `BLOCK` members first compare
+all members with `HUBS` of them; this links most of a large group of near copies, so what is left to compare is small:
+in every bucket, members outside its largest component with all members, in tiles of two blocks. Where that would be
+more than `PAIRS` pairs, the bucket is cut along its chain: its next segment may differ in at most l - 1 bits, so of l
+parts of it one is equal, and members go to l smaller buckets named by the part and its bits as well; this is repeated
+along the ring and loses no pair at any step. In a tile, a pair's differences are added up segment by segment along the
+chain and the pair is dropped as soon as they pass their share; what is left at the chain's end is within the distance.
+A task returns links that join what it has not linked yet (a forest), never all pairs of a group of near copies. Which
+way a bucket takes follows from its rows alone, and every way finds every pair.
 
 Defined cases: null and wordless texts have fingerprint zero and are linked like any other; fewer words than `width`
 make one shingle; repeated rows are copies; rows that share an id but not their text are linked with each other; a row
@@ -35,8 +37,8 @@ from .common import small, staged
 from .components import components
 
 BITS = 64
-#: Members of a bucket that are compared with each other at once.
-CROWD = 1024
+#: Members of a block, hubs of a large bucket, and pairs beyond which a bucket is cut along its chain.
+BLOCK, HUBS, PAIRS = 2048, 32, 1 << 26
 SEED = 42
 U = np.uint64
 
@@ -101,7 +103,8 @@ def _signed(mask: int) -> int:
 
 
 def _placed(rows: DataFrame, masks: list[list[list[int]]], step: int) -> DataFrame:
-    """rows (bits, id; after the first step also ring and key) in the buckets of the chain's next step: ring, key, bits, id."""
+    """rows in the buckets of the chain's next step: ring, key and their other columns; after the first step they have a ring and a key before."""
+    others = [c for c in rows.columns if c not in ("ring", "key")]
     before = [F.col("key")] if step else []
 
     def buckets(i: int) -> Column:
@@ -110,68 +113,109 @@ def _placed(rows: DataFrame, masks: list[list[list[int]]], step: int) -> DataFra
 
     each = [buckets(i) for i in range(len(masks))]
     some = F.coalesce(*[F.when(F.col("ring") == i, x) for i, x in enumerate(each)]) if step else F.concat(*each)
-    return rows.select("bits", "id", F.explode(some).alias("b")).select("b.*", "bits", "id")
+    return rows.select(*others, F.explode(some).alias("b")).select("b.*", *others)
+
+
+def star(classes: DataFrame, distance: int) -> DataFrame:
+    """a, b: members of large buckets and those of the bucket's HUBS hubs that are within the distance."""
+    rows = _placed(classes, part_masks(distance), 0)
+    large = rows.groupBy("ring", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
+    large = staged(large.select("ring", "key"), "large-buckets")
+    rows = rows.join(small(large, 24), ["ring", "key"])
+    one = F.struct(F.xxhash64("id"), "bits", "id")
+    hubs = rows.groupBy("ring", "key", F.pmod(F.xxhash64("bits"), F.lit(HUBS))).agg(F.min(one).alias("h")).groupBy("ring", "key").agg(F.collect_list(F.struct("h.bits", "h.id")).alias("hubs"))
+    met = rows.join(small(staged(hubs, "hubs"), 48 + 24 * HUBS), ["ring", "key"])
+    near = F.filter("hubs", lambda h: F.bit_count(h.bits.bitwiseXOR(F.col("bits"))) <= distance)
+    met = met.select("id", F.transform(near, lambda h: h.id).alias("near")).where(F.size("near") > 0)
+    first = F.col("near")[0]
+    # the member with the first hub, and the first hub with the others that the member joins to it
+    met = met.select(F.explode(F.concat(F.array(F.struct(F.col("id").alias("a"), first.alias("b"))), F.transform(F.slice("near", 2, HUBS), lambda x: F.struct(first.alias("a"), x.alias("b"))))).alias("p"))
+    return met.select("p.*").where("a <> b").distinct()
 
 
 def tiles(classes: DataFrame, distance: int) -> DataFrame:
-    """ring, key, tile, part, bits, id: which fingerprints are compared with which. Rows of one (key, tile) meet in one task; part is 0 and 1 where the tile compares two blocks, and 2 where it compares one with itself."""
+    """ring, key, tile, part, bits, component: which fingerprints are compared with which. Rows of one (ring, key, tile) meet in one task; part is 0 and 1 for the two blocks of a tile, and 2 where it compares one block with itself.
+
+    classes: bits, id, component.
+    """
     masks = part_masks(distance)
     done = []
     rows = _placed(classes, masks, 0)
     for step in range(1, distance + 2):
         rows = staged(rows, "chain-buckets")
-        sizes = rows.groupBy("ring", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        full = staged(sizes.where(F.col("n") > CROWD), "crowded")
-        crowded = small(full, 40)
-        pairs = rows.join(sizes.where(F.col("n") <= CROWD).select("ring", "key"), ["ring", "key"], "left_semi")
-        done.append(pairs.select("ring", "key", F.lit(0).alias("tile"), F.lit(2).alias("part"), "bits", "id"))
-        rows = rows.join(crowded, ["ring", "key"])
-        if full.isEmpty():
+        parts = rows.groupBy("ring", "key", "component").agg(F.count(F.lit(1)).alias("n"))
+        sizes = parts.groupBy("ring", "key").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("m")).where("parts > 1")
+        sizes = sizes.select("ring", "key", F.col("m.component").alias("main"), "n", (F.col("n") - F.col("m.n")).alias("others"))
+        sizes = staged(sizes, "bucket-sizes")
+        crowded = (F.col("n") * F.col("others") > PAIRS) & F.lit(step <= distance)
+        met = rows.join(small(sizes.where(~crowded), 56), ["ring", "key"])
+        done.append(_tiled(met))
+        left = staged(sizes.where(crowded).select("ring", "key"), "crowded")
+        if left.isEmpty():
             break
-        if step <= distance:
-            rows = _placed(rows, masks, step)
-    else:  # crowded to the end of the chain: every block with every block
-        k = F.ceil(F.col("n") / (CROWD // 2)).cast("int")
-        rows = rows.withColumn("k", k).withColumn("block", F.pmod(F.xxhash64("bits"), F.col("k")).cast("int"))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        tile = F.least("block", "other") * F.col("k") + F.greatest("block", "other")
-        part = F.when(F.col("block") == F.col("other"), 2).otherwise((F.col("block") > F.col("other")).cast("int"))
-        done.append(rows.select("ring", "key", tile.alias("tile"), part.alias("part"), "bits", "id"))
+        rows = _placed(rows.join(small(left, 24), ["ring", "key"]), masks, step)
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
     return out
 
 
-def near(bits: np.ndarray, part: np.ndarray, ring: int, distance: int) -> list[tuple[int, int]]:
-    """Pairs (places) of a tile within the distance that join different parts, found by walking the chain from `ring`."""
-    cut = segments(distance)
-    own = [U(((1 << n) - 1) << a) for a, n in (cut[(ring + i) % len(cut)] for i in range(len(cut)))]
-    left, right = np.flatnonzero(part != 1), np.flatnonzero(part != 0)
-    same = bool((part == 2).all())
-    root: dict[int, int] = {}
+def _tiled(met: DataFrame) -> DataFrame:
+    """Buckets in tiles: a small one is one tile; of others, each block of members outside the main component meets each block of all."""
+    names = ["ring", "key", "tile", "part", "bits", "component"]
+    alone = met.where(F.col("n") <= BLOCK).select("ring", "key", F.lit(0).alias("tile"), F.lit(2).alias("part"), "bits", "component")
+    met = met.where(F.col("n") > BLOCK).withColumn("xs", F.ceil(F.col("others") / BLOCK).cast("int")).withColumn("ys", F.ceil(F.col("n") / BLOCK).cast("int"))
+
+    def block(n: str) -> Column:
+        return F.pmod(F.xxhash64("bits"), F.col(n)).cast("int")
+
+    def each(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    x = met.where("component <> main").withColumn("x", block("xs")).withColumn("y", each("ys")).withColumn("part", F.lit(0))
+    y = met.withColumn("y", block("ys")).withColumn("x", each("xs")).withColumn("part", F.lit(1))
+    both = x.unionByName(y).withColumn("tile", F.col("x") * F.col("ys") + F.col("y"))
+    return alone.unionByName(both.select(*names))
+
+
+class Parts(dict):
+    """A union-find over ids: what has been linked so far. It forgets all when it holds many; then links repeat."""
 
-    def top(c: int) -> int:
-        while (up := root.get(c, c)) != c:
-            root[c] = root.get(up, up)
+    def top(self, c: int) -> int:
+        while (up := self.get(c, c)) != c:
+            self[c] = self.get(up, up)
             c = up
         return c
 
+    def join(self, a: int, b: int) -> bool:
+        """Whether they were apart."""
+        a, b = self.top(a), self.top(b)
+        if a != b:
+            if len(self) > 500_000:
+                self.clear()
+            self[max(a, b)] = min(a, b)
+        return a != b
+
+
+def near(bits: np.ndarray, comp: np.ndarray, part: np.ndarray, ring: int, distance: int, parts: Parts) -> list[tuple[int, int]]:
+    """Pairs of components with members of a tile within the distance that join different parts, found by walking the chain from `ring`."""
+    cut = segments(distance)
+    own = [U(((1 << n) - 1) << a) for a, n in (cut[(ring + i) % len(cut)] for i in range(len(cut)))]
+    left, right = np.flatnonzero(part != 1), np.flatnonzero(part != 0)
+    same = bool((part == 2).all())
     links = []
     for at in range(0, len(left), 64):
         rows = left[at : at + 64]
         x, y = np.divmod(np.arange(len(rows) * len(right)), len(right)) if not same else _below(at, len(rows), len(right))
+        some = comp[rows[x]] != comp[right[y]]
+        x, y = x[some], y[some]
         diff = bits[rows[x]] ^ bits[right[y]]
         total = np.zeros(len(diff), np.uint8)
         for step, mask in enumerate(own, 1):
             total += np.bitwise_count(diff & mask)
             keep = total <= step * distance // len(own)
             x, y, diff, total = x[keep], y[keep], diff[keep], total[keep]
-        for i, j in zip(rows[x].tolist(), right[y].tolist(), strict=True):
-            a, b = top(i), top(j)
-            if a != b:
-                root[b] = a
-                links.append((i, j))
+        links += [p for p in zip(comp[rows[x]].tolist(), comp[right[y]].tolist(), strict=True) if parts.join(*p)]
     return links
 
 
@@ -183,40 +227,54 @@ def _below(at: int, n: int, of: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def links(classes: DataFrame, distance: int) -> DataFrame:
-    """a, b: ids of fingerprints that are within the distance; those that the tiles need to join what is near."""
+    """a, b: components of fingerprints (bits, id, component) with members within the distance; those that the tiles need to join what is near."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = pa.table({})
+        held, parts = pa.table({}), Parts()
         for b in (*batches, None):
             t = pa.Table.from_batches([b]) if b is not None else None
             t = pa.concat_tables([held, t]) if held.num_rows and t is not None else held if t is None else t
             if not t.num_rows:
                 continue
-            ring, key, tile, part, bits, ids = (t.column(c).to_numpy() for c in ("ring", "key", "tile", "part", "bits", "id"))
+            ring, key, tile, part, bits, comp = (t.column(c).to_numpy() for c in ("ring", "key", "tile", "part", "bits", "component"))
             new = np.flatnonzero(np.r_[True, (np.diff(ring) != 0) | (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])])
             ends = np.append(new[1:], t.num_rows)
             if b is not None:  # the last tile may go on
                 held, ends = t.slice(new[-1]), ends[:-1]
-            found = [(ids[a + i], ids[a + j]) for a, e in zip(new, ends, strict=False) if e - a > 1 for i, j in near(bits[a:e].view(U), part[a:e], int(ring[a]), distance)]
+            found = [p for a, e in zip(new, ends, strict=False) if e - a > 1 for p in near(bits[a:e].view(U), comp[a:e], part[a:e], int(ring[a]), distance, parts)]
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     rows = tiles(classes, distance).repartition("ring", "key", "tile").sortWithinPartitions("ring", "key", "tile")
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def relabelled(rows: DataFrame, label: str, comp: DataFrame) -> DataFrame:
+    """rows with the component of what `label` names; what comp lacks is its own."""
+    now = small(comp.select(F.col("id").alias("__id"), F.col("component").alias("__to")), 16)
+    out = rows.join(now, F.col(label) == F.col("__id"), "left").withColumn("__to", F.coalesce("__to", label))
+    return out.drop("__id", "component").withColumnRenamed("__to", "component")
+
+
+def near_classes(classes: DataFrame, distance: int, more: DataFrame | None = None) -> DataFrame:
+    """bits, id, component (smallest id reachable) of distinct fingerprints. classes: a written table of bits and id; more: further links of ids."""
+    first = components(star(classes, distance) if more is None else star(classes, distance).unionByName(more))
+    of = staged(relabelled(classes, "id", staged(first, "star-components")), "star-classes")
+    again = staged(components(links(of, distance)), "fingerprint-components")
+    return relabelled(of, "component", again)
+
+
 def near_fingerprints(docs: DataFrame, width: int = 5, distance: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits), component_id (smallest doc_id reachable) of every document."""
     if not 0 <= distance < 8:
         raise ValueError("the distance is 0 to 7: a segment has at least as many bits as parts")
     rows = staged(fingerprints(docs, width, doc_id, text), "fingerprints")
     classes = staged(rows.where("doc_id is not null").groupBy("bits").agg(F.min("doc_id").alias("id")), "fingerprint-classes")
-    joined = links(classes, distance)
     several = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("bits").alias("lo"), F.max("bits").alias("hi")).where("lo < hi").select("doc_id")
     several = staged(several, "ids-of-several-texts")
+    more = None
     if not several.isEmpty():
         of = rows.join(several, "doc_id", "left_semi").join(classes, "bits").select("doc_id", "id").distinct()
-        joined = joined.unionByName(of.select(F.min("id").over(Window.partitionBy("doc_id")).alias("a"), F.col("id").alias("b")))
-    comp = staged(components(joined), "fingerprint-components")
-    of = classes.join(small(comp.withColumnRenamed("id", "of"), 16), F.col("id") == F.col("of"), "left").select("bits", F.coalesce("component", "id").alias("component"))
+        more = of.select(F.min("id").over(Window.partitionBy("doc_id")).alias("a"), F.col("id").alias("b"))
+    of = near_classes(classes, distance, more).select("bits", "component")
     out = rows.join(small(staged(of, "fingerprint-roots"), 16), "bits", "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
