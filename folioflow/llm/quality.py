@@ -147,8 +147,8 @@ def quality_rules(docs: DataFrame, min_group: int = 50, lang: str = "lang", sour
 
 def quality_filter(docs: DataFrame, min_group: int = 50, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
     """The documents that quality_rules keeps, with all their columns. They are written once with their features beside them, which costs less than computing features twice or shuffling texts to join them."""
-    p = "__f_"
-    found = staged(features(docs, text, docs.columns, p), "quality-features")
-    fence = staged(thresholds(sketches(found, lang, source, p), min_group), "quality-fences")
-    met = judged(found, fence, lang, source, p)
-    return met.where(F.col(f"{p}kept")).select(*[f"`{c}`" for c in docs.columns])
+    names = {lang: "lang", source: "source", text: "text"}
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    found = staged(features(own, "text", ["row", "lang", "source"]), "quality-features")
+    fence = staged(thresholds(sketches(found), min_group), "quality-fences")
+    return judged(found, fence).where("kept").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
