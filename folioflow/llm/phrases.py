@@ -13,8 +13,8 @@ phrase crosses a piece. The walk is depth-first over groups of first words that
 at once. Counts of all shards are added up length by length; only phrases that are frequent in all go back to the shards
 that hold them, and a phrase is extended only if it is frequent without its last word and without its first.
 
-Frequent words have numbers, which the written table fixes; phrases are told apart by their words' numbers, so nothing
-depends on hashes. All counts are exact; products are decimals of 38 digits, exact for counts below 1e15.
+Frequent words are numbered without gaps in the order of the written table, and phrases are told apart by their words'
+numbers, two in a long, so nothing depends on hashes. All counts are exact; products are decimals of 38 digits, exact for counts below 1e15.
 
 Defined cases: a null text is empty; a null language is `und`, together with one of that name; repeated rows count each
 time; ties are broken by count and then by the phrase's UTF-8 bytes; an empty table gives no rows; extra columns are
@@ -24,6 +24,7 @@ ignored.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, staged, staged_by
+from .common import staged, staged_by
 from .katz import pack, unpack
 
 SHARD = 2_000_000
@@ -41,8 +42,8 @@ GROUP = 200_000
 PARTS = 64
 #: A-Z lower-cased, tabs made spaces and the characters that end a piece made one; the gap between pieces is written
 #: as a word that no text can have.
-TABLE = bytes(x + 32 if 65 <= x <= 90 else 32 if x == 9 else 10 if x in b".,;:!?" or 10 <= x <= 13 else x for x in range(256))
-GAP = b"\n"
+TABLE = bytes(x + 32 if 65 <= x <= 90 else 32 if x == 9 else 46 if x in b".,;:!?" or 10 <= x <= 13 else x for x in range(256))
+GAP = b"."
 
 
 class Numbers(dict):
@@ -68,10 +69,11 @@ class _Shard:
         self.at: list[np.ndarray] = []
 
     def add(self, lang: str, text: bytes) -> None:
+        """A text, or whole pieces of one, in the TABLE's bytes."""
         if lang not in self.known:
             self.known[lang] = Numbers(self)
-        ws = text.translate(TABLE).replace(GAP, b" \n ").split(b" ")
-        ids = np.fromiter(map(self.known[lang].__getitem__, filter(None, ws)), np.int32)
+        ws = text.replace(GAP, b" . ").split()
+        ids = np.fromiter(map(self.known[lang].__getitem__, ws), np.int32, len(ws))
         self.at.append(np.append(ids, np.int32(0)))
         self.tokens += len(ids) + 1
 
@@ -88,14 +90,26 @@ class _Shard:
         return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([pack(at)], pa.binary()), pa.array([vocabulary], kind)], names=["shard", "at", "vocabulary"])
 
 
+def _pieces(text: bytes) -> Iterator[bytes]:
+    """A text in stretches of whole pieces that a shard can take."""
+    most = 4 * SHARD
+    text, begin = text.translate(TABLE), 0
+    while len(text) - begin > most:
+        end = text.rfind(GAP, begin, begin + most) + 1 or text.find(GAP, begin + most) + 1 or len(text)
+        yield text[begin:end]
+        begin = end
+    yield text[begin:]
+
+
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, made, shard = TaskContext.get().partitionId(), 0, _Shard()
     for b in batches:
         for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            shard.add(lang, text.as_py() or b"")
-            if shard.tokens >= SHARD:
-                yield shard.row(part << 32 | made)
-                made, shard = made + 1, _Shard()
+            for some in _pieces(text.as_py() or b""):
+                shard.add(lang, some)
+                if shard.tokens >= SHARD:
+                    yield shard.row(part << 32 | made)
+                    made, shard = made + 1, _Shard()
     if shard.tokens:
         yield shard.row(part << 32 | made)
 
@@ -107,16 +121,18 @@ class Bitmaps:
         """frequent: whether each word number is."""
         self.blocks = len(at) // WIDTH + 2
         where = np.flatnonzero(frequent[at])
-        where = where[np.argsort(at[where], kind="stable")]
-        word, block = at[where].astype(np.int64), where // WIDTH
+        key = np.sort(at[where].astype(np.int64) << 32 | where)
+        word, where = key >> 32, key & 0xFFFFFFFF
+        block = where // WIDTH
         first = np.flatnonzero(np.r_[True, (np.diff(word) != 0) | (np.diff(block) != 0)][: len(where)])
         bits = np.left_shift(np.uint16(1), (where % WIDTH).astype(np.uint16))
         self.word, self.block = word[first], block[first]
         self.bits = np.bitwise_or.reduceat(bits, first) if len(first) else bits
         # the same bitmaps, those with bits in one place side by side
-        order = np.argsort(self.block, kind="stable")
+        order = np.argsort(self.block << 32 | self.word)
         self.by_block = self.word[order], self.bits[order]
         self.begin = np.searchsorted(self.block[order], np.arange(self.blocks + 1))
+        self.words = len(frequent)
 
     def groups(self) -> Iterator[slice]:
         """Slices of the bitmaps by word, whole words, of about GROUP entries."""
@@ -149,12 +165,13 @@ class Bitmaps:
         word, other = self.by_block
         both = bits[each] & other[place]
         some = np.flatnonzero(both)
-        of, block, word, both = of[each[some]], block[each[some]], word[place[some]], both[some]
-        order = np.lexsort((block, word, of))
-        of, block, word, both = of[order], block[order], word[order], both[order]
-        first = np.flatnonzero(np.r_[True, (np.diff(of) != 0) | (np.diff(word) != 0)][: len(of)])
+        phrase = of[each[some]] * self.words + word[place[some]]  # a shard's words and places are few enough for one number
+        order = np.argsort(phrase * self.blocks + block[each[some]])
+        phrase, block, both = phrase[order], block[each[some[order]]], both[some[order]]
+        first = np.flatnonzero(np.r_[True, np.diff(phrase) != 0][: len(phrase)])
         count = np.add.reduceat(np.bitwise_count(both).astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
-        return of[first], word[first], count, np.repeat(np.arange(len(first)), np.diff(first, append=len(of))), block, both
+        of, word = np.divmod(phrase[first], self.words)
+        return of, word, count, np.repeat(np.arange(len(first)), np.diff(first, append=len(phrase))), block, both
 
 
 class Known:
@@ -176,15 +193,16 @@ class Known:
 def _walk(row: pa.Table, replies: pa.Table, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(words, counts): the shard's phrases of `length` words that may be frequent, by the numbers of their words in the corpus."""
     at = unpack(row.column("at")[0].as_py(), np.int32)
-    level, words = replies.column("level").to_numpy(), replies.column("words").combine_chunks()
+    level = replies.column("level").to_numpy()
+    words = _unpacked(replies, length - 1)
     ones = np.flatnonzero(level == 1)
     ids = np.full(int(at.max()) + 1, -1, np.int64)
-    ids[replies.column("place").to_numpy()[ones]] = words.take(pa.array(ones)).flatten().to_numpy()
+    ids[replies.column("place").to_numpy()[ones]] = words[ones, 0]
     by_id = np.argsort(ids, kind="stable")
     known: list[Known | None] = [None, None]
     for m in range(2, length):
-        mine = words.take(pa.array(np.flatnonzero(level == m))).flatten().to_numpy().reshape(-1, m)
-        local = by_id[np.searchsorted(ids, mine, sorter=by_id)]
+        mine = words[level == m]
+        local = by_id[np.searchsorted(ids, mine[:, :m], sorter=by_id)]
         prefix = local[:, 0]
         for k in range(2, m):
             prefix = known[k].find(prefix, local[:, k - 1])
@@ -211,17 +229,52 @@ def _names(m: int) -> list[str]:
     return [f"w{i}" for i in range(m)]
 
 
+def _keys(m: int) -> list[str]:
+    return [f"k{i}" for i in range((m + 1) // 2)]
+
+
+def _packed(words: np.ndarray) -> dict[str, np.ndarray]:
+    """The numbers of phrases' words, two in a long; a last one alone is the upper half."""
+    if words.shape[1] % 2:
+        words = np.concatenate([words, np.zeros((len(words), 1), np.int64)], axis=1)
+    return {f"k{i // 2}": words[:, i] << 32 | words[:, i + 1] for i in range(0, words.shape[1], 2)}
+
+
+def _unpacked(t: pa.Table, m: int) -> np.ndarray:
+    keys = [t.column(c).to_numpy() for c in _keys(m)]
+    return np.stack([x for k in keys for x in (k >> 32, k & 0xFFFFFFFF)], axis=1)
+
+
+def _word(i: int) -> Column:
+    k = F.col(f"k{i // 2}")
+    return (F.shiftright(k, 32) if i % 2 == 0 else k.bitwiseAND(F.lit(0xFFFFFFFF))).alias(f"w{i}")
+
+
 def _counts(m: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(row: pa.Table, replies: pa.Table) -> pa.Table:
         made = [*_walk(row, replies, m)] if replies.num_rows else []
         words = np.concatenate([np.zeros((0, m), np.int64), *(w for w, _ in made)])
         n = np.concatenate([np.zeros(0, np.int64), *(c for _, c in made)])
         shard = np.full(len(n), row.column("shard")[0].as_py(), np.int64)
-        return pa.table({"shard": shard, **{c: words[:, i] for i, c in enumerate(_names(m))}, "n": n})
+        return pa.table({"shard": shard, **_packed(words), "n": n})
 
     return run
 
 
+def _numbered(words: DataFrame) -> DataFrame:
+    """words (a written table) with w0, their numbers from 0 without gaps: places in a file's part, after the parts before."""
+    part, place = F.spark_partition_id(), F.monotonically_increasing_id()
+    words = staged(words.withColumn("part", part).withColumn("place", place.bitwiseAND(F.lit((1 << 33) - 1))), "frequent-words")
+    sizes = sorted((r[0], r[1]) for r in words.groupBy("part").count().collect())  # a row for each partition
+    total, before = 0, {}
+    for k, n in sizes:
+        before[k], total = total, total + n
+    if total >= 1 << 31:
+        raise ValueError("more frequent words than two to a long")
+    starts = words.sparkSession.createDataFrame(list(before.items()), "part int, before long")
+    return words.join(F.broadcast(starts), "part").withColumn("w0", F.col("before") + F.col("place")).drop("part", "place", "before")
+
+
 def frequent_phrases(docs: DataFrame, min_count: int = 10, max_words: int = 3, text: str = "text", lang: str = "lang") -> tuple[DataFrame, list[DataFrame]]:
     """lang, n (words in all); and for each length from 1 the phrases that occur min_count times, as w0, w1, ... (numbers of words) and f, those of one word with lang and word."""
     spark = docs.sparkSession
@@ -233,17 +286,21 @@ def frequent_phrases(docs: DataFrame, min_count: int = 10, max_words: int = 3, t
     held = held.select("shard", "lang", F.col("x.words").cast("string").alias("word"), F.col("x.places").alias("place"), F.col("x.n").alias("n"))
     counts = staged(held.groupBy("lang", "word").agg(F.sum("n").alias("f")), "phrase-words")
     totals = counts.groupBy("lang").agg(F.sum("f").alias("n"))
-    found = [staged(counts.where(F.col("f") >= min_count).withColumn("w0", F.monotonically_increasing_id()), "frequent-1")]
-    ones = held.join(small(found[0], 24 + F.octet_length("lang") + F.octet_length("word")), ["lang", "word"])
-    replies = staged(ones.select(F.col("shard").alias("of"), F.lit(1).alias("level"), "place", F.array("w0").alias("words")), "phrase-replies")
+    found = [staged(_numbered(counts.where(F.col("f") >= min_count)), "frequent-1")]
+    # the frequent side of these joins is never broadcast: shards get their replies in one way, however many there are
+    ones = held.join(found[0].hint("shuffle_hash"), ["lang", "word"])
+    replies = [staged(ones.select(F.col("shard").alias("of"), F.lit(1).alias("level"), "place", F.shiftleft("w0", 32).alias("k0")), "phrase-replies")]
     for m in range(2, max_words + 1):
-        asked = laid.select("shard", "at").groupBy("shard").cogroup(replies.groupBy("of")).applyInArrow(_counts(m), ", ".join(f"{c} long" for c in ["shard", *_names(m), "n"]))
+        keys = _keys(m)
+        told = [r.select("of", "level", "place", *[c if c in r.columns else F.lit(0).cast("long").alias(c) for c in _keys(m - 1)]) for r in replies]
+        told = reduce(DataFrame.unionByName, told)
+        asked = laid.select("shard", "at").groupBy("shard").cogroup(told.groupBy("of")).applyInArrow(_counts(m), ", ".join(f"{c} long" for c in ["shard", *keys, "n"]))
         asked = staged(asked, f"phrases-{m}") if m < max_words else asked
-        found.append(staged(asked.groupBy(*_names(m)).agg(F.sum("n").alias("f")).where(F.col("f") >= min_count), f"frequent-{m}"))
+        frequent = staged(asked.groupBy(*keys).agg(F.sum("n").alias("f")).where(F.col("f") >= min_count), f"frequent-{m}")
+        found.append(frequent.select(*[_word(i) for i in range(m)], "f"))
         if m < max_words:
-            mine = asked.join(small(found[-1], 8 * m + 8), _names(m), "left_semi")
-            more = mine.select(F.col("shard").alias("of"), F.lit(m).alias("level"), F.lit(0).cast("long").alias("place"), F.array(*_names(m)).alias("words"))
-            replies = replies.unionByName(staged(more, "phrase-replies"))
+            mine = asked.select("shard", *keys).join(frequent.select(*keys).hint("shuffle_hash"), keys, "left_semi")
+            replies.append(staged(mine.select(F.col("shard").alias("of"), F.lit(m).alias("level"), F.lit(0).cast("long").alias("place"), *keys), "phrase-replies"))
     return totals, found
 
 
