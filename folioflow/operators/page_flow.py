@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import bbox
 from ..functions.layout import draw_rank, label_of
 from ..sources import pagexml
-from . import raster
+from . import raster, runs
 from .reading_order import reading_order
 
 
@@ -39,6 +39,14 @@ def annotation_rasters(nested: DataFrame, border: bool = False) -> DataFrame:
     return raster.drawn(pages.select(F.col("page_id").alias("page"), "width", "height", listed.alias("shapes")), border)
 
 
+def annotation_runs(nested: DataFrame) -> DataFrame:
+    """page_id, label, y, x0, x1: the same rasters, without a border, as a run table; a page's pixels never meet in one row."""
+    regions = pagexml.region_table(nested).withColumn("label", label_of(F.coalesce("tag", F.lit(""))))
+    shapes = regions.select("page_id", F.struct(draw_rank(F.col("label")).alias("rank"), "ord").alias("z"), "label", "points")
+    drawn = runs.clipped(runs.filled(shapes, ["page_id", "z", "label"]), pagexml.page_table(nested), ["page_id"])
+    return runs.overdrawn(drawn, ["page_id"], "z")
+
+
 def convert_annotations(spark: SparkSession, path: str, out: str, border: bool = False) -> None:
     """Reads a folder of page files, and writes their rasters as Parquet."""
     annotation_rasters(pagexml.read_pages(spark, path), border).write.mode("overwrite").parquet(out)

@@ -10,7 +10,6 @@ from ..functions import layout as L
 from ..functions import tokens as T
 from ..operators import matching as A
 from ..operators import page_flow
-from ..operators import raster as P
 from ..operators import splits as D
 from ..operators import text_export as X
 from ..schema import ELEMENTS, EVAL_ALIASES, REGION_KINDS, YOLO_NAMES
@@ -19,11 +18,11 @@ from . import views as V
 from .evaluation_queries import _sides
 from .geometry_queries import _NAME, _PROPS, _WALK, with_
 from .registry import query
-from .shape_queries import _SLOT, _box, _drawn, _slots
 from .text_queries import _TALK, _rounded, _talk
 
-# a page's regions with classes, in an order from top to bottom that leaves some out
-_PLACED = f"""placed AS (SELECT page, ord, {_NAME}[label] AS class, minx, miny, maxx, maxy, suppkey, partkey, (row_number() OVER (PARTITION BY page ORDER BY miny, ord) - 1)::INT AS position FROM regions WHERE partkey % 11 <> 0)"""
+# a page's regions with classes, in an order from top to bottom; and one that leaves some out, for writing, where those are lost
+_PLACED = f"""placed AS (SELECT page, ord, {_NAME}[label] AS class, minx, miny, maxx, maxy, suppkey, partkey, (row_number() OVER (PARTITION BY page ORDER BY miny, ord) - 1)::INT AS position FROM regions)"""
+_KEPT = _PLACED.replace("FROM regions)", "FROM regions WHERE partkey % 11 <> 0)")
 
 
 def _classed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,9 +33,9 @@ def _classed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(F.col("page").alias("page_id"), F.format_string("r%d", "ord").alias("region_id"), "ord", L.label_name(F.col("label")).alias("class"), corners.alias("points"), "miny", "suppkey", "partkey")
 
 
-def _order(regions: DataFrame) -> DataFrame:
+def _order(regions: DataFrame, lost: str = "false") -> DataFrame:
     w = Window.partitionBy("page_id").orderBy("miny", "ord")
-    return regions.where("partkey % 11 <> 0").select("page_id", "region_id", (F.row_number().over(w) - 1).alias("position"))
+    return regions.where(f"not ({lost})").select("page_id", "region_id", (F.row_number().over(w) - 1).alias("position"))
 
 
 def _lines(regions: DataFrame) -> DataFrame:
@@ -48,10 +47,13 @@ def _lines(regions: DataFrame) -> DataFrame:
     return df.select("page_id", "region_id", F.format_string("%s_tl_%d", "region_id", "position").alias("line_id"), "position", "points", base.alias("baseline"), text.alias("text"))
 
 
-def _xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+_LOST = "partkey % 11 = 0"
+
+
+def _xml(spark: SparkSession, sf_dir: str, lost: str = "false") -> DataFrame:
     regions = _classed(spark, sf_dir)
     pages = regions.groupBy("page_id").agg(F.concat(F.col("page_id").cast("string"), F.lit(".jpg")).alias("image_filename"), F.lit(5119).alias("width"), F.lit(8191).alias("height"))
-    return pagexml.page_xml(pages, pagexml.reordered(regions, _order(regions)), _lines(regions))
+    return pagexml.page_xml(pages, pagexml.reordered(regions, _order(regions, lost)), _lines(regions))
 
 
 _KIND = "CASE class " + " ".join(f"WHEN '{c}' THEN '{k}'" for c, k in ELEMENTS.items()) + " END"
@@ -63,16 +65,16 @@ _XML = f"""xml AS (SELECT page, '<?xml version="1.0" encoding="UTF-8"?><PcGts xm
   CASE WHEN i = 0 THEN '<TextEquiv><Unicode>a &lt;line&gt; &amp; &quot;'||partkey||'&quot;</Unicode></TextEquiv>' ELSE '' END || '</TextLine>'), '') ELSE '' END AS parts FROM placed) GROUP BY page)"""
 
 
-@query("page_xml", with_(V.REGIONS, _PLACED, _XML) + "SELECT p.page AS page_id, coalesce(xml, '<?xml version=\"1.0\" encoding=\"UTF-8\"?><PcGts xmlns=\"http://schema.primaresearch.org/PAGE/gts/pagecontent/2013-07-15\"><Page imageFilename=\"'||p.page||'.jpg\" imageWidth=\"5119\" imageHeight=\"8191\"></Page></PcGts>') AS xml FROM (SELECT DISTINCT page FROM regions) p LEFT JOIN xml USING (page)")
+@query("page_xml", with_(V.REGIONS, _KEPT, _XML) + "SELECT p.page AS page_id, coalesce(xml, '<?xml version=\"1.0\" encoding=\"UTF-8\"?><PcGts xmlns=\"http://schema.primaresearch.org/PAGE/gts/pagecontent/2013-07-15\"><Page imageFilename=\"'||p.page||'.jpg\" imageWidth=\"5119\" imageHeight=\"8191\"></Page></PcGts>') AS xml FROM (SELECT DISTINCT page FROM regions) p LEFT JOIN xml USING (page)")
 def page_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages rewritten in a new order; regions outside it are lost."""
-    return _xml(spark, sf_dir)
+    return _xml(spark, sf_dir, _LOST)
 
 
-@query("page_reorder", with_(V.REGIONS, _PLACED) + "SELECT page AS page_id, 'r' || ord AS region_id, class, position FROM placed")
+@query("page_reorder", with_(V.REGIONS, _KEPT) + "SELECT page AS page_id, 'r' || ord AS region_id, class, position FROM placed")
 def page_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
     regions = _classed(spark, sf_dir)
-    return pagexml.reordered(regions, _order(regions)).select("page_id", "region_id", "class", "position")
+    return pagexml.reordered(regions, _order(regions, _LOST)).select("page_id", "region_id", "class", "position")
 
 
 def _parsed(xml: DataFrame) -> DataFrame:
@@ -212,9 +214,12 @@ def label_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.label_files(V.regions(spark, sf_dir).select(F.col("page").alias("page_id"), "ord", line.alias("line")))
 
 
-@query("dataset_yaml", "SELECT (i - 1)::INT AS line, l[i] AS value FROM (SELECT ['path: data', 'train: images/train', 'val: images/val', 'test: images/test', 'names:', " + ", ".join(f"'  {i}: {n}'" for i, n in enumerate(YOLO_NAMES)) + "] AS l), range(1, len(l) + 1) t(i)")
+@query("dataset_yaml", with_(V.REGIONS) + f""", l AS (SELECT DISTINCT label - 1 AS i FROM regions), n AS (SELECT i, {list(YOLO_NAMES)}[i + 1] AS name FROM l),
+t AS (SELECT unnest(['path: data', 'train: images/train', 'val: images/val', 'test: images/test', 'names:']) AS value, unnest(range(0, 5)) AS line) SELECT line::INT AS line, value FROM t UNION ALL SELECT (5 + row_number() OVER (ORDER BY i) - 1)::INT, '  ' || i || ': ' || name FROM n""")
 def dataset_yaml(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.dataset_yaml(spark, "data", YOLO_NAMES)
+    """The description of the label files of these regions, with the classes that they hold."""
+    names = F.get(F.array(*[F.lit(n) for n in YOLO_NAMES]), F.col("label") - 1)
+    return files.dataset_yaml(V.regions(spark, sf_dir).select((F.col("label") - 1).alias("id"), names.alias("name")), "data")
 
 
 _DRAWS = "rk AS (SELECT page_id, row_number() OVER (ORDER BY md5(page_id::VARCHAR), page_id) AS rank FROM pages), dr AS (SELECT i::INT AS draw, ('0x' || substr(md5('7:' || i), 1, 12))::BIGINT % (SELECT count(*) FROM pages) + 1 AS rank FROM range(300) t(i))"
@@ -255,24 +260,6 @@ def adjust_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.read(spark, sf_dir, "pages").select("page_id", T.with_slash(F.col("url")).alias("with_slash"), T.without_slash(F.col("url")).alias("without_slash"))
 
 
-@query("raster_histogram", f"WITH {_SLOT} SELECT page, label, sum((w + 1) * (h + 1))::BIGINT AS n FROM sl GROUP BY page, label UNION ALL SELECT page, 0, (40 * (16 * max(ord) + 20) - sum((w + 1) * (h + 1)))::BIGINT FROM sl GROUP BY page")
-def raster_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pixels of each label on pages that are drawn from their regions."""
-    return P.label_counts(_drawn(_slots(spark, sf_dir), F.array(_box(F.col("label"), 0))))
-
-
-@query("annotation_rasters", with_(V.REGIONS) + """, sl AS (SELECT page, ord, label, (2 + partkey % 10)::INT AS x, 2 + 16 * ord AS y, (4 + suppkey % 20)::INT AS w, 3 + label AS h FROM regions)
-SELECT page AS page_id, label, sum((w + 1) * (h + 1))::BIGINT AS n FROM sl GROUP BY page, label UNION ALL SELECT page, 0, (40 * (16 * max(ord) + 20) - sum((w + 1) * (h + 1)))::BIGINT FROM sl GROUP BY page""")
-def annotation_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages written as XML, read, and drawn in the order of their labels."""
-    at = lambda x, y: F.struct(F.expr(x).alias("x"), F.expr(y).alias("y"))
-    corners = F.array(at("x", "y"), at("x + w", "y"), at("x + w", "y + h"), at("x", "y + h"))
-    regions = _slots(spark, sf_dir).select(F.col("page").alias("page_id"), F.format_string("r%d", "ord").alias("region_id"), F.col("ord").alias("position"), L.label_name(F.col("label")).alias("class"), corners.alias("points"), "ord")
-    pages = regions.groupBy("page_id").agg(F.lit("x.jpg").alias("image_filename"), F.lit(40).alias("width"), (16 * F.max("ord") + 20).alias("height"))
-    nested = _parsed(pagexml.page_xml(pages, regions.drop("ord")))
-    return P.label_counts(page_flow.annotation_rasters(nested)).withColumnRenamed("page", "page_id")
-
-
 @query("polygon_scan", with_(V.REGIONS, _PLACED, _SCAN) + "SELECT page AS page_id, 'r' || ord AS region_id, class, minx, miny, maxx, maxy FROM scan WHERE class IN ('paragraph', 'heading', 'table')")
 def polygon_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Polygons of the classes that are evaluated, read from written pages."""

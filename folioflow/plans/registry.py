@@ -11,21 +11,20 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 
-def query(names: str | tuple[str, ...], sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a function under its name, and under others by which it is known."""
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a function under its name."""
 
     def put(f: Query) -> Query:
-        for name in (names,) if isinstance(names, str) else names:
-            _QUERIES[name] = f
-            if sql:
-                _SQL[name] = sql
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
         return f
 
     return put
 
 
 def _load() -> None:
-    from . import evaluation_queries, geometry_queries, page_queries, shape_queries, text_queries  # noqa: F401  they register themselves
+    from . import evaluation_queries, geometry_queries, page_queries, raster_queries, shape_queries, text_queries  # noqa: F401  they register themselves
 
 
 def queries() -> dict[str, Query]:

@@ -139,7 +139,7 @@ def shape_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.mismatched(size(truth), size(pred), "page")
 
 
-@query(("vocabulary_extend", "vocabulary_extend_whole"), "SELECT page_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '') AS letters FROM (SELECT page_id, list_concat(['a', 'b', 'c', '.'], string_split(url, '')) AS l FROM pages)")
+@query("vocabulary_extend", "SELECT page_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '') AS letters FROM (SELECT page_id, list_concat(['a', 'b', 'c', '.'], string_split(url, '')) AS l FROM pages)")
 def vocabulary_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = F.array(*[F.lit(x) for x in "abc."])
     return V.read(spark, sf_dir, "pages").select("page_id", F.array_join(T.extended(known, T.characters(F.col("url"))), "").alias("letters"))

@@ -27,17 +27,17 @@ def _read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.whole_lines(spark, sf_dir).withColumnsRenamed({"g": "truth", "o": "read"})
 
 
-@query(("ocr_cer_corpus", "ocr_cer_corpus_whole"), W + _ERR + " SELECT " + _RATES)
+@query("ocr_cer_corpus", W + _ERR + " SELECT " + _RATES)
 def ocr_cer_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(M.error_rates(_read(spark, sf_dir), []))
 
 
-@query(("ocr_page_quality", "ocr_page_quality_whole"), W + _ERR + " SELECT doc_id, " + _RATES + " GROUP BY doc_id")
+@query("ocr_page_quality", W + _ERR + " SELECT doc_id, " + _RATES + " GROUP BY doc_id")
 def ocr_page_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(M.error_rates(_read(spark, sf_dir), ["doc_id"]))
 
 
-@query(("ocr_conf_filtered", "ocr_conf_filtered_whole"), W + _ERR.replace("CASE WHEN greatest(length(g), length(o)) > 0", "CASE WHEN (line % 10) / 10.0::DOUBLE >= 0.4::DOUBLE AND greatest(length(g), length(o)) > 0") + " SELECT " + _RATES)
+@query("ocr_conf_filtered", W + _ERR.replace("CASE WHEN greatest(length(g), length(o)) > 0", "CASE WHEN (line % 10) / 10.0::DOUBLE >= 0.4::DOUBLE AND greatest(length(g), length(o)) > 0") + " SELECT " + _RATES)
 def ocr_conf_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _read(spark, sf_dir)
     return _rounded(M.error_rates(df.withColumn("used", M.confident((F.col("line") % 10) / 10.0, 0.4)), []))
@@ -47,7 +47,7 @@ _EXTRA = ", ".join(f"chr({ord(c)})" for c in T.CUSTOM)
 _WHOLE_IDS = f"list_transform(string_split(g, ''), lambda c: CASE WHEN unicode(c) < {T.UNICODE} THEN unicode(c) + 4 ELSE coalesce(nullif(list_position([{_EXTRA}], c), 0) + {T.UNICODE + 3}, 2) END)"
 
 
-@query(("tokenize", "tokenize_whole"), W + V.WHOLE_LINES + f", i AS (SELECT doc_id, line, list_concat([1], CASE WHEN g = '' THEN [] ELSE {_WHOLE_IDS} END, [3]) AS ids FROM tl) SELECT doc_id, line, array_to_string(ids, ' ') AS ids, array_to_string(ids[1:{T.MAX_LENGTH}], ' ') AS model_ids FROM i")
+@query("tokenize", W + V.WHOLE_LINES + f", i AS (SELECT doc_id, line, list_concat([1], CASE WHEN g = '' THEN [] ELSE {_WHOLE_IDS} END, [3]) AS ids FROM tl) SELECT doc_id, line, array_to_string(ids, ' ') AS ids, array_to_string(ids[1:{T.MAX_LENGTH}], ' ') AS model_ids FROM i")
 def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every character of every line in the reference's vocabulary; model_ids are the ids that fit its model."""
     df = V.whole_lines(spark, sf_dir).select("doc_id", "line", T.tokenise(F.col("g"), T.UNICODE, T.CUSTOM).cast("array<string>").alias("ids"))
@@ -57,7 +57,7 @@ def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OUTSIDE = rf"[^\x{{0}}-\x{{{T.UNICODE - 1:x}}}{''.join(rf'\x{{{ord(c):x}}}' for c in T.CUSTOM)}]"
 
 
-@query(("detokenize", "detokenize_whole"), W + V.WHOLE_LINES + f" SELECT doc_id, line, regexp_replace(g, '{_OUTSIDE}', '', 'g') AS text FROM tl")
+@query("detokenize", W + V.WHOLE_LINES + f" SELECT doc_id, line, regexp_replace(g, '{_OUTSIDE}', '', 'g') AS text FROM tl")
 def detokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = T.tokenise(F.col("g"), T.UNICODE, T.CUSTOM)
     return V.whole_lines(spark, sf_dir).select("doc_id", "line", T.detokenise(ids, T.alphabet(T.UNICODE, T.CUSTOM)).alias("text"))
@@ -95,7 +95,7 @@ def text_export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RES = "res AS (SELECT doc_id, line, o FROM tl WHERE line % 3 <> 0)"
 
 
-@query(("vocabulary", "vocabulary_whole"), W + V.WHOLE_LINES + """, c AS (SELECT doc_id, line, i, g[i] AS char FROM (SELECT doc_id, line, g, unnest(range(1, length(g) + 1)) AS i FROM tl))
+@query("vocabulary", W + V.WHOLE_LINES + """, c AS (SELECT doc_id, line, i, g[i] AS char FROM (SELECT doc_id, line, g, unnest(range(1, length(g) + 1)) AS i FROM tl))
 SELECT char, n, (row_number() OVER (ORDER BY first))::INT AS rank FROM (SELECT char, count(*) AS n, min((doc_id, line, i)) AS first FROM c GROUP BY char)""")
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.vocabulary(V.whole_lines(spark, sf_dir), "g", ["doc_id", "line"])
@@ -105,7 +105,7 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RES = "res AS (SELECT doc_id, line, o, 0 AS turn FROM tl WHERE line % 3 <> 0 UNION ALL SELECT doc_id, line, 'again ' || o, 1 FROM tl WHERE line % 9 = 1)"
 
 
-@query(("attach_text", "attach_text_whole"), W + V.WHOLE_LINES + ", " + _RES + ", last AS (SELECT doc_id, line, arg_max(o, turn) AS o FROM res GROUP BY doc_id, line) SELECT tl.doc_id AS page, tl.line AS line_id, trim(r.o) AS text FROM tl LEFT JOIN last r ON tl.doc_id = r.doc_id AND tl.line = r.line")
+@query("attach_text", W + V.WHOLE_LINES + ", " + _RES + ", last AS (SELECT doc_id, line, arg_max(o, turn) AS o FROM res GROUP BY doc_id, line) SELECT tl.doc_id AS page, tl.line AS line_id, trim(r.o) AS text FROM tl LEFT JOIN last r ON tl.doc_id = r.doc_id AND tl.line = r.line")
 def attach_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     tl = V.whole_lines(spark, sf_dir).select(F.col("doc_id").alias("page"), F.col("line").alias("line_id"), F.col("g").alias("text"), "o")
     first = tl.where("line_id % 3 <> 0").select("page", "line_id", F.lit(0).alias("ord"), F.col("o").alias("text"))
@@ -113,14 +113,14 @@ def attach_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.attach_by_id(tl.drop("o"), first.unionByName(second)).select("page", "line_id", "text")
 
 
-@query(("replace_text", "replace_text_whole"), W + V.WHOLE_LINES + ", res AS (SELECT doc_id, line, o FROM tl WHERE line % 3 <> 0) SELECT tl.doc_id AS page, tl.line AS line_id, CASE WHEN length(r.o) > 0 THEN r.o ELSE tl.g END AS text FROM tl LEFT JOIN res r ON tl.doc_id = r.doc_id AND tl.line = r.line")
+@query("replace_text", W + V.WHOLE_LINES + ", res AS (SELECT doc_id, line, o FROM tl WHERE line % 3 <> 0) SELECT tl.doc_id AS page, tl.line AS line_id, CASE WHEN length(r.o) > 0 THEN r.o ELSE tl.g END AS text FROM tl LEFT JOIN res r ON tl.doc_id = r.doc_id AND tl.line = r.line")
 def replace_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     tl = V.whole_lines(spark, sf_dir).select(F.col("doc_id").alias("page"), F.col("line").alias("line_id"), F.col("g").alias("text"), "o")
     res = tl.where("line_id % 3 <> 0").select("page", "line_id", F.col("o").alias("text"))
     return X.replace_text(tl.drop("o"), res).select("page", "line_id", "text")
 
 
-@query(("path_stem", "path_stem_whole"), "SELECT page_id, n[1:greatest(length(n) - 4, 0)] AS stem, url FROM (SELECT page_id, url, string_split(string_split(url, '?')[1], '/')[-1] AS n FROM pages)")
+@query("path_stem", "SELECT page_id, n[1:greatest(length(n) - 4, 0)] AS stem, url FROM (SELECT page_id, url, string_split(string_split(url, '?')[1], '/')[-1] AS n FROM pages)")
 def path_stem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page; names shorter than the suffix have an empty stem."""
     return V.read(spark, sf_dir, "pages").select("page_id", T.short_stem(F.substring_index("url", "?", 1)).alias("stem"), "url")

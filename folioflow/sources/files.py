@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window, Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.layout import alias_of
@@ -83,10 +83,13 @@ def label_files(boxes: DataFrame) -> DataFrame:
     return rows.select("page_id", F.array_join(F.transform("x", lambda x: x["line"]), "\n").alias("value"))
 
 
-def dataset_yaml(spark: SparkSession, root: str, names: list[str], splits: tuple[str, ...] = ("train", "val", "test")) -> DataFrame:
-    """line, value: the description of a data set of label files."""
-    lines = [f"path: {root}", *(f"{s}: images/{s}" for s in splits), "names:", *(f"  {i}: {n}" for i, n in enumerate(names))]
-    return spark.createDataFrame(list(enumerate(lines)), "line int, value string")
+def dataset_yaml(boxes: DataFrame, root: str, splits: tuple[str, ...] = ("train", "val", "test")) -> DataFrame:
+    """line, value: the description of a data set of label files. boxes: id and name of each box's class; classes are few."""
+    head = [f"path: {root}", *(f"{s}: images/{s}" for s in splits), "names:"]
+    top = boxes.sparkSession.createDataFrame(list(enumerate(head)), "line int, value string")
+    names = boxes.select("id", "name").distinct()
+    line = F.row_number().over(Window.orderBy("id")) + len(head) - 1
+    return top.unionByName(names.select(line.alias("line"), F.format_string("  %d: %s", "id", "name").alias("value")))
 
 
 def read_series(spark: SparkSession, path: str) -> DataFrame:
