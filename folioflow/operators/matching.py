@@ -1,32 +1,77 @@
 """Pairs of overlapping boxes, their one-to-one matching, and what is counted from it.
 
 The pair join has an equality key (page, and class where the class gates), so it hashes; boxes that do not overlap
-have IoU 0 and can never be matched, and never become rows. Matching is greedy by (IoU, place): it folds over a key's
-sorted pairs inside the JVM.
+have IoU 0 and can never be matched, and never become rows. On crowded pages boxes also meet by the cells of a grid, so
+that few pairs are tested. Matching is greedy by (IoU, place): up to `FOLD` pairs of a key fold inside the JVM, more are
+matched in rounds of pairs that are the best of both their boxes, which gives the same matching without an array of them.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import iou
+from .linked import kept
 
 BOX = ["minx", "miny", "maxx", "maxy"]
 
 
+#: Pairs of boxes of a key that are tested without a grid, and pairs of a key that are matched by a fold.
+CROWD, FOLD = 100_000, 1_000
+
+
 def pairs(pred: DataFrame, truth: DataFrame, by: list[str]) -> DataFrame:
     """by, p (ord of pred), g (ord of truth), iou > 0 of all overlapping pairs."""
     a = pred.select(*by, F.col("ord").alias("p"), *[F.col(c).alias(f"p_{c}") for c in BOX])
     b = truth.select(*by, F.col("ord").alias("g"), *[F.col(c).alias(f"g_{c}") for c in BOX])
+    full = crowded(pred, truth, by)
+    if full is None:
+        return _met(a.join(b, by), by)
+    alone = _met(a.join(full, by, "left_anti").join(b, by), by)
+    return alone.unionByName(in_cells(a.join(full, by), b.join(full, by), by))
+
+
+def crowded(pred: DataFrame, truth: DataFrame, by: list[str]) -> DataFrame | None:
+    """by, wide, high: keys with more than CROWD pairs of boxes, and the cells of their grid, twice as large as a box on average; None where there are none."""
+    one = lambda df, n: df.select(*by, F.lit(n).alias("is_p"), (F.col("maxx") - F.col("minx")).alias("w"), (F.col("maxy") - F.col("miny")).alias("h"))
+    sizes = one(pred, 1).unionByName(one(truth, 0)).groupBy(*by).agg(F.sum("is_p").alias("n_p"), F.sum(1 - F.col("is_p")).alias("n_g"), F.avg("w").alias("w"), F.avg("h").alias("h"))
+    full = kept(sizes.where(F.col("n_p") * F.col("n_g") > CROWD).select(*by, *[F.greatest(F.ceil(2 * F.col(c)), F.lit(1)).alias(n) for c, n in (("w", "wide"), ("h", "high"))]))
+    return None if full.isEmpty() else full
+
+
+def in_cells(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    """The pairs of boxes that share a cell. A box is in every cell that it meets; a pair counts in the cell of its common part's upper left corner only."""
+    cell = lambda v, size: F.floor(v / F.col(size))
+
+    def spread(df: DataFrame, s: str) -> DataFrame:
+        each = lambda lo, hi, size: F.explode(F.sequence(cell(F.col(lo), size), cell(F.col(hi), size)))
+        return df.withColumn("cx", each(f"{s}_minx", f"{s}_maxx", "wide")).withColumn("cy", each(f"{s}_miny", f"{s}_maxy", "high"))
+
+    met = spread(a, "p").join(spread(b, "g").drop("wide", "high"), [*by, "cx", "cy"])
+    here = (cell(F.greatest("p_minx", "g_minx"), "wide") == F.col("cx")) & (cell(F.greatest("p_miny", "g_miny"), "high") == F.col("cy"))
+    return _met(met.where(here), by)
+
+
+def _met(both: DataFrame, by: list[str]) -> DataFrame:
     near = (F.col("p_minx") < F.col("g_maxx")) & (F.col("g_minx") < F.col("p_maxx")) & (F.col("p_miny") < F.col("g_maxy")) & (F.col("g_miny") < F.col("p_maxy"))
     side = lambda s: {c: F.col(f"{s}_{c}") for c in BOX}
-    return a.join(b, by).where(near).select(*by, "p", "g", iou(side("p"), side("g")).alias("iou"))
+    return both.where(near).select(*by, "p", "g", iou(side("p"), side("g")).alias("iou"))
 
 
 def matched(found: DataFrame, by: list[str], threshold: float = 0.0) -> DataFrame:
     """by, p, g, iou of the greedy one-to-one matching of pairs at or above the threshold: the best pair first, ties by place."""
-    some = found.where((F.col("iou") >= threshold) & (F.col("iou") > 0))
+    some = kept(found.where((F.col("iou") >= threshold) & (F.col("iou") > 0)))
+    many = kept(some.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FOLD).select(*by))
+    if many.isEmpty():
+        return folded(some, by)
+    return folded(some.join(many, by, "left_anti"), by).unionByName(in_rounds(some.join(many, by, "left_semi"), by))
+
+
+def folded(some: DataFrame, by: list[str]) -> DataFrame:
+    """The greedy matching of few pairs of each key: a fold over the sorted pairs."""
     ranked = F.sort_array(F.collect_list(F.struct(F.negative("iou").alias("k"), "p", "g")))
     # taken places are searched as arrays of numbers, without a call for each of them
     free = lambda acc, x: ~(F.array_contains(acc["p"], x["p"]) | F.array_contains(acc["g"], x["g"]))
@@ -37,6 +82,23 @@ def matched(found: DataFrame, by: list[str], threshold: float = 0.0) -> DataFram
     return best.select(*by, F.col("x.p").alias("p"), F.col("x.g").alias("g"), F.negative("x.k").alias("iou"))
 
 
+def in_rounds(some: DataFrame, by: list[str]) -> DataFrame:
+    """The same matching of many pairs: in each round the pairs that come first among those of both their boxes are taken, and what shares a box with them goes.
+
+    The order of pairs is total, so the first pair of all is always such a pair and the greedy matching is the only
+    outcome. Each round is written; rounds go with the longest chain of ever better neighbours, which is short.
+    """
+    order = F.struct(F.negative("iou").alias("k"), "p", "g")
+    left, out = kept(some.withColumn("first", order)), []
+    while not left.isEmpty():
+        best = lambda side: left.groupBy(*by, side).agg(F.min("first").alias("first"))
+        taken = kept(best("p").select(*by, "first").join(best("g").select(*by, "first"), [*by, "first"]).select(*by, "first.p", "first.g", F.negative("first.k").alias("iou")))
+        out.append(taken)
+        gone = lambda side: taken.select(*by, side)
+        left = kept(left.join(gone("p"), [*by, "p"], "left_anti").join(gone("g"), [*by, "g"], "left_anti"))
+    return reduce(DataFrame.unionByName, out) if out else left.drop("first")
+
+
 def rates(tp: Column, n_pred: Column, n_truth: Column) -> dict[str, Column]:
     """precision, recall (1 for an empty side) and f1."""
     p = F.when(n_pred == 0, F.lit(1.0)).otherwise(tp / n_pred)

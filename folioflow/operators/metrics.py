@@ -2,13 +2,30 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Lengths up to which the whole table of an edit distance is filled, and the widths of the bands that are tried on longer texts.
+SHORT, BANDS = 32, (4, 32, 256, 2048)
+
+
+def edit_distance(a: Column, b: Column) -> Column:
+    """The edit distance of two texts, by bands about the diagonal that widen until they hold it.
+
+    The cells that are filled go with length times distance. Spark still steps over the bytes before a band in every
+    line of it, so a text of 40,000 characters with few errors takes a third of the time of the whole table, not less.
+    """
+    within = lambda t: F.get(F.filter(F.array(F.levenshtein(a, b, t)), lambda d: d >= 0), F.lit(0))  # noqa: E731  -1 where it is farther
+    banded = F.coalesce(*[within(t) for t in BANDS], F.levenshtein(a, b))
+    return F.when(a == b, F.lit(0)).when(F.greatest(F.length(a), F.length(b)) <= SHORT, F.levenshtein(a, b)).otherwise(banded)  # most lines are right: they cost no table
+
+
 def line_errors(truth: Column, read: Column) -> dict[str, Column]:
     """distance, length (of the longer text) and ratio of a line; ratio is null where both are empty."""
-    d = F.when(truth == read, F.lit(0)).otherwise(F.levenshtein(truth, read))  # most lines are right: they cost no table
+    d = edit_distance(truth, read)
     n = F.greatest(F.length(truth), F.length(read))
     return {"distance": d, "length": n, "ratio": F.when(n > 0, d / n)}
 
@@ -31,8 +48,14 @@ def error_rates(lines: DataFrame, by: list[str]) -> DataFrame:
     # lines are counted by distance and length first: what is sorted for the middle is distinct pairs, not lines
     n = df.groupBy(*by, "distance", "length").agg(F.count(F.lit(1)).alias("n")).withColumn("ratio", F.col("distance") / F.col("length"))
     n = n.withColumn("n_scored", F.when(F.col("ratio").isNotNull(), F.col("n")).otherwise(0))
+    # what lies before a ratio is what lies before its thousandth, and what lies before it there: no window sorts all of a key's pairs
+    n = n.withColumn("cell", F.floor(F.col("ratio") * 1000))
+    cells = n.groupBy(*by, "cell").agg(F.sum("n_scored").alias("of_cell"))
     w = Window.partitionBy(*by)
-    n = n.withColumns({"upto": F.sum("n_scored").over(w.orderBy("ratio")), "every": F.sum("n_scored").over(w)})
+    cells = cells.withColumns({"before": F.sum("of_cell").over(w.orderBy("cell")) - F.col("of_cell"), "every": F.sum("of_cell").over(w)}).drop("of_cell")
+    same = [F.col(f"n.{c}").eqNullSafe(F.col(f"c.{c}")) for c in [*by, "cell"]]
+    n = n.alias("n").join(cells.alias("c"), reduce(lambda x, y: x & y, same)).select("n.*", "before", "every")
+    n = n.withColumn("upto", F.col("before") + F.sum("n_scored").over(Window.partitionBy(*by, "cell").orderBy("ratio")))
     middle = (F.min(F.when(2 * F.col("upto") >= F.col("every"), F.col("ratio"))) + F.min(F.when(2 * F.col("upto") > F.col("every"), F.col("ratio")))) / 2
     total = lambda c: F.sum(F.col(c) * F.col("n"))
     count = lambda c: F.coalesce(F.sum(F.when(c, F.col("n")).otherwise(0)), F.lit(0))

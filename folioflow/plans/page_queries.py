@@ -214,12 +214,12 @@ def label_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.label_files(V.regions(spark, sf_dir).select(F.col("page").alias("page_id"), "ord", line.alias("line")))
 
 
-@query("dataset_yaml", with_(V.REGIONS) + f""", l AS (SELECT DISTINCT label - 1 AS i FROM regions), n AS (SELECT i, {list(YOLO_NAMES)}[i + 1] AS name FROM l),
+@query("dataset_yaml", with_(V.REGIONS) + f""", l AS (SELECT DISTINCT label - 1 AS i FROM regions WHERE label <= {len(YOLO_NAMES)}), n AS (SELECT i, {list(YOLO_NAMES)}[i + 1] AS name FROM l),
 t AS (SELECT unnest(['path: data', 'train: images/train', 'val: images/val', 'test: images/test', 'names:']) AS value, unnest(range(0, 5)) AS line) SELECT line::INT AS line, value FROM t UNION ALL SELECT (5 + row_number() OVER (ORDER BY i) - 1)::INT, '  ' || i || ': ' || name FROM n""")
 def dataset_yaml(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The description of the label files of these regions, with the classes that they hold."""
     names = F.get(F.array(*[F.lit(n) for n in YOLO_NAMES]), F.col("label") - 1)
-    return files.dataset_yaml(V.regions(spark, sf_dir).select((F.col("label") - 1).alias("id"), names.alias("name")), "data")
+    return files.dataset_yaml(V.regions(spark, sf_dir).where(F.col("label") <= len(YOLO_NAMES)).select((F.col("label") - 1).alias("id"), names.alias("name")), "data")
 
 
 _DRAWS = "rk AS (SELECT page_id, row_number() OVER (ORDER BY md5(page_id::VARCHAR), page_id) AS rank FROM pages), dr AS (SELECT i::INT AS draw, ('0x' || substr(md5('7:' || i), 1, 12))::BIGINT % (SELECT count(*) FROM pages) + 1 AS rank FROM range(300) t(i))"
