@@ -103,20 +103,3 @@ def drawn(pages: DataFrame, border: bool = False) -> DataFrame:
 
     kinds = dict(pages.dtypes)
     return pages.select("page", F.col("width").cast("int"), F.col("height").cast("int"), "shapes").mapInArrow(run, f"page {kinds['page']}, width int, height int, raster binary")
-
-
-def label_counts(rasters: DataFrame) -> DataFrame:
-    """page, label, n: how many pixels of a raster have each label that it has."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            pages, labels, counts = [], [], []
-            for i, r in enumerate(b.column("raster")):
-                n = np.bincount(np.frombuffer(r.as_py() or b"", np.uint8), minlength=1)
-                some = np.flatnonzero(n)
-                pages += [i] * len(some)
-                labels += some.tolist()
-                counts += n[some].tolist()
-            yield pa.RecordBatch.from_arrays([b.column("page").take(pa.array(pages, pa.int64())), pa.array(labels, pa.int32()), pa.array(counts, pa.int64())], names=["page", "label", "n"])
-
-    return rasters.select("page", "raster").mapInArrow(run, f"page {dict(rasters.dtypes)['page']}, label int, n long")

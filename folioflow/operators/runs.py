@@ -11,6 +11,10 @@ negative length are none; rasters without runs have no rows but keep their pages
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +23,26 @@ from .linked import components, kept
 RUN = ["y", "x0", "x1"]
 
 
+def of_rasters(rasters: DataFrame) -> DataFrame:
+    """page, label, y, x0, x1 of rasters as a model gives them: page, width, height, raster (a byte for each pixel, row by row)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                w, h, raw = b.column("width")[i].as_py(), b.column("height")[i].as_py(), b.column("raster")[i].as_py()
+                if not w or not h or raw is None:
+                    continue
+                px = np.frombuffer(raw, np.uint8)
+                at = np.flatnonzero(np.r_[True, px[1:] != px[:-1]] | (np.arange(w * h) % w == 0))
+                label, ends = px[at], np.append(at[1:], w * h) - 1
+                some = label > 0
+                at, ends, label = at[some], ends[some], label[some]
+                page = pa.array([b.column("page")[i].as_py()] * len(at), b.schema.field("page").type)
+                yield pa.RecordBatch.from_arrays([page, *[pa.array(v, pa.int32()) for v in (label, at // w, at % w, ends % w)]], names=["page", "label", *RUN])
+
+    return rasters.select("page", "width", "height", "raster").mapInArrow(run, f"page {dict(rasters.dtypes)['page']}, label int, y int, x0 int, x1 int")
+
+
 def _edges(shapes: DataFrame, by: list[str], closed: bool = True) -> DataFrame:
     """by and xa, ya, xb, yb of each side of the points."""
     p = F.col("points")

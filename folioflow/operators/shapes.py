@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import bbox
 from .matching import BOX
+from .outlines import borders, outlines
 from .paged import Rows, per_key
 
 POINT = "struct<x:double,y:double>"
@@ -174,55 +175,6 @@ def split_lines(lines: DataFrame, keep: list[str]) -> DataFrame:
     return lines.select(*keep, "points", "baseline").mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keep) + f", ascender array<{POINT}>, descender array<{POINT}>")
 
 
-#: Half-way points of a square's top, right, bottom and left, as (y, x) on a grid of half pixels.
-SIDES = np.array([(0, 1), (1, 2), (2, 1), (1, 0)])
-
-
-def _step(pattern: int) -> list[int]:
-    """Sides from which and to which an outline crosses a square whose marked corners are the pattern's bits, clockwise from the upper left; then the second crossing, if any."""
-    marked = [bool(pattern >> i & 1) for i in range(4)]
-    # side i lies between corners i and i + 1; marked pixels are to the right, so a step comes in where marks end clockwise
-    comes = [i for i in range(4) if marked[i] and not marked[(i + 1) % 4]]
-    goes = {i: next(j % 4 for j in range(i + 3, i - 1, -1) if not marked[j % 4] and marked[(j + 1) % 4]) for i in comes}
-    return ([x for i in comes for x in (i, goes[i])] + [0] * 4)[:4]
-
-
-STEPS = np.array([_step(p) for p in range(16)])
-
-
-def outlines(mask: np.ndarray) -> list[np.ndarray]:
-    """Closed outlines of a mask half way between its pixels and the others, marked pixels to the right; pixels that touch at a corner only are apart.
-
-    Each starts at its lowest, then rightmost point. Every square of four pixel centres adds the steps that the pattern
-    of its corners asks for; each half-way point is left by one step, so following them closes every outline.
-    """
-    m = np.pad(mask.astype(np.uint8), 1)
-    wide = 2 * m.shape[1]
-    pattern = m[:-1, :-1] | m[:-1, 1:] << 1 | m[1:, 1:] << 2 | m[1:, :-1] << 3
-    ys, xs = np.nonzero((pattern > 0) & (pattern < 15))
-    kind = pattern[ys, xs]
-    at = lambda side, y, x: (2 * y + SIDES[side, 0]) * wide + 2 * x + SIDES[side, 1]
-    twice = (kind == 5) | (kind == 10)  # marked at two facing corners: two steps
-    a = np.concatenate([at(STEPS[kind, 0], ys, xs), at(STEPS[kind, 2], ys, xs)[twice]])
-    b = np.concatenate([at(STEPS[kind, 1], ys, xs), at(STEPS[kind, 3], ys, xs)[twice]])
-    order = np.argsort(a)
-    a, b = a[order], b[order]
-    after = np.searchsorted(a, b)
-    seen = np.zeros(len(a), bool)
-    out = []
-    for start in range(len(a) - 1, -1, -1):
-        if seen[start]:
-            continue
-        ring, i = [], start
-        while not seen[i]:
-            seen[i] = True
-            ring.append(i)
-            i = after[i]
-        code = a[ring]
-        out.append(np.stack([code % wide / 2 - 1, code // wide / 2 - 1], axis=1))
-    return out
-
-
 def simplified(ring: np.ndarray, tolerance: float) -> np.ndarray:
     """Douglas and Peucker's simplification of a closed outline from its first point; the end is not repeated."""
     p = np.vstack([ring, ring[:1]])
@@ -244,103 +196,39 @@ def simplified(ring: np.ndarray, tolerance: float) -> np.ndarray:
     return p[:-1][keep[:-1]]
 
 
-#: Neighbours of a pixel (dy, dx), clockwise from the left.
-AROUND = [(0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1)]
+def mask_polygons(runs: DataFrame, tolerance: list[float] | None, least: float) -> DataFrame:
+    """page, label, part, points, minx, miny, maxx, maxy: outlines of every label as polygons. runs: page, label, y, x0, x1.
 
+    With tolerance, the label's tolerance (labels above the list take its last) simplifies its outlines. Outlines of
+    holes are polygons too; those of less than three corners, or whose box's width and height do not sum to more than
+    `least`, are left out. part counts on within a label, from the lowest, then rightmost outline on.
+    """
+    rings = outlines(runs, ["page", "label"])
+    first = F.get("points", F.lit(0))
+    rings = rings.select("page", "label", first["y"].alias("sy"), first["x"].alias("sx"), "points")
+    if tolerance:
+        kinds, names = dict(rings.dtypes), ["page", "label", "sy", "sx"]
 
-def borders(mask: np.ndarray) -> list[tuple[bool, np.ndarray]]:
-    """(is outer, pixels) of every border by Suzuki and Abe's border following, pixels inside straight runs left out."""
-    f = np.pad(mask.astype(bool), 1).astype(np.int64)
-    out: list[tuple[bool, np.ndarray]] = []
-    edge = (f != 0) & ((np.roll(f, 1, 1) == 0) | (np.roll(f, -1, 1) == 0))
-    mark = 1
-    for y, x in zip(*np.nonzero(edge), strict=True):
-        if f[y, x] == 1 and f[y, x - 1] == 0:
-            outer, towards = True, 0
-        elif f[y, x] >= 1 and f[y, x + 1] == 0:
-            outer, towards = False, 4
-        else:
-            continue
-        mark += 1
-        first = next((k % 8 for k in range(towards, towards + 8) if f[y + AROUND[k % 8][0], x + AROUND[k % 8][1]]), None)
-        if first is None:
-            f[y, x] = -mark
-            out.append((outer, np.array([[x - 1, y - 1]])))
-            continue
-        ring = []
-        begin, came = (y + AROUND[first][0], x + AROUND[first][1]), first
-        cy, cx = y, x
-        while True:
-            right_open = False
-            for k in range(came - 1, came - 9, -1):
-                dy, dx = AROUND[k % 8]
-                if f[cy + dy, cx + dx]:
-                    break
-                right_open |= k % 8 == 4
-            if right_open:
-                f[cy, cx] = -mark
-            elif f[cy, cx] == 1:
-                f[cy, cx] = mark
-            ring.append((cx - 1, cy - 1))
-            ny, nx = cy + dy, cx + dx
-            if (ny, nx) == (y, x) and (cy, cx) == begin:
-                break
-            came, cy, cx = (k + 4) % 8, ny, nx
-        r = np.array(ring)
-        bends = (np.roll(r, -1, 0) - r != r - np.roll(r, 1, 0)).any(axis=1)
-        out.append((outer, r[bends]))
-    return out
-
-
-def _shapes(rasters: DataFrame, helper) -> DataFrame:
-    """page, label, part, points, minx, miny, maxx, maxy of the (label, outline) pairs that helper(raster) gives; part counts on within a label."""
-    kinds = dict(rasters.dtypes)
-    names = ["page", "label", "part", "points", *BOX]
-    schema = f"page {kinds['page']}, label int, part int, points array<{POINT}>, minx double, miny double, maxx double, maxy double"
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                made = [simplified(p, tolerance[min(k, len(tolerance)) - 1]) for k, p in zip(b.column("label").to_pylist(), _arrays(b.column("points")), strict=True)]
+                yield b.select(names).append_column("points", _column(made))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):  # a page's outlines at a time
-                w, h, raw = b.column("width")[i].as_py(), b.column("height")[i].as_py(), b.column("raster")[i].as_py()
-                if not w or not h or raw is None:
-                    continue
-                found = list(helper(np.frombuffer(raw, np.uint8).reshape(h, w)))
-                parts: dict[int, int] = {}
-                no = [parts.__setitem__(k, parts.get(k, -1) + 1) or parts[k] for k, _ in found]
-                ends = np.array([[*p.min(axis=0), *p.max(axis=0)] for _, p in found], dtype=float).reshape(-1, 4)
-                cols = [pa.array([b.column("page")[i].as_py()] * len(found), b.schema.field("page").type), pa.array([k for k, _ in found], pa.int32()), pa.array(no, pa.int32()), _column([p for _, p in found])]
-                yield pa.RecordBatch.from_arrays([*cols, *[pa.array(ends[:, c]) for c in range(4)]], names=names)
-
-    return rasters.select("page", "width", "height", "raster").mapInArrow(run, schema)
+        rings = rings.mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in names) + f", points array<{POINT}>")
+    boxed = rings.withColumns(bbox(F.col("points"))).where((F.size("points") > 2) & (F.col("maxx") - F.col("minx") + F.col("maxy") - F.col("miny") > least))
+    return _parts(boxed)
 
 
-def mask_polygons(rasters: DataFrame, tolerance: list[float] | None, least: float) -> DataFrame:
-    """Outlines of every label but 0 as polygons. rasters: page, width, height, raster (a byte for each pixel).
+def uncertain_polygons(runs: DataFrame) -> DataFrame:
+    """The same columns for the borders of marked pixels (page, y, x0, x1): label 1 for outer borders, 2 for those around holes; borders of up to three corners are left out."""
+    found = borders(runs, ["page"]).where(F.size("points") > 3)
+    first = F.get("points", F.lit(0))
+    return _parts(found.select("page", F.when(F.col("outer"), 1).otherwise(2).alias("label"), first["y"].alias("sy"), first["x"].alias("sx"), "points").withColumns(bbox(F.col("points"))))
 
-    With tolerance, the label's tolerance (labels above the list take its last) simplifies its outlines. Outlines of
-    holes are polygons too; those of less than three corners, or whose box's width and height do not sum to more than
-    `least`, are left out.
-    """
 
-    def helper(img: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        for label in np.unique(img):
-            if not label:
-                continue
-            ys, xs = np.nonzero(img == label)
-            top, left = ys.min(), xs.min()
-            for ring in outlines(img[top : ys.max() + 1, left : xs.max() + 1] == label):
-                ring = ring + (left, top)
-                if tolerance:
-                    ring = simplified(ring, tolerance[min(int(label), len(tolerance)) - 1])
-                if len(ring) > 2 and np.ptp(ring, axis=0).sum() > least:
-                    yield int(label), ring
-
-    return _shapes(rasters, helper)
-
-
-def uncertain_polygons(rasters: DataFrame) -> DataFrame:
-    """Borders of the marked pixels: label 1 for outer borders, 2 for those around holes; borders of up to three corners are left out."""
-    return _shapes(rasters, lambda img: ((1 if outer else 2, ring) for outer, ring in borders(img) if len(ring) > 3))
+def _parts(found: DataFrame) -> DataFrame:
+    part = F.row_number().over(Window.partitionBy("page", "label").orderBy(F.desc("sy"), F.desc("sx"))) - 1
+    return found.select("page", "label", part.alias("part"), "points", *BOX)
 
 
 def beyond_hull(shape: tuple[int, int], corners: np.ndarray, margin: float) -> np.ndarray:

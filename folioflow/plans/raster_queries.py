@@ -15,7 +15,7 @@ from . import views as V
 from .geometry_queries import with_
 from .page_queries import _parsed
 from .registry import query
-from .shape_queries import _SLOT, _slots
+from .shape_queries import _SLOT, _boxes, _slots
 
 _PAGES = "pg AS (SELECT page, 40 AS width, 16 * max(ord) + 20 AS height FROM sl GROUP BY page)"
 _CORNER = "cs AS (SELECT *, x + w // 2 AS mx, y + h // 2 AS my FROM sl)"
@@ -29,12 +29,6 @@ def _points(*corners: tuple[Column, Column]) -> Column:
     return F.array(*[F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")) for x, y in corners])
 
 
-def _boxes(slots: DataFrame, inset: int = 0) -> DataFrame:
-    x, y, w, h = (F.col(c) for c in "xywh")
-    a, b, c, d = x + inset, y + inset, x + w - inset, y + h - inset
-    return slots.select("page", "ord", "label", _points((a, b), (c, b), (c, d), (a, d)).alias("points"))
-
-
 def _corners(slots: DataFrame) -> DataFrame:
     """Boxes without their upper right quarters."""
     x, y, w, h = (F.col(c) for c in "xywh")

@@ -9,7 +9,7 @@ from ..functions import geometry as G
 from ..functions import tokens as T
 from ..operators import matching as A
 from ..operators import metrics as M
-from ..operators import raster as P
+from ..operators import runs as R
 from ..operators import shapes as S
 from ..operators import splits as D
 from . import views as V
@@ -75,30 +75,26 @@ def _slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.regions(spark, sf_dir).select("page", "ord", "label", F.expr("int(2 + partkey % 10)").alias("x"), (2 + 16 * F.col("ord")).alias("y"), F.expr("int(4 + suppkey % 20)").alias("w"), (3 + F.col("label")).alias("h"))
 
 
-def _box(label, inset: int):
+def _boxes(slots: DataFrame, inset: int = 0) -> DataFrame:
+    """Regions in their slots, with all sides moved in."""
     x, y, w, h = (F.col(c) for c in "xywh")
-    at = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
+    at = lambda a, b: F.struct(a.cast("double").alias("x"), b.cast("double").alias("y"))
     x0, y0, x1, y1 = x + inset, y + inset, x + w - inset, y + h - inset
-    return F.struct(label.alias("label"), F.array(at(x0, y0), at(x1, y0), at(x1, y1), at(x0, y1)).alias("points"))
-
-
-def _drawn(slots: DataFrame, shapes) -> DataFrame:
-    parts = int(slots.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # drawing costs more than its small rows suggest
-    pages = slots.select("page", "ord", shapes.alias("s")).repartition(parts, "page").groupBy("page").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("ord", "s"))), lambda x: x["s"])).alias("shapes"), (16 * F.max("ord") + 20).alias("height"))
-    return P.drawn(pages.select("page", F.lit(40).alias("width"), "height", "shapes"))
+    return slots.select("page", "ord", "label", F.array(at(x0, y0), at(x1, y0), at(x1, y1), at(x0, y1)).alias("points"))
 
 
 @query("mask_polygons", f"""WITH {_SLOT} SELECT page, label, (row_number() OVER (PARTITION BY page, label ORDER BY ord DESC) - 1)::INT AS part, 2 * (w + h + 2)::INT AS n_points, x - 0.5::DOUBLE AS minx, y - 0.5::DOUBLE AS miny, x + w + 0.5::DOUBLE AS maxx, y + h + 0.5::DOUBLE AS maxy FROM sl WHERE w + h + 2 > 14""")
 def mask_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rasters = _drawn(_slots(spark, sf_dir), F.array(_box(F.col("label"), 0)))
-    return S.mask_polygons(rasters, None, 14).select("page", "label", "part", F.size("points").alias("n_points"), "minx", "miny", "maxx", "maxy")
+    drawn = R.overdrawn(R.filled(_boxes(_slots(spark, sf_dir)), ["page", "ord", "label"]), ["page"], "ord")
+    return S.mask_polygons(drawn, None, 14).select("page", "label", "part", F.size("points").alias("n_points"), "minx", "miny", "maxx", "maxy")
 
 
 @query("uncertain_polygons", f"""WITH {_SLOT} SELECT page, 1 AS label, 4 AS n_points, x::DOUBLE AS minx, y::DOUBLE AS miny, (x + w)::DOUBLE AS maxx, (y + h)::DOUBLE AS maxy FROM sl
 UNION ALL SELECT page, 2, 4 + 2 * (w > 4)::INT + 2 * (h > 4)::INT, x + 1, y + 1, x + w - 1, y + h - 1 FROM sl""")
 def uncertain_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rasters = _drawn(_slots(spark, sf_dir), F.array(_box(F.lit(1), 0), _box(F.lit(0), 2)))
-    return S.uncertain_polygons(rasters).select("page", "label", F.size("points").alias("n_points"), "minx", "miny", "maxx", "maxy")
+    slots = _slots(spark, sf_dir)
+    whole, holes = (R.united(R.filled(_boxes(slots, d), ["page", "ord"]), ["page"]) for d in (0, 2))
+    return S.uncertain_polygons(R.without(whole, holes, ["page"])).select("page", "label", F.size("points").alias("n_points"), "minx", "miny", "maxx", "maxy")
 
 
 @query("baselines", """WITH RECURSIVE px AS (SELECT l_suppkey AS page, l_linenumber AS region, (l_partkey % 3)::INT AS component, (l_orderkey % 500)::INT AS x, l_quantity::INT AS y, l_extendedprice / 1000 AS up, l_discount * 100 - 2 AS down FROM lineitem),

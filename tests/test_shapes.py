@@ -3,7 +3,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from folioflow.operators import matching, raster, shapes, splits
+from brute_shapes import outlines
+
+from folioflow.operators import matching, raster, runs, shapes, splits
 from folioflow.sources import pagexml
 
 GRID = st.tuples(st.integers(0, 12), st.integers(0, 12))
@@ -75,17 +77,21 @@ def test_split_at_the_baseline(spark):
     assert all(got[i].ascender is None and got[i].descender is None for i in (1, 2, 3))
 
 
+def marks(spark, img):
+    return runs.of_rasters(rasters(spark, img))
+
+
 def test_outlines_run_between_pixels(spark):
     img = [[2, 0, 0, 0], [0, 2, 2, 2], [0, 2, 0, 2], [0, 2, 2, 2]]
-    got = shapes.mask_polygons(rasters(spark, img), None, 1).orderBy("part").collect()
+    got = shapes.mask_polygons(marks(spark, img), None, 1).orderBy("part").collect()
     assert [(r.label, len(r.points), r.minx, r.miny, r.maxx, r.maxy) for r in got] == [(2, 12, 0.5, 0.5, 3.5, 3.5), (2, 4, 1.5, 1.5, 2.5, 2.5), (2, 4, -0.5, -0.5, 0.5, 0.5)]
     assert [(p.x, p.y) for p in got[2].points] == [(0, 0.5), (-0.5, 0), (0, -0.5), (0.5, 0)]
-    assert shapes.mask_polygons(rasters(spark, img), None, 2).count() == 1  # the sum of the sides must be over the limit
-    assert shapes.mask_polygons(rasters(spark, np.zeros((3, 3))), None, 0).count() == 0
+    assert shapes.mask_polygons(marks(spark, img), None, 2).count() == 1  # the sum of the sides must be over the limit
+    assert shapes.mask_polygons(marks(spark, np.zeros((3, 3))), None, 0).count() == 0
 
 
 def test_simplified_outlines(spark):
-    got = shapes.mask_polygons(rasters(spark, np.ones((6, 9))), [0.8], 1).first()
+    got = shapes.mask_polygons(marks(spark, np.ones((6, 9))), [0.8], 1).first()
     assert [(p.x, p.y) for p in got.points] == [(8, 5.5), (0, 5.5), (-0.5, 0), (8, -0.5)]
     ring = np.array([(0, 0), (5, 1), (10, 0), (10, 10), (0, 10)], float)
     assert len(shapes.simplified(ring, 0.9)) == 5 and len(shapes.simplified(ring, 1.0)) == 4  # equality goes
@@ -96,7 +102,7 @@ def test_simplified_outlines(spark):
 def test_outlines_enclose_the_mask(rows):
     m = np.array(rows)
     total = 0.0
-    for r in shapes.outlines(m):
+    for r in outlines(m):
         q = np.roll(r, -1, 0)
         total += (r[:, 0] * q[:, 1] - q[:, 0] * r[:, 1]).sum() / 2
     # squares of pixel centres: what a pattern of corners marks of its square
@@ -112,7 +118,7 @@ def test_borders_of_marks_and_holes(spark):
     img[3:6, 3:8] = 0
     img[4, 4:7] = 1  # a mark inside the hole
     img[0, 0] = 1
-    got = sorted((r.label, len(r.points), r.minx, r.miny, r.maxx, r.maxy) for r in shapes.uncertain_polygons(rasters(spark, img)).collect())
+    got = sorted((r.label, len(r.points), r.minx, r.miny, r.maxx, r.maxy) for r in shapes.uncertain_polygons(marks(spark, img)).collect())
     assert got == [(1, 6, 0, 0, 9, 7), (2, 8, 2, 2, 8, 6)]  # the outer border comes by (1, 1) twice; the mark inside is a run of two ends: three corners at most
 
 
