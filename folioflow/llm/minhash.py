@@ -42,6 +42,8 @@ COORDS = BANDS * ROWS
 #: fall below the similarity: 5.5 standard deviations at 0.8, so a link escapes with a probability of 2e-8.
 MARKS, SLACK = COORDS, 0.12
 BLOCK = 512
+#: Words whose hashes a worker holds.
+WORDS = 100_000
 #: Bytes of sets in a block.
 BLOCK_BYTES = 16_000_000
 U = np.uint64
@@ -50,8 +52,12 @@ U = np.uint64
 class WordHash(dict):
     """word -> 64-bit hash, for a bounded number of words."""
 
+    def __init__(self, most: int = 400_000) -> None:
+        super().__init__()
+        self.most = most
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > self.most:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -109,9 +115,9 @@ def sketches(docs: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
     """doc_id, n_shingles, set_a, set_b (128 bits of the set), keys (one for each band), marks and tags (parts of the sketch and of the keys); these are null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHash()
+        known = WordHash(WORDS)
         for whole in batches:
-            for b in (whole.slice(i, 1000) for i in range(0, whole.num_rows, 1000)):
+            for b in (whole.slice(i, 250) for i in range(0, whole.num_rows, 250)):
                 sets = [shingles(t.as_py(), width, known) for t in b.column(1)]
                 n = np.array([len(s) for s in sets])
                 full = np.flatnonzero(n)
@@ -143,7 +149,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, doc_i
     met = met.join(t.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, last, held = WordHash(), None, np.zeros(0, U)
+        known, last, held = WordHash(WORDS), None, np.zeros(0, U)
         for x in batches:
             keep = []
             for ta, tb in zip(x.column(0), x.column(1), strict=True):
@@ -262,7 +268,7 @@ def bucket_links(rows: DataFrame, docs: DataFrame, width: int, percent: int, doc
     t = texts_of(docs, staged(rows.select(F.col("doc_id").alias("id")).distinct(), "suspect-ids"), doc_id, text, repeats)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHash()
+        known = WordHash(WORDS)
         for b in batches:
             made = [shingles(x.as_py(), width, known) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in made], pa.int64()), pa.array([x.tobytes() for x in made], pa.binary())], names=["doc_id", "n_shingles", "set"])
