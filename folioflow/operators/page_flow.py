@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.geometry import bbox
+from ..functions.geometry import bbox, format_points, parse_points
 from ..functions.layout import draw_rank, label_of
+from ..schema import REGION_KINDS
 from ..sources import pagexml
 from . import raster, runs
 from .reading_order import reading_order
@@ -47,6 +48,50 @@ def annotation_runs(nested: DataFrame) -> DataFrame:
     return runs.overdrawn(drawn, ["page_id"], "z")
 
 
+def scaled_pages(nested: DataFrame, scale: float | Column) -> DataFrame:
+    """nested pages with their sizes, the outlines of regions and lines, and the lines' baselines scaled; each number is cut toward zero. It is a projection: nothing else of a page changes."""
+    by = scale if isinstance(scale, Column) else F.lit(float(scale))
+    text = lambda s: F.when(s.isNotNull(), format_points(parse_points(s), by))
+    moved = lambda e, c: e.withField(c, e[c].withField("_points", text(e[c]["_points"])))
+
+    def region(r: Column) -> Column:
+        return moved(r, "Coords").withField("TextLine", F.transform(r["TextLine"], lambda x: moved(moved(x, "Coords"), "Baseline")))
+
+    size = {c: (F.col(c) * by).cast("int") for c in ("_imageWidth", "_imageHeight")}
+    return nested.withColumns({**size, **{k: F.transform(F.col(k), region) for k in REGION_KINDS if k in nested.columns}})
+
+
+def randomly_scaled(nested: DataFrame, scale: float, rounds: int, seed: int) -> DataFrame:
+    """rounds + 1 copies of every page, named `<page_id>_<round>`, each at a scale of its own between 1 and `scale` or, every second time, at the inverse of one.
+
+    The scales come from md5 of seed, round and page, so they do not depend on how pages lie or on retries.
+    """
+
+    def chance(name: str) -> Column:
+        said = F.concat_ws(":", F.lit(name), F.lit(seed), F.col("__round"), F.col("page_id"))
+        return F.conv(F.substring(F.md5(said.cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+
+    each = nested.withColumn("__round", F.explode(F.sequence(F.lit(0), F.lit(rounds))))
+    drawn = 1 + chance("scale") * F.lit(float(scale) - 1)
+    each = each.withColumn("__scale", F.when(chance("way") < 0.5, drawn).otherwise(1 / drawn))
+    return scaled_pages(each.withColumn("page_id", F.concat_ws("_", "page_id", "__round")), F.col("__scale")).drop("__round", "__scale")
+
+
+def scale_pages(spark: SparkSession, path: str, out: str, scale: float, rounds: int = 0, seed: int = 42) -> None:
+    """Reads a folder of page files and writes them scaled; with rounds, as randomly scaled copies."""
+    nested = pagexml.read_pages(spark, path)
+    made = randomly_scaled(nested, scale, rounds, seed) if rounds else scaled_pages(nested, scale)
+    pagexml.write_pages(rewritten(made), out)
+
+
+def rewritten(nested: DataFrame) -> DataFrame:
+    """page_id, xml of nested pages: regions and lines in the order that they name, else in that of the file."""
+    regions = pagexml.region_table(nested)
+    place = F.when(F.col("reading_order") >= 0, F.col("reading_order")).otherwise(F.col("ord"))
+    lines = pagexml.line_table(regions).withColumn("position", place)
+    return pagexml.page_xml(pagexml.page_table(nested), regions.withColumn("position", place).withColumn("class", F.coalesce("tag", "class")), lines)
+
+
 def convert_annotations(spark: SparkSession, path: str, out: str, border: bool = False) -> None:
     """Reads a folder of page files, and writes their rasters as Parquet."""
     annotation_rasters(pagexml.read_pages(spark, path), border).write.mode("overwrite").parquet(out)
