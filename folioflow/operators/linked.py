@@ -5,13 +5,21 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df, computed once, written as Parquet to the folder that spark.checkpoint.dir names, and read back; only a session of one JVM may do without."""
+#: Where each table that kept returned lies, as long as it is in use.
+_WRITTEN: dict[int, tuple[str, weakref.finalize]] = {}
+
+
+def kept(df: DataFrame, gone: DataFrame | None = None) -> DataFrame:
+    """df, computed once, written as Parquet to the folder that spark.checkpoint.dir names, and read back; only a session of one JVM may do without.
+
+    gone: a table of an earlier round that kept returned and that nothing needs once df is written; it is removed.
+    """
     spark = df.sparkSession
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
@@ -21,7 +29,12 @@ def kept(df: DataFrame) -> DataFrame:
         found = spark.sparkContext.getCheckpointDir()
     path = f"{found.rstrip('/')}/kept-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if gone is not None and (old := _WRITTEN.pop(id(gone), None)):
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(old[0])
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[id(out)] = (path, weakref.finalize(out, _WRITTEN.pop, id(out), None))
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -33,7 +46,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     sides = links.where("a <> b").select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("l")).select("l.*").distinct()
     sides = kept(sides)
-    now = kept(sides.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
+    table = now = kept(sides.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
     while True:
         lower = now.withColumnRenamed("id", "b").withColumnRenamed("component", "c")
         near = sides.join(lower, "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("least"))
@@ -41,7 +54,7 @@ def components(links: DataFrame) -> DataFrame:
         told = own.select("id", "least").unionByName(own.select(F.col("component").alias("id"), "least"))
         mid = now.join(told.groupBy("id").agg(F.min("least").alias("mid")), "id").select("id", F.col("component").alias("was"), F.least("component", "mid").alias("mid"))
         beyond = now.select(F.col("id").alias("mid"), F.col("component").alias("beyond"))
-        new = kept(mid.join(beyond, "mid").select("id", "was", F.least("mid", "beyond").alias("component")))
-        now = new.select("id", "component")
-        if new.where("component <> was").isEmpty():
+        table = kept(mid.join(beyond, "mid").select("id", "was", F.least("mid", "beyond").alias("component")), gone=table)
+        now = table.select("id", "component")
+        if table.where("component <> was").isEmpty():
             return now

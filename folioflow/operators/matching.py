@@ -95,7 +95,7 @@ def in_rounds(some: DataFrame, by: list[str]) -> DataFrame:
         taken = kept(best("p").select(*by, "first").join(best("g").select(*by, "first"), [*by, "first"]).select(*by, "first.p", "first.g", F.negative("first.k").alias("iou")))
         out.append(taken)
         gone = lambda side: taken.select(*by, side)
-        left = kept(left.join(gone("p"), [*by, "p"], "left_anti").join(gone("g"), [*by, "g"], "left_anti"))
+        left = kept(left.join(gone("p"), [*by, "p"], "left_anti").join(gone("g"), [*by, "g"], "left_anti"), gone=left)
     return reduce(DataFrame.unionByName, out) if out else left.drop("first")
 
 

@@ -60,7 +60,7 @@ def rings(runs: DataFrame, by: list[str], together: bool) -> DataFrame:
     at = kept(at.select("id", F.when(~start, F.col("back")).alias("back"), F.when(start, 0).otherwise(F.col("d")).alias("d")))
     while not at.where("back is not null").isEmpty():
         up = at.select(F.col("id").alias("back"), F.col("back").alias("further"), F.col("d").alias("more"))
-        at = kept(at.join(up, "back", "left").select("id", F.col("further").alias("back"), (F.col("d") + F.coalesce("more", F.lit(0))).alias("d")))
+        at = kept(at.join(up, "back", "left").select("id", F.col("further").alias("back"), (F.col("d") + F.coalesce("more", F.lit(0))).alias("d")), gone=at)
     return e.join(ring, "id").join(at.select("id", F.col("d").alias("before")), "id").withColumnRenamed("component", "ring")
 
 
