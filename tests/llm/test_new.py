@@ -7,13 +7,13 @@ import zlib
 from collections import Counter
 from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from folioflow.llm import merkle, phrases, quality, simhash, urls
-from folioflow.llm.components import components
+from folioflow.llm import merkle, phrases, quality, queries, simhash, urls
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -303,3 +303,64 @@ def test_quality_keeps_every_column(spark):
     df = spark.createDataFrame([(i, text, "en", "s", *[f"{c}{i}" for c in names]) for i in range(3)], "doc_id int, text string, lang string, source string, " + ", ".join(f"`{c}` string" for c in names))
     out = quality.quality_filter(df)
     assert out.schema == df.schema and sorted(map(tuple, out.collect())) == sorted(map(tuple, df.collect()))
+
+
+# the queries on tables with clashing columns, and the pipeline by hand
+
+
+@pytest.fixture(scope="module")
+def documents(spark, tmp_path_factory):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["Alpha", "beta", "gamma,", "delta", "é", "the", "of."]) for _ in range(rng.randint(0, 120))) for _ in range(90)]
+    texts += [None, "", " \n", texts[0], texts[1] + " more", "X " * 4000]
+    rows = [(i, t, ["en", "de", None, "und"][i % 4], None if i % 7 == 0 else f"s{i % 3}", None if i % 5 == 0 else i) for i, t in enumerate(texts)]
+    d = str(tmp_path_factory.mktemp("new-tables"))
+    clashing(spark.createDataFrame(rows, SCHEMA)).write.parquet(f"{d}/documents.parquet")
+    return d, rows
+
+
+@pytest.mark.parametrize("name", ["op11_phrases", "op13_manifest"])
+def test_new_queries_equal_their_sql(spark, documents, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT doc_id, text, lang, source, n_chars FROM '{documents[0]}/documents.parquet/*.parquet'")
+    want = con.execute(queries.oracle_sql()[name])
+    got = queries.queries()[name](spark, documents[0])
+    assert got.columns == [c[0] for c in want.description]
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want.fetchall()))
+
+
+def test_simhash_query(spark, documents):
+    d, rows = documents
+    fps = [fingerprint(t, 4) for _, t, *_ in rows]
+    want = {(i, f"{f:016x}", c) for i, f, c in zip(range(len(rows)), fps, linked(range(len(rows)), fps, 4), strict=True)}
+    got = queries.queries()["op12_simhash"](spark, d).collect()
+    assert len(got) == len(rows) and {tuple(r) for r in got} == want
+
+
+def test_pipeline_by_hand(spark, tmp_path):
+    """Six good documents with a footer that goes; a near copy, a copy, a short one and a null one go whole."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    body = [" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(70)) for _ in range(6)]
+    near = body[0].split(" ")
+    near[30] = "changed"
+    footer = "\nSame Footer Of This Site"
+    rows = [(i, t + footer, "en", "s", 0) for i, t in enumerate(body)] + [(6, " ".join(near) + footer, "en", "s", 0), (7, "too short" + footer, "en", "s", 0), (8, body[1] + footer, "en", "s", 0), (9, None, "en", "s", 0)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(10)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    now, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = spark.createDataFrame(stage(spark, now, str(tmp_path)).collect(), SCHEMA)
+        seen[name] = {r.doc_id: r.text for r in now.collect()}
+    whole = {i: t + footer for i, t in enumerate(body)} | {6: " ".join(near) + footer, 8: body[1] + footer}
+    assert seen["quality_rules"] == seen["toxicity"] == whole
+    assert seen["line_dedup"] == {i: t.removesuffix(footer) for i, t in whole.items()}
+    assert seen["near_dedup"] == dict(enumerate(body))
+    lib = Tokenizer.from_file(queries.tokenizer_path())
+    tokens = Counter()
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        tokens[r.doc_id] += r.n_tokens
+    assert tokens == {i: len(lib.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(body)}  # and an end mark each
