@@ -1,4 +1,4 @@
-"""Crowded pages: the grid join, matching in rounds, and edit distances in bands."""
+"""Crowded pages: the grid join, matching in rounds, and edit distances."""
 
 import random
 
@@ -64,7 +64,7 @@ def distance(a, b):
     return p[-1]
 
 
-def test_edit_distances_in_bands(spark):
+def test_edit_distances(spark):
     rng = random.Random(1)
     rows = [("", ""), ("", "abc"), ("é" * 40, "e" * 41)]
     for _ in range(80):
