@@ -2,106 +2,191 @@
 
 A border edge lies between a pixel of a label and one without it, directed so that the label is to its right: along the
 top of a run from left to right, down its right end, along its bottom from right to left, up its left end. Top and
-bottom edges are what a run does not share with the line above or below, so a straight side is one row. An edge's
+bottom edges are what a run does not share with the line above or below, so a straight side is one edge. An edge's
 successor begins where it ends; where two begin, pixels that touch at a corner only are told apart or kept together.
-Rings are connected components of edges, and places along a ring come from list ranking: each round doubles the distance
-that an edge knows to the ring's start, so rounds go with the logarithm of the longest ring and no task follows an
+A raster's runs are one row of a grouping, which needs no shuffle where they lie by raster; a batch of rasters becomes
+edges, rings and points in numpy at once. Places along a ring come from list ranking: each round doubles the distance
+that an edge knows to the ring's start, so rounds go with the logarithm of the longest ring and nothing follows an
 outline step by step.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from collections.abc import Callable, Iterator
 
-from .linked import components, kept
-from .runs import RUN, united, without
-
-TOP, RIGHT, BOTTOM, LEFT = range(4)
-
-
-def edges(runs: DataFrame, by: list[str]) -> DataFrame:
-    """by, side, y, x0, x1 (the pixels along the edge), and where it starts and ends: sx, sy, ex, ey. Pixel (x, y) lies between x and x + 1, y and y + 1."""
-    runs = kept(united(runs, by))
-    beside = lambda d: runs.select(*by, (F.col("y") + d).alias("y"), "x0", "x1")
-    one = lambda df, side: df.select(*by, F.lit(side).alias("side"), *RUN)
-    ends = [runs.select(*by, "y", F.col(c).alias("x0"), F.col(c).alias("x1")) for c in ("x1", "x0")]
-    e = one(without(runs, beside(1), by), TOP).unionByName(one(ends[0], RIGHT)).unionByName(one(without(runs, beside(-1), by), BOTTOM)).unionByName(one(ends[1], LEFT))
-    s = F.col("side")
-    pick = lambda top, right, bottom, left: F.when(s == TOP, top).when(s == RIGHT, right).when(s == BOTTOM, bottom).otherwise(left)
-    y, a, b = F.col("y"), F.col("x0"), F.col("x1") + 1
-    return e.withColumns({"sx": pick(a, b, b, a), "sy": pick(y, y, y + 1, y + 1), "ex": pick(b, b, a, a), "ey": pick(y, y + 1, y + 1, y)})
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
+from .runs import packed, spread, touching, united, unpacked
 
-def _id(by: list[str]) -> Column:
-    """Names an edge by its first half-way point; the lowest, then rightmost one comes first."""
-    s = F.col("side")
-    px = F.when(s == TOP, 2 * F.col("x0")).when(s == RIGHT, 2 * F.col("x0") + 1).when(s == BOTTOM, 2 * F.col("x1")).otherwise(2 * F.col("x0") - 1)
-    py = 2 * F.col("y") + F.when(s == TOP, -1).when(s == BOTTOM, 1).otherwise(0)
-    return F.struct(*by, F.negative(py).alias("py"), F.negative(px).alias("px"))
+TOP, RIGHT, BOTTOM, LEFT = range(4)
 
 
-def rings(runs: DataFrame, by: list[str], together: bool) -> DataFrame:
-    """edges with ring (the name of its first edge) and before: how many pixels along the ring lie before the edge.
+def _free(page: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """Of united runs, what none of the line above, and none of the line below, covers: run, first and last x."""
+    lower, upper = touching(page, y, x0, x1, 0)
+
+    def rest(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.lexsort((x0[j], i))
+        i, j = i[order], j[order]
+        # pieces of a run begin with it and after each run beside it, and end before the next or with it
+        own = np.arange(len(y))
+        run = np.concatenate([own, i])
+        begins, ends = np.concatenate([x0, x1[j] + 1]), np.concatenate([x1, x0[j] - 1])
+        a, b = np.lexsort((begins, run)), np.lexsort((ends, run))
+        # the run's own end is its last one: it is never below that of a run beside it, but for those that go beyond it
+        first, last, of = begins[a], ends[b], run[a]
+        some = first <= last
+        return of[some], first[some], last[some]
+
+    return rest(lower, upper), rest(upper, lower)
+
+
+def _edges(page: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> dict[str, np.ndarray]:
+    """page, side, y, x0, x1 (the pixels along the edge), where it starts and ends (sx, sy, ex, ey), and its first half-way point (px, py; the lowest, then rightmost comes first in the order)."""
+    (ti, ta, tb), (bi, ba, bb) = _free(page, y, x0, x1)
+    own = np.arange(len(y))
+    run = np.concatenate([ti, own, bi, own])
+    side = np.repeat([TOP, RIGHT, BOTTOM, LEFT], [len(ti), len(own), len(bi), len(own)])
+    a, b = np.concatenate([ta, x1, ba, x0]), np.concatenate([tb, x1, bb, x0])
+    page, y = page[run], y[run]
+    pick = lambda top, right, bottom, left: np.choose(side, [top, right, bottom, left])
+    e = {"page": page, "side": side, "y": y, "x0": a, "x1": b}
+    e |= {"sx": pick(a, b + 1, b + 1, a), "sy": pick(y, y, y + 1, y + 1), "ex": pick(b + 1, b + 1, a, a), "ey": pick(y, y + 1, y + 1, y)}
+    e |= {"px": pick(2 * a, 2 * a + 1, 2 * b, 2 * a - 1), "py": 2 * y + pick(-1, 0, 1, 0)}
+    order = np.lexsort((-e["px"], -e["py"], page))
+    return {k: v[order] for k, v in e.items()}
+
+
+def _rings(e: dict[str, np.ndarray], together: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For each edge its ring (the number of the ring's first edge), and how many pixels along the ring lie before it.
 
     together: whether pixels that touch at a corner only belong to one outline.
     """
-    e = kept(edges(runs, by).withColumn("id", _id(by)))
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by, "sx", "sy"))
-    first = F.when(F.col("side") == BOTTOM, F.col("x1")).otherwise(F.col("x0"))
-    last = F.when(F.col("side") == TOP, F.col("x1")).otherwise(F.col("x0"))
-    begins = e.select(*by, F.col("sx").alias("ex"), F.col("sy").alias("ey"), F.col("id").alias("next"), n.alias("n"), first.alias("fx"), F.col("y").alias("fy"))
-    same = (last == F.col("fx")) & (F.col("y") == F.col("fy"))
-    after = kept(e.join(begins, [*by, "ex", "ey"]).where((F.col("n") == 1) | (same if not together else ~same)).select("id", "next", (F.col("x1") - F.col("x0") + 1).alias("length")))
-    ring = kept(components(after.select(F.col("id").alias("a"), F.col("next").alias("b"))))
-    # list ranking from the ring's first edge on
-    at = after.select(F.col("next").alias("id"), F.col("id").alias("back"), F.col("length").alias("d")).join(ring, "id")
-    start = F.col("id") == F.col("component")
-    at = kept(at.select("id", F.when(~start, F.col("back")).alias("back"), F.when(start, 0).otherwise(F.col("d")).alias("d")))
-    while not at.where("back is not null").isEmpty():
-        up = at.select(F.col("id").alias("back"), F.col("back").alias("further"), F.col("d").alias("more"))
-        at = kept(at.join(up, "back", "left").select("id", F.col("further").alias("back"), (F.col("d") + F.coalesce("more", F.lit(0))).alias("d")), gone=at)
-    return e.join(ring, "id").join(at.select("id", F.col("d").alias("before")), "id").withColumnRenamed("component", "ring")
-
-
-def _points(ringed: DataFrame, by: list[str], half: bool) -> DataFrame:
-    """by, ring, place, x, y: a point for each pixel along a ring, half way to the pixel beyond the border or on the pixel itself."""
-    s = F.col("side")
-    step = F.when(s == BOTTOM, F.sequence("x1", "x0")).otherwise(F.sequence("x0", "x1"))
-    px = ringed.select(*by, "ring", "side", "y", "before", F.posexplode(step).alias("i", "x"))
-    dx = F.when(s == RIGHT, 0.5).when(s == LEFT, -0.5).otherwise(0.0) if half else F.lit(0.0)
-    dy = F.when(s == TOP, -0.5).when(s == BOTTOM, 0.5).otherwise(0.0) if half else F.lit(0.0)
-    return px.select(*by, "ring", (F.col("before") + F.col("i")).alias("place"), (F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"))
-
-
-def _gathered(points: DataFrame, by: list[str]) -> DataFrame:
-    """by, ring, points in order, from the lowest, then rightmost one on."""
-    listed = points.groupBy(*by, "ring").agg(F.sort_array(F.collect_list(F.struct("place", "x", "y"))).alias("p"))
-    code = F.transform("p", lambda v: F.struct(v.y.alias("y"), v.x.alias("x")))
-    k = F.array_position(code, F.array_max(code)).cast("int")
-    turned = F.concat(F.slice("p", k, F.size("p")), F.slice("p", F.lit(1), k - 1))
-    return listed.select(*by, "ring", F.transform(turned, lambda v: F.struct(v.x.alias("x"), v.y.alias("y"))).alias("points"))
+    n = len(e["y"])
+    xs = np.unique(np.concatenate([e["sx"], e["ex"]]), return_inverse=True)[1]
+    ys = np.unique(np.concatenate([e["sy"], e["ey"]]), return_inverse=True)[1]
+    code = (np.concatenate([e["page"], e["page"]]) * (ys.max() + 1) + ys) * (xs.max() + 1) + xs
+    begin, end = code[:n], code[n:]
+    order = np.argsort(begin, kind="stable")
+    lo, hi = np.searchsorted(begin[order], end, "left"), np.searchsorted(begin[order], end, "right")
+    one, two = order[lo], order[hi - 1]
+    first = np.where(e["side"] == BOTTOM, e["x1"], e["x0"])
+    last = np.where(e["side"] == TOP, e["x1"], e["x0"])
+    same = (last == first[one]) & (e["y"] == e["y"][one])
+    after = np.where(same != together, one, two)
+    ring, jump = np.arange(n), after
+    while True:
+        least = np.minimum(ring, ring[jump])
+        if (least == ring).all():
+            break
+        ring, jump = least, jump[jump]
+    back = np.empty(n, np.int64)
+    back[after] = np.arange(n)
+    length = e["x1"] - e["x0"] + 1
+    start = ring == np.arange(n)
+    before = np.where(start, 0, length[back])
+    back = np.where(start, np.arange(n), back)
+    while (back != ring).any():
+        before, back = before + before[back], back[back]
+    return ring, before
+
+
+def _points(e: dict[str, np.ndarray], ring: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The edge, x and y of a pixel for each place along the rings, by ring and place."""
+    length = e["x1"] - e["x0"] + 1
+    order = np.lexsort((before, ring))
+    i, step = spread(np.zeros(len(order), np.int64), length[order])
+    i = order[i]
+    x = np.where(e["side"][i] == BOTTOM, e["x1"][i] - step, e["x0"][i] + step)
+    return i, x, e["y"][i]
+
+
+def _neighbours(ring: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of points that lie by ring, the place of the one before and of the one after each, round the ring."""
+    n = np.arange(len(ring))
+    new = np.r_[True, ring[1:] != ring[:-1]] if len(ring) else np.zeros(0, bool)
+    starts = np.flatnonzero(new)
+    ends = np.append(starts[1:], len(ring)) - 1
+    was, will = n - 1, n + 1
+    was[starts], will[ends] = ends, starts
+    return was, will
+
+
+def _turned(ring: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """An order in which each ring begins with its lowest, then rightmost point (the first of them) and goes on from there."""
+    n = np.arange(len(ring))
+    new = np.r_[True, ring[1:] != ring[:-1]] if len(ring) else np.zeros(0, bool)
+    starts = np.flatnonzero(new)
+    sizes = np.diff(np.append(starts, len(ring)))
+    best = np.lexsort((n, -x, -y, ring))[starts]  # rings lie in the same order
+    group = np.cumsum(new) - 1
+    return starts[group] + (n - starts[group] + (best - starts)[group]) % sizes[group]
+
+
+def _gathered(runs: DataFrame, by: list[str], made: Callable[..., tuple[np.ndarray, ...]]) -> DataFrame:
+    """by and a row for each ring: ring (py and px of its first edge, negative), points, and outer."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            page, _, y, x0, x1 = unpacked(b.column("r"))
+            if not len(y):
+                continue
+            e = _edges(page, y, x0, x1)
+            ring, x, y, outer = made(e)
+            starts = np.flatnonzero(np.r_[True, ring[1:] != ring[:-1]]) if len(ring) else np.zeros(0, np.int64)
+            first = ring[starts]
+            flat = pa.StructArray.from_arrays([pa.array(v, pa.float64()) for v in (x, y)], names=["x", "y"])
+            points = pa.ListArray.from_arrays(pa.array(np.append(starts, len(ring)), pa.int32()), flat)
+            keys = b.select(by).take(pa.array(e["page"][first]))
+            key = pa.StructArray.from_arrays([pa.array(-e[c][first], pa.int64()) for c in ("py", "px")], names=["py", "px"])
+            yield pa.RecordBatch.from_arrays([*keys.columns, key, pa.array(outer[first]), points], names=[*by, "ring", "outer", "points"])
+
+    kinds = dict(runs.dtypes)
+    return packed(united(runs, by), by).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", ring struct<py:bigint,px:bigint>, outer boolean, points array<struct<x:double,y:double>>")
+
+
+def _outer(e: dict[str, np.ndarray]) -> np.ndarray:
+    """Whether a ring that begins with this edge, its lowest, is an outer one: the edge lies below its pixel; around a hole it lies above."""
+    return 2 * e["y"] < e["py"]
 
 
 def outlines(runs: DataFrame, by: list[str]) -> DataFrame:
     """by, ring, points: closed outlines half way between a label's pixels and the others; pixels that touch at a corner only are apart. by ends with the label."""
-    return _gathered(_points(rings(runs, by, False), by, True), by)
+
+    def made(e: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+        ring, before = _rings(e, False)
+        i, x, y = _points(e, ring, before)
+        side = e["side"][i]
+        x = x + np.choose(side, [0.0, 0.5, 0.0, -0.5])
+        y = y + np.choose(side, [-0.5, 0.0, 0.5, 0.0])
+        at = _turned(ring[i], x, y)
+        return ring[i][at], x[at], y[at], _outer(e)
+
+    return _gathered(runs, by, made).drop("outer")
 
 
 def borders(runs: DataFrame, by: list[str]) -> DataFrame:
     """by, ring, outer, points: the border pixels of what is connected, corners included, without those inside straight runs. outer is false around a hole."""
-    px = _points(rings(runs, by, True), by, False)
-    w = Window.partitionBy(*by, "ring").orderBy("place")
-    whole = Window.partitionBy(*by, "ring")
-    here = F.struct("x", "y")
-    ends = lambda f: f(F.struct("place", here.alias("p"))).over(whole)["p"]
-    near = px.withColumn("was", F.coalesce(F.lag(here).over(w), ends(F.max)))
-    once = near.where((F.col("was") != here) | (F.col("place") == 0)).drop("was")
-    once = once.withColumns({"was": F.coalesce(F.lag(here).over(w), ends(F.max)), "will": F.coalesce(F.lead(here).over(w), ends(F.min))})
-    # the first pixel may equal the last, which came round to it
-    once = once.where((F.col("was") != here) | (F.col("will") == here)).withColumns({"was": F.coalesce(F.lag(here).over(w), ends(F.max)), "will": F.coalesce(F.lead(here).over(w), ends(F.min))})
-    straight = (F.col("will.x") - F.col("x") == F.col("x") - F.col("was.x")) & (F.col("will.y") - F.col("y") == F.col("y") - F.col("was.y"))
-    out = _gathered(once.where(~straight).select(*by, "ring", "place", "x", "y"), by)
-    first = px.where("place = 0").select(*by, "ring", F.col("y").alias("fy"))
-    outer = 2 * F.col("fy") < F.negative(F.col("ring.py"))  # a ring's first edge, its lowest, lies below its pixel; around a hole it lies above
-    return out.join(first, [*by, "ring"]).select(*by, "ring", outer.alias("outer"), "points")
+
+    def made(e: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+        ring, before = _rings(e, True)
+        i, x, y = _points(e, ring, before)
+        r = ring[i]
+        place = np.r_[True, r[1:] != r[:-1]]
+
+        def keep(some: np.ndarray) -> None:
+            nonlocal r, x, y, place
+            r, x, y, place = r[some], x[some], y[some], place[some]
+
+        equal = lambda at: (x[at] == x) & (y[at] == y)
+        keep(~equal(_neighbours(r)[0]) | place)
+        was, will = _neighbours(r)
+        keep(~equal(was) | equal(will))  # the first pixel may equal the last, which came round to it
+        was, will = _neighbours(r)
+        keep((x[will] - x != x - x[was]) | (y[will] - y != y - y[was]))
+        at = _turned(r, x, y)
+        return r[at], x[at], y[at], _outer(e)
+
+    return _gathered(runs, by, made)
