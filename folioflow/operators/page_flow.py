@@ -10,19 +10,21 @@ from ..functions.layout import draw_rank, label_of
 from ..schema import REGION_KINDS
 from ..sources import pagexml
 from . import raster, runs
+from .linked import kept
 from .reading_order import reading_order
 
 
 def in_reading_order(nested: DataFrame) -> DataFrame:
     """page_id, xml of pages in their reading order. Regions without a label get no place and are lost; lines keep theirs."""
+    nested = kept(nested)  # used twice, and reading it again means parsing it again
     regions = pagexml.region_table(nested)
     b = bbox(F.col("points"))
     boxes = regions.where(F.size("points") > 0).select(F.col("page_id").alias("page"), "ord", label_of(F.coalesce("tag", F.lit(""))).alias("label"), *[v.cast("int").alias(k) for k, v in b.items()])
-    order = reading_order(boxes).select(F.col("page").alias("page_id"), "ord", "position")
-    placed = regions.join(order, ["page_id", "ord"])
-    lines = pagexml.line_table(regions)
-    lines = lines.withColumn("position", F.when(F.col("reading_order") >= 0, F.col("reading_order")).otherwise(F.col("ord")))
-    return pagexml.page_xml(pagexml.page_table(nested), placed.withColumn("class", F.coalesce("tag", "class")), lines)
+    order = reading_order(boxes).groupBy(F.col("page").alias("page_id")).agg(F.sort_array(F.collect_list(F.struct("ord", "position"))).alias("o"))
+    once = F.filter("o", lambda x, i: (i == 0) | (x["ord"] != F.get("o", i - 1)["ord"]))
+    order = order.select("page_id", F.map_from_entries(once).alias("__order"))
+    places = F.transform(F.sequence(F.lit(0), F.array_max(F.map_keys("__order"))), lambda i: F.try_element_at("__order", i))
+    return pagexml.nested_xml(nested.join(order, "page_id", "left").withColumn("__order", F.coalesce(places, F.array().cast("array<int>"))), F.col("__order"))
 
 
 def apply_reading_order(spark: SparkSession, path: str, out: str) -> None:
@@ -42,10 +44,12 @@ def annotation_rasters(nested: DataFrame, border: bool = False) -> DataFrame:
 
 def annotation_runs(nested: DataFrame) -> DataFrame:
     """page_id, label, y, x0, x1: the same rasters, without a border, as a run table; a page's pixels never meet in one row."""
-    regions = pagexml.region_table(nested).withColumn("label", label_of(F.coalesce("tag", F.lit(""))))
-    shapes = regions.select("page_id", F.struct(draw_rank(F.col("label")).alias("rank"), "ord").alias("z"), "label", "points")
-    drawn = runs.clipped(runs.filled(shapes, ["page_id", "z", "label"]), pagexml.page_table(nested), ["page_id"])
-    return runs.overdrawn(drawn, ["page_id"], "z")
+    regions = pagexml.region_table(nested, sizes=True).withColumn("label", label_of(F.coalesce("tag", F.lit(""))))
+    # sizes go with the shapes: reading them apart would mean parsing the pages again
+    shapes = regions.select("page_id", "width", "height", F.struct(draw_rank(F.col("label")).alias("rank"), "ord").alias("z"), "label", "points")
+    by = ["page_id", "width", "height"]
+    out = runs.overdrawn(runs.within(runs.filled(shapes, [*by, "z", "label"])), by, "z")
+    return out.drop("width", "height")
 
 
 def scaled_pages(nested: DataFrame, scale: float | Column) -> DataFrame:
@@ -86,10 +90,7 @@ def scale_pages(spark: SparkSession, path: str, out: str, scale: float, rounds:
 
 def rewritten(nested: DataFrame) -> DataFrame:
     """page_id, xml of nested pages: regions and lines in the order that they name, else in that of the file."""
-    regions = pagexml.region_table(nested)
-    place = F.when(F.col("reading_order") >= 0, F.col("reading_order")).otherwise(F.col("ord"))
-    lines = pagexml.line_table(regions).withColumn("position", place)
-    return pagexml.page_xml(pagexml.page_table(nested), regions.withColumn("position", place).withColumn("class", F.coalesce("tag", "class")), lines)
+    return pagexml.nested_xml(nested)
 
 
 def convert_annotations(spark: SparkSession, path: str, out: str, border: bool = False) -> None:

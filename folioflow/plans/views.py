@@ -25,10 +25,11 @@ ORD = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page, ord, label, minx, miny, maxx, maxy, partkey."""
-    df = read(spark, sf_dir, "lineitem")
-    ord_ = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*ORD)) - 1
+    # named before the window, so that Spark knows that what comes out lies by page: later windows and groups need no shuffle
+    df = read(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "page")
+    ord_ = F.row_number().over(Window.partitionBy("page").orderBy(*ORD)) - 1
     label = (F.col("l_partkey") % 9 + 1).cast("int")
-    df = df.select(F.col("l_orderkey").alias("page"), ord_.alias("ord"), label.alias("label"), F.expr("int(1000 * (l_suppkey % 4) + l_partkey % 40)").alias("minx"), F.expr("int(37 * (l_partkey % 97))").alias("miny"), F.when(label == 7, F.expr("int(1000 * (1 + l_linenumber % 4))")).otherwise(F.expr("int(900 + l_partkey % 150)")).alias("w"), F.expr("20 + int(l_quantity) * 10").alias("h"), F.col("l_partkey").alias("partkey"), F.col("l_suppkey").alias("suppkey"))
+    df = df.select("page", ord_.alias("ord"), label.alias("label"), F.expr("int(1000 * (l_suppkey % 4) + l_partkey % 40)").alias("minx"), F.expr("int(37 * (l_partkey % 97))").alias("miny"), F.when(label == 7, F.expr("int(1000 * (1 + l_linenumber % 4))")).otherwise(F.expr("int(900 + l_partkey % 150)")).alias("w"), F.expr("20 + int(l_quantity) * 10").alias("h"), F.col("l_partkey").alias("partkey"), F.col("l_suppkey").alias("suppkey"))
     return df.select("page", "ord", "label", "minx", "miny", (F.col("minx") + F.col("w")).alias("maxx"), (F.col("miny") + F.col("h")).alias("maxy"), "partkey", "suppkey")
 
 

@@ -7,6 +7,8 @@ before analysing them, XML cannot be filtered at the source.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,16 +52,22 @@ def page_table(nested: DataFrame) -> DataFrame:
     return nested.select("page_id", F.col("_imageFilename").alias("image_filename"), F.col("_imageWidth").alias("width"), F.col("_imageHeight").alias("height"))
 
 
-def region_table(nested: DataFrame) -> DataFrame:
-    """page_id, region_id, ord (in kind order), kind, class, tag, reading_order, points, custom, lines. One pass over the page: the kinds are one array before they are rows."""
+def _kinds() -> Column:
+    """The regions of a nested page, kind by kind in one array."""
 
     def tagged(kind: str) -> Column:
         some = F.coalesce(F.col(kind), F.array().cast(f"array<{REGION}>"))
         return F.transform(some, lambda r: F.struct(F.lit(kind).alias("kind"), r.alias("r")))
 
-    df = nested.select("page_id", F.posexplode(F.concat(*[tagged(k) for k in REGION_KINDS])).alias("ord", "x"))
+    return F.concat(*[tagged(k) for k in REGION_KINDS])
+
+
+def region_table(nested: DataFrame, sizes: bool = False) -> DataFrame:
+    """page_id, region_id, ord (in kind order), kind, class, tag, reading_order, points, custom, lines, and with sizes the page's width and height. One pass over the page: the kinds are one array before they are rows."""
+    page = [F.col("_imageWidth").alias("width"), F.col("_imageHeight").alias("height")] if sizes else []
+    df = nested.select("page_id", *page, F.posexplode(_kinds()).alias("ord", "x"))
     c = F.col("x.r._custom")
-    return df.select("page_id", F.col("x.r._id").alias("region_id"), "ord", F.col("x.kind").alias("kind"), region_class(c, F.col("x.kind")).alias("class"), class_tag(c).alias("tag"), order_index(c).alias("reading_order"), parse_points(F.col("x.r.Coords._points")).alias("points"), c.alias("custom"), F.col("x.r.TextLine").alias("lines"))
+    return df.select("page_id", *(["width", "height"] if sizes else []), F.col("x.r._id").alias("region_id"), "ord", F.col("x.kind").alias("kind"), region_class(c, F.col("x.kind")).alias("class"), class_tag(c).alias("tag"), order_index(c).alias("reading_order"), parse_points(F.col("x.r.Coords._points")).alias("points"), c.alias("custom"), F.col("x.r.TextLine").alias("lines"))
 
 
 def line_table(regions: DataFrame) -> DataFrame:
@@ -142,29 +150,90 @@ def _escaped(s: Column) -> Column:
     return s
 
 
-def page_xml(pages: DataFrame, regions: DataFrame, lines: DataFrame | None = None) -> DataFrame:
-    """page_id, xml: a document for each page, reading order first, regions by position. regions: page_id, region_id, position, class, points and, to keep an element, kind; lines: page_id, region_id, line_id, position, points, baseline, text."""
-    attr = lambda name, v: F.concat(F.lit(f' {name}="'), _escaped(v), F.lit('"'))
-    custom = lambda pos, cls: F.format_string("readingOrder {index:%d;} structure {type:%s;}", pos, cls)
-    if lines is not None:
-        base = F.when(F.col("baseline").isNotNull(), F.concat(F.lit("<Baseline"), attr("points", format_points(F.col("baseline"))), F.lit("/>"))).otherwise("")
-        text = F.when(F.col("text").isNotNull(), F.concat(F.lit("<TextEquiv><Unicode>"), _escaped(F.col("text")), F.lit("</Unicode></TextEquiv>"))).otherwise("")
-        one = F.concat(F.lit("<TextLine"), attr("id", F.col("line_id")), attr("custom", F.format_string("readingOrder {index:%d;}", F.col("position"))), F.lit("><Coords"), attr("points", format_points(F.col("points"))), F.lit("/>"), base, text, F.lit("</TextLine>"))
-        inner = lines.groupBy("page_id", "region_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", one.alias("x")))), lambda x: x["x"]), "").alias("inner"))
-        regions = regions.join(inner, ["page_id", "region_id"], "left")
-    else:
-        regions = regions.withColumn("inner", F.lit(""))
+def _attr(name: str, v: Column) -> Column:
+    return F.concat(F.lit(f' {name}="'), _escaped(v), F.lit('"'))
+
+
+def _line_xml(get: Callable[[str], Column]) -> Column:
+    """The element of a line; get gives its line_id, position, points, baseline and text."""
+    base = F.when(get("baseline").isNotNull(), F.concat(F.lit("<Baseline"), _attr("points", format_points(get("baseline"))), F.lit("/>"))).otherwise("")
+    text = F.when(get("text").isNotNull(), F.concat(F.lit("<TextEquiv><Unicode>"), _escaped(get("text")), F.lit("</Unicode></TextEquiv>"))).otherwise("")
+    order = F.concat(F.lit("readingOrder {index:"), get("position").cast("string"), F.lit(";}"))
+    return F.concat(F.lit("<TextLine"), _attr("id", get("line_id")), _attr("custom", order), F.lit("><Coords"), _attr("points", format_points(get("points"))), F.lit("/>"), base, text, F.lit("</TextLine>"))
+
+
+def _joined(items: Column, part: str) -> Column:
+    """The parts of items in the order of the items."""
+    return F.array_join(F.transform(F.sort_array(items), lambda x: x[part]), "")
+
+
+def _inner(lines: Column) -> Column:
+    """The elements of an array of lines, by position; none for null."""
+    return F.coalesce(_joined(F.transform(lines, lambda x: F.struct(x["position"].alias("position"), _line_xml(lambda c: x[c]).alias("x"))), "x"), F.lit(""))
+
+
+def _region_item(get: Callable[[str], Column], kind: Column, inner: Column) -> Column:
+    """position, ref and body of a region; get gives its region_id, position, class and points."""
+    position = get("position").cast("string")
+    custom = F.concat(F.lit("readingOrder {index:"), position, F.lit(";} structure {type:"), F.coalesce(get("class"), F.lit("null")), F.lit(";}"))
+    body = F.concat(F.lit("<"), kind, _attr("id", get("region_id")), _attr("custom", custom), F.lit("><Coords"), _attr("points", format_points(get("points"))), F.lit("/>"), inner, F.lit("</"), kind, F.lit(">"))
+    ref = F.concat(F.lit("<RegionRefIndexed"), _attr("index", position), _attr("regionRef", get("region_id")), F.lit("/>"))
+    return F.struct(get("position").alias("position"), ref.alias("ref"), body.alias("body"))
+
+
+def _element(name: Column) -> Column:
     kinds = F.create_map(*[F.lit(x) for kv in ELEMENTS.items() for x in kv])
-    kind = F.coalesce(F.try_element_at(kinds, F.col("class")), F.lit("UnknownRegion"))
+    return F.coalesce(F.try_element_at(kinds, name), F.lit("UnknownRegion"))
+
+
+def _document(image: Column, width: Column, height: Column, items: Column) -> Column:
+    """A document of region items."""
+    order = F.when(F.size(items) > 0, F.concat(F.lit('<ReadingOrder><OrderedGroup id="ro">'), _joined(items, "ref"), F.lit("</OrderedGroup></ReadingOrder>"), _joined(items, "body"))).otherwise("")
+    head = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><PcGts xmlns="http://schema.primaresearch.org/PAGE/gts/pagecontent/2013-07-15"><Page'), _attr("imageFilename", image), _attr("imageWidth", width.cast("string")), _attr("imageHeight", height.cast("string")), F.lit(">"))
+    return F.concat(head, order, F.lit("</Page></PcGts>"))
+
+
+def page_xml(pages: DataFrame, regions: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    """page_id, xml: a document for each page, reading order first, regions by position. regions: page_id, region_id, position, class, points and, to keep an element, kind; lines: page_id, region_id, line_id, position, points, baseline, text, or a column of regions, lines, as an array of the same.
+
+    Regions and lines meet in groupings by page, so nothing is shuffled that lies by page.
+    """
+    kind = _element(F.col("class"))
     kind = F.coalesce("kind", kind) if "kind" in regions.columns else kind
-    body = F.concat(F.lit("<"), kind, attr("id", F.col("region_id")), attr("custom", custom(F.col("position"), F.col("class"))), F.lit("><Coords"), attr("points", format_points(F.col("points"))), F.lit("/>"), F.coalesce("inner", F.lit("")), F.lit("</"), kind, F.lit(">"))
-    ref = F.concat(F.lit("<RegionRefIndexed"), attr("index", F.col("position").cast("string")), attr("regionRef", F.col("region_id")), F.lit("/>"))
-    rows = regions.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("position", ref.alias("ref"), body.alias("body")))).alias("x"))
-    part = lambda c: F.array_join(F.transform("x", lambda x: x[c]), "")
+    inner = _inner(F.col("lines")) if "lines" in regions.columns and lines is None else F.lit("")
+    if lines is not None:
+        own = F.struct("position", F.col("class"), "points", kind.alias("kind"))
+        fields = F.struct("line_id", "position", "points", "baseline", "text")
+        none = lambda df, c: F.lit(None).cast(df.select(c.alias("s")).schema["s"].dataType)
+        one = regions.select("page_id", "region_id", own.alias("own"), none(lines, fields).alias("line"))
+        two = lines.where("page_id is not null and region_id is not null").select("page_id", "region_id", none(regions, own).alias("own"), fields.alias("line"))
+        met = one.unionByName(two).groupBy("page_id", "region_id").agg(F.collect_list("own").alias("own"), F.collect_list("line").alias("lines"))
+        regions = met.select("page_id", "region_id", _inner(F.col("lines")).alias("inner"), F.explode("own").alias("own")).select("page_id", "region_id", "inner", "own.*")
+        kind, inner = F.col("kind"), F.col("inner")
+    rows = regions.groupBy("page_id").agg(F.collect_list(_region_item(F.col, kind, inner)).alias("x"))
     full = pages.join(rows, "page_id", "left")
-    order = F.when(F.size("x") > 0, F.concat(F.lit('<ReadingOrder><OrderedGroup id="ro">'), part("ref"), F.lit("</OrderedGroup></ReadingOrder>"), part("body"))).otherwise("")
-    head = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><PcGts xmlns="http://schema.primaresearch.org/PAGE/gts/pagecontent/2013-07-15"><Page'), attr("imageFilename", F.col("image_filename")), attr("imageWidth", F.col("width").cast("string")), attr("imageHeight", F.col("height").cast("string")), F.lit(">"))
-    return full.select("page_id", F.concat(head, order, F.lit("</Page></PcGts>")).alias("xml"))
+    return full.select("page_id", _document(F.col("image_filename"), F.col("width"), F.col("height"), F.col("x")).alias("xml"))
+
+
+def nested_xml(nested: DataFrame, positions: Column | None = None) -> DataFrame:
+    """page_id, xml of nested pages. It is a projection: no region or line becomes a row.
+
+    positions: each region's position by its place among all of the page's (the ord of region_table); regions with none
+    are lost. Without it, and for lines, the index that they name, else the place in the file.
+    """
+    place = lambda index, i: F.when(index >= 0, index).otherwise(i)
+
+    def line(x: Column, i: Column) -> Column:
+        text = F.nullif(x["TextEquiv"]["Unicode"], F.lit(""))
+        return F.struct(x["_id"].alias("line_id"), place(order_index(x["_custom"]), i).alias("position"), parse_points(x["Coords"]["_points"]).alias("points"), parse_points(x["Baseline"]["_points"]).alias("baseline"), text.alias("text"))
+
+    def item(x: Column, i: Column) -> Column:
+        r, c = x["r"], x["r"]["_custom"]
+        parts = {"region_id": r["_id"], "position": place(order_index(c), i) if positions is None else F.get(positions, i), "class": F.coalesce(class_tag(c), region_class(c, x["kind"])), "points": parse_points(r["Coords"]["_points"])}
+        return _region_item(parts.__getitem__, x["kind"], F.when(x["kind"] == "TextRegion", _inner(F.transform(r["TextLine"], line))).otherwise(""))
+
+    items = F.filter(F.transform(_kinds(), item), lambda x: x["position"].isNotNull())
+    return nested.select("page_id", _document(F.col("_imageFilename"), F.col("_imageWidth"), F.col("_imageHeight"), items).alias("xml"))
 
 
 def write_pages(xml: DataFrame, path: str, folders: int = 256) -> None:
