@@ -37,7 +37,7 @@ from .common import staged
 FORMS = 4096
 LEAST_ODDS, LEAST_Z = 4.0, 2.75
 SEGMENT = 256
-BATCH_TOKENS = 2_000_000
+BATCH_TOKENS = 250_000
 EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 TOKEN = re.compile(r"[^ \t-\r]+")
 
@@ -53,7 +53,7 @@ class Weights(dict):
         self.forms, self.other = forms, other
 
     def __missing__(self, token: str) -> float:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         self[token] = w = self.forms.get(form(token), self.other)
         return w
@@ -106,6 +106,18 @@ def marginals(emits: list[np.ndarray], trans: np.ndarray) -> tuple[list[np.ndarr
     return out, counts, float((scale + np.log1p(last)).sum())
 
 
+def in_slices(ids: list[np.ndarray], w: np.ndarray, trans: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """marginals of texts given as numbers of forms, at most BATCH_TOKENS tokens (or one text) at a time: the working arrays stay small whatever the sample."""
+    ends = np.cumsum([len(i) for i in ids]) // BATCH_TOKENS
+    probs: list[np.ndarray] = []
+    counts = np.zeros((2, 2))
+    for at in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(ends)) + 1):
+        p, c, _ = marginals([w[ids[k]] for k in at], trans)
+        probs += p
+        counts += c
+    return probs, counts
+
+
 @dataclass
 class Model:
     forms: dict[str, float] = field(default_factory=dict)
@@ -143,6 +155,7 @@ def fit(rows: list[tuple[str, int]], rounds: int = 40, penalty: float = 0.05) ->
         return Model(prior=float(y.mean()) if len(y) else 0.0)
     forms_of: dict[str, str] = {}  # equal tokens share one string: the sample has millions
     tokens = [[forms_of.setdefault(t, form(t)) for t in TOKEN.findall(text)] for text, _ in rows]
+    del rows, forms_of
     # near copies would make their own words look toxic: of texts that share their least hash of 5 words, one is learnt from
     least = [min(zlib.crc32(" ".join(ts[i : i + 5]).encode()) for i in range(max(1, len(ts) - 4))) for ts in tokens]
     once = list({(k, label): i for i, (k, label) in reversed(list(enumerate(zip(least, y, strict=True))))}.values())[::-1]
@@ -171,13 +184,13 @@ def fit(rows: list[tuple[str, int]], rounds: int = 40, penalty: float = 0.05) ->
     w[:] = np.log((flags.sum() + 1) / (len(flags) - flags.sum() + 1))
     gw, gt = np.full(other + 1, 1e-3), np.full((2, 2), 1e-3)
     for _ in range(rounds):  # AdaGrad
-        probs, counts, _ = marginals([w[i] for i in short], trans)
+        probs, counts = in_slices(short, w, trans)
         dw = seen - np.bincount(flat, np.concatenate([np.zeros(0), *probs]), other + 1) - penalty * w
         dt = moves - counts - penalty * trans
         gw, gt = gw + dw * dw, gt + dt * dt
         w, trans = w + 1.0 * dw / np.sqrt(gw), trans + 0.5 * dt / np.sqrt(gt)
     model = Model({f: float(w[i]) for f, i in at.items()}, float(w[other]), trans)
-    x = features(marginals([w[i] for i in ids], trans)[0])
+    x = features(in_slices(ids, w, trans)[0])
     beta = np.zeros(3)
     for _ in range(25):  # Newton's steps, with a small ridge
         p = 1 / (1 + np.exp(-(x @ beta)))
