@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -80,6 +84,22 @@ def tokenise(text: Column, unicode: int, custom: list[str] | None = None, max_le
     return F.slice(ids, 1, max_length) if max_length is not None else ids
 
 
+def sliced(b: pa.RecordBatch, text: str, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """b in slices of up to `most` bytes of text (a longer text is a slice of its own), so that what numpy makes of them stays bounded."""
+    sizes = pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(sizes, dtype=np.int64), 0
+    while at < len(ends):
+        upto = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")), at + 1)
+        yield b.slice(at, upto - at)
+        at = upto
+
+
+def code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all texts one after the other, and where each text ends; null texts have none."""
+    codes = np.frombuffer("".join(t for t in texts.to_pylist() if t).encode("utf-32-le"), np.uint32).astype(np.int64)
+    return codes, np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+
+
 def code_point(c: Column) -> Column:
     return F.ascii(c)
 

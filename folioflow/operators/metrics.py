@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tokens import code_points, sliced
+
 
 def edit_distance(a: Column, b: Column) -> Column:
     """The edit distance of two texts; equal ones, which most lines are, cost no table."""
@@ -92,7 +98,25 @@ def histogram(df: DataFrame, label: str, classes: int = 10) -> DataFrame:
 
 
 def vocabulary(lines: DataFrame, text: str, order: list[str]) -> DataFrame:
-    """char, n and rank by first appearance. Counts are summed before the shuffle; only the characters are ranked."""
-    c = lines.select(*order, F.posexplode(F.split(text, "")).alias("at", "char")).where("char <> ''")
-    v = c.groupBy("char").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*order, "at")).alias("first"))
+    """char, n and rank by first appearance. A batch of lines gives one row for each of its characters, counted in numpy, so neither a sort nor a shuffle gets one for each character of the text; only the characters are ranked."""
+    kinds = dict(lines.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in sliced(whole, text):
+                b = b.take(pc.sort_indices(b.select(order), [(c, "ascending") for c in order], null_placement="at_start"))
+                codes, ends = code_points(b.column(text))
+                if not len(codes):
+                    continue
+                n = np.bincount(codes)
+                first = np.zeros(len(n), np.int64)
+                first[codes[::-1]] = np.arange(len(codes))[::-1]  # of equal places the last one stays: the first appearance
+                found = np.flatnonzero(n)
+                row = np.searchsorted(ends, first[found], "right")
+                at = first[found] - np.concatenate([[0], ends])[row]
+                chars = pa.array([chr(c) for c in found], pa.string())
+                yield pa.RecordBatch.from_arrays([chars, pa.array(n[found], pa.int64()), *b.select(order).take(pa.array(row)).columns, pa.array(at, pa.int64())], names=["char", "n", *order, "at"])
+
+    c = lines.select(*order, text).where(F.col(text).isNotNull()).mapInArrow(run, "char string, n long, " + ", ".join(f"`{k}` {kinds[k]}" for k in order) + ", at long")
+    v = c.groupBy("char").agg(F.sum("n").alias("n"), F.min(F.struct(*order, "at")).alias("first"))
     return v.select("char", "n", F.row_number().over(Window.orderBy("first")).alias("rank"))
