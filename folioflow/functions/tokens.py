@@ -84,9 +84,9 @@ def tokenise(text: Column, unicode: int, custom: list[str] | None = None, max_le
     return F.slice(ids, 1, max_length) if max_length is not None else ids
 
 
-def sliced(b: pa.RecordBatch, text: str, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def sliced(b: pa.RecordBatch, *texts: str, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """b in slices of up to `most` bytes of text (a longer text is a slice of its own), so that what numpy makes of them stays bounded."""
-    sizes = pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False)
+    sizes = sum(pc.fill_null(pc.binary_length(b.column(t)), 0).to_numpy(zero_copy_only=False) for t in texts)
     ends, at = np.cumsum(sizes, dtype=np.int64), 0
     while at < len(ends):
         upto = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")), at + 1)

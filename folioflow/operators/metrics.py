@@ -14,9 +14,81 @@ from pyspark.sql import functions as F
 from ..functions.tokens import code_points, sliced
 
 
+#: Pairs of texts with more cells than this fill no table: their columns are whole numbers of as many bits.
+LONG = 1 << 20
+
+
+def bounded_distances(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """The edit distance of each pair of texts where bounds from above and below meet, else -1.
+
+    Texts of one length are at most as far apart as places differ, and at least as far as their characters differ when
+    counted: these are equal where no character that a differing place loses comes back at another one (and distances
+    below 3 are settled by the length alone). Of two lengths, the shorter text made of a start and an end of the longer
+    one is as far as the lengths are.
+    """
+    (x, ends_x), (y, ends_y) = code_points(a), code_points(b)
+    n, m = np.diff(ends_x, prepend=0), np.diff(ends_y, prepend=0)
+    short = np.minimum(n, m)
+    row = np.repeat(np.arange(len(n)), short)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(short) - short, short)
+    x0, y0 = (ends_x - n)[row], (ends_y - m)[row]
+    p, q = x[x0 + place], y[y0 + place]
+    differs = p != q
+    out = np.bincount(row[differs], minlength=len(n))
+    codes = [np.unique(row[differs] << 21 | c[differs]) for c in (p, q)]
+    back = np.intersect1d(*codes, assume_unique=True) >> 21
+    open_ = np.zeros(len(n), bool)
+    open_[back] = True
+    open_ &= out > 2
+    other = n != m
+    if other.any():
+        first = short.copy()
+        np.minimum.at(first, row[differs], place[differs])
+        # the same from the end
+        ends = x[(ends_x - 1)[row] - place] != y[(ends_y - 1)[row] - place]
+        last = short.copy()
+        np.minimum.at(last, row[ends], place[ends])
+        open_ = np.where(other, first + last < short, open_)
+        out = np.where(other, np.abs(n - m), out)
+    return np.where(open_, -1, out)
+
+
+def bit_distance(a: str, b: str) -> int:
+    """Edit distance by Myers' and Hyyrö's bit vectors: a column of the table is two numbers with a bit for each character of a."""
+    if not a:
+        return len(b)
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    every, last = (1 << len(a)) - 1, 1 << len(a) - 1
+    up, down, out = every, 0, len(a)
+    for c in b:
+        eq = at.get(c, 0)
+        vertical = eq | down
+        level = ((eq & up) + up ^ up) | eq
+        more, less = down | ~(level | up) & every, up & level
+        out += bool(more & last) - bool(less & last)
+        more, less = (more << 1 | 1) & every, less << 1 & every
+        up, down = less | ~(vertical | more) & every, more & vertical
+    return out
+
+
+def _distances(a: pa.Array, b: pa.Array) -> pa.Array:
+    found = []
+    for part in sliced(pa.RecordBatch.from_arrays([a, b], names=["a", "b"]), "a", "b"):
+        one = bounded_distances(*part.columns)
+        known = pc.and_(pc.is_valid(part.column("a")), pc.is_valid(part.column("b"))).to_numpy(zero_copy_only=False)
+        size = pc.multiply(*[pc.fill_null(pc.utf8_length(c), 0).cast(pa.int64()) for c in part.columns]).to_numpy()
+        for i in np.flatnonzero((one < 0) & known & (size > LONG)):
+            one[i] = bit_distance(part.column("a")[i].as_py(), part.column("b")[i].as_py())
+        found.append(pa.array(one, pa.int32(), mask=~known | (one < 0)))
+    return pa.concat_arrays(found) if found else pa.array([], pa.int32())
+
+
 def edit_distance(a: Column, b: Column) -> Column:
-    """The edit distance of two texts; equal ones, which most lines are, cost no table."""
-    return F.when(a == b, F.lit(0)).otherwise(F.levenshtein(a, b))
+    """The edit distance of two texts. Equal ones, and pairs whose bounds meet, cost no table; of the others short ones fill it and long ones step over it in whole columns."""
+    found = F.arrow_udf(_distances, "int")(F.when(a != b, a), F.when(a != b, b))
+    return F.when(a == b, F.lit(0)).otherwise(F.coalesce(found, F.levenshtein(a, b)))
 
 
 def line_errors(truth: Column, read: Column) -> dict[str, Column]:

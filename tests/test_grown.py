@@ -1,5 +1,12 @@
 """What must not grow faster than the tables: the plans and helpers of queries over many lines and regions."""
 
+import time
+
+import pyarrow as pa
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
 from folioflow.operators import metrics
 
 
@@ -12,3 +19,35 @@ def test_vocabulary_makes_no_row_for_each_character(spark):
     got = metrics.vocabulary(spark.createDataFrame(rows, "page int, line int, text string").repartition(3), "text", ["page", "line"])
     assert [(r.char, r.n, r["rank"]) for r in got.orderBy("rank").collect()] == [("z", 2, 1), ("b", 4, 2), ("\U0001f600", 1, 3), ("x", 1, 4), ("c", 1, 5), ("a", 1, 6)]
     assert "Generate" not in plan(got)
+
+
+def table_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        last, row = row, [i + 1]
+        for j, y in enumerate(b):
+            row.append(min(last[j] + (x != y), last[j + 1] + 1, row[j] + 1))
+    return row[-1]
+
+
+TEXT = st.text("abcé\U0001f600", max_size=12)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(TEXT, TEXT), max_size=6), st.lists(st.tuples(TEXT, st.integers(0, 12), st.integers(0, 12), st.text("abxyz", max_size=3)), max_size=6))
+def test_bounds_that_meet_are_the_distance(pairs, changed):
+    pairs = pairs + [(t, t[:i] + new + t[i + k :]) for t, i, k, new in changed]
+    want = [table_distance(a, b) for a, b in pairs]
+    a, b = (pa.array([p[i] for p in pairs], pa.string()) for i in (0, 1))
+    assert all(x in (-1, d) for x, d in zip(metrics.bounded_distances(a, b), want, strict=True))
+    assert [metrics.bit_distance(x, y) for x, y in pairs] == want
+
+
+def test_long_lines_fill_no_table(spark):
+    g = "the quick line eis " * 3000
+    rows = [(g, g.translate(str.maketrans("eis", "cl5"))), (g, g[:-1]), (g, g[1:] + "e"), (g, None), ("", "ab"), ("abc", "cab")]
+    df = spark.createDataFrame(rows, "a string, b string").coalesce(1)
+    began = time.perf_counter()
+    got = [r.d for r in df.select(metrics.edit_distance(F.col("a"), F.col("b")).alias("d")).collect()]
+    assert got == [sum(g.count(c) for c in "eis"), 1, 2, None, 2, 2]
+    assert time.perf_counter() - began < 10  # tables of 3e9 cells for each of the first three took far longer
