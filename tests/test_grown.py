@@ -51,3 +51,9 @@ def test_long_lines_fill_no_table(spark):
     got = [r.d for r in df.select(metrics.edit_distance(F.col("a"), F.col("b")).alias("d")).collect()]
     assert got == [sum(g.count(c) for c in "eis"), 1, 2, None, 2, 2]
     assert time.perf_counter() - began < 10  # tables of 3e9 cells for each of the first three took far longer
+
+
+def test_page_quality_settles_replaced_and_cut_lines_by_bounds():
+    g = ["many letters, see this line is", "", "cut at its end", "moved"]
+    o = ["many lcttcr5, 5cc thl5 llnc l5", "", "cut at its en", "ovedm"]
+    assert list(metrics.bounded_distances(pa.array(g), pa.array(o))) == [table_distance(g[0], o[0]), 0, 1, -1]
