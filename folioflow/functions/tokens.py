@@ -70,20 +70,34 @@ def tokenise(text: Column, unicode: int, custom: list[str] | None = None, max_le
 
     Code points below `unicode` need no table: their id is the code point plus 4. Only custom characters are looked up.
     """
-    extra = [c for c in alphabet(unicode, custom)[len(SPECIALS) + unicode :]]
-    known = F.create_map(*[F.lit(x) for i, c in enumerate(extra) for x in (c, i + unicode + 4)]) if extra else None
-
-    def one(c: Column) -> Column:
-        other = F.lit(NAN) if known is None else F.coalesce(F.try_element_at(known, c), F.lit(NAN))
-        code = code_point(c)
-        return F.when(code < unicode, code + 4).otherwise(other)
-
-    ids = F.concat(F.array(F.lit(START)), F.transform(characters(text), one), F.array(F.lit(END)))
+    extra = {ord(c): i + unicode + 4 for i, c in enumerate(alphabet(unicode, custom)[len(SPECIALS) + unicode :]) if len(c) == 1}
+    ids = F.arrow_udf(lambda texts: _encoded(texts, unicode, extra), "array<int>")(text)
     if pad and max_length is not None:
         ids = F.concat(ids, F.array_repeat(F.lit(PAD), F.greatest(F.lit(max_length) - F.size(ids), F.lit(0))))
     return F.slice(ids, 1, max_length) if max_length is not None else ids
 
 
+def _encoded(texts: pa.Array, unicode: int, extra: dict[int, int]) -> pa.Array:
+    """START, the ids and END of each text; null for null. extra: the ids of code points from `unicode` on."""
+    known, to = np.array(sorted(extra), np.int64), np.array([extra[c] for c in sorted(extra)], np.int64)
+    out = []
+    for b in sliced(pa.RecordBatch.from_arrays([texts], names=["text"]), "text"):
+        codes, ends = code_points(b.column("text"))
+        ids = codes + 4
+        far = np.flatnonzero(codes >= unicode)
+        at = np.minimum(np.searchsorted(known, codes[far]), max(len(known) - 1, 0))
+        ids[far] = np.where(known[at] == codes[far], to[at], NAN) if len(known) else NAN
+        n = np.arange(len(b))
+        flat = np.empty(len(ids) + 2 * len(b), np.int32)
+        stop = ends + 2 * n + 2
+        start = np.concatenate([[0], stop[:-1]])
+        inside = np.ones(len(flat), bool)
+        inside[start] = inside[stop - 1] = False
+        flat[inside], flat[start], flat[stop - 1] = ids, START, END
+        out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stop]), pa.int32()), pa.array(flat), mask=b.column("text").is_null()))
+    return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
+
+
 def sliced(b: pa.RecordBatch, *texts: str, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """b in slices of up to `most` bytes of text (a longer text is a slice of its own), so that what numpy makes of them stays bounded."""
     sizes = sum(pc.fill_null(pc.binary_length(b.column(t)), 0).to_numpy(zero_copy_only=False) for t in texts)
@@ -106,12 +120,37 @@ def code_point(c: Column) -> Column:
 
 def detokenise(ids: Column, letters: list[str], specials: bool = False) -> Column:
     """Text of the ids after the first up to END; PAD, START and NAN only show if asked."""
-    table = F.array(*[F.lit(x) for x in letters])
-    rest = F.slice(ids, 2, F.greatest(F.size(ids), F.lit(1)))
-    end = F.array_position(rest, END)
-    until = F.when(end > 0, F.slice(rest, F.lit(1), (end - 1).cast("int"))).otherwise(rest)
-    shown = until if specials else F.filter(until, lambda i: ~i.isin(PAD, START, NAN))
-    return F.array_join(F.transform(shown, lambda i: F.get(table, i)), "")
+    hidden = [] if specials else [PAD, START, NAN]
+    return F.arrow_udf(lambda found: _decoded(found, letters, hidden), "string")(ids)
+
+
+def _decoded(ids: pa.Array, letters: list[str], hidden: list[int], most: int = 1 << 20) -> pa.Array:
+    """The letters of each row's ids between the first and END, without hidden ones and ids that have no letter; null for null. Up to `most` ids at a time."""
+    sizes = np.array([len(x) for x in letters], np.int64)
+    spelt, begins = np.array([ord(c) for x in letters for c in x], np.uint32), np.cumsum(sizes) - sizes
+    shown = ~np.isin(np.arange(len(letters)), hidden)
+    lengths = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+    ends, out, at = np.cumsum(lengths, dtype=np.int64), [], 0
+    while at < len(ids):
+        upto = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")), at + 1)
+        flat = pc.fill_null(ids.slice(at, upto - at).flatten().cast(pa.int64()), -1).to_numpy(zero_copy_only=False)
+        n = lengths[at:upto]
+        stop = np.cumsum(n, dtype=np.int64)
+        start = np.minimum(stop - n + 1, stop)
+        marks = np.append(np.flatnonzero(flat == END), len(flat))
+        last = np.minimum(marks[np.searchsorted(marks, start)], stop)
+        row = np.repeat(np.arange(len(n)), last - start)
+        flat = flat[np.arange(len(row)) + np.repeat(start - np.cumsum(last - start) + (last - start), last - start)]
+        some = (flat >= 0) & (flat < len(letters))
+        some[some] = shown[flat[some]]
+        flat, row = flat[some], row[some]
+        size = sizes[flat]
+        place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        text = spelt[np.repeat(begins[flat], size) + place].tobytes().decode("utf-32-le")
+        to = np.cumsum(np.bincount(row, size, len(n)).astype(np.int64)).tolist()
+        out += [text[a:b] for a, b in zip([0, *to[:-1]], to, strict=True)]
+        at = upto
+    return pa.array(out, pa.string(), mask=ids.is_null().to_numpy(zero_copy_only=False))
 
 
 def extended(known: Column, more: Column) -> Column:

@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from folioflow.functions import tokens as T
 from folioflow.operators import metrics
 
 
@@ -57,3 +58,13 @@ def test_page_quality_settles_replaced_and_cut_lines_by_bounds():
     g = ["many letters, see this line is", "", "cut at its end", "moved"]
     o = ["many lcttcr5, 5cc thl5 llnc l5", "", "cut at its en", "ovedm"]
     assert list(metrics.bounded_distances(pa.array(g), pa.array(o))) == [table_distance(g[0], o[0]), 0, 1, -1]
+
+
+def test_characters_are_coded_in_batches(spark):
+    letters = T.alphabet(128, ["ſ", "é"])
+    rows = [(1, "aſ😀", [1, 101, 132, 2, 3, 101]), (2, None, None), (3, "", []), (4, "é" * 5, [3]), (5, "z", [9, -1, None, 999, 105, 0, 106])]
+    df = spark.createDataFrame(rows, "k int, t string, ids array<int>").coalesce(1)
+    got = df.select("k", T.tokenise(F.col("t"), 128, ["ſ", "é"]).alias("ids"), T.detokenise(F.col("ids"), letters).alias("text"), T.detokenise(F.col("ids"), letters, True).alias("every"))
+    want = [(1, [1, 101, 132, 2, 3], "aſ", "aſ<NAN>"), (2, None, None, None), (3, [1, 3], "", ""), (4, [1, *[133] * 5, 3], "", ""), (5, [1, 126, 3], "ef", "e" + letters[0] + "f")]
+    assert sorted(map(tuple, got.collect())) == want
+    assert "lambdafunction" not in plan(got) and T._decoded(pa.array([[1, 101, 3]] * 9), letters, [], 4).to_pylist() == ["a"] * 9
