@@ -41,43 +41,82 @@ def _points(a: np.ndarray) -> list[dict]:
     return [{"x": float(x), "y": float(y)} for x, y in a]
 
 
-def crossings(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Heights at which any two of the segments p[i] q[i] cross."""
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All rows' points as (x, y) one after the other, and how many each row has; null rows have none."""
+    x, y = column.flatten().flatten()
+    flat = np.stack([x.to_numpy(zero_copy_only=False), y.to_numpy(zero_copy_only=False)], axis=1).astype(float)
+    return flat, pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _edges(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start and end of every side of the closed outlines."""
+    after = np.arange(1, len(flat) + 1)
+    ends = np.cumsum(sizes)[sizes > 0]
+    after[ends - 1] = ends - sizes[sizes > 0]
+    return np.repeat(np.arange(len(sizes)), sizes), flat, flat[after]
+
+
+def crossings(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and height of the places where any two of a row's segments p[row, i] q[row, i] cross."""
     d = q - p
-    i, j = np.triu_indices(len(p), 1)
-    turn = d[i, 0] * d[j, 1] - d[i, 1] * d[j, 0]
-    some = turn != 0
-    i, j, turn = i[some], j[some], turn[some]
-    gap = p[j] - p[i]
-    s = (gap[:, 0] * d[j, 1] - gap[:, 1] * d[j, 0]) / turn
-    t = (gap[:, 0] * d[i, 1] - gap[:, 1] * d[i, 0]) / turn
+    i, j = np.triu_indices(p.shape[1], 1)
+    turn = d[:, i, 0] * d[:, j, 1] - d[:, i, 1] * d[:, j, 0]
+    row, at = np.nonzero(turn)
+    turn, i, j = turn[row, at], i[at], j[at]
+    gap, one, two = p[row, j] - p[row, i], d[row, i], d[row, j]
+    s = (gap[:, 0] * two[:, 1] - gap[:, 1] * two[:, 0]) / turn
+    t = (gap[:, 0] * one[:, 1] - gap[:, 1] * one[:, 0]) / turn
     on = (s >= 0) & (s <= 1) & (t >= 0) & (t <= 1)
-    return p[i[on], 1] + s[on] * d[i[on], 1]
+    return row[on], p[row[on], i[on], 1] + s[on] * one[on, 1]
 
 
-def areas(a: np.ndarray, b: np.ndarray) -> tuple[float, float, float]:
-    """Area of a, of b and of what they share.
+def _slab_areas(p: np.ndarray, q: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Area of a, of b and of what they share, for rows of equally many rising sides p q, of which `own` belong to a.
 
     Between two neighbouring heights of corners and crossings all edges are straight and keep their order, so a width
     measured half way, times the distance, is the exact area of the slab.
     """
-    p, q = np.vstack([a, b]), np.vstack([np.roll(a, -1, 0), np.roll(b, -1, 0)])
-    own = np.arange(len(p)) < len(a)
-    rises = p[:, 1] != q[:, 1]
-    p, q, own = p[rises], q[rises], own[rises]
-    if not len(p):
-        return 0.0, 0.0, 0.0
-    cuts = np.unique(np.concatenate([p[:, 1], q[:, 1], crossings(p, q)]))
-    mid, high = (cuts[1:] + cuts[:-1]) / 2, np.diff(cuts)
-    met = (np.minimum(p[:, 1], q[:, 1]) < mid[:, None]) & (mid[:, None] < np.maximum(p[:, 1], q[:, 1]))
-    x = np.where(met, p[:, 0] + (mid[:, None] - p[:, 1]) * (q[:, 0] - p[:, 0]) / (q[:, 1] - p[:, 1]), np.inf)
+    n = len(p)
+    row, y = crossings(p, q)
+    count = np.bincount(row, minlength=n)
+    more = np.repeat(p[:, :1, 1], count.max(initial=0), 1)
+    more[row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)] = y
+    cuts = np.sort(np.concatenate([p[..., 1], q[..., 1], more], axis=1), axis=1)
+    row, at = np.nonzero(np.diff(cuts, axis=1))
+    mid, high = (cuts[row, at + 1] + cuts[row, at]) / 2, cuts[row, at + 1] - cuts[row, at]
+    p, q, own = p[row], q[row], own[row]
+    met = (np.minimum(p[..., 1], q[..., 1]) < mid[:, None]) & (mid[:, None] < np.maximum(p[..., 1], q[..., 1]))
+    x = np.where(met, p[..., 0] + (mid[:, None] - p[..., 1]) * (q[..., 0] - p[..., 0]) / (q[..., 1] - p[..., 1]), np.inf)
     order = np.argsort(x, axis=1, kind="stable")
-    x = np.take_along_axis(x, order, 1)
-    in_a = np.cumsum(own[order], axis=1)[:, :-1] % 2 == 1
-    in_b = np.cumsum(~own[order], axis=1)[:, :-1] % 2 == 1
+    x, own = np.take_along_axis(x, order, 1), np.take_along_axis(own, order, 1)
+    in_a = np.cumsum(own, axis=1)[:, :-1] % 2 == 1
+    in_b = np.cumsum(~own, axis=1)[:, :-1] % 2 == 1
     wide = np.where(np.isfinite(x[:, 1:]), x[:, 1:], 0) - np.where(np.isfinite(x[:, 1:]), x[:, :-1], 0)
-    size = lambda inside: float(((wide * inside).sum(axis=1) * high).sum())
-    return size(in_a), size(in_b), size(in_a & in_b)
+    return np.stack([np.bincount(row, (wide * inside).sum(axis=1) * high, n) for inside in (in_a, in_b, in_a & in_b)], axis=1)
+
+
+def pair_areas(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], cells: int = 1 << 20) -> np.ndarray:
+    """Area of a, of b and of what they share, as a row for each pair. Pairs with equally many rising sides are measured at once, as many as fill `cells`."""
+    row, p, q = (np.concatenate(x) for x in zip(_edges(*a), _edges(*b), strict=True))
+    own = np.arange(len(row)) < len(a[0])
+    rises = np.flatnonzero(p[:, 1] != q[:, 1])
+    rises = rises[np.argsort(row[rises], kind="stable")]
+    sides = np.bincount(row[rises], minlength=len(a[1]))
+    first = np.cumsum(sides) - sides
+    out = np.zeros((len(sides), 3))
+    for k in np.unique(sides[sides > 0]):
+        some = np.flatnonzero(sides == k)
+        step = max(1, cells // int(2 * k * k))
+        for i in range(0, len(some), step):
+            at = rises[first[some[i : i + step], None] + np.arange(k)]
+            out[some[i : i + step]] = _slab_areas(p[at], q[at], own[at])
+    return out
+
+
+def areas(a: np.ndarray, b: np.ndarray) -> tuple[float, float, float]:
+    """Area of a, of b and of what they share."""
+    one, two, both = pair_areas((a, np.array([len(a)])), (b, np.array([len(b)])))[0]
+    return float(one), float(two), float(both)
 
 
 def polygon_pairs(pred: DataFrame, truth: DataFrame, by: list[str]) -> DataFrame:
@@ -90,8 +129,8 @@ def polygon_pairs(pred: DataFrame, truth: DataFrame, by: list[str]) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [areas(x, y) for x, y in zip(_arrays(b.column("p_points")), _arrays(b.column("g_points")), strict=True)]
-            iou = [c / (x + y - c) if c > 0 else 0.0 for x, y, c in found]
+            x, y, c = pair_areas(_flat(b.column("p_points")), _flat(b.column("g_points"))).T
+            iou = np.divide(c, x + y - c, out=np.zeros(len(c)), where=c > 0)
             yield b.select(keys).append_column("iou", pa.array(iou, pa.float64()))
 
     kinds = dict(met.dtypes)

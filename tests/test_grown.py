@@ -2,13 +2,14 @@
 
 import time
 
+import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from folioflow.functions import tokens as T
-from folioflow.operators import metrics
+from folioflow.operators import metrics, shapes
 
 
 def plan(df):
@@ -68,3 +69,16 @@ def test_characters_are_coded_in_batches(spark):
     want = [(1, [1, 101, 132, 2, 3], "aſ", "aſ<NAN>"), (2, None, None, None), (3, [1, 3], "", ""), (4, [1, *[133] * 5, 3], "", ""), (5, [1, 126, 3], "ef", "e" + letters[0] + "f")]
     assert sorted(map(tuple, got.collect())) == want
     assert "lambdafunction" not in plan(got) and T._decoded(pa.array([[1, 101, 3]] * 9), letters, [], 4).to_pylist() == ["a"] * 9
+
+
+def test_areas_of_many_pairs_at_once():
+    rng = np.random.default_rng(1)
+    of = lambda: [rng.integers(0, 9, (rng.integers(0, 7), 2)).astype(float) for _ in range(300)]
+    a, b = of(), of()
+    flat = lambda x: (np.concatenate(x), np.array([len(p) for p in x]))
+    got = shapes.pair_areas(flat(a), flat(b), 400)
+    assert np.allclose(got, [shapes.areas(x, y) for x, y in zip(a, b, strict=True)])
+    many = [np.array([(0, 0), (4, 0), (4, 4), (0, 4)], float)] * 20000
+    began = time.perf_counter()
+    assert (shapes.pair_areas(flat(many), flat(many)) == 16).all()
+    assert time.perf_counter() - began < 1.5  # one pair at a time took more than three seconds
