@@ -166,39 +166,73 @@ def hulls(points: DataFrame, by: list[str]) -> DataFrame:
 
 
 def split_at(polygon: np.ndarray, baseline: np.ndarray, reach: float = 100.0) -> tuple[np.ndarray, np.ndarray] | None:
-    """The parts of a line's polygon above and below its baseline, the baseline running on level to x = -reach and by reach at its end.
+    """The parts of one line's polygon, as in `splits_at`; None where there are none."""
+    found, points, parts = splits_at(polygon[None], baseline[None], reach)
+    return (points[0, 0][parts[0, 0]], points[0, 1][parts[0, 1]]) if found[0] else None
 
-    The cut goes from the first to the last place where the baseline meets the outline; None where it meets it less than twice.
+
+def splits_at(polygon: np.ndarray, baseline: np.ndarray, reach: float = 100.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The parts of lines' polygons above and below their baselines, a baseline running on level to x = -reach and by reach at its end.
+
+    The cut goes from the first to the last place where the baseline meets the outline; there is none where it meets it
+    less than twice. All polygons have n points, all baselines as many as each other. Returns which lines are cut, and for
+    every line the points of both parts with marks of those that count: (lines), (lines, 2, places, 2), (lines, 2, places).
     """
-    line = np.vstack([[-reach, baseline[0, 1]], baseline, [baseline[-1, 0] + reach, baseline[-1, 1]]])
-    d, e = np.diff(line, axis=0)[:, None], np.roll(polygon, -1, 0) - polygon
-    gap = polygon - line[:-1, None]
+    m, n = polygon.shape[:2]
+    left, right = baseline[:, :1].copy(), baseline[:, -1:].copy()
+    left[..., 0] = -reach
+    right[..., 0] += reach
+    line = np.concatenate([left, baseline, right], axis=1)
+    d, e = np.diff(line, axis=1)[:, :, None], (np.roll(polygon, -1, 1) - polygon)[:, None]
+    gap = polygon[:, None] - line[:, :-1, None]
     with np.errstate(divide="ignore", invalid="ignore"):
-        turn = d[..., 0] * e[:, 1] - d[..., 1] * e[:, 0]
-        s = (gap[..., 0] * e[:, 1] - gap[..., 1] * e[:, 0]) / turn
+        turn = d[..., 0] * e[..., 1] - d[..., 1] * e[..., 0]
+        s = (gap[..., 0] * e[..., 1] - gap[..., 1] * e[..., 0]) / turn
         t = (gap[..., 0] * d[..., 1] - gap[..., 1] * d[..., 0]) / turn
         on = (turn != 0) & (s >= 0) & (s <= 1) & (t >= 0) & (t < 1)
-    # place along the line, place along the outline, point
-    met = [(i + s[i, k], k + t[i, k], line[i] + s[i, k] * d[i, 0]) for i, k in np.argwhere(on)]
-    met.sort(key=lambda m: m[:2])
-    if len(met) < 2 or met[0][1] == met[-1][1]:
-        return None
-    (s0, t0, p0), (s1, t1, p1) = met[0], met[-1]
-    inner = [line[i] for i in range(len(line)) if s0 < i < s1]
-    around = lambda a, b: [polygon[k % len(polygon)] for k in range(int(np.floor(a)) + 1, int(np.ceil(b)))]  # noqa: E731  corners from place a to place b
-    n = len(polygon)
-    there = around(t0, t1 if t1 > t0 else t1 + n)
-    back = around(t1, t0 if t0 > t1 else t0 + n)
-    one = np.array([p0, *there, p1, *inner[::-1]])
-    two = np.array([p1, *back, p0, *inner])
-    return (one, two) if _height(one) <= _height(two) else (two, one)
-
-
-def _height(p: np.ndarray) -> float:
-    """Height of the centroid."""
-    q = np.roll(p, -1, 0)
+        point = line[:, :-1, None] + s[..., None] * d
+    # place along the line, place along the outline; first and last by both
+    along, around = np.arange(line.shape[1] - 1)[:, None] + s, np.arange(n) + t
+    along, around, on, point = (x.reshape(m, -1, *x.shape[3:]) for x in (along, around, on, point))
+    rows = np.arange(m)
+
+    def end(sign: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        by = np.where(on, sign * along, np.inf)
+        at = np.argmin(np.where(by == by.min(axis=1, keepdims=True), np.where(on, sign * around, np.inf), np.inf), axis=1)
+        return along[rows, at], around[rows, at], point[rows, at]
+
+    (s0, t0, p0), (s1, t1, p1) = end(1), end(-1)
+    found = (on.sum(axis=1) >= 2) & (t0 != t1)
+    s0, t0, s1, t1 = (np.where(found, x, 0.0)[:, None] for x in (s0, t0, s1, t1))
+
+    def corners(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Corners from place a to place b."""
+        k = np.floor(a).astype(int) + 1 + np.arange(n)
+        return polygon[rows[:, None], k % n], k < np.ceil(b)
+
+    there, on_there = corners(t0, np.where(t1 > t0, t1, t1 + n))
+    back, on_back = corners(t1, np.where(t0 > t1, t0, t0 + n))
+    i = np.arange(line.shape[1])
+    inner = (s0 < i) & (i < s1)
+    both = np.ones((m, 1), bool)
+    ends = p0[:, None], p1[:, None]
+    points = np.stack([np.concatenate([ends[0], there, ends[1], line[:, ::-1]], axis=1), np.concatenate([ends[1], back, ends[0], line], axis=1)], axis=1)
+    parts = np.stack([np.concatenate([both, on_there, both, inner[:, ::-1]], axis=1), np.concatenate([both, on_back, both, inner], axis=1)], axis=1)
+    parts &= found[:, None, None]
+    low = _heights(points[parts], parts.sum(axis=2).ravel()).reshape(m, 2)
+    swap = ~(low[:, 0] <= low[:, 1])
+    points[swap], parts[swap] = points[swap, ::-1], parts[swap, ::-1]
+    return found, points, parts
+
+
+def _heights(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Heights of the outlines' centroids; the mean of the corners' where there is no area."""
+    row, p, q = _edges(flat, sizes)
     c = p[:, 0] * q[:, 1] - q[:, 0] * p[:, 1]
-    return float(((p[:, 1] + q[:, 1]) * c).sum() / (3 * c.sum())) if c.sum() else float(p[:, 1].mean())
+    total = lambda v: np.bincount(row, v, len(sizes))
+    whole = total(c)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(whole != 0, total((p[:, 1] + q[:, 1]) * c) / (3 * whole), total(p[:, 1]) / sizes)
 
 
 def split_lines(lines: DataFrame, keep: list[str]) -> DataFrame:
@@ -207,9 +241,31 @@ def split_lines(lines: DataFrame, keep: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            met = zip(_arrays(b.column("points")), _arrays(b.column("baseline")), strict=True)
-            parts = [(split_at(p, l) if len(p) > 2 and len(l) > 1 else None) or (None, None) for p, l in met]
-            yield b.select(keep).append_column("ascender", _column([x[0] for x in parts])).append_column("descender", _column([x[1] for x in parts]))
+            (p, n), (l, m) = _flat(b.column("points")), _flat(b.column("baseline"))
+            p0, l0 = np.cumsum(n) - n, np.cumsum(m) - m
+            # lines with as many points and as long baselines are split at once; what is left out has no parts
+            good = np.flatnonzero((n > 2) & (m > 1))
+            kinds_, kind = np.unique(np.stack([n[good], m[good]], axis=1), axis=0, return_inverse=True)
+            made: list[tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]] = []
+            for g, (k, j) in enumerate(kinds_):
+                every = good[kind.ravel() == g]
+                step = max(1, (1 << 18) // int(k * (j + 1)))
+                for some in (every[i : i + step] for i in range(0, len(every), step)):
+                    found, points, parts = splits_at(p[p0[some, None] + np.arange(k)], l[l0[some, None] + np.arange(j)])
+                    made.append((some[found], [points[found, s][parts[found, s]] for s in (0, 1)], [parts[found, s].sum(axis=1) for s in (0, 1)]))
+            at = np.concatenate([np.zeros(0, int), *[x[0] for x in made]])
+            order = np.argsort(at, kind="stable")
+            out = b.select(keep)
+            for s, name in enumerate(("ascender", "descender")):
+                flat, sizes = (np.concatenate([zero, *[x[i][s] for x in made]]) for i, zero in ((1, np.zeros((0, 2))), (2, np.zeros(0, int))))
+                whole = np.zeros(len(b), int)
+                whole[at] = sizes
+                from_ = np.repeat((np.cumsum(sizes) - sizes)[order], sizes[order])
+                sorted_ = sizes[order]
+                flat = flat[from_ + np.arange(len(flat)) - np.repeat(np.cumsum(sorted_) - sorted_, sorted_)]
+                xy = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["x", "y"])
+                out = out.append_column(name, pa.ListArray.from_arrays(pa.array(np.cumsum([0, *whole]), pa.int32()), xy, mask=pa.array(whole == 0)))
+            yield out
 
     return lines.select(*keep, "points", "baseline").mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keep) + f", ascender array<{POINT}>, descender array<{POINT}>")
 

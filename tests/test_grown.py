@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from folioflow.functions import geometry as G
 from folioflow.functions import tokens as T
 from folioflow.operators import metrics, shapes
 
@@ -82,3 +83,17 @@ def test_areas_of_many_pairs_at_once():
     began = time.perf_counter()
     assert (shapes.pair_areas(flat(many), flat(many)) == 16).all()
     assert time.perf_counter() - began < 1.5  # one pair at a time took more than three seconds
+
+
+def test_lines_of_all_kinds_are_split_in_one_batch(spark):
+    box, wedge = [(0, 0), (10, 0), (10, 6), (0, 6)], [(0, 0), (12, 0), (6, 9)]
+    rows = [(0, box, [(1, 4), (9, 4)]), (1, wedge, [(2, 3), (5, 3), (7, 3)]), (2, box, [(1, 40), (9, 40)]), (3, box, None), (4, box[:2], [(1, 4), (9, 4)]), (5, wedge, [(2, 3), (9, 3)]), (6, box, [(1, 2), (9, 2)])]
+    point = "array<struct<x:double,y:double>>"
+    rows = [(i, *[None if x is None else [(float(a), float(b)) for a, b in x] for x in r]) for i, *r in rows]
+    df = spark.createDataFrame(rows, f"line int, points {point}, baseline {point}").coalesce(1)
+    got = {r.line: (r.a, r.d) for r in shapes.split_lines(df, ["line"]).select("line", G.area(F.col("ascender")).alias("a"), G.area(F.col("descender")).alias("d")).collect()}
+    assert got == {0: (40, 20), 1: (30, 24), 2: (None, None), 3: (None, None), 4: (None, None), 5: (30, 24), 6: (20, 40)}
+    many, lines = np.tile(np.array(box, float), (20000, 1, 1)), np.tile(np.array([(1, 4), (9, 4)], float), (20000, 1, 1))
+    began = time.perf_counter()
+    assert shapes.splits_at(many, lines)[0].all()
+    assert time.perf_counter() - began < 1  # one line at a time took more than two seconds
