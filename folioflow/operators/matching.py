@@ -63,10 +63,11 @@ def _met(both: DataFrame, by: list[str]) -> DataFrame:
 
 def matched(found: DataFrame, by: list[str], threshold: float = 0.0) -> DataFrame:
     """by, p, g, iou of the greedy one-to-one matching of pairs at or above the threshold: the best pair first, ties by place."""
-    some = kept(found.where((F.col("iou") >= threshold) & (F.col("iou") > 0)))
+    some = found.where((F.col("iou") >= threshold) & (F.col("iou") > 0))
     many = kept(some.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FOLD).select(*by))
     if many.isEmpty():
-        return folded(some, by)
+        return folded(some, by)  # the pairs are found again where they lie, which costs less than writing and dealing them out
+    some = kept(some)
     return folded(some.join(many, by, "left_anti"), by).unionByName(in_rounds(some.join(many, by, "left_semi"), by))
 
 
@@ -133,12 +134,20 @@ def aligned(pred: DataFrame, truth: DataFrame, by: list[str]) -> DataFrame:
 
 
 def matched_texts(pred: DataFrame, truth: DataFrame, by: list[str]) -> DataFrame:
-    """by, truth, read: the texts of aligned lines; a line without a partner meets the empty text. Both sides: by, ord, box, text."""
-    m = aligned(pred, truth, by)
-    read = pred.select(*by, F.col("ord").alias("p"), F.col("text").alias("read"))
-    said = truth.select(*by, F.col("ord").alias("g"), F.col("text").alias("truth"))
-    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
-    return m.join(read, [*by, "p"], "left").join(said, [*by, "g"], "left").select(*by, text("truth"), text("read"))
+    """by, truth, read: the texts of aligned lines; a line without a partner meets the empty text. Both sides: by, ord (once in a key), box, text.
+
+    Lines meet in groupings by key and line: where both sides lie by key, as the pairs do, none of them is dealt out again.
+    """
+    none = F.lit(None)
+    m = matched(pairs(pred, truth, by), by)
+    read = pred.select(*by, F.col("ord").alias("p"), none.cast(dict(truth.dtypes)["ord"]).alias("g"), F.col("text").alias("read"))
+    hits = m.select(*by, "p", "g", none.cast("string").alias("read"))
+    read = read.unionByName(hits).groupBy(*by, "p").agg(F.max("g").alias("g"), F.max("read").alias("read"))
+    # what has no partner is a group of its own
+    read = read.select(*by, "g", F.when(F.col("g").isNull(), F.col("p")).alias("alone"), none.cast("string").alias("truth"), "read")
+    said = truth.select(*by, F.col("ord").alias("g"), none.cast(dict(pred.dtypes)["ord"]).alias("alone"), F.col("text").alias("truth"), none.cast("string").alias("read"))
+    both = read.unionByName(said).groupBy(*by, "g", "alone").agg(F.max("truth").alias("truth"), F.max("read").alias("read"))
+    return both.select(*by, *[F.coalesce(c, F.lit("")).alias(c) for c in ("truth", "read")])
 
 
 def zipped(pred: DataFrame, truth: DataFrame, by: list[str]) -> DataFrame:

@@ -120,10 +120,9 @@ tl AS (SELECT coalesce(b.t, '') AS g, a.r AS o FROM (SELECT s.* FROM said s SEMI
  UNION ALL SELECT t, '' FROM said b WHERE NOT EXISTS (SELECT 1 FROM mt WHERE mt.page = b.page AND mt.g = b.ord)),
 e AS (SELECT CASE WHEN greatest(length(g), length(o)) > 0 THEN levenshtein(g, o) END AS d, CASE WHEN greatest(length(g), length(o)) > 0 THEN greatest(length(g), length(o)) END AS n FROM tl) SELECT {_RATES}""")
 def ocr_matched_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pred, truth = _sides(spark, sf_dir)
-    truth = truth.withColumn("text", F.format_string("line %d of %d", "partkey", "suppkey"))
+    truth = V.regions(spark, sf_dir).withColumn("text", F.format_string("line %d of %d", "partkey", "suppkey"))
     text = F.when(F.col("ord") % 2 == 0, F.replace("text", F.lit("1"), F.lit("l"))).otherwise(F.col("text"))
-    read = pred.join(truth.select("page", "ord", text.alias("text")), ["page", "ord"])
+    read = V.predicted(truth.withColumn("text", text), "text")
     return _rounded(M.error_rates(A.matched_texts(read, truth, ["page"]), []))
 
 

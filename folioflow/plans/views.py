@@ -39,11 +39,11 @@ REGIONS = f"""regions AS (SELECT page, ord, label, minx, miny, minx + w AS maxx,
  (CASE WHEN 1 + l_partkey % 9 = 7 THEN 1000 * (1 + l_linenumber % 4) ELSE 900 + l_partkey % 150 END)::INT AS w, (20 + l_quantity::INT * 10)::INT AS h, l_partkey AS partkey, l_suppkey AS suppkey FROM lineitem))"""
 
 
-def predicted(regs: DataFrame) -> DataFrame:
-    """Regions as a model might find them: moved, some missing, some of another class."""
+def predicted(regs: DataFrame, *more: str) -> DataFrame:
+    """Regions as a model might find them: moved, some missing, some of another class; and more columns as they are."""
     dx, dy = F.expr("int((suppkey % 7 - 3) * 10)"), F.expr("int((partkey % 5 - 2) * 8)")
     label = F.when(F.col("partkey") % 13 == 0, F.col("label") % 9 + 1).otherwise(F.col("label"))
-    return regs.where("partkey % 11 <> 0").select("page", "ord", label.alias("label"), (F.col("minx") + dx).alias("minx"), (F.col("miny") + dy).alias("miny"), (F.col("maxx") + dx).alias("maxx"), (F.col("maxy") + dy).alias("maxy"))
+    return regs.where("partkey % 11 <> 0").select("page", "ord", label.alias("label"), (F.col("minx") + dx).alias("minx"), (F.col("miny") + dy).alias("miny"), (F.col("maxx") + dx).alias("maxx"), (F.col("maxy") + dy).alias("maxy"), *more)
 
 
 PREDICTED = """predicted AS (SELECT page, ord, CASE WHEN partkey % 13 = 0 THEN label % 9 + 1 ELSE label END AS label,

@@ -1,5 +1,6 @@
 """What must not grow faster than the tables: the plans and helpers of queries over many lines and regions."""
 
+import re
 import time
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import geometry as G
 from folioflow.functions import tokens as T
-from folioflow.operators import metrics, shapes
+from folioflow.operators import matching, metrics, shapes
 
 
 def plan(df):
@@ -97,3 +98,13 @@ def test_lines_of_all_kinds_are_split_in_one_batch(spark):
     began = time.perf_counter()
     assert shapes.splits_at(many, lines)[0].all()
     assert time.perf_counter() - began < 1  # one line at a time took more than two seconds
+
+
+def test_lines_with_texts_are_dealt_out_by_page_only(spark):
+    schema = "page int, ord int, minx int, miny int, maxx int, maxy int, text string"
+    truth = [(1, 0, 0, 0, 10, 10, "a"), (1, 1, 0, 20, 10, 30, None), (1, 2, 50, 50, 60, 60, "c"), (2, 0, 0, 0, 5, 5, "d")]
+    pred = [(1, 0, 0, 21, 10, 30, "B"), (1, 1, 1, 0, 10, 10, "A"), (1, 2, 90, 90, 95, 95, "X"), (1, 3, 96, 96, 99, 99, None), (3, 0, 0, 0, 5, 5, "Y")]
+    side = lambda rows: spark.createDataFrame(rows, schema).repartition(4, "page")
+    got = matching.matched_texts(side(pred), side(truth), ["page"])
+    assert sorted(map(tuple, got.collect())) == [(1, "", ""), (1, "", "B"), (1, "", "X"), (1, "a", "A"), (1, "c", ""), (2, "d", ""), (3, "", "Y")]
+    assert set(re.findall(r"hashpartitioning\((.*?)\)", plan(got).replace("#", ""))) <= {x for x in re.findall(r"hashpartitioning\((page\d+, 4)\)", plan(got).replace("#", ""))}
