@@ -10,8 +10,20 @@ from pyspark.sql import DataFrame
 Rows = list[dict]
 
 
-def per_key(df: DataFrame, key: list[str], order: list, helper: Callable[[Rows], Rows], schema: str) -> DataFrame:
-    """helper(rows of one key, in order) for every key. Rows of a key share a partition; keys are small by nature (a page's regions or lines)."""
+#: Rows that a task is to hold at most, on average, where tables are dealt by page.
+TASK_ROWS = 250_000
+
+
+def tasks(rows: int, parts: int) -> int:
+    """Into how many partitions so many rows go: more than `parts` if tasks would hold over TASK_ROWS, so that a task's memory does not grow with the table."""
+    return max(parts, -(-rows // TASK_ROWS))
+
+
+def per_key(df: DataFrame, key: list[str], order: list, helper: Callable[[Rows], Rows], schema: str, laid: bool = False) -> DataFrame:
+    """helper(rows of one key, in order) for every key. Rows of a key share a partition; keys are small by nature (a page's regions or lines).
+
+    laid: they share one already, as after a window by the key, and are not dealt out again.
+    """
     cols = df.columns
     at = [cols.index(k) for k in key]
 
@@ -42,6 +54,8 @@ def per_key(df: DataFrame, key: list[str], order: list, helper: Callable[[Rows],
     kind = _parse_datatype_string(schema)
     assert isinstance(kind, StructType)
     arrow, want = to_arrow_schema(kind), kind.names
+    if laid:
+        return df.sortWithinPartitions(*key, *order).mapInArrow(run, schema)
     # a stated number of partitions: small rows with costly work are not gathered into one task
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(parts, *key).sortWithinPartitions(*key, *order).mapInArrow(run, schema)

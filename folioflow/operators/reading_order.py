@@ -6,6 +6,7 @@ its local dividers and walking its columns; that runs on a section's few rows in
 
 from __future__ import annotations
 
+from itertools import groupby
 from statistics import fmean
 
 from pyspark.sql import DataFrame, Window
@@ -70,21 +71,22 @@ def by_dividers(rows: Rows) -> Rows:
     return out
 
 
-def _section(rows: Rows) -> Rows:
-    return [{**r, "sub": i} for i, r in enumerate(by_dividers(rows))]
+def _page(rows: Rows) -> Rows:
+    """A page's rows, ordered by section: each section's walk, then the dividers that end it in falling order of place."""
+    out: Rows = []
+    for _, section in groupby(rows, key=lambda r: r["section"]):
+        here = list(section)
+        out += by_dividers([r for r in here if not r["is_global"]])
+        out += [r for r in reversed(here) if r["is_global"]]
+    return [{**r, "position": i} for i, r in enumerate(out)]
 
 
 def reading_order(regions: DataFrame) -> DataFrame:
-    """page, ord, id, position of every labelled region."""
+    """page, ord, id, position of every labelled region. Windows and walks use the one shuffle by page."""
     parts = sectioned(with_dividers(in_columns(properties(regions))))
-    keep = ["page", "ord", "id", "label", "minx", "maxx", "meanx", "meany", "width", "height", "is_local", "x_median", "page_minx", "section"]
-    cast = parts.select(*[F.col(c).cast("double") if c in ("minx", "maxx", "page_minx") else F.col(c) for c in keep], "is_global")
-    page = dict(cast.dtypes)["page"]
-    ordered = per_key(cast.where("not is_global").drop("is_global"), ["page", "section"], ["id"], _section, f"page {page}, section int, ord int, id int, sub int")
-    dividers = cast.where("is_global").select("page", "section", "ord", "id", F.lit(2**30).alias("sub"))
-    whole = ordered.unionByName(dividers)
-    w = Window.partitionBy("page").orderBy("section", "sub", F.desc("id"))
-    return whole.select("page", "ord", "id", (F.row_number().over(w) - 1).alias("position"))
+    keep = ["page", "ord", "id", "label", "minx", "maxx", "meanx", "meany", "width", "height", "is_local", "is_global", "x_median", "page_minx", "section"]
+    cast = parts.select(*[F.col(c).cast("double") if c in ("minx", "maxx", "page_minx") else F.col(c) for c in keep])
+    return per_key(cast, ["page"], ["section", "id"], _page, f"page {dict(cast.dtypes)['page']}, ord int, id int, position int", laid=True)
 
 
 def line_order(lines: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.paged import tasks
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,6 +29,9 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page, ord, label, minx, miny, maxx, maxy, partkey."""
     # named before the window, so that Spark knows that what comes out lies by page: later windows and groups need no shuffle
     df = read(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "page")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if (n := tasks(df.count(), parts)) > parts:  # counted from the files' footers
+        df = df.repartition(n, "page")
     ord_ = F.row_number().over(Window.partitionBy("page").orderBy(*ORD)) - 1
     label = (F.col("l_partkey") % 9 + 1).cast("int")
     df = df.select("page", ord_.alias("ord"), label.alias("label"), F.expr("int(1000 * (l_suppkey % 4) + l_partkey % 40)").alias("minx"), F.expr("int(37 * (l_partkey % 97))").alias("miny"), F.when(label == 7, F.expr("int(1000 * (1 + l_linenumber % 4))")).otherwise(F.expr("int(900 + l_partkey % 150)")).alias("w"), F.expr("20 + int(l_quantity) * 10").alias("h"), F.col("l_partkey").alias("partkey"), F.col("l_suppkey").alias("suppkey"))

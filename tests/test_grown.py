@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import geometry as G
 from folioflow.functions import tokens as T
-from folioflow.operators import matching, metrics, shapes
+from folioflow.operators import matching, metrics, paged, shapes
+from folioflow.operators import reading_order as order
+from folioflow.plans import views
 
 
 def plan(df):
@@ -108,3 +110,14 @@ def test_lines_with_texts_are_dealt_out_by_page_only(spark):
     got = matching.matched_texts(side(pred), side(truth), ["page"])
     assert sorted(map(tuple, got.collect())) == [(1, "", ""), (1, "", "B"), (1, "", "X"), (1, "a", "A"), (1, "c", ""), (2, "d", ""), (3, "", "Y")]
     assert set(re.findall(r"hashpartitioning\((.*?)\)", plan(got).replace("#", ""))) <= {x for x in re.findall(r"hashpartitioning\((page\d+, 4)\)", plan(got).replace("#", ""))}
+
+
+def test_reading_order_deals_pages_once_into_tasks_of_bounded_size(spark, monkeypatch):
+    assert [paged.tasks(n, 48) for n in (0, 3_600_000, 36_000_000, 216_000_000)] == [48, 48, 144, 864]
+    schema = "page int, ord int, label int, minx int, miny int, maxx int, maxy int"
+    rows = [(p, i, 7 if i == 2 else 3, 0, 100 * i, 500, 100 * i + 40) for p in range(5) for i in (3, 0, 2, 1, 4)]
+    got = order.reading_order(spark.createDataFrame(rows, schema).repartition(3))
+    assert plan(got).count("Exchange hashpartitioning") == 1
+    assert sorted((r.page, r.position, r.ord) for r in got.collect()) == [(p, i, i) for p in range(5) for i in range(5)]
+    monkeypatch.setattr(paged, "TASK_ROWS", 1000)
+    assert views.regions(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 6  # 6,000 rows; shuffle.partitions (4) before
