@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tokens import code_points, sliced
+from ..functions.tokens import code_points, narrow_points, sliced
 
 
 #: Pairs of texts with more cells than this fill no table: their columns are whole numbers of as many bits.
@@ -26,33 +26,41 @@ def bounded_distances(a: pa.Array, b: pa.Array) -> np.ndarray:
     below 3 are settled by the length alone). Of two lengths, the shorter text made of a start and an end of the longer
     one is as far as the lengths are.
     """
-    (x, ends_x), (y, ends_y) = code_points(a), code_points(b)
-    n, m = np.diff(ends_x, prepend=0), np.diff(ends_y, prepend=0)
-    short = np.minimum(n, m)
-    row = np.repeat(np.arange(len(n)), short)
-    place = np.arange(len(row)) - np.repeat(np.cumsum(short) - short, short)
-    x0, y0 = (ends_x - n)[row], (ends_y - m)[row]
-    p, q = x[x0 + place], y[y0 + place]
-    differs = p != q
-    out = np.bincount(row[differs], minlength=len(n))
-    codes = [np.unique(row[differs] << 21 | c[differs]) for c in (p, q)]
-    back = np.intersect1d(*codes, assume_unique=True) >> 21
+    n, m = (pc.fill_null(pc.utf8_length(t), 0).to_numpy(zero_copy_only=False).astype(np.int64) for t in (a, b))
+    out = np.abs(n - m)
+    same, other = np.flatnonzero((n == m) & (n > 0)), np.flatnonzero((n != m) & (np.minimum(n, m) > 0))
     open_ = np.zeros(len(n), bool)
-    open_[back] = True
-    open_ &= out > 2
-    other = n != m
-    if other.any():
-        first = short.copy()
-        np.minimum.at(first, row[differs], place[differs])
-        # the same from the end
-        ends = x[(ends_x - 1)[row] - place] != y[(ends_y - 1)[row] - place]
-        last = short.copy()
-        np.minimum.at(last, row[ends], place[ends])
-        open_ = np.where(other, first + last < short, open_)
-        out = np.where(other, np.abs(n - m), out)
+    if len(same):  # side by side, place for place
+        (x, ends), (y, _) = (narrow_points(t.take(pa.array(same))) for t in (a, b))
+        differs = x != y
+        out[same] = count = np.add.reduceat(differs, ends - n[same], dtype=np.int64)
+        place, row = np.flatnonzero(differs), np.repeat(np.arange(len(same)), count)
+        if (count <= 2).any():
+            many = count[row] > 2
+            place, row = place[many], row[many]
+        codes = [np.unique(row << 21 | c[place]) for c in (x, y)]
+        open_[same[np.intersect1d(*codes, assume_unique=True) >> 21]] = True
+    if len(other):
+        n, m = n[other], m[other]
+        short = np.minimum(n, m)
+        (x, ends_x), (y, ends_y) = (narrow_points(t.take(pa.array(other))) for t in (a, b))
+        first = _alike(x, y, ends_x - n, ends_y - m, short)
+        rest = np.flatnonzero(first < short)  # the others end where the shorter text does
+        if len(rest):
+            last = _alike(x[::-1], y[::-1], len(x) - ends_x[rest], len(y) - ends_y[rest], short[rest])
+            open_[other[rest]] = first[rest] + last < short[rest]
     return np.where(open_, -1, out)
 
 
+def _alike(x: np.ndarray, y: np.ndarray, x0: np.ndarray, y0: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each row, how many of its n (at least 1) characters from x0 in x and from y0 in y are alike before the first that differs."""
+    begin = np.cumsum(n) - n
+    place = np.arange(n.sum())
+    differs = x[place + np.repeat(x0 - begin, n)] != y[place + np.repeat(y0 - begin, n)]
+    at = np.append(np.flatnonzero(differs), len(place))
+    return np.minimum(at[np.searchsorted(at, begin)] - begin, n)
+
+
 def bit_distance(a: str, b: str) -> int:
     """Edit distance by Myers' and Hyyrö's bit vectors: a column of the table is two numbers with a bit for each character of a."""
     if not a:

@@ -2,6 +2,7 @@
 
 import re
 import time
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +66,22 @@ def test_page_quality_settles_replaced_and_cut_lines_by_bounds():
     assert list(metrics.bounded_distances(pa.array(g), pa.array(o))) == [table_distance(g[0], o[0]), 0, 1, -1]
 
 
+def test_page_quality_compares_lines_side_by_side_in_little_memory():
+    g = ["many letters, see this line is one of many in a text", "cut at its end, as the third of all lines are, or the fifth"] * 10000
+    o = [g[0].translate(str.maketrans("eis", "cl5")), g[1][:-1]] * 10000
+    a, b = pa.array(["é", *g], pa.string()).slice(1), pa.array(o, pa.large_string())
+    tracemalloc.start()
+    try:
+        got = metrics.bounded_distances(a, b)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got.tolist() == [sum(g[0].count(c) for c in "eis"), 1] * 10000
+    assert peak < 30 * sum(map(len, g))  # bytes for each character: 90 before, when places were gathered one by one
+    assert [c.tolist() for c in T.narrow_points(pa.array(["xx", None, "aé", "", "\U0001f600"]).slice(1))] == [[97, 233, 0x1F600], [0, 2, 2, 3]]
+    assert [c.tolist() for c in T.narrow_points(pa.array([None, "", None], pa.large_string()))] == [[], [0, 0, 0]]
+
+
 def test_characters_are_coded_in_batches(spark):
     letters = T.alphabet(128, ["ſ", "é"])
     rows = [(1, "aſ😀", [1, 101, 132, 2, 3, 101]), (2, None, None), (3, "", []), (4, "é" * 5, [3]), (5, "z", [9, -1, None, 999, 105, 0, 106])]
