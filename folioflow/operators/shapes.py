@@ -10,52 +10,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import bbox
 from .matching import BOX
-from .outlines import borders, outlines
+from .outlines import border_parts, outline_parts
 from .paged import Rows, per_key
+from .spans import edges as _edges
+from .spans import flat as _flat
 
 POINT = "struct<x:double,y:double>"
 
 
-def _arrays(column: pa.Array) -> list[np.ndarray]:
-    """Each row's points as (x, y) rows; none for null."""
-    x, y = column.flatten().flatten()
-    flat = np.stack([x.to_numpy(zero_copy_only=False), y.to_numpy(zero_copy_only=False)], axis=1).astype(float)
-    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
-    return np.split(flat, np.cumsum(sizes)[:-1]) if len(sizes) else []
-
-
-def _column(rows: list[np.ndarray | None]) -> pa.Array:
-    flat = np.concatenate([np.zeros((0, 2)), *[r for r in rows if r is not None]])
-    ends = np.cumsum([0, *(0 if r is None else len(r) for r in rows)])
-    xy = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["x", "y"])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), xy, mask=pa.array([r is None for r in rows], pa.bool_()))
-
-
 def _points(a: np.ndarray) -> list[dict]:
     return [{"x": float(x), "y": float(y)} for x, y in a]
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All rows' points as (x, y) one after the other, and how many each row has; null rows have none."""
-    x, y = column.flatten().flatten()
-    flat = np.stack([x.to_numpy(zero_copy_only=False), y.to_numpy(zero_copy_only=False)], axis=1).astype(float)
-    return flat, pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-
-
-def _edges(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, start and end of every side of the closed outlines."""
-    after = np.arange(1, len(flat) + 1)
-    ends = np.cumsum(sizes)[sizes > 0]
-    after[ends - 1] = ends - sizes[sizes > 0]
-    return np.repeat(np.arange(len(sizes)), sizes), flat, flat[after]
-
-
 def crossings(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row and height of the places where any two of a row's segments p[row, i] q[row, i] cross."""
     d = q - p
@@ -296,34 +267,21 @@ def mask_polygons(runs: DataFrame, tolerance: list[float] | None, least: float)
 
     With tolerance, the label's tolerance (labels above the list take its last) simplifies its outlines. Outlines of
     holes are polygons too; those of less than three corners, or whose box's width and height do not sum to more than
-    `least`, are left out. part counts on within a label, from the lowest, then rightmost outline on.
+    `least`, are left out. part counts on within a label, from the lowest, then rightmost outline on. runs may be packed.
     """
-    rings = outlines(runs, ["page", "label"])
-    first = F.get("points", F.lit(0))
-    rings = rings.select("page", "label", first["y"].alias("sy"), first["x"].alias("sx"), "points")
-    if tolerance:
-        kinds, names = dict(rings.dtypes), ["page", "label", "sy", "sx"]
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                made = [simplified(p, tolerance[min(k, len(tolerance)) - 1]) for k, p in zip(b.column("label").to_pylist(), _arrays(b.column("points")), strict=True)]
-                yield b.select(names).append_column("points", _column(made))
+    def change(labels: list[int], x: np.ndarray, y: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+        made = [simplified(p, tolerance[min(k, len(tolerance)) - 1]) for k, p in zip(labels, np.split(np.stack([x, y], axis=1), at[1:-1]), strict=True)]
+        flat = np.concatenate(made)
+        return flat[:, 0], flat[:, 1], np.cumsum([0, *map(len, made)])
 
-        rings = rings.mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in names) + f", points array<{POINT}>")
-    boxed = rings.withColumns(bbox(F.col("points"))).where((F.size("points") > 2) & (F.col("maxx") - F.col("minx") + F.col("maxy") - F.col("miny") > least))
-    return _parts(boxed)
+    return outline_parts(runs, ["page", "label"], 2, least, change if tolerance else None)
 
 
 def uncertain_polygons(runs: DataFrame) -> DataFrame:
     """The same columns for the borders of marked pixels (page, y, x0, x1): label 1 for outer borders, 2 for those around holes; borders of up to three corners are left out."""
-    found = borders(runs, ["page"]).where(F.size("points") > 3)
-    first = F.get("points", F.lit(0))
-    return _parts(found.select("page", F.when(F.col("outer"), 1).otherwise(2).alias("label"), first["y"].alias("sy"), first["x"].alias("sx"), "points").withColumns(bbox(F.col("points"))))
-
-
-def _parts(found: DataFrame) -> DataFrame:
-    part = F.row_number().over(Window.partitionBy("page", "label").orderBy(F.desc("sy"), F.desc("sx"))) - 1
-    return found.select("page", "label", part.alias("part"), "points", *BOX)
+    found = border_parts(runs, ["page"], 3)
+    return found.select("page", F.when(F.col("outer"), 1).otherwise(2).alias("label"), "part", "points", *BOX)
 
 
 def beyond_hull(shape: tuple[int, int], corners: np.ndarray, margin: float) -> np.ndarray:

@@ -75,17 +75,23 @@ def _slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.regions(spark, sf_dir).select("page", "ord", "label", F.expr("int(2 + partkey % 10)").alias("x"), (2 + 16 * F.col("ord")).alias("y"), F.expr("int(4 + suppkey % 20)").alias("w"), (3 + F.col("label")).alias("h"))
 
 
-def _boxes(slots: DataFrame, inset: int = 0) -> DataFrame:
-    """Regions in their slots, with all sides moved in."""
+def _boxes(slots: DataFrame, inset: int = 0, *more: str) -> DataFrame:
+    """Regions in their slots, with all sides moved in, and more columns as they are."""
     x, y, w, h = (F.col(c) for c in "xywh")
     at = lambda a, b: F.struct(a.cast("double").alias("x"), b.cast("double").alias("y"))
     x0, y0, x1, y1 = x + inset, y + inset, x + w - inset, y + h - inset
-    return slots.select("page", "ord", "label", F.array(at(x0, y0), at(x1, y0), at(x1, y1), at(x0, y1)).alias("points"))
+    return slots.select("page", "ord", "label", F.array(at(x0, y0), at(x1, y0), at(x1, y1), at(x0, y1)).alias("points"), *more)
+
+
+def _over(below: DataFrame, above: DataFrame, *more: str) -> DataFrame:
+    """page, z, label, points: shapes to be drawn, and shapes that erase what lies under them."""
+    z = lambda k: F.struct(F.lit(k).alias("k"), "ord").alias("z")
+    return below.select("page", z(0), "label", "points", *more).unionByName(above.select("page", z(1), F.lit(0).alias("label"), "points", *more))
 
 
 @query("mask_polygons", f"""WITH {_SLOT} SELECT page, label, (row_number() OVER (PARTITION BY page, label ORDER BY ord DESC) - 1)::INT AS part, 2 * (w + h + 2)::INT AS n_points, x - 0.5::DOUBLE AS minx, y - 0.5::DOUBLE AS miny, x + w + 0.5::DOUBLE AS maxx, y + h + 0.5::DOUBLE AS maxy FROM sl WHERE w + h + 2 > 14""")
 def mask_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    drawn = R.overdrawn(R.filled(_boxes(_slots(spark, sf_dir)), ["page", "ord", "label"]), ["page"], "ord")
+    drawn = R.drawn(_boxes(_slots(spark, sf_dir)), ["page"], "ord")
     return S.mask_polygons(drawn, None, 14).select("page", "label", "part", F.size("points").alias("n_points"), "minx", "miny", "maxx", "maxy")
 
 
@@ -93,8 +99,8 @@ def mask_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNION ALL SELECT page, 2, 4 + 2 * (w > 4)::INT + 2 * (h > 4)::INT, x + 1, y + 1, x + w - 1, y + h - 1 FROM sl""")
 def uncertain_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     slots = _slots(spark, sf_dir)
-    whole, holes = (R.united(R.filled(_boxes(slots, d), ["page", "ord"]), ["page"]) for d in (0, 2))
-    return S.uncertain_polygons(R.without(whole, holes, ["page"])).select("page", "label", F.size("points").alias("n_points"), "minx", "miny", "maxx", "maxy")
+    marks = _over(_boxes(slots).withColumn("label", F.lit(1)), _boxes(slots, 2))
+    return S.uncertain_polygons(R.drawn(marks, ["page"], "z")).select("page", "label", F.size("points").alias("n_points"), "minx", "miny", "maxx", "maxy")
 
 
 @query("baselines", """WITH RECURSIVE px AS (SELECT l_suppkey AS page, l_linenumber AS region, (l_partkey % 3)::INT AS component, (l_orderkey % 500)::INT AS x, l_quantity::INT AS y, l_extendedprice / 1000 AS up, l_discount * 100 - 2 AS down FROM lineitem),
