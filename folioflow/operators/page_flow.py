@@ -43,13 +43,11 @@ def annotation_rasters(nested: DataFrame, border: bool = False) -> DataFrame:
 
 
 def annotation_runs(nested: DataFrame) -> DataFrame:
-    """page_id, label, y, x0, x1: the same rasters, without a border, as a run table; a page's pixels never meet in one row."""
+    """page_id, label, r: the same rasters, without a border, as a packed run table; a page never exists as bytes."""
     regions = pagexml.region_table(nested, sizes=True).withColumn("label", label_of(F.coalesce("tag", F.lit(""))))
     # sizes go with the shapes: reading them apart would mean parsing the pages again
     shapes = regions.select("page_id", "width", "height", F.struct(draw_rank(F.col("label")).alias("rank"), "ord").alias("z"), "label", "points")
-    by = ["page_id", "width", "height"]
-    out = runs.overdrawn(runs.within(runs.filled(shapes, [*by, "z", "label"])), by, "z")
-    return out.drop("width", "height")
+    return runs.drawn(shapes, ["page_id"], "z")
 
 
 def scaled_pages(nested: DataFrame, scale: float | Column) -> DataFrame:

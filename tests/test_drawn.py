@@ -57,7 +57,7 @@ def test_deep_stacks_show_the_highest():
 
 
 #: Exchanges and windows of a query's plan: pages' shapes meet in one grouping. Each had more before.
-PLANS = {"mask_polygons": (1, 1)}
+PLANS = {"mask_polygons": (1, 1), "uncertain_polygons": (2, 2), "baseline_targets": (5, 4), "region_slices": (3, 3), "masked_pages": (2, 4)}
 
 
 @pytest.mark.parametrize("name", PLANS)
@@ -76,3 +76,43 @@ def test_parts_are_counted_without_a_window(spark):
         mine = sorted(g[1:] for g in got if g[0] == label)
         assert [m[0] for m in mine] == list(range(10))
         assert [m[1:] for m in mine] == sorted((m[1:] for m in mine), reverse=True)
+
+
+def test_slices_take_the_rest_of_their_box(spark):
+    rng = np.random.default_rng(8)
+    shapes = [(p, i, 1 + i % 4, [(int(x), int(y)) for x, y in zip(rng.integers(3, W - 3, 5), rng.integers(3, H - 3, 5), strict=True)]) for i in range(12) for p in (0, 1)]
+    image = R.drawn(sized(frame(spark, shapes[:8])), ["page"], "ord")
+    for given in (image, R.rows(image, ["page"])):
+        got = {(r.page, r.ord): (r.n, r.background) for r in R.slices(given, frame(spark, shapes), ["page"], ["page", "ord"], 2).collect()}
+        for p, i, _, ps in shapes:
+            mask = np.zeros((H, W), np.uint8)
+            fill_polygon(mask, np.array(ps), 1)
+            ys, xs = np.nonzero(mask)
+            if not len(ys):
+                assert (p, i) not in got
+                continue
+            a, b, c, d = ys.min() - 2, ys.max() + 2, xs.min() - 2, xs.max() + 2
+            page = np.pad(drawing(shapes[:8], p), 9)
+            total = page[a + 9 : b + 10, c + 9 : d + 10].sum() - (drawing(shapes[:8], p) * mask.astype(int)).sum()
+            assert got[p, i] == (mask.sum(), pytest.approx(total / ((b - a + 1) * (d - c + 1) - mask.sum())))
+
+
+def test_targets_against_pixels(spark):
+    """Lines that share pixels: the highest column counts, and no channel leaves the page."""
+    at = lambda x0, y0, x1, y1: [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
+    pts = lambda ps: [{"x": float(x), "y": float(y)} for x, y in ps]
+    rows = [(0, 0, at(4, 4, 30, 14), [(4, 10), (30, 10)], at(4, 4, 30, 10), at(4, 10, 30, 14)), (0, 1, at(20, 2, 80, 14), [(20, 10), (80, 10)], at(20, 2, 80, 10), at(20, 10, 80, 12)), (1, 0, at(0, 0, 9, 9), [(0, 0), (9, 9)], at(0, 0, 9, 5), at(3, 5, 9, 9))]
+    kind = "array<struct<x:double,y:double>>"
+    lines = spark.createDataFrame([(p, i, *map(pts, c)) for p, i, *c in rows], f"page int, line int, points {kind}, baseline {kind}, ascender {kind}, descender {kind}")
+    regions = spark.createDataFrame([(p, i, pts(c[0])) for p, i, *c in rows], f"page int, region int, points {kind}")
+    pages = spark.createDataFrame([(0, W, H), (1, W, H), (2, 5, 4)], "page int, width int, height int")
+    got = R.baseline_targets(lines, regions, regions.where("page = 1"), pages, ["page"]).collect()
+    channel = lambda name, p: {(r.y, x): r.value for r in got if (r.channel, r.page) == (name, p) for x in range(r.x0, r.x1 + 1)}
+    assert channel("baseline", 0) == {(10, x): 1 for x in range(4, W)}
+    assert channel("ascender", 0) == {(10, x): 9 if x >= 20 else 7 for x in range(4, W)}
+    assert channel("descender", 0) == {(10, x): 5 if x <= 30 else 3 for x in range(4, W)}
+    assert channel("descender", 1) == {(i, i): 5 for i in range(3, 10)}
+    limits = {(y, x) for x0, a, b in ((4, 4, 14), (30, 4, 14), (20, 2, 14)) for y in range(a, b + 1) for x in range(x0 - 1, x0 + 2)}
+    assert set(channel("limiter", 0)) == limits
+    assert channel("mask", 2) == {(y, x): 1 for y in range(4) for x in range(5)}
+    assert set(channel("mask", 1)) == {(y, x) for y in range(H) for x in range(W)} - {(y, x) for y in range(10) for x in range(10)}
