@@ -13,14 +13,17 @@ from pyspark.sql import functions as F
 def parse_points(s: Column) -> Column:
     """"x,y x,y ..." to points; null for null, no points for blank text."""
     pairs = F.filter(F.split(F.trim(s), "\\s+"), lambda p: p != "")
-    part = lambda p, i: F.split(p, ",").getItem(i).cast("int")
-    return F.transform(pairs, lambda p: F.struct(part(p, 0).alias("x"), part(p, 1).alias("y")))
+    parts = F.transform(pairs, lambda p: F.split(p, ","))  # cut once for both numbers
+    return F.transform(parts, lambda p: F.struct(p.getItem(0).cast("int").alias("x"), p.getItem(1).cast("int").alias("y")))
 
 
 def format_points(points: Column, scale: float | Column = 1.0) -> Column:
     """Points to text, each coordinate scaled and cut toward zero."""
-    by = scale if isinstance(scale, Column) else F.lit(float(scale))
-    cut = lambda v: (v * by).cast("int").cast("string")
+    if isinstance(scale, Column) or scale != 1:
+        by = scale if isinstance(scale, Column) else F.lit(float(scale))
+        cut = lambda v: (v * by).cast("int").cast("string")
+    else:
+        cut = lambda v: v.cast("int").cast("string")
     return F.array_join(F.transform(points, lambda p: F.concat(cut(p["x"]), F.lit(","), cut(p["y"]))), " ")
 
 

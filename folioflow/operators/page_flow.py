@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.geometry import bbox, format_points, parse_points
+from ..functions.geometry import bbox, format_points, parse_points, scaled
 from ..functions.layout import draw_rank, label_of
 from ..schema import REGION_KINDS
 from ..sources import pagexml
@@ -53,30 +53,56 @@ def annotation_runs(nested: DataFrame) -> DataFrame:
 def scaled_pages(nested: DataFrame, scale: float | Column) -> DataFrame:
     """nested pages with their sizes, the outlines of regions and lines, and the lines' baselines scaled; each number is cut toward zero. It is a projection: nothing else of a page changes."""
     by = scale if isinstance(scale, Column) else F.lit(float(scale))
+    size = {c: (F.col(c) * by).cast("int") for c in ("_imageWidth", "_imageHeight")}
+    return nested.withColumns({**size, **{k: F.transform(F.col(k), lambda r: _scaled_region(r, by)) for k in REGION_KINDS if k in nested.columns}})
+
+
+def _moved(e: Column, by: Column, *parts: str) -> Column:
+    """e with the points of some of its parts scaled."""
     text = lambda s: F.when(s.isNotNull(), format_points(parse_points(s), by))
-    moved = lambda e, c: e.withField(c, e[c].withField("_points", text(e[c]["_points"])))
+    for c in parts:
+        e = e.withField(c, e[c].withField("_points", text(e[c]["_points"])))
+    return e
 
-    def region(r: Column) -> Column:
-        return moved(r, "Coords").withField("TextLine", F.transform(r["TextLine"], lambda x: moved(moved(x, "Coords"), "Baseline")))
 
-    size = {c: (F.col(c) * by).cast("int") for c in ("_imageWidth", "_imageHeight")}
-    return nested.withColumns({**size, **{k: F.transform(F.col(k), region) for k in REGION_KINDS if k in nested.columns}})
+def _scaled_region(r: Column, by: Column) -> Column:
+    return _moved(r, by, "Coords").withField("TextLine", F.transform(r["TextLine"], lambda x: _moved(x, by, "Coords", "Baseline")))
 
 
-def randomly_scaled(nested: DataFrame, scale: float, rounds: int, seed: int) -> DataFrame:
-    """rounds + 1 copies of every page, named `<page_id>_<round>`, each at a scale of its own between 1 and `scale` or, every second time, at the inverse of one.
+def scaled_regions(regions: DataFrame, scale: Column) -> DataFrame:
+    """The region table (with sizes) of the scaled pages, from that of the pages: the same numbers are scaled and cut, but no text is written and read for it."""
+    points = F.col("points")
+    cut = {c: (F.col(c) * scale).cast("int") for c in ("width", "height") if c in regions.columns}
+    lines = F.transform("lines", lambda x: _moved(x, scale, "Coords", "Baseline"))
+    return regions.withColumns({**cut, "points": scaled(points, scale), "lines": lines})
+
+
+def _copies(pages: DataFrame, scale: float, rounds: int, seed: int) -> DataFrame:
+    """rounds + 1 copies of rows with a page_id, named `<page_id>_<round>`, with the page's own __scale.
 
     The scales come from md5 of seed, round and page, so they do not depend on how pages lie or on retries.
     """
 
-    def chance(name: str) -> Column:
-        said = F.concat_ws(":", F.lit(name), F.lit(seed), F.col("__round"), F.col("page_id"))
+    def chance(name: str, i: int) -> Column:
+        said = F.concat_ws(":", F.lit(name), F.lit(seed), F.lit(i), F.col("page_id"))
         return F.conv(F.substring(F.md5(said.cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
-    each = nested.withColumn("__round", F.explode(F.sequence(F.lit(0), F.lit(rounds))))
-    drawn = 1 + chance("scale") * F.lit(float(scale) - 1)
-    each = each.withColumn("__scale", F.when(chance("way") < 0.5, drawn).otherwise(1 / drawn))
-    return scaled_pages(each.withColumn("page_id", F.concat_ws("_", "page_id", "__round")), F.col("__scale")).drop("__round", "__scale")
+    def copy(i: int) -> Column:
+        drawn = 1 + chance("scale", i) * F.lit(float(scale) - 1)
+        return F.struct(F.lit(i).alias("__round"), F.when(chance("way", i) < 0.5, drawn).otherwise(1 / drawn).alias("__scale"))
+
+    each = pages.select("*", F.inline(F.array(*[copy(i) for i in range(rounds + 1)])))
+    return each.withColumn("page_id", F.concat_ws("_", "page_id", "__round")).drop("__round")
+
+
+def randomly_scaled(nested: DataFrame, scale: float, rounds: int, seed: int) -> DataFrame:
+    """rounds + 1 copies of every page, named `<page_id>_<round>`, each at a scale of its own between 1 and `scale` or, every second time, at the inverse of one."""
+    return scaled_pages(_copies(nested, scale, rounds, seed), F.col("__scale")).drop("__scale")
+
+
+def randomly_scaled_regions(regions: DataFrame, scale: float, rounds: int, seed: int) -> DataFrame:
+    """The region table of the same copies, from that of the pages."""
+    return scaled_regions(_copies(regions, scale, rounds, seed), F.col("__scale")).drop("__scale")
 
 
 def scale_pages(spark: SparkSession, path: str, out: str, scale: float, rounds: int = 0, seed: int = 42) -> None:

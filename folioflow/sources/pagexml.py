@@ -163,13 +163,14 @@ def _line_xml(get: Callable[[str], Column]) -> Column:
 
 
 def _joined(items: Column, part: str) -> Column:
-    """The parts of items in the order of the items."""
-    return F.array_join(F.transform(F.sort_array(items), lambda x: x[part]), "")
+    """The parts of items in their order."""
+    return F.array_join(F.transform(items, lambda x: x[part]), "")
 
 
 def _inner(lines: Column) -> Column:
     """The elements of an array of lines, by position; none for null."""
-    return F.coalesce(_joined(F.transform(lines, lambda x: F.struct(x["position"].alias("position"), _line_xml(lambda c: x[c]).alias("x"))), "x"), F.lit(""))
+    made = F.transform(lines, lambda x: F.struct(x["position"].alias("position"), _line_xml(lambda c: x[c]).alias("x")))
+    return F.coalesce(_joined(F.sort_array(made), "x"), F.lit(""))
 
 
 def _region_item(get: Callable[[str], Column], kind: Column, inner: Column) -> Column:
@@ -187,7 +188,7 @@ def _element(name: Column) -> Column:
 
 
 def _document(image: Column, width: Column, height: Column, items: Column) -> Column:
-    """A document of region items."""
+    """A document of region items in their order; a column, as it is named three times."""
     order = F.when(F.size(items) > 0, F.concat(F.lit('<ReadingOrder><OrderedGroup id="ro">'), _joined(items, "ref"), F.lit("</OrderedGroup></ReadingOrder>"), _joined(items, "body"))).otherwise("")
     head = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><PcGts xmlns="http://schema.primaresearch.org/PAGE/gts/pagecontent/2013-07-15"><Page'), _attr("imageFilename", image), _attr("imageWidth", width.cast("string")), _attr("imageHeight", height.cast("string")), F.lit(">"))
     return F.concat(head, order, F.lit("</Page></PcGts>"))
@@ -202,15 +203,17 @@ def page_xml(pages: DataFrame, regions: DataFrame, lines: DataFrame | None = Non
     kind = F.coalesce("kind", kind) if "kind" in regions.columns else kind
     inner = _inner(F.col("lines")) if "lines" in regions.columns and lines is None else F.lit("")
     if lines is not None:
-        own = F.struct("position", F.col("class"), "points", kind.alias("kind"))
-        fields = F.struct("line_id", "position", "points", "baseline", "text")
+        own = F.struct(F.col("position").alias("position"), F.col("class").alias("class"), F.col("points").alias("points"), kind.alias("kind"))
+        fields = F.struct(*[F.col(c).alias(c) for c in ("line_id", "position", "points", "baseline", "text")])
         none = lambda df, c: F.lit(None).cast(df.select(c.alias("s")).schema["s"].dataType)
         one = regions.select("page_id", "region_id", own.alias("own"), none(lines, fields).alias("line"))
         two = lines.where("page_id is not null and region_id is not null").select("page_id", "region_id", none(regions, own).alias("own"), fields.alias("line"))
         met = one.unionByName(two).groupBy("page_id", "region_id").agg(F.collect_list("own").alias("own"), F.collect_list("line").alias("lines"))
-        regions = met.select("page_id", "region_id", _inner(F.col("lines")).alias("inner"), F.explode("own").alias("own")).select("page_id", "region_id", "inner", "own.*")
+        # apart from the explode: beside a generator, fields named in functions of arrays lose their names
+        met = met.select("page_id", "region_id", _inner(F.col("lines")).alias("inner"), "own")
+        regions = met.select("page_id", "region_id", "inner", F.explode("own").alias("own")).select("page_id", "region_id", "inner", "own.*")
         kind, inner = F.col("kind"), F.col("inner")
-    rows = regions.groupBy("page_id").agg(F.collect_list(_region_item(F.col, kind, inner)).alias("x"))
+    rows = regions.groupBy("page_id").agg(F.sort_array(F.collect_list(_region_item(F.col, kind, inner))).alias("x"))
     full = pages.join(rows, "page_id", "left")
     return full.select("page_id", _document(F.col("image_filename"), F.col("width"), F.col("height"), F.col("x")).alias("xml"))
 
@@ -222,18 +225,31 @@ def nested_xml(nested: DataFrame, positions: Column | None = None) -> DataFrame:
     are lost. Without it, and for lines, the index that they name, else the place in the file.
     """
     place = lambda index, i: F.when(index >= 0, index).otherwise(i)
+    # in steps: what a function of arrays names twice, it works out twice
 
     def line(x: Column, i: Column) -> Column:
-        text = F.nullif(x["TextEquiv"]["Unicode"], F.lit(""))
-        return F.struct(x["_id"].alias("line_id"), place(order_index(x["_custom"]), i).alias("position"), parse_points(x["Coords"]["_points"]).alias("points"), parse_points(x["Baseline"]["_points"]).alias("baseline"), text.alias("text"))
+        said = F.nullif(x["TextEquiv"]["Unicode"], F.lit(""))
+        return F.struct(order_index(x["_custom"]).alias("index"), i.alias("i"), x["_id"].alias("line_id"), parse_points(x["Coords"]["_points"]).alias("points"), parse_points(x["Baseline"]["_points"]).alias("baseline"), said.alias("text"))
 
-    def item(x: Column, i: Column) -> Column:
-        r, c = x["r"], x["r"]["_custom"]
-        parts = {"region_id": r["_id"], "position": place(order_index(c), i) if positions is None else F.get(positions, i), "class": F.coalesce(class_tag(c), region_class(c, x["kind"])), "points": parse_points(r["Coords"]["_points"])}
-        return _region_item(parts.__getitem__, x["kind"], F.when(x["kind"] == "TextRegion", _inner(F.transform(r["TextLine"], line))).otherwise(""))
+    def placed(x: Column) -> Column:
+        return F.struct(place(x["index"], x["i"]).alias("position"), *[x[c].alias(c) for c in ("line_id", "points", "baseline", "text")])
 
-    items = F.filter(F.transform(_kinds(), item), lambda x: x["position"].isNotNull())
-    return nested.select("page_id", _document(F.col("_imageFilename"), F.col("_imageWidth"), F.col("_imageHeight"), items).alias("xml"))
+    def region(x: Column, i: Column) -> Column:
+        r, c = x["r"], x["r"]["_custom"]
+        index = order_index(c) if positions is None else F.get(positions, i)
+        lines = F.when(x["kind"] == "TextRegion", F.transform(F.transform(r["TextLine"], line), placed))
+        return F.struct(index.alias("index"), i.alias("i"), x["kind"].alias("kind"), r["_id"].alias("region_id"), F.coalesce(class_tag(c), region_class(c, x["kind"])).alias("class"), parse_points(r["Coords"]["_points"]).alias("points"), lines.alias("lines"))
+
+    def item(x: Column) -> Column:
+        parts = {"position": place(x["index"], x["i"]) if positions is None else x["index"], **{c: x[c] for c in ("region_id", "class", "points")}}
+        return _region_item(parts.__getitem__, x["kind"], _inner(x["lines"]))
+
+    page = ["page_id", "_imageFilename", "_imageWidth", "_imageHeight"]
+    some = nested.select(*page, F.transform(_kinds(), region).alias("x"))
+    if positions is not None:
+        some = some.withColumn("x", F.filter("x", lambda x: x["index"].isNotNull()))
+    items = some.select(*page, F.sort_array(F.transform("x", item)).alias("x"))
+    return items.select("page_id", _document(F.col("_imageFilename"), F.col("_imageWidth"), F.col("_imageHeight"), F.col("x")).alias("xml"))
 
 
 def write_pages(xml: DataFrame, path: str, folders: int = 256) -> None:

@@ -157,3 +157,25 @@ def test_characters_go_there_and_back(spark):
     df = spark.createDataFrame([("d-p ſchön",), ("",)], "text string")
     assert [r[0] for r in df.select(t.decode(t.encode(F.col("text")))).collect()] == ["d-p ſchön", ""]
     assert len(t) == 4 + T.UNICODE + len(T.CUSTOM)
+
+
+def test_scaled_region_tables_are_those_of_scaled_pages(spark):
+    """Scaling a region table gives what scaling, writing and reading its pages gives, lines included; and each copy its own scale."""
+    line = '<TextLine id="l" custom="readingOrder {index:0;}"><Coords points="3,5 9,9 -7,9"/><Baseline points="3,9 101,9"/></TextLine>'
+    body = '<Page imageFilename="a.jpg" imageWidth="901" imageHeight="1203"><TextRegion id="r1" custom="readingOrder {index:0;} structure {type:heading;}"><Coords points="0,0 10,0  11,-5 7,21"/>' + line + '</TextRegion><TableRegion id="t" custom="structure {type:table;}"><Coords points=""/></TableRegion><ImageRegion id="i"/></Page>'
+    nested = pagexml.parse_pages(spark.createDataFrame([("a", body), ("b", body)], "page_id string, xml string"))
+    rows = lambda df: sorted(map(str, df.select("page_id", "region_id", "ord", "class", "points", "width", "height", F.transform("lines", lambda x: F.struct(x["Coords"]["_points"], x["Baseline"]["_points"])).alias("l")).collect()))
+    whole = pagexml.region_table(page_flow.randomly_scaled(nested, 1.5, 3, 7), sizes=True)
+    got = rows(page_flow.randomly_scaled_regions(pagexml.region_table(nested, sizes=True), 1.5, 3, 7))
+    assert got == rows(whole) and len(got) == 2 * 4 * 3
+
+
+def test_rewritten_pages_name_each_item_once(spark):
+    """What a document says three times is worked out once: the items are a column of their own before they are joined."""
+    body = '<Page imageFilename="a.jpg" imageWidth="9" imageHeight="8"><TextRegion id="r1" custom="readingOrder {index:1;} structure {type:heading;}"><Coords points="0,0 1,1"/></TextRegion><TextRegion id="r0" custom="readingOrder {index:0;}"><Coords points="2,2"/></TextRegion></Page>'
+    nested = pagexml.parse_pages(spark.createDataFrame([("a", body)], "page_id string, xml string"))
+    xml = page_flow.rewritten(nested)
+    plan = xml._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<RegionRefIndexed") == 1
+    out = xml.first().xml
+    assert out.index('index="0" regionRef="r0"') < out.index('index="1" regionRef="r1"') < out.index('id="r0"') < out.index('id="r1"')
