@@ -116,3 +116,35 @@ def test_targets_against_pixels(spark):
     assert set(channel("limiter", 0)) == limits
     assert channel("mask", 2) == {(y, x): 1 for y in range(4) for x in range(5)}
     assert set(channel("mask", 1)) == {(y, x) for y in range(H) for x in range(W)} - {(y, x) for y in range(10) for x in range(10)}
+
+
+def test_batches_in_pieces_give_the_same(spark, monkeypatch):
+    """Large batches are worked on in pieces; here every row is one."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    held, whole = [], spans.pieces
+    real = DataFrame.mapInArrow
+
+    def noted(df, f, schema, *more):
+        held.append((df, f))
+        return real(df, f, schema, *more)
+
+    monkeypatch.setattr(DataFrame, "mapInArrow", noted)
+    shapes = sized(frame(spark, [(p + 2 * k, *r) for k in range(6) for p, *r in polygons(9, k)]))
+    key = ["page", "ord", "label"]
+    image = R.drawn(shapes, ["page"], "ord")
+    lines = shapes.select("page", F.col("ord").alias("line"), *[F.col("points").alias(c) for c in ("points", "baseline", "ascender", "descender")])
+    pages = spark.createDataFrame([(p, W, H) for p in range(12)], "page int, width int, height int")
+    R.overdrawn(R.filled(shapes, key), ["page"], "ord")
+    R.slices(image, shapes, ["page"], ["page", "ord"], 1)
+    R.baseline_targets(lines, shapes.select("page", F.col("ord").alias("region"), "points"), shapes.select("page", F.col("ord").alias("region"), "points"), pages, ["page"])
+    S.mask_polygons(image, [0.8], 3)
+    S.uncertain_polygons(R.drawn(shapes.withColumn("label", F.lit(1)), ["page"], "ord"))
+    made = [(f, df.toArrow().combine_chunks().to_batches()) for df, f in held]
+    assert len(made) >= 8 and all(len(b) for _, b in made)
+    for f, batches in made:
+        rows = lambda: [str(r) for b in f(iter(batches)) for r in b.to_pylist()]
+        monkeypatch.setattr(spans, "pieces", whole)
+        want = rows()
+        monkeypatch.setattr(spans, "pieces", lambda cost: ((i, i + 1) for i in range(len(cost))))
+        assert rows() == want and want
